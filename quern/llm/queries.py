@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from quern.llm.packing import op10_pack
+from quern.llm.simhash import op3_simhash
 from quern.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op6_token_files": op6_token_files,
     "op10_pack": op10_pack,
 }
