@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from quern.llm.language import op2_language
 from quern.llm.packing import op10_pack
+from quern.llm.quality import op8_quality
 from quern.llm.simhash import op3_simhash
 from quern.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_simhash": op3_simhash,
     "op6_token_files": op6_token_files,
+    "op8_quality": op8_quality,
     "op10_pack": op10_pack,
 }
 ORACLES: dict[str, str] = {}
