@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, html, licenses, warc
+from quern.llm import decontaminate, fingerprints, html, licenses, warc
 from quern.llm.language import op2_language
 from quern.llm.packing import op10_pack
 from quern.llm.quality import op8_quality
@@ -13,6 +13,7 @@ QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_main_text": html.op5_main_text,
     "op6_token_files": op6_token_files,
     "op7_decontaminate": decontaminate.op7_decontaminate,
