@@ -111,8 +111,8 @@ def probability_diagnostics(rows: DataFrame, by: list[str], label: str, p: str)
 
 
 def roc_auc(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
-    """Mann-Whitney with average ranks."""
-    ranks = average_ranks(rows.select(*by, label, p), p, by)
+    """Mann-Whitney with average ranks; rows without a probability are left out."""
+    ranks = average_ranks(rows.select(*by, label, p).where(F.col(p).isNotNull()), p, by)
     pos = F.count_if(F.col(label) == 1)
     neg = F.count_if(F.col(label) == 0)
     total = F.sum(F.when(F.col(label) == 1, F.col(f"{p}_rank")))
@@ -120,8 +120,8 @@ def roc_auc(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
 
 
 def average_precision(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
-    """Sum over distinct thresholds of the step in recall times precision."""
-    steps = rows.groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("y"))
+    """Sum over distinct thresholds of the step in recall times precision; rows without a probability are left out."""
+    steps = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("y"))
     desc = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("y").over(Window.partitionBy(*by))
     cum = steps.select(*by, "y", F.sum("n").over(desc).alias("cn"), F.sum("y").over(desc).alias("cy"), total.alias("total"))

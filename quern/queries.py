@@ -535,7 +535,7 @@ def log_loss_brier(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_STRATA}, r AS (SELECT treatment, visit, rank() OVER (PARTITION BY treatment ORDER BY factual) + (count(*) OVER (PARTITION BY treatment, factual) - 1) / 2 AS r FROM wr)
+    f"""WITH {_STRATA}, r AS (SELECT treatment, visit, rank() OVER (PARTITION BY treatment ORDER BY factual) + (count(*) OVER (PARTITION BY treatment, factual) - 1) / 2 AS r FROM wr WHERE factual IS NOT NULL)
 SELECT treatment, round((sum(r) FILTER (WHERE visit = 1) - sum(visit) * (sum(visit) + 1) / 2) / (sum(visit) * (count(*) - sum(visit))), 9) AS roc_auc FROM r GROUP BY treatment"""
 )
 def roc_auc(spark, sf_dir):
@@ -543,7 +543,7 @@ def roc_auc(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_STRATA}, s AS (SELECT treatment, factual, count(*) AS n, sum(visit) AS y FROM wr GROUP BY ALL),
+    f"""WITH {_STRATA}, s AS (SELECT treatment, factual, count(*) AS n, sum(visit) AS y FROM wr WHERE factual IS NOT NULL GROUP BY ALL),
 c AS (SELECT treatment, y, sum(n) OVER w AS cn, sum(y) OVER w AS cy, sum(y) OVER (PARTITION BY treatment) AS t FROM s WINDOW w AS (PARTITION BY treatment ORDER BY factual DESC))
 SELECT treatment, round(sum(y / t * cy / cn), 9) AS average_precision FROM c GROUP BY treatment"""
 )

@@ -12,7 +12,7 @@ def arm_counters(events: DataFrame, *, window: str = "1 day", late: str = "1 day
     """Rows, clicks and purchases per time window and arm; works on batches and streams."""
     rows = events.select("ts", "event_type", F.expr(ARM).alias("treatment"))
     if events.isStreaming:
-        rows = rows.withWatermark("ts", late)
+        rows = rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy(F.window("ts", window).alias("w"), "treatment").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "purchase").alias("purchases")
     ).select(F.col("w.start").alias("window_start"), "treatment", "rows", "clicks", "purchases")
