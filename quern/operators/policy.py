@@ -46,8 +46,9 @@ def pairwise_differences(metrics: DataFrame, models: list[str] = UPLIFT_MODELS)
     """Differences in AUUC and Qini of each later model and each earlier one (a few rows)."""
     place = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model_name"))
     ranked = metrics.where(F.col("model_name").isin(models)).withColumn("place", place)
-    a, b = ranked.alias("a"), ranked.alias("b")
-    return a.join(b, (F.col("a.endpoint_gain") == F.col("b.endpoint_gain")) & (F.col("a.place") > F.col("b.place"))).select(
+    earlier = F.explode(F.sequence(F.lit(1), F.lit(len(models))))
+    a, b = ranked.select("*", earlier.alias("before")).alias("a"), ranked.alias("b")
+    return a.join(b, (F.col("a.before") == F.col("b.place")) & (F.col("a.place") > F.col("b.place"))).select(
         F.col("a.model_name").alias("later_model"),
         F.col("b.model_name").alias("earlier_model"),
         (F.col("a.auuc") - F.col("b.auuc")).alias("auuc_difference"),
