@@ -27,26 +27,20 @@ GRAM = 5
 ROWS_PER_BUCKET = 500
 ROWS_PER_PARTITION = 2000
 MOST_BUCKETS = 4096
-EMPTY = "0000"
 
 
 def terms(text: Column) -> Column:
     """Hashes of the word 5-grams; of the whole word sequence if it is shorter, and none without words."""
-    words = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(_grams(words))
+    for blank in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    words = F.array_remove(F.split(F.lower(text), " "), "")
 
+    def grams(w: Column) -> Column:
+        hashes = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, GRAM)]))  # nulls hash to nothing
+        return F.slice(hashes, 1, F.greatest(F.size(w) - (GRAM - 1), F.lit(1)))
 
-def _grams(words: Column) -> Column:
     # the words are bound once, as the only element of an array that is mapped over
-    return F.flatten(
-        F.transform(
-            F.array(words),
-            lambda w: F.when(
-                F.size(w) > 0,
-                F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (GRAM - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, GRAM))),
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
-    )
+    return F.flatten(F.transform(F.array(words), grams))
 
 
 def _uniform(bits: Column, shift: int) -> Column:
@@ -67,32 +61,27 @@ def sample(term: Column, weights: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def slot_strings(grouped: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """Rows of (keys, slot, names: least ln a) to one row per keys, with a string of 4 hex digits per slot."""
-    out = grouped.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(*names)))).alias("slots"))
-    digits = lambda v: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(v), F.lit(65535)) + 1)), 4, "0")
-
-    def joined(name: str) -> Column:
-        def of_slot(s: Column) -> Column:
-            v = F.try_element_at("slots", s)[name]
-            return F.when(v.isNotNull(), digits(v)).otherwise(F.lit(EMPTY))
+def slots(grouped: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Rows of (keys, slot, names: least ln a) to one row per keys, with a sorted list of slot * 2^16 + digest for each name."""
+    digest = lambda v: F.shiftleft(F.col("slot"), 16) + F.pmod(F.xxhash64(v), F.lit(1 << 16)).cast("int")
+    packed = grouped.select(*keys, *[F.when(F.col(n).isNotNull(), digest(n)).alias(n) for n in names])
+    return packed.groupBy(*keys).agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in names])
 
-        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), of_slot), "").alias(name)
 
-    return out.select(*keys, *map(joined, names))
+def as_text(samples: Column) -> Column:
+    """Six hexadecimal digits per filled slot."""
+    return F.array_join(F.transform(samples, lambda x: F.lpad(F.lower(F.hex(x)), 6, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples among the slots that either fingerprint fills; 1 if both are empty."""
-    at = F.sequence(F.lit(0), F.lit(SLOTS - 1))
-    own = lambda s, i: F.substr(s, i * 4 + 1, F.lit(4))
-    either = F.size(F.filter(at, lambda i: (own(a, i) != EMPTY) | (own(b, i) != EMPTY)))
-    equal = F.size(F.filter(at, lambda i: (own(a, i) == own(b, i)) & (own(a, i) != EMPTY)))
-    return F.when(a == b, F.lit(1.0)).otherwise(equal / F.greatest(either, F.lit(1)))
+    """Share of equal samples among the slots that either list fills; 1 if both are empty."""
+    filled = lambda x: F.transform(x, lambda v: F.shiftright(v, 16))
+    either = F.size(F.array_union(filled(a), filled(b)))
+    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(either, F.lit(1)))
 
 
 def fingerprint(docs: DataFrame, text_cols: dict[str, str], keys: list[str]) -> DataFrame:
-    """One row per ``keys`` (which must tell rows apart) with a fingerprint of each text column.
+    """One row per ``keys`` (which must tell rows apart) with the samples of each text column (see ``slots``).
 
     ``text_cols`` maps names to text columns.  If ``docs`` is already dealt by some of the keys,
     nothing is shuffled.
@@ -112,7 +101,7 @@ def fingerprint(docs: DataFrame, text_cols: dict[str, str], keys: list[str]) ->
     columns = sample(F.col("term"), {n: F.col(f"w_{n}") for n in names})
     drawn = counted.select("*", columns["draw"].alias("draw"), F.pmod(F.xxhash64("term", F.lit(4)), F.lit(SLOTS)).cast("int").alias("slot"))
     least = drawn.select(*keys, "slot", *[columns[n].alias(n) for n in names]).groupBy(*keys, F.coalesce("slot", F.lit(-1)).alias("slot")).agg(*[F.min(n).alias(n) for n in names])
-    return slot_strings(least, keys, names)
+    return slots(least, keys, names)
 
 
 def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
@@ -185,8 +174,8 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        as_text(F.col("fingerprint")).alias("fingerprint"),
+        as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
     )

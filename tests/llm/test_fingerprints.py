@@ -72,7 +72,7 @@ def test_edge_cases(spark):
     got = sorted(fp.edited_fingerprints(spark.createDataFrame(rows, schema)).collect(), key=lambda r: r.doc_id)
     check(got, [(r[0], r[1]) for r in rows])
     by_id = {r.doc_id: r for r in got}
-    assert by_id[3].fingerprint == by_id[4].fingerprint == by_id[5].fingerprint == fp.EMPTY * fp.SLOTS
+    assert by_id[3].fingerprint == by_id[4].fingerprint == by_id[5].fingerprint == ""
     assert by_id[3].near_next == by_id[4].near_next == 1.0 and by_id[5].near_next == 0.0
     repeated = rows + [(6, "one", "x", 2), (None, "no id", None, None), (None, "no id", None, None)]
     assert fp.edited_fingerprints(spark.createDataFrame(repeated, schema)).count() == len(repeated)
