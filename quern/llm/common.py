@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """``df``, to be handed to Python in batches of at most ``rows`` rows: whole texts may be long.
+
+    The limit is a setting of the session, read when a job runs; it is lowered, never raised.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name, "10000"))
+    if now > rows or now <= 0:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
+def with_text(docs: DataFrame, keep: list[str], text_col: str):
+    """(rows for Python, schema of ``keep``, function from a batch to its texts); a text that is kept isn't sent twice.
+
+    ``text_col`` may be a field, as in ``d.text``, of a kept struct ``d``.
+    """
+    outer, _, inner = text_col.partition(".")
+    if outer in keep:
+        rows, at = docs.select(*keep), keep.index(outer)
+        read = (lambda b: b.column(at).field(inner)) if inner else (lambda b: b.column(at))
+    else:
+        rows = docs.select(*keep, F.col(text_col).alias("text_for_python"))
+        read = lambda b: b.column(len(keep))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
+    return small_batches(rows), schema, read
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
 

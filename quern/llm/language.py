@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import small_batches, table, with_text
 from quern.llm.quality import fold
 
 DIMENSION = 1024
@@ -122,10 +122,10 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def bounded(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str | None]]]:
+def bounded(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """(first row, texts) of at most about ``BATCH_CHARS`` characters each."""
     texts, first, size = [], 0, 0
-    for i, t in enumerate(batch.column(column)):
+    for i, t in enumerate(column):
         texts.append(t.as_py())
         size += len(texts[-1] or "") + 32
         if size >= BATCH_CHARS:
@@ -160,7 +160,7 @@ def fit_languages(
         own, sums = space(dimension), {}
         for b in batches:
             names = b.column(0).to_pylist()
-            for first, texts in bounded(b, 1):
+            for first, texts in bounded(b.column(1)):
                 for name, row in zip(names[first:], unit(own.bundles(texts))):
                     sums[name] = sums.get(name, 0) + row.astype(np.float64)
         if sums:
@@ -168,7 +168,7 @@ def fit_languages(
                 [pa.array(list(sums)), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"]
             )
 
-    partial = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(run, "lang string, v array<double>")
+    partial = small_batches(picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))).mapInArrow(run, "lang string, v array<double>")
     cells = partial.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = cells.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
     found = {r.lang: unit(np.round(np.array([c.x for c in r.v]), 6)) for r in rows}
@@ -185,14 +185,14 @@ def identify(
     """
     names = list(prototypes)
     matrix = np.stack(list(prototypes.values())).astype(np.float32) if names else np.zeros((0, DIMENSION), np.float32)
-    chosen = docs.select(*keep, F.col(text_col).alias("text_of_row"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + ["lang_pred string", "score double"])
+    chosen, kept, texts_of = with_text(docs, keep, text_col)
+    schema = f"{kept}, lang_pred string, score double"
 
     def run(batches):
         own = space(matrix.shape[1])
         for b in batches:
             predicted, scores = [], []
-            for _, texts in bounded(b, len(keep)):
+            for _, texts in bounded(texts_of(b)):
                 vectors = unit(own.bundles(texts))
                 cosines = vectors @ matrix.T
                 for v, c in zip(vectors, cosines):

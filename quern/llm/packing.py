@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe
-from quern.llm.common import table
+from quern.llm.common import small_batches, table
 from quern.llm.token_files import text_batches
 
 WINDOW = 2048
@@ -167,7 +167,7 @@ def pack(
             yield pieces(ids, rows, serial)[0]
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, PIECE_SCHEMA)
+    return small_batches(chosen).mapInArrow(run, PIECE_SCHEMA)
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

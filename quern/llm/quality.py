@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table
+from quern.llm.common import table, with_text
 
 MAX_FIT_ROWS = 10_000
 THRESHOLD = 0.3
@@ -75,12 +75,12 @@ def statistics(text: str | None) -> tuple[float, ...]:
 def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every row and its statistics as ``s_...`` columns."""
     names = [f"s_{n}" for n in STATISTICS]
-    chosen = docs.select(*keep, F.col(text_col).alias("s_text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]] + [f"{n} double" for n in names])
+    chosen, kept, texts = with_text(docs, keep, text_col)
+    schema = ", ".join([kept, *[f"{n} double" for n in names]])
 
     def run(batches):
         for b in batches:
-            found = np.array([statistics(t.as_py()) for t in b.column(len(keep))], np.float64).reshape(-1, len(names))
+            found = np.array([statistics(t.as_py()) for t in texts(b)], np.float64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in range(len(keep))] + [pa.array(found[:, i]) for i in range(len(names))], names=[*keep, *names]
             )
@@ -229,11 +229,15 @@ def fit_quality(
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
     if usable is not None:
         known = known.where(usable)
+    known = known.groupBy("doc_id").agg(F.min("label").alias("label"))  # of contradicting labels the lower one
     share = min(1.0, max_rows / max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < int(share * (1 << 30)))
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by max_rows
-    data = with_statistics(rows, "text", ["doc_id", "label"]).toPandas().sort_values(["doc_id", "label"], kind="stable")
-    x = data[[f"s_{n}" for n in STATISTICS]].to_numpy(np.float64)
+    columns = [f"s_{n}" for n in STATISTICS]
+    # one row per labelled id, however often a table repeats it, so that the bound holds
+    one = with_statistics(rows, "text", ["doc_id", "label"]).groupBy("doc_id").agg(F.min(F.struct("label", *columns)).alias("r"))
+    data = one.select("doc_id", "r.*").toPandas()
+    x = data[columns].to_numpy(np.float64)
     order = np.lexsort((*x.T, data["label"], data["doc_id"]))
     return fit_rules(x[order], (data["label"].to_numpy() > 0)[order])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import table, written
+from quern.llm.common import small_batches, table, written
 from quern.llm.components import components
 
 BLOCK = 4096
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, fp long")
+    return small_batches(chosen).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def segments(radius: int, count: int) -> list[tuple[int, int, int]]:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe
-from quern.llm.common import scratch_path, table
+from quern.llm.common import scratch_path, small_batches, table
 
 BATCH_CHARS = 1 << 21
 FILE_SCHEMA = "doc_id long, part int, part_start long, n_tokens int, tokens array<int>"
 
 
-def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+def text_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_CHARS) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of bounded size from (id, text) batches; null texts become empty."""
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -35,7 +35,7 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list
             ids.append(key)
             texts.append(text)
             size += len(text) + 64
-            if size >= BATCH_CHARS:
+            if size >= limit:
                 yield ids, texts
                 ids, texts, size = [], [], 0
     if ids:
@@ -97,7 +97,7 @@ def write_token_files(
         .sortWithinPartitions("doc_id", "row")
     )
     (
-        ordered.select("doc_id", "text")
+        small_batches(ordered.select("doc_id", "text"))
         .mapInArrow(encode, FILE_SCHEMA)
         .write.option("compression", "zstd")
         .option("parquet.writer.version", "PARQUET_2_0")
@@ -153,7 +153,7 @@ def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
             )
 
     rows = read_token_files(spark, path, columns=["doc_id", "part", "part_start", "tokens"])
-    read = rows.mapInArrow(digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
+    read = small_batches(rows).mapInArrow(digest, "doc_id long, part int, part_start long, n_tokens long, ids_crc32 long")
     from quern.llm.common import written
 
     return document_starts(written(read, "token-digests")).select("doc_id", "start", "n_tokens", "ids_crc32")
