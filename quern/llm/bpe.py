@@ -1,21 +1,24 @@
-"""Byte-level BPE ids through the ``tokenizers`` library, with a bounded memo of pre-tokens.
+"""Byte-level BPE ids through the ``tokenizers`` library, with a bounded memo.
 
-The memo holds the library's own ids of each pre-token, so a frequent word is encoded once per
-worker.  Texts with characters beyond Latin script, whose classes may differ between Unicode
-tables, go to the library as a whole.
+Byte-level pre-tokenisation never joins characters across a single blank or line end between two
+non-space characters, nor a letter with ASCII punctuation that ends a piece, so a text may be cut
+there.  The memo holds the library's ids of the pieces seen lately; the new pieces of a batch are
+encoded in one call, as one text, and told apart by the byte lengths of their tokens.  Texts with
+other white space, and tokenizers of any other kind, get whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from itertools import chain
+import string
+from itertools import filterfalse, islice
 
 import numpy as np
 
-MEMO_WORDS = 250_000
+MEMO_PIECES = 150_000
 
-_LATIN_ONLY = re.compile("[^\x00-ɏ]")
+_PUNCTUATION = string.punctuation
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -25,61 +28,112 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_level(spec: dict) -> bool:
+    pre = spec.get("pre_tokenizer") or {}
+    return (
+        spec.get("normalizer") is None
+        and pre.get("type") == "ByteLevel"
+        and not pre.get("add_prefix_space")
+        and pre.get("use_regex", True)
+        and all(t["special"] for t in spec.get("added_tokens", []))
+    )
+
+
 class Encoder:
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        spec = self.library.to_str()
-        self.split = None
-        if '"ByteLevel"' in spec and self._plain(spec):
-            self.split = regex.compile(
-                r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-            ).findall
-        self.memo: dict[str, list[int]] = {}
-
-    @staticmethod
-    def _plain(spec: str) -> bool:
-        """Whether the file is byte-level BPE with the standard split, no normalizer and no prefix space."""
-        import json
-
-        parts = json.loads(spec)
-        pre = parts.get("pre_tokenizer") or {}
-        return (
-            parts.get("normalizer") is None
-            and pre.get("type") == "ByteLevel"
-            and not pre.get("add_prefix_space")
-            and pre.get("use_regex", True)
-        )
+        self.cut = _byte_level(json.loads(self.library.to_str()))
+        if self.cut:
+            vocabulary = self.library.get_vocab()
+            self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            for token, i in vocabulary.items():
+                self.bytes_of[i] = len(token)
+        #: ids, as bytes, of " " + piece, or of the piece if it begins with a line end; two generations
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32).tobytes() for e in found]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Fills the memo for ``pieces``; closing punctuation is looked up apart from the word before it."""
+        if len(self.memo) > MEMO_PIECES:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        joined, new, tails = [], set(), set()
+        for piece in set(filterfalse(memo.__contains__, pieces)):
+            if piece in older:
+                memo[piece] = older[piece]
+                continue
+            word = piece.rstrip(_PUNCTUATION)
+            if len(word) < len(piece) and word and word[-1] < "\u0250" and word[-1].isalpha():
+                joined.append((piece, word, piece[len(word) :]))
+                tails.add(piece[len(word) :])
+                if word in memo:
+                    continue
+                if word in older:
+                    memo[word] = older[word]
+                    continue
+                new.add(word)
+            else:
+                new.add(piece)
+        if new:
+            self._encode_pieces(list(new))
+        fresh = list(tails.difference(self.tails))
+        self.tails.update(zip(fresh, self._library(fresh)))
+        for piece, word, tail in joined:
+            memo[piece] = memo[word] + self.tails[tail]
+        if len(self.tails) > MEMO_PIECES:
+            self.tails.clear()
+
+    def _encode_pieces(self, new: list[str]) -> None:
+        """One call for all: tokens don't cross the cuts before pieces, so byte lengths tell them apart."""
+        text = "".join([p if p[0] == "\n" else " " + p for p in new])
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        token_ends = np.cumsum(self.bytes_of[ids])
+        piece_ends = np.cumsum([len(p if p.isascii() else p.encode()) + (p[0] != "\n") for p in new])
+        at = np.searchsorted(token_ends, piece_ends)
+        if at[-1] >= len(ids) or not np.array_equal(token_ends[at], piece_ends):
+            raise ValueError("tokens cross a cut between pieces")
+        raw, begin = ids.tobytes(), 0
+        for piece, end in zip(new, ((at + 1) * 4).tolist()):
+            self.memo[piece] = raw[begin:end]
+            begin = end
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as an unsigned 32-bit array, without special tokens."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        words: list[list[str] | None] = [None] * len(texts)
-        whole: list[int] = []
+        out: list[bytes] = [b""] * len(texts)
+        tight, counts, loose = [], [], []
         for i, text in enumerate(texts):
-            if self.split is None or _LATIN_ONLY.search(text):
-                whole.append(i)
+            n = text.count(" ") + text.count("\n") + 1
+            # equal only if all white space is single blanks or line ends between other characters
+            if self.cut and len(text.split()) == n:
+                tight.append(i)
+                counts.append(n)
             else:
-                words[i] = self.split(text)
-        if whole:
-            found = self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
-            for i, e in zip(whole, found):
-                out[i] = np.array(e.ids, dtype=np.uint32)
-        for i, own in enumerate(words):
-            if own is None:
-                continue
-            memo = self.memo
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            new = list(set(own).difference(memo))
-            if new:
-                memo.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
-            out[i] = np.fromiter(chain.from_iterable(map(memo.__getitem__, own)), dtype=np.uint32)
-        return out
+                loose.append(i)
+        for i, raw in zip(loose, self._library([texts[i] for i in loose])):
+            out[i] = raw
+        if tight:
+            # a first piece has nothing before it; a line end stands before the piece that it begins
+            flat = "\n".join([texts[i] for i in tight]).replace("\n", " \n").split(" ")
+            begins = np.concatenate(([0], np.cumsum(counts)[:-1])).tolist()
+            firsts = [flat[b].removeprefix("\n") for b in begins]
+            first_ids = self._library(firsts)
+            for b in begins:
+                flat[b] = flat[b - 1] if b else flat[-1]
+            self._learn(flat)
+            found = map(self.memo.__getitem__, flat)
+            for i, n, first in zip(tight, counts, first_ids):
+                next(found)
+                out[i] = b"".join((first, *islice(found, n - 1)))
+        return [np.frombuffer(x, np.uint32) for x in out]
 
 
 def encoder(path: str) -> Encoder:
