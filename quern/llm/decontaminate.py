@@ -31,18 +31,31 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
 
 
+def _parts(mask: str) -> list[tuple[str, int]]:
+    """The positions that count, as hashed neighbours (``p``) where two are next to each other, else as words (``h``)."""
+    parts, i = [], 0
+    while i < len(mask):
+        pair = mask[i : i + 2] == "11"
+        if mask[i] == "1":
+            parts.append(("p" if pair else "h", i))
+        i += 2 if pair else 1
+    return parts
+
+
 def _seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seed, at): the hash under each mask at each word position ``at`` of ``h``."""
+    """(keys, seed, at): the hash under each mask at each word position ``at`` of ``h``.
+
+    Masks share the hashes of neighbouring words, which are made once; seeds of different masks that
+    happen to be equal are candidates like any others.
+    """
     places = F.size("h") - F.lit(SPAN - 1)
 
-    def under(m: int, mask: str) -> Column:
-        cares = [i for i, c in enumerate(mask) if c == "1"]
-        return F.transform(
-            F.sequence(F.lit(1), places), lambda i: F.xxhash64(F.lit(m), *[F.element_at("h", i + c) for c in cares])
-        )
+    def under(mask: str) -> Column:
+        return F.transform(F.sequence(F.lit(1), places), lambda i: F.xxhash64(*[F.element_at(c, i + k) for c, k in _parts(mask)]))
 
-    enough = rows.where(places > 0).withColumn("places", places)
-    all_seeds = F.concat(*[under(m, mask) for m, mask in enumerate(MASKS)])
+    pairs = F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
+    enough = rows.where(places > 0).withColumn("places", places).withColumn("p", pairs)
+    all_seeds = F.concat(*[under(mask) for mask in MASKS])
     return enough.select(*keys, "places", F.posexplode(all_seeds).alias("at", "seed")).select(*keys, "seed", (F.col("at") % F.col("places")).cast("int").alias("at"))
 
 
