@@ -164,7 +164,7 @@ def near_links(nodes: DataFrame, *, radius: int = 4, count: int = 3) -> DataFram
     )
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
     dealt = (
-        entries.join(sizes, "key")
+        entries.join(sizes.hint("merge"), "key")  # sizes grow with the corpus: never broadcast
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
