@@ -112,8 +112,9 @@ class Encoder:
         tight, counts, loose = [], [], []
         for i, text in enumerate(texts):
             n = text.count(" ") + text.count("\n") + 1
-            # equal only if all white space is single blanks or line ends between other characters
-            if self.cut and len(text.split()) == n:
+            words = text.split() if self.cut else []
+            # the counts are equal only if no other white space makes up for a missing gap; the lengths, only if all gaps are single
+            if len(words) == n and len(" ".join(words)) == len(text):
                 tight.append(i)
                 counts.append(n)
             else:

@@ -38,6 +38,20 @@ def test_memo_equals_library(spark, sf_dir, plain):
     assert [x.tolist() for x in bpe.encoder(bpe.default_path())(texts)] == [plain(t) for t in texts]
 
 
+def test_mixed_white_space_equals_library(plain):
+    rng = random.Random(3)
+    texts = ["a\tb c  d", "a\tb c d ", "a\u00a0b c  d", "a\x0bb\n\nc", " \ta b", "a\tb c\n\n\nd", "a\x1cb  c", "\u3000", " ", "\n"]
+    gaps = [" ", " ", " ", "\n", "\n", "  ", "\n\n", " \n", "\t", "\r\n", "\u00a0", "\x0b", "\x1f", "\x85", "\u2003", "\u2028"]
+    for _ in range(600):
+        words = [rng.choice(["a", "it's", "word,", "漢字", "7", "(x)"]) for _ in range(rng.randrange(1, 7))]
+        texts.append("".join(w + rng.choice(gaps) for w in words).removesuffix(" "))
+    # alone, so that one text can't hide in the batch of another, and all together
+    own = bpe.Encoder(bpe.default_path())
+    want = [plain(t) for t in texts]
+    assert [own([t])[0].tolist() for t in texts] == want
+    assert [x.tolist() for x in own(texts)] == want
+
+
 def expected_token_rows(rows, plain):
     out, start = [], 0
     for key, text in rows:
