@@ -7,9 +7,11 @@ Gamma(2, 1) and b is uniform, all drawn from the term's hash.  A term of weight
 
 and the term of least ``a`` is the sample: it is the same in two texts with a probability that equals
 their generalised Jaccard similarity (sum of lesser over sum of greater weights).  As ``a`` fixes the
-term and its t, equal samples are equal numbers.  Terms are dealt by hash to ``SLOTS`` strata, each
-with a sample of its own, so every term is drawn for once; the share of equal samples among strata
-that either text fills estimates the similarity.
+term and its t, equal samples are equal numbers.  There are ``SLOTS`` strata, each with a sample of its
+own.  A term's occurrences are dealt to the strata in turn, from one that its hash gives, so a heavy
+term weighs on all strata, strata carry equal weight, and a term that occurs once is drawn for once;
+of two texts, the one with more occurrences of a term has all strata's weights of the other.  The share
+of equal samples among strata that either text fills estimates the similarity.
 
 Only DataFrame functions are used.  Texts are shuffled once, to be next to their successor, and all
 that follows happens where they are.
@@ -98,8 +100,16 @@ def fingerprint(docs: DataFrame, text_cols: dict[str, str], keys: list[str]) ->
     counted = exploded.groupBy(*keys, F.shiftrightunsigned("tagged", 1).alias("term")).agg(
         *[F.count_if(F.col("tagged").bitwiseAND(F.lit(1)) == i).alias(f"w_{n}") for i, n in enumerate(names)]
     )
+    # occurrence k falls to stratum k mod SLOTS after the term's first; each stratum has a draw of its own
+    turns = F.least(F.greatest(F.lit(1), *[F.col(f"w_{n}") for n in names]), F.lit(SLOTS)).cast("int")
+    dealt = counted.select("*", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn")).select(
+        *keys,
+        F.when(F.col("turn") == 0, F.col("term")).otherwise(F.xxhash64("term", F.lit(5), "turn")).alias("term"),
+        F.pmod(F.xxhash64("term", F.lit(4)) + F.col("turn"), F.lit(SLOTS)).cast("int").alias("slot"),
+        *[F.floor((F.col(f"w_{n}") - F.col("turn") + (SLOTS - 1)) / SLOTS).alias(f"w_{n}") for n in names],
+    )
     columns = sample(F.col("term"), {n: F.col(f"w_{n}") for n in names})
-    drawn = counted.select("*", columns["draw"].alias("draw"), F.pmod(F.xxhash64("term", F.lit(4)), F.lit(SLOTS)).cast("int").alias("slot"))
+    drawn = dealt.select("*", columns["draw"].alias("draw"))
     least = drawn.select(*keys, "slot", *[columns[n].alias(n) for n in names]).groupBy(*keys, F.coalesce("slot", F.lit(-1)).alias("slot")).agg(*[F.min(n).alias(n) for n in names])
     return slots(least, keys, names)
 

@@ -56,6 +56,22 @@ def test_weights_count(spark):
     assert abs(statistics.mean(a - b for a, b in pairs)) < 0.05
 
 
+def test_heavy_terms_weigh_on_all_strata(spark):
+    """Texts dominated by a repeated line: likeness is the generalised Jaccard similarity of the whole texts."""
+    rows = []
+    for i in range(60):
+        rare = " ".join(f"r{i}x{j}" for j in range(104))
+        for times in (200, 0, 120, 3000):
+            line = f"buy{i} one{i} get{i} one{i}x free{i} " * times
+            rows.append((len(rows), line + rare))
+    texts = dict(rows)
+    got = {r.doc_id: r for r in fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(4):
+        pairs = [(got[i].near_next, jaccard(texts[i], texts[(i + 1) % len(texts)])) for i in range(k, len(texts), 4)]
+        errors = [a - b for a, b in pairs]
+        assert abs(statistics.mean(errors)) < 0.02 and statistics.pstdev(errors) < 0.06
+
+
 def test_buckets_join_up(spark, monkeypatch):
     monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 7)
     docs = [(i * i * 10**9, f"text number {i} of the list with a few more words {i * 7}") for i in range(100)]
