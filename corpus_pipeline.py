@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five written stages.
 
 1. quality: documents that the rule ensemble scores below 0.3 go.
-2. language: documents without a letter, or whose cosine with every language prototype is not above 0, go.
+2. language: documents without a letter, or whose cosine with every language prototype is not above that of noise
+   (0.15; 0 for documents of fewer than 30 letters, which can't be told from noise), go.
 3. near_dedup: of documents linked by SimHash (5-word shingles, 6 bits), that with the least id stays.
 4. decontaminate: documents that overlap a benchmark item go.
 5. packing: what is left becomes sequences of at most 2048 tokens.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import scratch_path, table, written
 from quern.llm.decontaminate import decontaminated
-from quern.llm.language import LEAST_SCORE, UNDETERMINED, fit_languages, identify
+from quern.llm.language import FEW_LETTERS, LEAST_SCORE, NOISE_SCORE, UNDETERMINED, fit_languages, identify
 from quern.llm.packing import pack
 from quern.llm.quality import THRESHOLD, fit_quality, score_quality
 from quern.llm.simhash import near_duplicates
@@ -36,7 +37,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prototypes = fit_languages(docs)
     found = identify(docs.select(F.struct("*").alias("d")), prototypes, ["d"], text_col="d.text")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") > LEAST_SCORE)).select("d.*")
+    few = F.length(F.regexp_replace("d.text", r"[^\p{L}]+", "")) < FEW_LETTERS
+    known = (F.col("score") > NOISE_SCORE) | ((F.col("score") > LEAST_SCORE) & few)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & known).select("d.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

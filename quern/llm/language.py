@@ -28,6 +28,10 @@ CACHE_ROWS = 24_576
 BATCH_CHARS = 400_000
 #: a cosine of no more than this is no evidence of any learned language
 LEAST_SCORE = 0.0
+#: about five times 1 / sqrt(DIMENSION), the spread of the cosine of noise and a prototype, as the best of several is taken
+NOISE_SCORE = 0.15
+#: below this many letters, clean texts too may have cosines like noise
+FEW_LETTERS = 30
 
 
 class Space:

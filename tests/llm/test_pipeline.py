@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline as cp
@@ -61,5 +62,17 @@ def test_odd_rows(spark, sf_dir):
             assert rows_of(out) == sorted([(r[0], r[1]) for r in rows if r[1]], key=str)
 
 
+def test_language_rejects_what_it_never_learned(spark):
+    sf, rng = "/root/testdata/sf0.01", random.Random(4)
+    docs = table(spark, sf, "documents")
+    alphabets = ["bcdfghjklmnpqrstvwxz"] + ["".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x5200), (0x627, 0x64A))]
+    noise = [" ".join("".join(rng.choices(a, k=rng.randrange(3, 9))) for _ in range(n)) for a in alphabets for n in (12, 40, 200) for _ in range(20)]
+    rows = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    kept = {r.doc_id for r in cp.language(spark, docs.unionByName(rows, allowMissingColumns=True), sf).select("doc_id").collect()}
+    assert not [noise[-1 - d] for d in kept if d < 0]
+    clean = {r.doc_id for r in table(spark, sf, "labels").where("quality = 1").collect()} & {r.doc_id for r in docs.collect()}
+    assert len(clean) > 100 and clean <= kept
+
+
 def test_run(spark, sf_dir):
     assert cp.run(spark, sf_dir).count() > 0
