@@ -3,13 +3,15 @@
 A text is brought to a canonical form (case, punctuation, white space, copyright lines and
 equivalent spellings) and the SHA-256 of that form is looked up among the digests of known licences
 with a hash join.  The same lookup of each line against known one-line notices tells which licences
-a text names.  The known digests are a constant of this module, so their broadcast is bounded.
+a text names.  The known digests are a constant of this module and what the caller
+adds, so their broadcast is bounded.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,9 +151,11 @@ def known_digests() -> list[tuple[str, str, bool]]:
     return sorted(found)
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """One row per row of ``docs``: id, digest of the canonical text, licence and notices.
 
+    ``texts`` are (licence, whole text) of licences to know besides ``LICENSE_TEXTS``.
+
     ``license_id`` is the licence that the whole text is (null if none), ``notices`` the licences that
     whole lines name, sorted and joined by ``|``, and ``notice_lines`` the number of such lines.
 
@@ -159,7 +163,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     other columns are ignored; an empty input gives no rows.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(known_digests(), "digest string, name string, whole boolean")
+    more = {(plain_digest(text), name, True) for name, text in texts}
+    known = spark.createDataFrame(sorted(more.union(known_digests())), "digest string, name string, whole boolean")
     lines = F.filter(F.transform(F.split("canonical", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     rows = (
         docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), canonical_lines(F.col(text_col)).alias("canonical"))

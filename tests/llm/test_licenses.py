@@ -40,3 +40,12 @@ def test_columns_equal_plain_python(spark, sf_dir):
     texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
     for r in licenses.op1_licenses(spark, sf_dir).collect():
         assert r.text_digest == licenses.plain_digest(texts[r.doc_id])
+
+
+def test_full_texts_of_the_caller(spark):
+    """Whole texts that aren't among the constants, with other case, line ends and a copyright line of their own."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(name, open(f"/usr/share/common-licenses/{file}", encoding="utf-8").read()) for name, file in names.items()]
+    rows = [(i, "Copyright (c) 2020 Someone\n" + t.upper().replace("\n", "\r\n")) for i, (_, t) in enumerate(texts)] + [(9, texts[0][1] + " and more")]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), texts=texts).collect()
+    assert {r.doc_id: r.license_id for r in found} == dict(enumerate(names)) | {9: None}
