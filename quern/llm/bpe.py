@@ -1,9 +1,9 @@
 """Byte-level BPE ids through the ``tokenizers`` library, with a bounded memo.
 
 Byte-level pre-tokenisation never joins characters across a single blank or line end between two
-non-space characters, nor a letter with ASCII punctuation that ends a piece, so a text may be cut
-there.  The memo holds the library's ids of the pieces seen lately; the new pieces of a batch are
-encoded in one call, as one text, and told apart by the byte lengths of their tokens.  Texts with
+non-space characters, nor a letter with ASCII punctuation up to the next blank, so a text may be cut
+there.  The memo holds the library's ids of up to ``MEMO_PIECES`` pieces seen lately; the new pieces of a
+batch are encoded in one call, as one text, and told apart by the byte lengths of their tokens.  Texts with
 other white space, and tokenizers of any other kind, get whole texts.
 """
 
@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import json
 import os
-import string
-from itertools import filterfalse, islice
+from itertools import filterfalse
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-MEMO_PIECES = 150_000
+MEMO_PIECES = 400_000
 
-_PUNCTUATION = string.punctuation
+_CUT = "\x01"
+#: closing punctuation between a letter and a blank is a piece of its own, marked as one without a blank before it
+_CLOSING = r"(\p{L})([!-/:-@\[-`{-~]+)( |$)"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -52,89 +55,121 @@ class Encoder:
             self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
             for token, i in vocabulary.items():
                 self.bytes_of[i] = len(token)
-        #: ids, as bytes, of " " + piece, or of the piece if it begins with a line end; two generations
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty memo: row of " " + piece (of the piece itself if it begins with a line end) in a table of id lists."""
+        self.memo: dict[str, int] = {}
+        self.lists = Lists()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32).tobytes() for e in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Fills the memo for ``pieces``; closing punctuation is looked up apart from the word before it."""
+    def _rows(self, pieces: list[str]) -> np.ndarray:
+        """Rows of distinct pieces in ``lists``; unknown ones are encoded first."""
         if len(self.memo) > MEMO_PIECES:
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        joined, new, tails = [], set(), set()
-        for piece in set(filterfalse(memo.__contains__, pieces)):
-            if piece in older:
-                memo[piece] = older[piece]
-                continue
-            word = piece.rstrip(_PUNCTUATION)
-            if len(word) < len(piece) and word and word[-1] < "\u0250" and word[-1].isalpha():
-                joined.append((piece, word, piece[len(word) :]))
-                tails.add(piece[len(word) :])
-                if word in memo:
-                    continue
-                if word in older:
-                    memo[word] = older[word]
-                    continue
-                new.add(word)
-            else:
-                new.add(piece)
+            self._forget()
+        new = list(filterfalse(self.memo.__contains__, pieces))
+        tails = [p for p in new if p[:1] == _CUT]
+        if tails:
+            new = [p for p in new if p[:1] != _CUT]
+            raws = self._library([p[1:] for p in tails])
+            self._add(tails, np.frombuffer(b"".join(raws), np.uint32), [len(r) // 4 for r in raws])
         if new:
-            self._encode_pieces(list(new))
-        fresh = list(tails.difference(self.tails))
-        self.tails.update(zip(fresh, self._library(fresh)))
-        for piece, word, tail in joined:
-            memo[piece] = memo[word] + self.tails[tail]
-        if len(self.tails) > MEMO_PIECES:
-            self.tails.clear()
+            self._encode_pieces(new)
+        return np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes) -> None:
+        first = self.lists.add(ids, sizes)
+        self.memo.update(zip(pieces, range(first, first + len(pieces))))
 
     def _encode_pieces(self, new: list[str]) -> None:
         """One call for all: tokens don't cross the cuts before pieces, so byte lengths tell them apart."""
-        text = "".join([p if p[0] == "\n" else " " + p for p in new])
+        text = f" {' '.join(new)}".replace(" \n", "\n")
         ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         token_ends = np.cumsum(self.bytes_of[ids])
-        piece_ends = np.cumsum([len(p if p.isascii() else p.encode()) + (p[0] != "\n") for p in new])
+        column = pa.array(new, pa.large_string())
+        blanks = 1 - pc.starts_with(column, "\n").to_numpy(zero_copy_only=False).astype(np.int64)
+        piece_ends = np.cumsum(pc.binary_length(column).to_numpy() + blanks)
         at = np.searchsorted(token_ends, piece_ends)
         if at[-1] >= len(ids) or not np.array_equal(token_ends[at], piece_ends):
             raise ValueError("tokens cross a cut between pieces")
-        raw, begin = ids.tobytes(), 0
-        for piece, end in zip(new, ((at + 1) * 4).tolist()):
-            self.memo[piece] = raw[begin:end]
-            begin = end
+        self._add(new, ids, np.diff(at, prepend=-1))
+
+    def _tight(self, text: str) -> bool:
+        """Whether all white space is single blanks and single line ends between words."""
+        words = text.split()
+        # the numbers are equal only if no other white space makes up for a missing gap; the lengths, only if all gaps are single
+        gaps = text.count(" ") + text.count("\n")
+        return len(words) == gaps + 1 and len(" ".join(words)) == len(text) and _CUT not in text
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text as an unsigned 32-bit array, without special tokens."""
-        out: list[bytes] = [b""] * len(texts)
-        tight, counts, loose = [], [], []
-        for i, text in enumerate(texts):
-            n = text.count(" ") + text.count("\n") + 1
-            words = text.split() if self.cut else []
-            # the counts are equal only if no other white space makes up for a missing gap; the lengths, only if all gaps are single
-            if len(words) == n and len(" ".join(words)) == len(text):
-                tight.append(i)
-                counts.append(n)
-            else:
-                loose.append(i)
+        """Ids of each text as an unsigned 32-bit array, without special tokens.
+
+        Pieces between blanks are told apart and dictionary-encoded by Arrow; only distinct pieces of
+        the batch are looked up, and all ids are gathered in one step.
+        """
+        out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+        tight = [i for i, t in enumerate(texts) if t and self._tight(t)] if self.cut else []
+        inside = set(tight)
+        loose = [i for i, t in enumerate(texts) if t and i not in inside]
         for i, raw in zip(loose, self._library([texts[i] for i in loose])):
-            out[i] = raw
+            out[i] = np.frombuffer(raw, np.uint32)
         if tight:
-            # a first piece has nothing before it; a line end stands before the piece that it begins
-            flat = "\n".join([texts[i] for i in tight]).replace("\n", " \n").split(" ")
-            begins = np.concatenate(([0], np.cumsum(counts)[:-1])).tolist()
-            firsts = [flat[b].removeprefix("\n") for b in begins]
-            first_ids = self._library(firsts)
-            for b in begins:
-                flat[b] = flat[b - 1] if b else flat[-1]
-            self._learn(flat)
-            found = map(self.memo.__getitem__, flat)
-            for i, n, first in zip(tight, counts, first_ids):
-                next(found)
-                out[i] = b"".join((first, *islice(found, n - 1)))
-        return [np.frombuffer(x, np.uint32) for x in out]
+            # a line end stands before the piece that it begins; a first piece has nothing before it
+            column = pa.array([texts[i] for i in tight], pa.large_string())
+            marked = pc.replace_substring_regex(pc.replace_substring(column, "\n", " \n"), _CLOSING, rf"\1 {_CUT}\2\3")
+            pieces = pc.split_pattern(marked, " ")
+            offsets = pieces.offsets.to_numpy()
+            coded = pieces.values.dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            codes = coded.indices.to_numpy()
+            firsts = self._library([distinct[c] for c in codes[offsets[:-1]].tolist()])
+            rows = self._rows(distinct)[codes]
+            rows[offsets[:-1]] = self.lists.add(np.frombuffer(b"".join(firsts), np.uint32), [len(x) // 4 for x in firsts]) + np.arange(len(firsts))
+            ids, n = self.lists.gather(rows)
+            ends = np.concatenate(([0], np.cumsum(n)))[offsets[1:]].tolist()
+            self.lists.drop(len(firsts))
+            begin = 0
+            for i, end in zip(tight, ends):
+                out[i] = ids[begin:end]
+                begin = end
+        return out
+
+
+class Lists:
+    """A growing table of lists of ids, flat."""
+
+    def __init__(self):
+        self.ids, self.begin, self.size = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.rows = self.used = 0
+
+    def add(self, ids: np.ndarray, sizes) -> int:
+        """Appends lists of the given sizes, whose ids are ``ids``; returns the first one's row."""
+        sizes = np.asarray(sizes, np.int64)
+        first, rows, used = self.rows, self.rows + len(sizes), self.used + len(ids)
+        if used > len(self.ids):
+            self.ids = np.resize(self.ids, max(used, 2 * len(self.ids)))
+        if rows > len(self.size):
+            self.begin, self.size = (np.resize(x, max(rows, 2 * len(x))) for x in (self.begin, self.size))
+        self.ids[self.used : used] = ids
+        self.size[first:rows] = sizes
+        self.begin[first:rows] = self.used + np.cumsum(sizes) - sizes
+        self.rows, self.used = rows, used
+        return first
+
+    def drop(self, count: int) -> None:
+        """Forgets the last ``count`` lists."""
+        self.rows -= count
+        if count:
+            self.used = int(self.begin[self.rows])
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``rows``, one list after the other, and their sizes."""
+        n = self.size[rows]
+        shift = self.begin[rows] - (np.cumsum(n) - n)
+        return self.ids[np.repeat(shift, n) + np.arange(int(n.sum()))], n
 
 
 def encoder(path: str) -> Encoder:

@@ -160,3 +160,29 @@ def test_difference_is_near_equal():
     sums = [sum(sizes[i] for i in p) for p in parts]
     assert sorted(i for p in parts for i in p) == list(range(900))
     assert max(sums) - min(sums) < 0.35 * sum(sizes) / 300
+
+
+def test_ids_equal_the_library_on_mixed_white_space():
+    """10,000 random texts of words, closing punctuation and every mix of up to three white-space characters."""
+    import random
+
+    rng = random.Random(6)
+    words = ["a", "b", "don't", "Zeit", "été", "x1", "...", "–", "日本", "é", "they'll", "1,000", "(c)", "́", "<|endoftext|>", "ab\x01", "\x01", "ſ", "ǆ", "'s", "o'", "ok!?"]
+    closing = ["", "", "", ",", ".", "!?", "'", "'s", "…", ")"]
+    white = [" ", " ", " ", " ", "\n", "\t", " ", "\r", " ", "\x1c", "\x0b"]
+    encode = bpe.encoder(bpe.default_path())
+    texts = []
+    for i in range(10_000):
+        alphabet = white[:5] if i % 2 else white
+        parts = [rng.choice(words) + rng.choice(closing) + "".join(rng.choices(alphabet, k=rng.choice((0, 1, 1, 1, 1, 2, 3) if i % 4 < 2 else (1,)))) for _ in range(rng.randrange(0, 12))]
+        texts.append("".join(parts).strip(" ") if i % 3 else "".join(parts))
+    for text, own, raw in zip(texts, encode(texts), encode._library(texts)):
+        assert own.tobytes() == raw, repr(text)
+
+
+def test_a_full_memo_is_forgotten(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
+    encode = bpe.Encoder(bpe.default_path())
+    for k in range(4):
+        texts = [f"alpha{k} beta{k}, gamma{k}.", "beta gamma", ""]
+        assert [x.tobytes() for x in encode(texts)] == encode._library(texts)
