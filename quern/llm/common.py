@@ -62,6 +62,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: keys that are broadcast as hot, at most; any other key has at most a 10,000th of all rows
+HOT_KEYS = 10_000
+
+
+def hot_keys(found: DataFrame, key: str, *, least: int = 256) -> DataFrame | None:
+    """The keys of ``found`` (a written table of one row a key, n its number of rows elsewhere) with over ``least`` rows and over a ``HOT_KEYS``-th of all; None if there are none."""
+    total = found.agg(F.sum("n")).first()[0] or 0
+    hot = found.where(F.col("n") > max(least, total // HOT_KEYS)).select(key)
+    return None if hot.isEmpty() else hot
+
+
+def lookup_join(rows: DataFrame, found: DataFrame, key: str, *, hot: DataFrame | None, share: int = 64) -> DataFrame:
+    """``rows`` joined with ``found`` (one row a key); rows of ``hot`` keys are dealt to ``share`` tasks each.
+
+    ``hot`` (see ``hot_keys``) has at most ``HOT_KEYS`` rows and is broadcast.
+    """
+    if hot is None:
+        return rows.join(found.hint("merge"), key)
+    named = F.broadcast(hot.select(F.col(key).alias("hot_key")))
+    others = [F.col(c) for c in rows.columns]
+    turn = F.pmod(F.xxhash64(*others), F.lit(share)) if len(others) > 1 else F.floor(F.rand(1) * share)
+    turn = F.when(F.col("hot_key").isNull(), 0).otherwise(turn).cast("int")
+    left = rows.join(named, F.col(key) == F.col("hot_key"), "left").select(*rows.columns, turn.alias("turn"))
+    turns = F.when(F.col("hot_key").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(share - 1)))
+    right = found.join(named, F.col(key) == F.col("hot_key"), "left").select(*found.columns, F.explode(turns).alias("turn"))
+    return left.join(right.hint("merge"), [key, "turn"]).drop("turn")
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files behind a ``written`` table that nothing reads any more."""
     spark = df.sparkSession

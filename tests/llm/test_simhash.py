@@ -98,6 +98,86 @@ def test_near_duplicates_edge_cases(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def plain_similar(texts, k=5, least=0.8):
+    """For each text the least place of those that a Jaccard similarity of ``least`` connects it with."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root, owners = list(range(len(texts))), {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        near = {i2 for x in s for i2 in owners.get(x, ())} if s else {j for j in range(i) if not sets[j]}
+        for j in near:
+            if not s or len(s & sets[j]) >= least * len(s | sets[j]) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in s:
+            owners.setdefault(x, []).append(i)
+    return [find(i) for i in range(len(texts))]
+
+
+def near_copies(rng, bases=40, copies=6, words=120):
+    """Texts and copies of them with some words replaced, up to about a Jaccard similarity of 0.8."""
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(5000)]
+    texts = []
+    for _ in range(bases):
+        base = rng.choices(vocabulary, k=words)
+        texts.append(" ".join(base))
+        for _ in range(copies):
+            other = list(base)
+            for at in rng.sample(range(words), rng.randrange(0, 5)):
+                other[at] = rng.choice(vocabulary)
+            texts.append(" ".join(other))
+    return texts
+
+
+def test_similar_documents_find_near_copies(spark, monkeypatch):
+    texts = near_copies(random.Random(3)) + [None, "", " \n", "one two", "One two", "one three"]
+    texts += [t for t in near_copies(random.Random(4), bases=1, copies=60)]
+    want = plain_similar(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (simhash.TEXTS, 16):  # a component of many blocks has the same links
+        monkeypatch.setattr(simhash, "TEXTS", size)
+        got = dict(map(tuple, simhash.similar_documents(rows).collect()))
+        assert len(got) == len(texts)
+        linked = [i for i, r in enumerate(want) if r != i]
+        assert all(want[got[i]] == want[i] for i in got)  # nothing else is linked
+        assert sum(got[i] == want[i] for i in linked) >= 0.95 * len(linked)
+        assert [got[i] == want[i] for i in linked if plain_similar([texts[i], texts[want[i]]], least=1.0)[1] == 0].count(False) == 0
+
+
+def test_similar_documents_on_documents(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").collect()]
+    want = plain_similar([t for _, t in docs])
+    got = dict(map(tuple, simhash.similar_documents(table(spark, "/root/testdata/sf0.01", "documents")).collect()))
+    linked = [i for i, r in enumerate(want) if r != i]
+    assert all(docs[want[i]][0] <= got[d] for i, (d, _) in enumerate(docs))
+    assert sum(got[docs[i][0]] == docs[want[i]][0] for i in linked) >= 0.9 * len(linked) > 0
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_similar_pairs_equal_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40, n)).astype(np.uint64) for n in (0, 0, 1, 5, 30, 30, 38, 39, 40, 200, 200)]
+    got = simhash.similar_pairs(sets, 0.8)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            x, y = set(a.tolist()), set(b.tolist())
+            assert got[i, j] == (len(x & y) >= 0.8 * len(x | y) if x and y else not x and not y)
+
+
+def test_components_split_large_stars(spark):
+    edges = [(3, 10_000 + i) for i in range(1500)] + [(20_000 + i, 9_999_999) for i in range(1500)] + [(10_001, 20_001)]
+    got = {r.node: r.root for r in cc.components(spark.createDataFrame(edges, "x long, y long")).collect()}
+    assert set(got.values()) == {3} and len(got) == 3002
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(50)] + [(5, 5), (2000, 1999)]
     got = {r.node: r.root for r in cc.components(spark.createDataFrame(edges, "x long, y long")).collect()}
