@@ -3,7 +3,8 @@
 1. quality: documents that the rule ensemble scores below 0.3 go.
 2. language: documents without a letter, or whose cosine with every language prototype is not above that of noise
    (0.15; 0 for documents of fewer than 30 letters, which can't be told from noise), go.
-3. near_dedup: of documents linked by SimHash (5-word shingles, 6 bits), that with the least id stays.
+3. near_dedup: of documents that a Jaccard similarity of 0.8 or more of their word 5-grams connects, found by SimHash, that with
+   the least id stays.
 4. decontaminate: documents that overlap a benchmark item go.
 5. packing: what is left becomes sequences of at most 2048 tokens.
 
@@ -23,9 +24,7 @@ from quern.llm.decontaminate import decontaminated
 from quern.llm.language import FEW_LETTERS, LEAST_SCORE, NOISE_SCORE, UNDETERMINED, fit_languages, identify
 from quern.llm.packing import pack
 from quern.llm.quality import THRESHOLD, fit_quality, score_quality
-from quern.llm.simhash import near_duplicates
-
-SHINGLE_WORDS, RADIUS, SEGMENTS = 5, 6, 4
+from quern.llm.simhash import similar_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +42,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    no_id = F.col("doc_id").isNull()
-    key = F.struct(no_id.alias("no_id"), "doc_id", F.when(no_id, F.xxhash64("text")).alias("text_hash"))  # ids come first
-    rows = docs.select(key.alias("doc_id"), "text")
-    found = near_duplicates(rows, words_per_shingle=SHINGLE_WORDS, radius=RADIUS, count=SEGMENTS)
-    stays = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    stays = written(stays.select(F.col("doc_id.doc_id").alias("kept_id"), F.col("doc_id.text_hash").alias("kept_hash"), "n"), "survivors")
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.when(no_id, F.xxhash64("text")).eqNullSafe(F.col("kept_hash"))
-    kept = docs.join(stays.drop("n").hint("merge"), same, "left_semi")  # survivors grow with the corpus: never broadcast
-    if stays.where("n > 1").limit(1).count() == 0:
-        return kept
-    single = kept.where(~no_id).dropDuplicates(["doc_id"])
-    return single.unionByName(kept.where(no_id).dropDuplicates(["text"]))
+    no_id = F.col("d.doc_id").isNull()
+    key = F.struct(no_id.alias("no_id"), F.col("d.doc_id").alias("doc_id"), F.when(no_id, F.xxhash64("d.text")).alias("text_hash"))  # ids come first
+    rows = docs.select(F.struct("*").alias("d")).select("d", key.alias("key"))
+    found = similar_documents(rows, id_col="key", text_col="d.text")
+    stays = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    stays = written(stays, "survivors")
+    kept = rows.join(stays.hint("merge"), "key")  # survivors grow with the corpus: never broadcast
+    if stays.where("n > 1").isEmpty():
+        return kept.select("d.*")
+    # of rows of one key, that with the least hash of its text
+    return kept.groupBy("key").agg(F.min_by("d", F.xxhash64("d.text")).alias("d")).select("d.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
