@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import filterfalse
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 400_000
+MEMO_PIECES = 600_000
 
 _CUT = "\x01"
 #: closing punctuation between a letter and a blank is a piece of its own, marked as one without a blank before it
@@ -58,7 +58,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """An empty memo: row of " " + piece (of the piece itself if it begins with a line end) in a table of id lists."""
+        """An empty memo: row of " " + piece in a table of id lists; pieces that begin with a line end or ``_CUT`` have no blank."""
         self.memo: dict[str, int] = {}
         self.lists = Lists()
 
@@ -70,15 +70,18 @@ class Encoder:
         """Rows of distinct pieces in ``lists``; unknown ones are encoded first."""
         if len(self.memo) > MEMO_PIECES:
             self._forget()
-        new = list(filterfalse(self.memo.__contains__, pieces))
-        tails = [p for p in new if p[:1] == _CUT]
-        if tails:
-            new = [p for p in new if p[:1] != _CUT]
-            raws = self._library([p[1:] for p in tails])
-            self._add(tails, np.frombuffer(b"".join(raws), np.uint32), [len(r) // 4 for r in raws])
-        if new:
-            self._encode_pieces(new)
-        return np.fromiter(map(self.memo.__getitem__, pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(self.memo.get, pieces, repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [pieces[i] for i in missing.tolist()]
+            uncut = [p for p in new if p[:1] == _CUT]
+            if uncut:
+                raws = self._library([p[1:] for p in uncut])
+                self._add(uncut, np.frombuffer(b"".join(raws), np.uint32), [len(r) // 4 for r in raws])
+            if len(uncut) < len(new):
+                self._encode_pieces([p for p in new if p[:1] != _CUT] if uncut else new)
+            rows[missing] = [self.memo[p] for p in new]
+        return rows
 
     def _add(self, pieces: list[str], ids: np.ndarray, sizes) -> None:
         first = self.lists.add(ids, sizes)
@@ -117,22 +120,15 @@ class Encoder:
         for i, raw in zip(loose, self._library([texts[i] for i in loose])):
             out[i] = np.frombuffer(raw, np.uint32)
         if tight:
-            # a line end stands before the piece that it begins; a first piece has nothing before it
+            # a line end stands before the piece that it begins; closing punctuation and a first piece have no blank before them
             column = pa.array([texts[i] for i in tight], pa.large_string())
             marked = pc.replace_substring_regex(pc.replace_substring(column, "\n", " \n"), _CLOSING, rf"\1 {_CUT}\2\3")
-            pieces = pc.split_pattern(marked, " ")
-            offsets = pieces.offsets.to_numpy()
+            pieces = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_CUT, pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
             coded = pieces.values.dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            codes = coded.indices.to_numpy()
-            firsts = self._library([distinct[c] for c in codes[offsets[:-1]].tolist()])
-            rows = self._rows(distinct)[codes]
-            rows[offsets[:-1]] = self.lists.add(np.frombuffer(b"".join(firsts), np.uint32), [len(x) // 4 for x in firsts]) + np.arange(len(firsts))
-            ids, n = self.lists.gather(rows)
-            ends = np.concatenate(([0], np.cumsum(n)))[offsets[1:]].tolist()
-            self.lists.drop(len(firsts))
+            rows = self._rows(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            ids, n = self.lists.gather(rows[coded.indices.to_numpy()])
             begin = 0
-            for i, end in zip(tight, ends):
+            for i, end in zip(tight, np.concatenate(([0], np.cumsum(n)))[pieces.offsets.to_numpy()[1:]].tolist()):
                 out[i] = ids[begin:end]
                 begin = end
         return out
@@ -159,12 +155,6 @@ class Lists:
         self.rows, self.used = rows, used
         return first
 
-    def drop(self, count: int) -> None:
-        """Forgets the last ``count`` lists."""
-        self.rows -= count
-        if count:
-            self.used = int(self.begin[self.rows])
-
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all ``rows``, one list after the other, and their sizes."""
         n = self.size[rows]
