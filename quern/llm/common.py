@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one is set only where a local session names none (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -35,19 +39,18 @@ def small_batches(df: DataFrame, rows: int = 512) -> DataFrame:
 
 
 def with_text(docs: DataFrame, keep: list[str], text_col: str):
-    """(rows for Python, schema of ``keep``, function from a batch to its texts); a text that is kept isn't sent twice.
+    """(rows for Python, fields of ``keep``, function from a batch to its texts); a text that is kept isn't sent twice.
 
-    ``text_col`` may be a field, as in ``d.text``, of a kept struct ``d``.
+    ``text_col`` may be a field, as in ``d.text``, at any depth of a kept struct ``d``.
     """
     outer, _, inner = text_col.partition(".")
     if outer in keep:
         rows, at = docs.select(*keep), keep.index(outer)
-        read = (lambda b: b.column(at).field(inner)) if inner else (lambda b: b.column(at))
+        read = lambda b: reduce(pa.StructArray.field, inner.split(".") if inner else [], b.column(at))
     else:
         rows = docs.select(*keep, F.col(text_col).alias("text_for_python"))
         read = lambda b: b.column(len(keep))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return small_batches(rows), schema, read
+    return small_batches(rows), rows.schema.fields[: len(keep)], read
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

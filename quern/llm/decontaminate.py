@@ -133,9 +133,9 @@ def overlaps(
 def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that overlap no item of ``benchmark``."""
     leaks = written(overlaps(docs, benchmark, id_col=id_col, text_col=text_col).select("doc_id", "text_hash").distinct(), "leaks")
-    leaks = leaks.select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash"))
-    same = docs[id_col].eqNullSafe(F.col("leak_id")) & (F.xxhash64(docs[text_col]) == F.col("leak_hash"))
-    return docs.join(leaks, same, "left_anti")
+    rows = docs.select(F.struct("*").alias("d"), F.col(id_col).alias("own_id"), F.xxhash64(F.col(text_col)).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    return rows.join(leaks, same, "left_anti").select("d.*")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

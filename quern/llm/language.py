@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import small_batches, table, with_text
 from quern.llm.quality import fold
 
 DIMENSION = 1024
 FIT_TEXTS = 1_500
+MOST_LANGUAGES = 1_000
 UNDETERMINED = "und"
 CACHE_ROWS = 24_576
 BATCH_CHARS = 400_000
@@ -142,23 +144,26 @@ def bounded(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
 def fit_languages(
     docs: DataFrame,
     *,
+    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     usable: Column | None = None,
     texts_per_language: int = FIT_TEXTS,
     dimension: int = DIMENSION,
 ) -> dict[str, np.ndarray]:
-    """Unit prototypes by language; rows with a null language, and texts without letters, teach nothing."""
+    """Unit prototypes of the ``MOST_LANGUAGES`` most frequent languages at most.
+
+    Rows with a null language, and texts without letters, teach nothing.
+    """
     known = docs.where(F.col(lang_col).isNotNull())
     if usable is not None:
         known = known.where(usable)
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r.n for r in sizes.collect()}
     if not counts:
         return {}
-    share = F.lit(1.0)
-    for name, n in counts.items():
-        share = F.when(F.col(lang_col) == name, min(1.0, texts_per_language / n)).otherwise(share)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) < share * (1 << 30))
+    shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, texts_per_language / n))])
+    picked = known.where(F.pmod(F.xxhash64(id_col, F.lit(2)), F.lit(1 << 30)) < shares[F.col(lang_col)] * (1 << 30))
 
     def run(batches):
         own, sums = space(dimension), {}
@@ -190,7 +195,7 @@ def identify(
     names = list(prototypes)
     matrix = np.stack(list(prototypes.values())).astype(np.float32) if names else np.zeros((0, DIMENSION), np.float32)
     chosen, kept, texts_of = with_text(docs, keep, text_col)
-    schema = f"{kept}, lang_pred string, score double"
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         own = space(matrix.shape[1])

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import table, with_text
 
@@ -76,7 +77,7 @@ def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFram
     """The ``keep`` columns of every row and its statistics as ``s_...`` columns."""
     names = [f"s_{n}" for n in STATISTICS]
     chosen, kept, texts = with_text(docs, keep, text_col)
-    schema = ", ".join([kept, *[f"{n} double" for n in names]])
+    schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in names]])
 
     def run(batches):
         for b in batches:
@@ -246,9 +247,12 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, keep: list[str], text_co
     """The ``keep`` columns of every row and its ``score``.
 
     Cases: null and empty texts have statistics of 0 and a score like any other; repeated rows get
-    equal scores; an empty input gives no rows; columns named ``s_...`` can't be kept.
+    equal scores; an empty input gives no rows; columns of any name can be kept.
     """
-    return with_statistics(docs, text_col, keep).select(*keep, model.column().alias("score"))
+    inside = text_col.split(".")[0] in keep
+    kept = F.struct(*keep).alias("kept")
+    whole = docs.select(kept) if inside else docs.select(kept, F.col(text_col).alias("text"))
+    return with_statistics(whole, f"kept.{text_col}" if inside else "text", ["kept"]).select("kept.*", model.column().alias("score"))
 
 
 def fold(modulus: int) -> Column:

@@ -24,7 +24,7 @@ def plain(rows, least=1000):
 
 def round_trip(spark, rows):
     path = scratch_path(spark, "test")
-    warc.write_warc(spark.createDataFrame(rows, SCHEMA), path, records_per_file=3)
+    warc.write_warc(spark.createDataFrame(rows, SCHEMA), path, file_bytes=2000)
     return path, warc.resolve(warc.read_warc(spark, path))
 
 
@@ -49,11 +49,22 @@ def test_edge_cases_and_payloads(spark):
     assert all(r.payload == texts[r.page_id] for r in got)
     raw = [f.content for f in spark.read.format("binaryFile").load(path).select("content").collect()]
     assert len(raw) >= 3
-    for headers, _ in warc.parse_records(b"".join(map(gzip.decompress, raw))):
+    for content in raw:
+        members = list(warc.gunzipped(content))
+        assert b"".join(members) == gzip.decompress(content)
+        kinds = [h["warc-type"] for m in members for h, _ in warc.parse_records([m])]  # a record each
+        assert len(kinds) == len(members) and kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+    for headers, _ in warc.parse_records(map(gzip.decompress, raw)):
         assert headers["warc-record-id"].startswith("<urn:uuid:") and "x" not in headers
     assert round_trip(spark, [])[1].count() == 0
 
 
+def test_members_of_long_records():
+    raw = bytes(range(256)) * (1 << 17)
+    member = warc.gzip_member(raw)
+    assert member[-1] == 0 and gzip.decompress(member) == raw == b"".join(warc.gunzipped(member)) and gzip.decompress(warc.gzip_member(b"")) == b""
+
+
 def test_base32_digests_are_read():
     raw = hashlib.sha1(b"x")
     import base64
