@@ -11,17 +11,23 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import repeat
+import re
+from itertools import chain, filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 
 _CUT = "\x01"
 #: closing punctuation between a letter and a blank is a piece of its own, marked as one without a blank before it
 _CLOSING = r"(\p{L})([!-/:-@\[-`{-~]+)( |$)"
+#: letters by any version of Unicode
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+#: byte-level characters: printable bytes of Latin-1 stand for themselves, the others for 256, 257, ... in order; a blank separates
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _OWN) if b != 32}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -79,7 +85,12 @@ class Encoder:
                 raws = self._library([p[1:] for p in uncut])
                 self._add(uncut, np.frombuffer(b"".join(raws), np.uint32), [len(r) // 4 for r in raws])
             if len(uncut) < len(new):
-                self._encode_pieces([p for p in new if p[:1] != _CUT] if uncut else new)
+                blank = [p for p in new if p[:1] != _CUT] if uncut else new
+                words = list(filter(_LETTERS, blank))
+                if words:
+                    self._encode_words(words)
+                if len(words) < len(blank):
+                    self._encode_pieces(list(filterfalse(_LETTERS, blank)))
             rows[missing] = [self.memo[p] for p in new]
         return rows
 
@@ -87,6 +98,14 @@ class Encoder:
         first = self.lists.add(ids, sizes)
         self.memo.update(zip(pieces, range(first, first + len(pieces))))
 
+    def _encode_words(self, new: list[str]) -> None:
+        """A blank and letters are one piece for the merges; its bytes are given as the characters that stand for them."""
+        tokenize = self.library.model.tokenize
+        plain, other = list(filter(str.isascii, new)), list(filterfalse(str.isascii, new))
+        raws = plain + " ".join(other).encode().decode("latin-1").translate(_BYTE_CHARACTERS).split(" ") if other else plain
+        lists = [[t.id for t in tokenize("\u0120" + raw)] for raw in raws]
+        self._add(plain + other, np.fromiter(chain.from_iterable(lists), np.uint32), list(map(len, lists)))
+
     def _encode_pieces(self, new: list[str]) -> None:
         """One call for all: tokens don't cross the cuts before pieces, so byte lengths tell them apart."""
         text = f" {' '.join(new)}".replace(" \n", "\n")

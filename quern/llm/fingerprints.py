@@ -28,7 +28,9 @@ SLOTS = 128
 GRAM = 5
 ROWS_PER_BUCKET = 500
 ROWS_PER_PARTITION = 2000
-MOST_BUCKETS = 4096
+CUTS = 4096
+ROWS_PER_RANGE = 20_000
+MOST_HEADS = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -114,40 +116,60 @@ def fingerprint(docs: DataFrame, text_cols: dict[str, str], keys: list[str]) ->
     return slots(least, keys, names)
 
 
+def _bucketed(own: DataFrame) -> DataFrame:
+    """``own`` with ``order``, a hash by which rows of equal ids are ordered, and ``bucket``, which rises with (doc_id, order).
+
+    Buckets are ranges of ids between at most ``CUTS`` quantiles, each cut into even ranges if it would have more than
+    ``ROWS_PER_RANGE`` rows.  Rows with a null id come first, in ranges of their hash.
+    """
+    own = own.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 1))
+    n, nulls, low, high = own.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
+    count = max(1, min(CUTS, n // ROWS_PER_BUCKET))
+    cuts: list[int] = []
+    if count > 1 and low is not None:
+        cuts = sorted(set(own.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20_000)).first()[0]))
+    ranges = -(-n // (ROWS_PER_RANGE * (len(cuts) + 1)))
+    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
+    at = F.size(F.filter(bounds, lambda x: x < F.col("doc_id")))
+    bucket = at.cast("long")
+    if ranges > 1:
+        lo = F.coalesce(F.get(bounds, at - 1), F.lit(low - 1)).cast("double")
+        hi = F.coalesce(F.get(bounds, at), F.lit(high)).cast("double")
+        share = (F.col("doc_id").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0))
+        bucket = bucket * ranges + F.least(F.floor(share * ranges), F.lit(ranges - 1))
+    first = -max(1, -(-nulls // ROWS_PER_RANGE))
+    no_id = F.floor(F.col("order") / F.lit(2.0**63) * -first) + F.lit(first)
+    return own.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.least(no_id, F.lit(-1))).otherwise(bucket).cast("long"))
+
+
 def with_next(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """Every row's id and text with the text of the row that follows in order of the id (after the last, the first).
 
     Adds ``bucket`` and ``place``, which tell rows apart and by which rows are dealt, and the same of the
-    next row.  Buckets are ranges of ids between quantiles; only one row of each, at most
-    ``MOST_BUCKETS`` in all, is sent to its neighbour apart from the one shuffle.
+    next row.  Only one row of each bucket is sent to its neighbour apart from the one shuffle.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = own.count()
-    count = max(1, min(MOST_BUCKETS, n // ROWS_PER_BUCKET))
-    cuts: list[int] = []
-    if count > 1:
-        found = own.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20_000)).first()[0]
-        cuts = sorted(set(found or []))
-    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else None
-    bucket = F.coalesce(F.size(F.filter(bounds, lambda x: x < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    own = own.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int"))
-
-    # the first row of each bucket, for the last row of the bucket before it
-    heads = own.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("h")).select("bucket", F.col("h.doc_id").alias("first_id"))
-    order = Window.orderBy("bucket")
-    heads = heads.select("bucket", "first_id", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())).alias("before"))
-    heads = written(heads, "bucket-heads").withColumnRenamed("bucket", "head_bucket")
+    own = _bucketed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+
+    # the first row of each bucket, for the last row of the bucket before it; ids and counts only, a row a bucket
+    head = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "order"))
+    heads = own.groupBy("bucket").agg(head.alias("h"), F.count(F.lit(1)).alias("n")).select("bucket", F.col("h.doc_id").alias("first_id"), F.col("h.order").alias("first_order"), "n")
+    in_order = Window.orderBy("bucket")
+    heads = heads.select("*", F.coalesce(F.lag("bucket").over(in_order), F.max("bucket").over(Window.partitionBy())).alias("before"))
+    heads = written(heads.withColumnRenamed("bucket", "head_bucket"), "bucket-heads")
+    many, n = heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bounded = F.broadcast if many <= MOST_HEADS else (lambda x: x.hint("merge"))
+    is_head = (F.col("bucket") == F.col("head_bucket")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("order") == F.col("first_order"))
     firsts = (
-        own.join(F.broadcast(heads), (F.col("bucket") == F.col("head_bucket")) & F.col("doc_id").eqNullSafe(F.col("first_id")))  # at most MOST_BUCKETS rows
+        own.join(bounded(heads.drop("n")), is_head)
         .groupBy("before", "head_bucket")
-        .agg(F.min_by("text", F.xxhash64("text")).alias("head_text"))
+        .agg(F.first("text").alias("head_text"))
         .select(F.col("before").alias("bucket"), "head_bucket", "head_text")
     )
     firsts = written(firsts, "bucket-firsts")
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, n // ROWS_PER_PARTITION))
-    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // ROWS_PER_PARTITION)
+    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "order")
     lined = own.repartition(parts, "bucket").select(
         "*", F.row_number().over(inside).alias("place"), F.lead("text").over(inside).alias("lead_text")
     )

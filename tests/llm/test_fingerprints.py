@@ -79,6 +79,21 @@ def test_buckets_join_up(spark, monkeypatch):
     check(sorted(fp.edited_fingerprints(frame).collect(), key=lambda r: r.doc_id), docs)
 
 
+def test_ranges_and_null_ids(spark, monkeypatch):
+    """More buckets than cuts, and many rows without an id: the order stays that of (id, hash)."""
+    monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(fp, "CUTS", 4)
+    monkeypatch.setattr(fp, "ROWS_PER_RANGE", 5)
+    monkeypatch.setattr(fp, "MOST_HEADS", 3)
+    docs = [(None if i % 3 == 0 else i**3 - 50_000, f"text number {i} of the list with a few more words {i * 7}") for i in range(100)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    hashes = {r.text: r.h for r in frame.selectExpr("text", "shiftrightunsigned(xxhash64(text), 1) h").collect()}
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, hashes[d[1]]))
+    got = fp.with_next(frame, id_col="doc_id", text_col="text").collect()
+    assert {r.text: r.next_text for r in got} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])} and len(got) == 100
+    assert len({r.bucket for r in got}) > 10 and fp.edited_fingerprints(frame).count() == 100
+
+
 def test_edge_cases(spark):
     rows = [
         (3, None, "a", 1), (4, "", None, None), (5, "   \n", "x", 2), (6, "one", "x", 2), (7, "One two\tthree", "x", 2),
