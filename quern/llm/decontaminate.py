@@ -5,6 +5,7 @@ under each mask at each place are hashed, in benchmark items and in documents, a
 joined.  A hit fixes how item and document lie against each other; around it, aligned words are
 compared, and an overlap is a stretch of ``WINDOW`` words of the item (or the whole of a shorter
 one) of which at least ``SHARE`` are equal.  So neither seeds nor overlaps need every word equal.
+Items of fewer words than a mask, but ``LEAST_WORDS`` at least, are found whole by one hash of all their words.
 
 Only DataFrame functions are used.  The seeds of the benchmark are broadcast only if they are at most
 ``BROADCAST_SEEDS``; otherwise both sides are shuffled by hash.
@@ -22,6 +23,7 @@ WINDOW = 13
 SHARE = 0.8
 BROADCAST_SEEDS = 1_000_000
 SPAN = len(MASKS[0])
+LEAST_WORDS = 4
 
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
@@ -59,6 +61,13 @@ def _seeds(rows: DataFrame, keys: list[str]) -> DataFrame:
     return enough.select(*keys, "places", F.posexplode(all_seeds).alias("at", "seed")).select(*keys, "seed", (F.col("at") % F.col("places")).cast("int").alias("at"))
 
 
+def _whole_seeds(rows: DataFrame, keys: list[str], words: int) -> DataFrame:
+    """(keys, seed, at): the hash of all of ``words`` words at each position of ``h``."""
+    last = F.size("h") - F.lit(words - 1)
+    seeds = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.lit(words), *[F.element_at("h", i + k) for k in range(words)]))
+    return rows.where(last > 0).select(*keys, F.posexplode(seeds).alias("at", "seed")).select(*keys, "seed", "at")
+
+
 def overlaps(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -75,26 +84,35 @@ def overlaps(
     missing), ``equal_words`` the number of equal aligned words; of several places of an item that
     with most equal words, then the first, is given.  Two rows of equal id and text are one document.
 
-    Cases: null and empty texts, and items of fewer words than a mask, never overlap; null ids are
-    kept as null; repeated items count once; other columns are ignored; empty tables give no rows.
+    Items of ``LEAST_WORDS`` to ``SPAN`` - 1 words overlap where all their words stand.
+
+    Cases: null and empty texts, and items of fewer than ``LEAST_WORDS`` words, which many clean texts have, never
+    overlap; null ids are kept as null; very long texts are compared whole; repeated items count once; other columns are ignored; empty tables give no rows.
     """
     hashes = F.transform("words", lambda w: F.xxhash64(w))
     items = (
         benchmark.select(F.col(item_col).alias("item_id"), words_of(F.col(text_col)).alias("words"))
         .select("item_id", hashes.alias("item"))
-        .where(F.size("item") >= SPAN)
+        .where(F.size("item") >= LEAST_WORDS)
         .distinct()
     )
     items = written(items, "benchmark-words")
-    item_seeds = _seeds(items.withColumnRenamed("item", "h"), ["item_id"]).withColumnRenamed("at", "item_at").distinct()
+    short = sorted(r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect())  # a few lengths
+    own = items.withColumnRenamed("item", "h")
+    item_seeds = _seeds(own, ["item_id"]).withColumnRenamed("at", "item_at").distinct()
+    for n in short:
+        item_seeds = item_seeds.unionByName(_whole_seeds(own.where(F.size("h") == n), ["item_id"], n).withColumnRenamed("at", "item_at").distinct())
     seeds = items.agg(F.coalesce(F.sum(F.size("item") * len(MASKS)), F.lit(0))).first()[0]
     small = seeds <= BROADCAST_SEEDS
     bounded = F.broadcast if small else (lambda x: x)
 
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
     hashed = hashed.select("doc_id", "text_hash", hashes.alias("h"))
+    doc_seeds = _seeds(hashed, ["doc_id", "text_hash"])
+    for n in short:
+        doc_seeds = doc_seeds.unionByName(_whole_seeds(hashed, ["doc_id", "text_hash"], n))
     hits = (
-        _seeds(hashed, ["doc_id", "text_hash"])
+        doc_seeds
         .join(bounded(item_seeds), "seed")
         .select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("item_at")).alias("start"))
         .distinct()
@@ -110,7 +128,7 @@ def overlaps(
         "item", lambda w, i: F.when(F.get("h", F.col("start") + i) == w, 1).otherwise(0)
     )
     width = F.least(F.size("item"), F.lit(window))
-    enough = F.ceil(width * F.lit(share) - F.lit(1e-9))
+    enough = F.when(F.size("item") < SPAN, F.size("item")).otherwise(F.ceil(width * F.lit(share) - F.lit(1e-9)))
     counted = aligned.select(
         "doc_id", "text_hash", "item_id", "start", F.size("item").alias("item_words"), equal.alias("equal"), width.alias("width"), enough.alias("enough")
     )
@@ -154,11 +172,19 @@ def oracle() -> str:
             parts.append(f"SELECT {keys}, i AS at, concat_ws(' ', '{m}', {cares}) AS seed FROM (SELECT {keys}, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM {source} WHERE len(w) >= {SPAN})")
         return " UNION ALL ".join(parts)
 
+    def wholes(source: str, keys: str) -> str:
+        parts = []
+        for n in range(LEAST_WORDS, SPAN):
+            cares = ", ".join(f"w[i + {c}]" for c in range(n))
+            wanted = f"len(w) = {n}" if source == "b" else f"len(w) >= {n} AND EXISTS (SELECT 1 FROM b WHERE len(b.w) = {n})"
+            parts.append(f"SELECT {keys}, i - 1 AS at, concat_ws(' ', 'whole {n}', {cares}) AS seed FROM (SELECT {keys}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {source} WHERE {wanted})")
+        return " UNION ALL ".join(parts)
+
     return f"""
 WITH d AS (SELECT DISTINCT doc_id, text, {words} AS w FROM documents),
-b AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {SPAN}),
-ds AS ({seeds('d', 'doc_id, text')}),
-bs AS ({seeds('b', 'item_id')}),
+b AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) >= {LEAST_WORDS}),
+ds AS ({seeds('d', 'doc_id, text')} UNION ALL {wholes('d', 'doc_id, text')}),
+bs AS ({seeds('b', 'item_id')} UNION ALL {wholes('b', 'item_id')}),
 hits AS (SELECT DISTINCT doc_id, text, item_id, ds.at - bs.at AS start FROM ds JOIN bs USING (seed)),
 eq AS (
   SELECT h.doc_id, h.text, h.item_id, h.start, len(b.w) AS n, least(len(b.w), {WINDOW}) AS width,
@@ -166,7 +192,7 @@ eq AS (
   FROM hits h JOIN d ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text = h.text JOIN b ON b.item_id IS NOT DISTINCT FROM h.item_id),
 ok AS (
   SELECT *, list_sum(e) AS total FROM eq
-  WHERE len(list_filter(range(1, n - width + 2), lambda s: list_sum(e[s : s + width - 1]) >= ceil(width * {SHARE} - 1e-9))) > 0)
+  WHERE len(list_filter(range(1, n - width + 2), lambda s: list_sum(e[s : s + width - 1]) >= CASE WHEN n < {SPAN} THEN n ELSE ceil(width * {SHARE} - 1e-9) END)) > 0)
 SELECT doc_id, item_id,
   CAST(start AS INTEGER) AS start, CAST(total AS INTEGER) AS equal_words, CAST(n AS INTEGER) AS item_words
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY total DESC, start) AS rn FROM ok) WHERE rn = 1"""
