@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_PIECES = 400_000
+MEMO_PIECES = 300_000
 
 _CUT = "\x01"
 #: closing punctuation between a letter and a blank is a piece of its own, marked as one without a blank before it
