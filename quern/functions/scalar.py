@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 Z_95 = NormalDist().inv_cdf(0.975)
 Z_ROUNDED = 1.96
@@ -19,23 +18,54 @@ MIX_1 = 0xBF58476D1CE4E5B9
 MIX_2 = 0x94D049BB133111EB
 
 
-def tie_key(row_id: Column, seed: int = 0) -> Column:
-    """splitmix64 of ``row_id + seed`` as an unsigned number, shifted to order like one in a signed long."""
+_LOW = (1 << 32) - 1
 
-    @pandas_udf("long")
-    def mixed(ids):
-        import numpy as np
 
-        with np.errstate(over="ignore"):
-            x = ids.to_numpy(np.int64).view(np.uint64) + np.uint64((seed + GOLDEN) % (1 << 64))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2)
-            x = x ^ (x >> np.uint64(31))
-        import pandas as pd
+def _halves(c: Column) -> tuple[Column, Column]:
+    """The upper and the lower 32 bits, each as a number of 0 to 2^32 - 1."""
+    return F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(_LOW))
 
-        return pd.Series((x ^ np.uint64(1 << 63)).view(np.int64))
 
-    return mixed(row_id.cast("long"))
+def _joined(high: Column, low: Column) -> Column:
+    return F.shiftleft(high.bitwiseAND(F.lit(_LOW)), 32).bitwiseOR(low.bitwiseAND(F.lit(_LOW)))
+
+
+def _plus(c: Column, k: int) -> Column:
+    """c + k modulo 2^64, without an overflow on the way."""
+    high, low = _halves(c)
+    total = low + F.lit(k & _LOW)
+    return _joined(high + F.lit(k >> 32) + F.shiftrightunsigned(total, 32), total)
+
+
+def _times(c: Column, k: int) -> Column:
+    """c * k modulo 2^64 from products of 32 and 16 bits."""
+    high, low = _halves(c)
+    a, b, top = k & 0xFFFF, (k >> 16) & 0xFFFF, k >> 32
+    first, second = low * F.lit(a), low * F.lit(b)
+    total = first.bitwiseAND(F.lit(_LOW)) + F.shiftleft(second.bitwiseAND(F.lit(0xFFFF)), 16)
+    cross = lambda x, y: x.bitwiseAND(F.lit(0xFFFF)) * F.lit(y) + F.shiftleft((F.shiftrightunsigned(x, 16) * F.lit(y)).bitwiseAND(F.lit(0xFFFF)), 16)
+    upper = F.shiftrightunsigned(first, 32) + F.shiftrightunsigned(second, 16) + F.shiftrightunsigned(total, 32)
+    return _joined(upper + cross(low, top).bitwiseAND(F.lit(_LOW)) + cross(high, k & _LOW).bitwiseAND(F.lit(_LOW)), total)
+
+
+def with_tie_key(df: DataFrame, row_id: str, seed: int, name: str) -> DataFrame:
+    """Adds splitmix64 of ``row_id + seed``, an unsigned number shifted to order like one in a signed long.
+
+    Each step is a projection of its own, so that nothing is computed twice; all are compiled JVM code.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns if c != name]
+    x = F.col(name)
+    steps = [
+        _plus(F.col(row_id).cast("long"), (seed + GOLDEN) % (1 << 64)),
+        x.bitwiseXOR(F.shiftrightunsigned(x, 30)),
+        _times(x, MIX_1),
+        x.bitwiseXOR(F.shiftrightunsigned(x, 27)),
+        _times(x, MIX_2),
+        x.bitwiseXOR(F.shiftrightunsigned(x, 31)).bitwiseXOR(F.lit(-(1 << 63))),
+    ]
+    for step in steps:
+        df = df.select(*columns, step.alias(name))
+    return df
 
 
 def tie_key_sql(row_id: str, seed: int = 0) -> str:

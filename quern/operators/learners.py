@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import safe_ratio
 from quern.operators.audit import check_model_columns
-from quern.operators.ranking import average_ranks
+from quern.operators.ranking import average_ranks, running_counts
 from quern.plans.experiment import FEATURES
+from quern.sources.files import written
 
 CLIP = 1e-9
 
@@ -24,18 +25,32 @@ def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
 
-def fit_response(train: DataFrame, outcome: str, columns: list[str], *, seed: int = 7, iterations: int = 10, depth: int = 4):
+def _training(train: DataFrame, label: str, columns: list[str], validation: DataFrame | None) -> DataFrame:
+    """features, label and, with ``validation`` rows, the flag that early stopping reads."""
+    parts = [train.select(*columns, F.col(label).cast("double").alias("label"), F.lit(False).alias("held_out"))]
+    if validation is not None:
+        parts.append(validation.select(*columns, F.col(label).cast("double").alias("label"), F.lit(True).alias("held_out")))
+    rows = parts[0].unionByName(parts[1]) if validation is not None else parts[0]
+    return _assembled(rows, columns).select("features", "label", "held_out")
+
+
+def _boosted(kind, train, label, columns, validation, seed, iterations, depth, tolerance):
+    model = kind(maxIter=iterations, maxDepth=depth, seed=seed, stepSize=0.2, minInstancesPerNode=20)
+    if validation is not None:  # stops when the held-out loss no longer falls by the tolerance
+        model = model.setValidationIndicatorCol("held_out").setValidationTol(tolerance)
+    return model.fit(_training(train, label, columns, validation))
+
+
+def fit_response(train: DataFrame, outcome: str, columns: list[str], *, validation: DataFrame | None = None, seed: int = 7, iterations: int = 10, depth: int = 4, tolerance: float = 0.01):
     from pyspark.ml.classification import GBTClassifier
 
-    data = _assembled(train.withColumn("label", F.col(outcome).cast("double")), columns)
-    return GBTClassifier(maxIter=iterations, maxDepth=depth, seed=seed, stepSize=0.2, minInstancesPerNode=20).fit(data.select("features", "label"))
+    return _boosted(GBTClassifier, train, outcome, columns, validation, seed, iterations, depth, tolerance)
 
 
-def fit_effect(train: DataFrame, target: str, columns: list[str], *, seed: int = 7, iterations: int = 10, depth: int = 4):
+def fit_effect(train: DataFrame, target: str, columns: list[str], *, validation: DataFrame | None = None, seed: int = 7, iterations: int = 10, depth: int = 4, tolerance: float = 0.01):
     from pyspark.ml.regression import GBTRegressor
 
-    data = _assembled(train.withColumn("label", F.col(target).cast("double")), columns)
-    return GBTRegressor(maxIter=iterations, maxDepth=depth, seed=seed, stepSize=0.2, minInstancesPerNode=20).fit(data.select("features", "label"))
+    return _boosted(GBTRegressor, train, target, columns, validation, seed, iterations, depth, tolerance)
 
 
 def probability(model, df: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -49,20 +64,29 @@ def effect(model, df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return model.transform(_assembled(df, columns)).withColumnRenamed("prediction", name).drop("features")
 
 
-def fit_learners(train: DataFrame, outcome: str = "visit", features: list[str] = FEATURES, **how) -> dict:
-    """The S, T, pooled X and response models."""
+def fit_learners(train: DataFrame, outcome: str = "visit", features: list[str] = FEATURES, *, validation: DataFrame | None = None, **how) -> dict:
+    """The S, T, pooled X and response models; those that don't need each other are fitted side by side.
+
+    With ``validation`` rows, boosting stops early by their loss.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
     check_model_columns(features, features)
     both = [*features, "treatment"]
     check_model_columns(both, features, treatment_allowed=True)
-    models = {
-        "s": fit_response(train, outcome, both, **how),
-        "t0": fit_response(train.where("treatment = 0"), outcome, features, **how),
-        "t1": fit_response(train.where("treatment = 1"), outcome, features, **how),
-        "response": fit_response(train, outcome, features, **how),
-    }
-    scored = probability(models["t1"], probability(models["t0"], train, features, "mu0"), features, "mu1")
-    pooled = scored.withColumn("pseudo", pseudo_outcome(F.col("treatment"), F.col(outcome).cast("double"), F.col("mu0"), F.col("mu1")))
-    models["x"] = fit_effect(pooled, "pseudo", features, **how)
+    needed = [*both, outcome]
+    train = written(train.select(*needed), "train")
+    held = written(validation.select(*needed), "validation") if validation is not None else None
+    arm = lambda rows, t: rows.where(F.col("treatment") == t) if rows is not None else None
+    jobs = {"s": (train, held, both), "t0": (arm(train, 0), arm(held, 0), features), "t1": (arm(train, 1), arm(held, 1), features), "response": (train, held, features)}
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        models = dict(zip(jobs, pool.map(lambda j: fit_response(j[0], outcome, j[2], validation=j[1], **how), jobs.values())))
+
+    def pooled(rows: DataFrame) -> DataFrame:
+        scored = probability(models["t1"], probability(models["t0"], rows, features, "mu0"), features, "mu1")
+        return scored.withColumn("pseudo", pseudo_outcome(F.col("treatment"), F.col(outcome).cast("double"), F.col("mu0"), F.col("mu1")))
+
+    models["x"] = fit_effect(pooled(train), "pseudo", features, validation=pooled(held) if held is not None else None, **how)
     return models
 
 
@@ -121,11 +145,12 @@ def roc_auc(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
 
 def average_precision(rows: DataFrame, by: list[str], label: str, p: str) -> DataFrame:
     """Sum over distinct thresholds of the step in recall times precision; rows without a probability are left out."""
-    steps = rows.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("y"))
-    desc = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("y").over(Window.partitionBy(*by))
-    cum = steps.select(*by, "y", F.sum("n").over(desc).alias("cn"), F.sum("y").over(desc).alias("cy"), total.alias("total"))
-    return cum.groupBy(*by).agg(F.sum(F.col("y") / F.col("total") * F.col("cy") / F.col("cn")).alias("average_precision"))
+    steps = running_counts(rows.where(F.col(p).isNotNull()).select(*by, p, label), p, by, [F.sum(F.col(label).cast("long")).alias("y")])
+    totals = steps.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum("y").alias("total"))
+    cum = steps.join(totals, by) if by else steps.withColumn("k", F.lit(1)).join(F.broadcast(totals.withColumn("k", F.lit(1))), "k")  # one row
+    # from the greatest value down: all rows less those of lesser values
+    cn, cy = F.col("n") - F.col("_before"), F.col("total") - F.col("_before_y")
+    return cum.groupBy(*by).agg(F.sum(F.col("y") / F.col("total") * cy / cn).alias("average_precision"))
 
 
 def score_diagnostics(rows: DataFrame, by: list[str], score: str = "score") -> DataFrame:

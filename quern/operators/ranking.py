@@ -11,21 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import tie_key
+from quern.functions.scalar import with_tie_key
 from quern.sources.files import written
 
 _IN_PARTITION = (1 << 33) - 1
 
 
-def ranked(scores: DataFrame, *, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+def ranked(scores: DataFrame, *, seed: int = 0, keep: list[str] | None = None, tie: str | None = None) -> DataFrame:
     """Adds ``rank`` (0 for the highest score; ties by hashed id) and ``n`` (rows of the model).
 
-    Scores must be finite.  The sorted rows are written once, since a partition's content, which gives
+    ``tie`` names a column with the hashed id where rows already have it (see ``with_tie_key``).  Rows whose score is
+    null or NaN come last.  The sorted rows are written once, since a partition's content, which gives
     the places, must not change if a task runs again.
     """
-    columns = keep or [c for c in scores.columns if c not in ("model_name", "source_row_id", "score")]
-    keyed = scores.select("model_name", "source_row_id", "score", *columns).withColumn("_tie", tie_key(F.col("source_row_id"), seed))
-    order = ["model_name", F.col("score").desc(), "_tie", "source_row_id"]
+    columns = keep or [c for c in scores.columns if c not in ("model_name", "source_row_id", "score", tie)]
+    plain = scores.select("model_name", "source_row_id", "score", *columns, *([F.col(tie).alias("_tie")] if tie else []))
+    keyed = plain if tie else with_tie_key(plain, "source_row_id", seed, "_tie")
+    order = ["model_name", F.nanvl(F.col("score").cast("double"), F.lit(None)).desc_nulls_last(), "_tie", "source_row_id"]
     placed = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     fixed = written(placed.drop("_tie"), "ranked")
     part = F.shiftright("_at", 33)
@@ -39,7 +41,8 @@ def ranked(scores: DataFrame, *, seed: int = 0, keep: list[str] | None = None) -
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_shift"),
         F.sum("_n").over(Window.partitionBy("model_name")).alias("n"),
     )
-    rows = fixed.withColumn("_part", part).join(places, ["_part", "model_name"])
+    # a row per partition and model: partitions hold neighbouring models, so there are at most as many as partitions and models together
+    rows = fixed.withColumn("_part", part).join(F.broadcast(places), ["_part", "model_name"])
     return rows.withColumn("rank", F.col("_at").bitwiseAND(F.lit(_IN_PARTITION)) + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
@@ -57,20 +60,31 @@ def in_top(fraction: float) -> Column:
     return F.col("rank") < top_size(F.col("n"), fraction)
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Adds ``<column>_rank``: 1-based ascending ranks, ties averaged.
+def running_counts(df: DataFrame, column: str, by: list[str], more: list[Column] | None = None) -> DataFrame:
+    """One row per distinct value (and ``by``): its rows ``_c`` and the rows of lesser values ``_before``.
 
-    Ranks are found on distinct values, by the sorted partitions' counts, and joined back.
+    ``more`` are further aggregates, named columns; each gets a running sum too, as ``_before_<name>``.
+    Values are sorted over all tasks; only sums per partition pass an ordered window.
     """
-    by = by or []
-    values = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"))
+    values = df.groupBy(*by, column).agg(F.count(F.lit(1)).alias("_c"), *(more or []))
+    names = [c for c in values.columns if c not in (*by, column)]
     order = [*by, column]
     placed = written(values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "values")
     part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part"), *by).agg(F.sum("_c").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", *by, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    running = F.sum("_c").over(Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = placed.withColumn("_part", part).withColumn("_run", running).join(offsets, ["_part", *by])
-    ranks = ranks.select(*by, column, (F.col("_before") + F.col("_run") - (F.col("_c") - 1) / 2).alias(f"{column}_rank"))
+    counts = placed.groupBy(part.alias("_part"), *by).agg(*[F.sum(n).alias(n) for n in names])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", *by, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_off_{n}") for n in names])
+    so_far = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.withColumn("_part", part).select("*", *[F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(f"_run_{n}") for n in names])
+    before = [(F.col(f"_off_{n}") + F.col(f"_run_{n}")).alias("_before" if n == "_c" else f"_before_{n}") for n in names]
+    return rows.join(offsets, ["_part", *by]).select(*by, column, *names, *before)
+
+
+def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``<column>_rank``: 1-based ascending ranks, ties averaged.
+
+    Ranks are found on distinct values (see ``running_counts``) and joined back.
+    """
+    by = by or []
+    ranks = running_counts(df, column, by).select(*by, column, (F.col("_before") + (F.col("_c") + 1) / 2).alias(f"{column}_rank"))
     return df.join(ranks, [*by, column])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import safe_ratio
+from quern.functions.scalar import safe_ratio, with_tie_key
 from quern.operators.curves import cells, curve_from_cells, curve_metrics
-from quern.operators.ranking import ranked
+from quern.operators.ranking import ranked, running_counts
 from quern.plans.experiment import FEATURES
+from quern.sources.files import written
 
 BINS = (2, 3, 5, 8)
 
@@ -16,11 +17,31 @@ BINS = (2, 3, 5, 8)
 def quantile_edges(train: DataFrame, features: list[str] = FEATURES, bins: tuple[int, ...] = BINS) -> DataFrame:
     """(feature, bins, edges): inner quantiles, interpolated, made distinct as doubles, then floats.
 
-    All features and bin counts come from one aggregate.
+    All features are sorted in one range shuffle of their distinct values (see ``quantiles``).
     """
-    wide = train.agg(*[F.percentile(f, F.array(*[F.lit(i / b) for i in range(1, b)])).alias(f"{f}_{b}") for f in features for b in bins])
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(b).alias("bins"), F.array_sort(F.array_distinct(F.col(f"{f}_{b}"))).cast("array<float>").alias("edges")) for f in features for b in bins]))
-    return wide.select(rows.alias("r")).select("r.*")
+    values = train.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])).alias("v")).select("v.*")
+    shares = sorted({i / b for b in bins for i in range(1, b)})
+    found = quantiles(values, "feature", "value", shares).groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("share", "quantile"))).alias("q"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(b).alias("bins"), F.array(*[F.lit(i / b) for i in range(1, b)]).alias("shares")) for b in bins])).alias("w")
+    edges = F.array_sort(F.array_distinct(F.transform("w.shares", lambda x: F.element_at("q", x)))).cast("array<float>")
+    return found.select("feature", "q", wanted).select("feature", F.col("w.bins").alias("bins"), edges.alias("edges"))
+
+
+def quantiles(rows: DataFrame, by: str, column: str, shares: list[float]) -> DataFrame:
+    """(by, share, quantile): exact, interpolated quantiles of each group.
+
+    Distinct values are counted and sorted over all tasks; a value's places follow from its partition's running count and
+    the counts of the partitions before, so no task sees a whole group.
+    """
+    places = running_counts(rows.where(F.col(column).isNotNull()), column, [by])
+    sizes = places.groupBy(by).agg(F.max(F.col("_before") + F.col("_c")).alias("_n"))
+    at = lambda s: (F.col("_n") - 1) * F.lit(s)
+    points = F.array(*[F.struct(F.lit(s).alias("share"), F.floor(at(s)).alias("lo"), F.ceil(at(s)).alias("hi"), (at(s) - F.floor(at(s))).alias("part")) for s in shares])
+    named = places.join(F.broadcast(sizes), by)  # a row per group
+    held = lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_c"))
+    hits = named.select(by, column, F.explode(F.filter(points, lambda p: held(p["lo"]) | held(p["hi"]))).alias("p"), "_before", "_c")
+    lo, hi = (F.max(F.when(held(F.col(f"p.{x}")), F.col(column))) for x in ("lo", "hi"))
+    return hits.groupBy(by, F.col("p.share").alias("share")).agg((lo + (hi - lo) * F.max("p.part")).alias("quantile"))
 
 
 def segment_of(value: Column, edges: Column) -> Column:
@@ -31,8 +52,9 @@ def segment_of(value: Column, edges: Column) -> Column:
 def long_segments(view: DataFrame, edges: DataFrame, outcome: str) -> DataFrame:
     """Rows of (feature, bins, segment, treatment, outcome, source_row_id) for every candidate; edges are a few rows."""
     values = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES if f in view.columns]))
-    long = view.select("source_row_id", "treatment", F.col(outcome).alias("outcome"), values.alias("v")).select("*", "v.*").drop("v")
-    return long.join(F.broadcast(edges), "feature").select("feature", "bins", segment_of(F.col("value"), F.col("edges")).alias("segment"), "treatment", "outcome", "source_row_id")  # a row per candidate
+    more = [c for c in view.columns if c == "_tie"]
+    long = view.select("source_row_id", "treatment", F.col(outcome).alias("outcome"), *more, values.alias("v")).select("*", "v.*").drop("v")
+    return long.join(F.broadcast(edges), "feature").select("feature", "bins", segment_of(F.col("value"), F.col("edges")).alias("segment"), "treatment", "outcome", "source_row_id", *more)  # a row per candidate
 
 
 def segment_effects(segments: DataFrame) -> DataFrame:
@@ -48,16 +70,19 @@ def segment_effects(segments: DataFrame) -> DataFrame:
 def segment_selection(train: DataFrame, validation: DataFrame, outcome: str = "visit", *, groups: int = 20, seed: int = 0) -> DataFrame:
     """Every candidate's AUUC and Qini on the validation rows, best first (ties: fewer bins, then feature by name).
 
-    All candidates are ranked in one job, as rankings in long form.
+    All candidates are ranked in one job, as rankings in long form; the hashed id is made once a row.
     """
-    edges = quantile_edges(train)
-    effects = segment_effects(long_segments(train, edges, outcome))
-    rows = long_segments(validation, edges, outcome).join(F.broadcast(effects.select("feature", "bins", "segment", "effect")), ["feature", "bins", "segment"], "left")  # at most 8 rows a candidate
+    edges = written(quantile_edges(train), "edges")
+    effects = written(segment_effects(long_segments(train, edges, outcome)), "segment-effects")
+    keyed = with_tie_key(validation, "source_row_id", seed, "_tie")
+    rows = long_segments(keyed, edges, outcome).join(F.broadcast(effects.select("feature", "bins", "segment", "effect")), ["feature", "bins", "segment"], "left")  # at most 8 rows a candidate
     missing = effects.groupBy("feature", "bins").agg(safe_ratio(F.sum(F.col("effect") * F.col("rows")), F.sum("rows")).alias("mean"), F.count(F.lit(1)).alias("actual_bins"))
     rows = rows.join(F.broadcast(missing), ["feature", "bins"])
-    long = rows.select(F.concat_ws(":", "feature", "bins").alias("model_name"), "source_row_id", F.coalesce("effect", "mean").alias("score"), "treatment", "outcome")
-    found = curve_metrics(curve_from_cells(cells(ranked(long, seed=seed), groups), groups))
-    named = found.select(F.split("model_name", ":")[0].alias("feature"), F.split("model_name", ":")[1].cast("int").alias("bins"), F.col("auuc").alias("validation_auuc"), F.col("qini").alias("validation_qini"))
+    place = F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature"))
+    long = rows.select((place * 1000 + F.col("bins")).alias("model_name"), "source_row_id", F.coalesce("effect", "mean").alias("score"), "treatment", "outcome", "_tie")
+    found = curve_metrics(curve_from_cells(cells(ranked(long, seed=seed, tie="_tie"), groups), groups))
+    feature = F.element_at(F.array(*[F.lit(f) for f in FEATURES]), F.floor(F.col("model_name") / 1000).cast("int"))
+    named = found.select(feature.alias("feature"), (F.col("model_name") % 1000).cast("int").alias("bins"), F.col("auuc").alias("validation_auuc"), F.col("qini").alias("validation_qini"))
     return named.join(missing.select("feature", "bins", "actual_bins"), ["feature", "bins"]).orderBy(F.desc("validation_qini"), "bins", "feature")
 
 
@@ -66,3 +91,20 @@ def constant_effect(view: DataFrame, outcome: str = "visit") -> DataFrame:
     some = lambda t, y=False: F.count_if((F.col("treatment") == t) & ((F.col(outcome) == 1) if y else F.lit(True)))
     c = view.agg(some(0).alias("n0"), some(1).alias("n1"), some(0, True).alias("y0"), some(1, True).alias("y1"))
     return c.select((safe_ratio(F.col("y1"), F.col("n1")) - safe_ratio(F.col("y0"), F.col("n0"))).alias("effect"))
+
+
+def segment_baseline(train: DataFrame, validation: DataFrame, test: DataFrame, selection: DataFrame, outcome: str = "visit") -> DataFrame:
+    """(source_row_id, feature, bins, segment, score): test rows scored by the best candidate of ``selection``.
+
+    Its edges are those of the training rows; its effects are fitted anew on training and validation rows, and
+    a segment without either arm gets the effect of all.
+    """
+    best = selection.orderBy(F.desc("validation_qini"), "actual_bins", "feature").limit(1).select("feature", "bins")
+    edges = quantile_edges(train).join(F.broadcast(best), ["feature", "bins"])  # one row
+    both = long_segments(train.unionByName(validation), edges, outcome)
+    effects = segment_effects(both).select("segment", "effect")
+    overall = constant_effect(train.unionByName(validation), outcome).select(F.col("effect").alias("overall"))
+    rows = long_segments(test.withColumn(outcome, F.lit(0)), edges, outcome).join(F.broadcast(effects), "segment", "left")  # a row per segment
+    # one row, named by a constant key
+    rows = rows.withColumn("k", F.lit(1)).join(F.broadcast(overall.withColumn("k", F.lit(1))), "k")
+    return rows.select("source_row_id", "feature", "bins", "segment", F.coalesce("effect", "overall").cast("float").alias("score"))

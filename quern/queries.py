@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.scalar import Z_95, log_normal_tail_sql, tie_key, tie_key_sql
+from quern.functions.scalar import Z_95, log_normal_tail_sql, tie_key_sql, with_tie_key
 from quern.operators import artifacts, audit, bootstrap, curves, effects, learners, policy, ranking, segments
 from quern.plans.experiment import EXPERIMENT_SQL, FEATURES, FLAGS, SCORES, UPLIFT_MODELS, experiment, scores, scores_sql
 from quern.sources.files import written
@@ -257,7 +257,7 @@ def wald_ratio(spark, sf_dir):
 def tie_keys(spark, sf_dir):
     """The unsigned key as text."""
     key = F.expr("shiftrightunsigned(k, 1)").cast("decimal(20,0)") * 2 + F.expr("k & 1")
-    rows = experiment(spark, sf_dir, items=False).select("source_row_id", tie_key(F.col("source_row_id"), SEED).bitwiseXOR(F.lit(-(1 << 63))).alias("k"))
+    rows = with_tie_key(experiment(spark, sf_dir, items=False).select("source_row_id"), "source_row_id", SEED, "t").select("source_row_id", F.col("t").bitwiseXOR(F.lit(-(1 << 63))).alias("k"))
     return rows.select("source_row_id", key.cast("decimal(20,0)").cast("string").alias("tie_key"))
 
 

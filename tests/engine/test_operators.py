@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import log_normal_tail, p_value_text, tie_key
+from quern.functions.scalar import log_normal_tail, p_value_text, with_tie_key
 from quern.operators import artifacts, audit, bootstrap, curves, effects, learners, policy, ranking, segments
 from quern.plans.experiment import FEATURES
 from quern.sources import files
@@ -39,7 +39,7 @@ def splitmix(x, seed):
 
 def test_tie_key_is_splitmix(spark):
     ids = [0, 1, 2, 12345, 2**40, 2**62]
-    got = spark.createDataFrame([(i,) for i in ids], "i long").select("i", tie_key(F.col("i"), 17).alias("k")).collect()
+    got = with_tie_key(spark.createDataFrame([(i,) for i in ids], "i long"), "i", 17, "k").collect()
     assert {r.i: (r.k % (1 << 64)) ^ (1 << 63) for r in got} == {i: splitmix(i, 17) for i in ids}
 
 
