@@ -44,8 +44,30 @@ def violations(checks: DataFrame) -> list[str]:
     return sorted(k for k, v in row.items() if k != "rows" and v)
 
 
+def handoff_checks(artifacts: DataFrame, outcomes: list[str], models: list[str], config_hash: str, source_hash: str) -> DataFrame:
+    """Violations of what the scores of all models and outcomes must share before test outcomes are read.
+
+    ``artifacts`` are prediction artifacts in long form.  Every outcome and model must score the same ids, each
+    once and with one arm, blinded, and under one configuration and source.
+    """
+    pairs = len(outcomes) * len(models)
+    wanted = F.col("outcome_name").isin(outcomes) & F.col("model_name").isin(models)
+    other = lambda c, v: F.count_if(~F.col(c).eqNullSafe(F.lit(v)))
+    per_id = artifacts.where(wanted).groupBy("source_row_id").agg(
+        F.count_distinct("outcome_name", "model_name").alias("pairs"), F.count(F.lit(1)).alias("rows"), F.count_distinct("treatment").alias("arms")
+    )
+    ids = per_id.agg(
+        F.count(F.lit(1)).alias("ids"), F.count_if(F.col("pairs") < pairs).alias("ids_not_in_all"), F.count_if(F.col("rows") > F.col("pairs")).alias("repeated_ids"), F.count_if(F.col("arms") != 1).alias("ids_of_two_arms")
+    )
+    rows = artifacts.agg(
+        (F.lit(pairs) - F.count_distinct(F.when(wanted, F.struct("outcome_name", "model_name")))).alias("missing_artifacts"), F.count_if(~wanted).alias("rows_of_others"),
+        F.count_if(F.col("observed_outcome").isNotNull()).alias("unblinded_rows"), other("model_config_hash", config_hash).alias("wrong_config"), other("source_file_sha256", source_hash).alias("wrong_source"),
+    )
+    return ids.withColumn("k", F.lit(1)).join(F.broadcast(rows.withColumn("k", F.lit(1))), "k").drop("k")  # one row
+
+
 class Protocol:
-    """Frozen specifications in a folder: models are frozen, the evaluation is locked, and done once per lock."""
+    """Frozen specifications in a folder: models are frozen, the evaluation is locked with all its inputs, and done once per lock."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -66,16 +88,23 @@ class Protocol:
         if found is None or found["model_config_hash"] != canonical_hash(config) or found["source_file_sha256"] != source_hash:
             raise ValueError("the frozen specification doesn't belong to this configuration and source")
 
-    def lock(self, evaluation: dict) -> None:
-        write_json(self.spark, {"evaluation_hash": canonical_hash(evaluation), "test_outcomes_used": False}, self._path("EVALUATION_SPEC"))
+    def lock(self, evaluation: dict, *, inputs: dict | None = None) -> None:
+        """Locks the specification and the hashes of its ``inputs`` (handoff, baselines, stability tables)."""
+        locked = {"evaluation_hash": canonical_hash(evaluation), "input_hash": canonical_hash(inputs or {}), "test_outcomes_used": False}
+        write_json(self.spark, locked, self._path("EVALUATION_SPEC"))
+
+    def evaluate(self, evaluation: dict, run, *, inputs: dict | None = None, again: bool = False):
+        """Runs ``run()`` once under the locked specification and inputs, and notes that test outcomes were used.
 
-    def evaluate(self, evaluation: dict, run):
-        """Runs ``run()`` only under the locked specification, and notes that test outcomes were used."""
-        found = self._read("EVALUATION_SPEC")
-        if found is None or found["evaluation_hash"] != canonical_hash(evaluation):
+        A second run under the same lock is refused unless ``again`` says that it replays the first.
+        """
+        found, done = self._read("EVALUATION_SPEC"), self._read("TEST_EVALUATED")
+        if found is None or found["evaluation_hash"] != canonical_hash(evaluation) or found["input_hash"] != canonical_hash(inputs or {}):
             raise ValueError("the evaluation differs from what was locked")
+        if done and (done["evaluation_hash"], done["input_hash"]) == (found["evaluation_hash"], found["input_hash"]) and not again:
+            raise ValueError("the test outcomes have been used under this lock")
         out = run()
-        write_json(self.spark, {"evaluation_hash": found["evaluation_hash"], "test_outcomes_used": True}, self._path("TEST_EVALUATED"))
+        write_json(self.spark, found | {"test_outcomes_used": True}, self._path("TEST_EVALUATED"))
         return out
 
     def memoised(self, name: str, key: dict, make):

@@ -138,3 +138,29 @@ def _by(key: str):
     from pyspark.sql import Window
 
     return Window.partitionBy(key)
+
+
+def cross_outcome_alignment(a: DataFrame, b: DataFrame, key: str = "source_row_id", arm: str = "treatment") -> DataFrame:
+    """How the rows of two outcomes differ: ids that only one has, repeated ids, and ids whose arms differ."""
+    one = lambda df, n: df.groupBy(key).agg(F.count(F.lit(1)).alias(f"n{n}"), F.min(arm).alias(f"lo{n}"), F.max(arm).alias(f"hi{n}"))
+    both = one(a, 0).join(one(b, 1), key, "full")
+    found = both.agg(
+        F.count_if(F.col("n1").isNull()).alias("left_only"), F.count_if(F.col("n0").isNull()).alias("right_only"), F.count_if((F.col("n0") > 1) | (F.col("n1") > 1)).alias("repeated"),
+        F.count_if((F.col("lo0") != F.col("lo1")) | (F.col("hi0") != F.col("hi1"))).alias("arms_differ"),
+    )
+    bad = F.col("left_only") + F.col("right_only") + F.col("repeated") + F.col("arms_differ")
+    return found.withColumn("aligned", bad == 0)
+
+
+def frame_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(left_only, right_only, equal): rows, counted with repetitions, that one of two frames has more of.
+
+    Nulls and NaN equal themselves; columns are compared by name and may stand in any order, but must be the same.
+    """
+    if sorted(a.columns) != sorted(b.columns):
+        raise ValueError("the frames have different columns")
+    names = [F.col(f"`{c}`") for c in sorted(a.columns)]
+    rows = a.select(F.struct(*names).alias("r"), F.lit(1).alias("n")).unionAll(b.select(F.struct(*names).alias("r"), F.lit(-1).alias("n")))
+    net = rows.groupBy("r").agg(F.sum("n").alias("n"))
+    found = net.agg(F.coalesce(F.sum(F.greatest("n", F.lit(0))), F.lit(0)).alias("left_only"), F.coalesce(F.sum(F.greatest(-F.col("n"), F.lit(0))), F.lit(0)).alias("right_only"))
+    return found.withColumn("equal", (F.col("left_only") == 0) & (F.col("right_only") == 0))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.scalar import Z_95
+from quern.functions.scalar import Z_95, safe_ratio
 from quern.operators.effects import difference_in_rates
 from quern.operators.ranking import bucket
 
@@ -120,6 +122,57 @@ def calibration(groups: DataFrame) -> DataFrame:
     return sums.withColumn("slope", slope).select("model_name", (F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"), "slope", F.lit(False).alias("ranking_changed"))
 
 
+def calibrated(groups: DataFrame) -> DataFrame:
+    """The score groups with the uplift that their model's calibration line gives for the mean score."""
+    line = calibration(groups).select("model_name", "intercept", "slope")
+    predicted = F.col("intercept") + F.col("slope") * F.col("mean_predicted_score")
+    return groups.join(F.broadcast(line), "model_name").withColumn("calibrated_predicted_uplift", predicted).drop("intercept", "slope")  # a row per model
+
+
+def normalised_gain(curve: DataFrame) -> DataFrame:
+    """Adds ``gain_share``, the gain over that at the end of the model's curve; null if that is 0."""
+    end = F.max_by("cumulative_gain", "target_fraction").over(Window.partitionBy("model_name"))
+    return curve.withColumn("gain_share", F.try_divide(F.col("cumulative_gain"), end))
+
+
+def row_level_groups(rows: DataFrame, groups: int = 10) -> DataFrame:
+    """(model_name, score_group, treatment_rows, control_rows, observed_uplift) from bounds on ranks, independent of the buckets.
+
+    Group k has the ranks from ceil(n (k - 1) / groups) on, below ceil(n k / groups).
+    """
+    bounds = [F.ceil(F.col("n") * F.lit(k) / F.lit(groups)) for k in range(1, groups)]
+    at = reduce(lambda a, b: a + b, [(F.col("rank") >= x).cast("int") for x in bounds], F.lit(1))
+    t, y = F.col("treatment") == 1, F.col("outcome").cast("long")
+    found = rows.groupBy("model_name", at.alias("score_group")).agg(
+        F.count_if(t).alias("treatment_rows"), F.count_if(~t).alias("control_rows"), F.sum(F.when(t, y)).alias("y1"), F.sum(F.when(~t, y)).alias("y0")
+    )
+    uplift = safe_ratio(F.col("y1"), F.col("treatment_rows")) - safe_ratio(F.col("y0"), F.col("control_rows"))
+    return found.select("model_name", "score_group", "treatment_rows", "control_rows", uplift.alias("observed_uplift"))
+
+
+def reconciled(rows: DataFrame, curve: DataFrame, effects: DataFrame, groups: int = 20, tolerance: float = 1e-12) -> DataFrame:
+    """A row per model: how far the saved curve, its metrics and the saved deciles are from what rows give.
+
+    ``curve`` and ``effects`` are tables as ``cumulative_gain`` and ``group_effects`` make them.
+    """
+    again = row_level_curve(rows, groups).select("model_name", F.col("point").alias("_point"), F.col("selected_rows").alias("_rows"), F.col("cumulative_gain").alias("_gain"))
+    point = F.bround(F.col("target_fraction") * groups, 0).cast("int")
+    both = curve.withColumn("_point", point).join(again, ["model_name", "_point"], "full")
+    off = F.abs(F.col("cumulative_gain") - F.col("_gain"))
+    points = both.groupBy("model_name").agg(
+        F.count("_gain").alias("curve_points"),
+        F.count_if(~F.col("selected_rows").eqNullSafe(F.col("_rows")) | F.coalesce(off > tolerance * F.abs("_gain") + 1e-8, F.lit(True))).alias("wrong_points"),
+        F.max(off).alias("max_gain_error"),
+    )
+    metrics = lambda c, name: curve_metrics(c.select("model_name", "target_fraction", "cumulative_gain")).select("model_name", F.col("qini").alias(name))
+    own = again.select("model_name", (F.col("_point") / F.lit(groups)).alias("target_fraction"), F.col("_gain").alias("cumulative_gain"))
+    qini = metrics(own, "qini").join(metrics(curve, "_qini"), "model_name").select("model_name", "qini", F.abs(F.col("qini") - F.col("_qini")).alias("qini_error"))
+    deciles = row_level_groups(rows).toDF("model_name", "score_group", "_t", "_c", "_u").join(effects, ["model_name", "score_group"], "full")
+    wrong = ~F.col("_t").eqNullSafe(F.col("treatment_rows")) | ~F.col("_c").eqNullSafe(F.col("control_rows")) | F.coalesce(F.abs(F.col("_u") - F.col("observed_uplift")) > 1e-14, F.lit(False))
+    deciles = deciles.groupBy("model_name").agg(F.count("_t").alias("deciles"), F.count_if(wrong).alias("wrong_deciles"))
+    return points.join(qini, "model_name").join(deciles, "model_name")
+
+
 def row_level_curve(rows: DataFrame, groups: int = 20) -> DataFrame:
     """The curve from running sums over rows, independent of the group cells.
 

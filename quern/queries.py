@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.functions.scalar import Z_95, log_normal_tail_sql, tie_key_sql, with_tie_key
 from quern.operators import artifacts, audit, bootstrap, curves, effects, learners, policy, ranking, segments
 from quern.plans.experiment import EXPERIMENT_SQL, FEATURES, FLAGS, SCORES, UPLIFT_MODELS, experiment, scores, scores_sql
+from quern.registry import ORACLES, QUERIES, query, rounded  # noqa: F401
 from quern.sources.files import written
 from quern.streaming.counters import ARM, arm_counters
 
 SEED = 20260825
 G = 20
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 9, but: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles rounded, where engines may differ in the last bit."""
-    return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) and f.name not in but else F.col(f.name) for f in df.schema.fields])
 
 
 def _ranked(spark: SparkSession, sf_dir: str, outcome: str = "visit", models: list[str] | None = None, seed: int = SEED) -> DataFrame:
@@ -66,17 +47,21 @@ def _cells(groups: int) -> str:
     return f"SELECT model_name, CAST(least(rank * {groups} // n, {groups - 1}) AS INTEGER) AS bucket, {_COUNTS}, count(*) AS group_rows, sum(score) AS score_sum FROM rk GROUP BY ALL"
 
 
-def _curve(outcome: str = "visit", models: list[str] | None = None) -> str:
-    """CTEs up to ``cv``, the cumulative curve, and ``mt``, its metrics."""
+def curve_tail(groups: int = G) -> str:
+    """CTEs after ``rk`` up to ``cv``, the cumulative curve, and ``mt``, its metrics."""
     run = ", ".join(f"CAST(sum({c}) OVER w AS BIGINT) AS {c}" for c in ("n0", "n1", "y0", "y1"))
-    return f"""{_rk(outcome, models)}, cl AS ({_cells(G)}),
+    return f"""cl AS ({_cells(groups)}),
 cm AS (SELECT model_name, bucket, {run} FROM cl WINDOW w AS (PARTITION BY model_name ORDER BY bucket)),
-cv AS (SELECT model_name, (bucket + 1) / CAST({G} AS DOUBLE) AS target_fraction, n0 + n1 AS selected_rows, n1, n0, p1, p0, uplift, (n0 + n1) * uplift AS gain, lo, hi FROM {_diff('cm')}),
+cv AS (SELECT model_name, (bucket + 1) / CAST({groups} AS DOUBLE) AS target_fraction, n0 + n1 AS selected_rows, n1, n0, p1, p0, uplift, (n0 + n1) * uplift AS gain, lo, hi FROM {_diff('cm')}),
 ar AS (SELECT *, (gain + coalesce(lag(gain) OVER w, 0.0)) / 2 * (target_fraction - coalesce(lag(target_fraction) OVER w, 0.0)) AS area FROM cv WINDOW w AS (PARTITION BY model_name ORDER BY target_fraction)),
 mt AS (SELECT model_name, auuc, auuc - 0.5 * endpoint_gain AS qini, endpoint_gain FROM (
   SELECT model_name, sum(area ORDER BY target_fraction) AS auuc, arg_max(gain, target_fraction) AS endpoint_gain FROM ar GROUP BY model_name))"""
 
 
+def _curve(outcome: str = "visit", models: list[str] | None = None) -> str:
+    return f"{_rk(outcome, models)}, {curve_tail()}"
+
+
 def _flags(c: str, cond: str) -> str:
     return f"count(*) FILTER (WHERE {cond}) AS {c}"
 
@@ -125,11 +110,15 @@ def feature_balance(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EXP} SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_in_groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra_identical_records
-FROM (SELECT count(*) AS n FROM exp GROUP BY f2, f3, f10, f11, treatment, conversion, visit, exposure HAVING count(*) > 1)"""
+    f"""WITH {EXP}, c AS (SELECT {', '.join(f'{f} % 2 AS {f}' if f in ('f0', 'f1', 'f5', 'f6', 'f7', 'f8') else f for f in FEATURES)}, {', '.join(FLAGS)} FROM exp)
+SELECT count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_in_groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra_identical_records
+FROM (SELECT count(*) AS n FROM c GROUP BY {', '.join(FEATURES + FLAGS)} HAVING count(*) > 1)"""
 )
 def duplicate_summary(spark, sf_dir):
-    return audit.duplicate_summary(experiment(spark, sf_dir, items=False), ["f2", "f3", "f10", "f11", *FLAGS])
+    """All 16 columns; those of many values are taken modulo 2, so that there are duplicates to count."""
+    view = experiment(spark, sf_dir)
+    coarse = [(F.col(f) % 2).alias(f) if f in ("f0", "f1", "f5", "f6", "f7", "f8") else F.col(f) for f in FEATURES]
+    return audit.duplicate_summary(view.select(*coarse, *FLAGS), [*FEATURES, *FLAGS])
 
 
 @query(f"WITH {EXP}, {PART} SELECT source_row_id, data_partition FROM part")
@@ -137,9 +126,11 @@ def feature_hash_split(spark, sf_dir):
     return audit.with_partition(experiment(spark, sf_dir)).select("source_row_id", "data_partition")
 
 
-@query(f"WITH {EXP}, {PART} SELECT count(*) AS rows, count(*) FILTER (WHERE data_partition NOT IN ('train', 'validation', 'test')) AS mismatches FROM part")
+@query(f"WITH {EXP}, {PART} SELECT count(*) AS rows, count(*) FILTER (WHERE source_row_id % 101 = 7 AND data_partition <> 'test' OR source_row_id % 211 = 9 AND source_row_id % 101 <> 7) AS mismatches FROM part")
 def split_mismatches(spark, sf_dir):
-    return audit.split_mismatches(audit.with_partition(experiment(spark, sf_dir)))
+    """Labels that differ from what the hash says: every 101st row's was set to test, every 211th's to null."""
+    label = F.when(F.col("source_row_id") % 101 == 7, F.lit("test")).when(F.col("source_row_id") % 211 != 9, F.col("data_partition"))
+    return audit.split_mismatches(audit.with_partition(experiment(spark, sf_dir)).withColumn("data_partition", label))
 
 
 @query(
@@ -560,9 +551,10 @@ def score_diagnostics(spark, sf_dir):
 
 @query()
 def gbt_learner_scores(spark, sf_dir):
-    """Boosted S, T, X and response learners, fitted on train and scored on test."""
+    """Boosted S, T, X and response learners, fitted on train, stopped early by validation, scored on test."""
     view = _split(spark, sf_dir)
-    models = learners.fit_learners(view.where("data_partition = 'train'"), "visit", iterations=3, depth=3)
+    parts = [view.where(F.col("data_partition") == p) for p in ("train", "validation")]
+    models = learners.fit_learners(parts[0], "visit", validation=parts[1], iterations=10, depth=3)
     return learners.score_learners(models, view.where("data_partition = 'test'"))
 
 
@@ -605,18 +597,18 @@ def bootstrap_summary(spark, sf_dir):
 def binomial_bootstrap(spark, sf_dir):
     """Bootstrap and analytical intervals of both lifts, and how far they agree."""
     cells = _oc(spark, sf_dir)
-    draws, _ = bootstrap.escalated_draws(cells, 2_000, 10_000)
+    draws, _ = bootstrap.escalated_draws(cells)
     found = effects.effect_summary(cells)
     pick = lambda m, lo, hi: F.struct(F.lit(m).alias("measure"), F.col(lo).alias("ci_lower"), F.col(hi).alias("ci_upper"))
     analytical = found.select("outcome", F.explode(F.array(pick("absolute_lift", "absolute_ci_lower", "absolute_ci_upper"), pick("relative_lift", "relative_ci_lower", "relative_ci_upper"))).alias("m")).select("outcome", "m.*")
     return bootstrap.interval_agreement(analytical, bootstrap.percentile_intervals(draws))
 
 
-def _paired(spark, sf_dir, replicates):
+def _paired(spark, sf_dir, replicates, percents=curves.MAIN_PERCENTS):
     models = [*UPLIFT_MODELS, "response_propensity"]
     rows = _ranked(spark, sf_dir, models=models)
     draws = bootstrap.paired_draws(bootstrap.joint_cells(rows, models, G), models, replicates, groups=G)
-    return rows, bootstrap.draw_metrics(draws, G)
+    return rows, bootstrap.draw_metrics(draws, G, percents)
 
 
 @query()
@@ -626,8 +618,8 @@ def paired_bootstrap(spark, sf_dir):
 
 @query()
 def bootstrap_sensitivity(spark, sf_dir):
-    """The same intervals from ten times the draws."""
-    return bootstrap.bootstrap_summary(_paired(spark, sf_dir, 2000)[1])
+    """The same intervals from ten times the draws, at 5 % of the rows too."""
+    return bootstrap.bootstrap_summary(_paired(spark, sf_dir, 2000, [5, *curves.MAIN_PERCENTS])[1])
 
 
 @query()
@@ -644,13 +636,28 @@ def audit_row_level_curve(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EXP}, {PART} SELECT count(*) AS rows, 0::BIGINT AS wrong_split, 0::BIGINT AS wrong_outcome, 0::BIGINT AS wrong_model, 0::BIGINT AS unblinded_rows, count(*) FILTER (WHERE NOT isfinite(f1)) AS nonfinite_scores,
-  0::BIGINT AS wrong_config, 0::BIGINT AS wrong_source, count(*) - count(DISTINCT source_row_id) AS repeated_ids FROM part WHERE data_partition = 'test'"""
+    f"""WITH {EXP}, {PART}, te AS (SELECT *, CASE WHEN source_row_id % 89 = 4 THEN 0 ELSE source_row_id END AS id FROM part WHERE data_partition = 'test')
+SELECT count(*) AS rows, {_flags('wrong_split', 'source_row_id % 97 = 1')}, {_flags('wrong_outcome', 'false')}, {_flags('wrong_model', 'source_row_id % 53 = 2')}, {_flags('unblinded_rows', 'source_row_id % 61 = 3')},
+  {_flags('nonfinite_scores', 'source_row_id % 71 = 5')}, {_flags('wrong_config', 'source_row_id % 53 = 2')}, {_flags('wrong_source', 'source_row_id % 83 = 6')}, count(*) - count(DISTINCT id) AS repeated_ids FROM te"""
 )
 def prediction_artifact_checks(spark, sf_dir):
+    """An artifact with planted violations of every kind but one."""
     what = {"split": "test", "outcome": "visit", "model": "s_learner", "config_hash": artifacts.canonical_hash({"seed": SEED}), "source_hash": "0" * 64}
     test = audit.with_partition(experiment(spark, sf_dir)).where("data_partition = 'test'")
-    return artifacts.artifact_checks(artifacts.prediction_artifact(test, "f1", **what), **what)
+    rows = artifacts.prediction_artifact(test, "f1", **what)
+    every = lambda k, r: F.col("was") % k == r
+    planted = rows.withColumn("was", F.col("source_row_id")).select(
+        F.when(every(89, 4), F.lit(0)).otherwise(F.col("was")).alias("source_row_id"),
+        F.when(every(97, 1), F.lit("train")).otherwise(F.col("split")).alias("split"),
+        "outcome_name",
+        F.when(every(53, 2), F.lit("t_learner")).otherwise(F.col("model_name")).alias("model_name"),
+        "treatment",
+        F.when(every(61, 3), F.lit(1)).cast("tinyint").alias("observed_outcome"),
+        F.when(every(71, 5), F.lit(float("nan"))).otherwise(F.col("uplift_hat")).cast("float").alias("uplift_hat"),
+        F.when(every(53, 2), F.lit("x")).otherwise(F.col("model_config_hash")).alias("model_config_hash"),
+        F.when(every(83, 6), F.lit(None)).otherwise(F.col("source_file_sha256")).alias("source_file_sha256"),
+    )
+    return artifacts.artifact_checks(planted, **what)
 
 
 @query("SELECT (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) AS left_only, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS right_only, 0::BIGINT AS repeated, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) = 0 AS equal")

@@ -19,9 +19,11 @@ ROWS_PER_GROUP_BYTES = 16 << 20
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """A new path below ``spark.checkpoint.dir``; a temporary folder only where a local session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quern/{label}-{uuid.uuid4().hex}"
@@ -34,9 +36,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA, partitions: int | None = None) -> DataFrame:
-    """A CSV file with a header, gzipped or not; a gzipped file can't be split, so ``partitions`` deals its rows out."""
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+def row_count(spark: SparkSession, path: str) -> DataFrame:
+    """(rows) of a Parquet table, from its footers: no column is read."""
+    return spark.read.parquet(path).select().agg(F.count(F.lit(1)).alias("rows"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = RAW_SCHEMA, partitions: int | None = None) -> DataFrame:
+    """A CSV file with a header, gzipped or not; a gzipped file can't be split, so ``partitions`` deals its rows out.
+
+    With ``schema=None``, as for result tables, the types are inferred.
+    """
+    reader = spark.read.option("header", True)
+    rows = reader.schema(schema).option("enforceSchema", False).csv(path) if schema else reader.option("inferSchema", True).csv(path)
     return rows.repartition(partitions) if partitions else rows
 
 
@@ -99,9 +110,15 @@ def remove_generated(spark: SparkSession, folder: str, suffixes: tuple[str, ...]
     return sorted(gone)
 
 
-def file_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of the files at ``path``, hashed where they are read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def file_sha256(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any size, read as a stream."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def read_json(spark: SparkSession, path: str) -> dict:

@@ -3,7 +3,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from quern import queries as engine
+from quern import evaluation_queries as engine
 
 
 @pytest.mark.parametrize("blocked", ["quern.llm", "quern.llm.queries", "quern.llm.html"])

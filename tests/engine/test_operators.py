@@ -268,7 +268,7 @@ def test_files(spark, tmp_path):
     assert (tmp_path / "gen" / "keep.md").exists()
     import hashlib
 
-    assert files.file_sha256(spark, f"file://{tmp_path}/gen/keep.md").first().sha256 == hashlib.sha256(b"x").hexdigest()
+    assert files.file_sha256(spark, f"file://{tmp_path}/gen/keep.md") == hashlib.sha256(b"x").hexdigest()
     assert files.describe(spark.range(1)).collect()[0].column_type == "bigint"
 
 

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from quern import queries as engine
+from quern import evaluation_queries as engine
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -38,6 +38,6 @@ def test_equals_sql(spark, con, sf_dir, name):
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table(columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(engine.QUERIES) - set(engine.ORACLES) - {"bootstrap_sensitivity"}))
+@pytest.mark.parametrize("name", sorted(set(engine.QUERIES) - set(engine.ORACLES)))
 def test_rows_only(spark, sf_dir, name):
     assert engine.QUERIES[name](spark, sf_dir).count() > 0
