@@ -176,8 +176,11 @@ def tree_rules(x: np.ndarray, y: np.ndarray, *, trees: int, depth: int, least: i
     return list(rules)
 
 
-def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 250) -> tuple[float, np.ndarray]:
-    """Intercept and weights that minimise mean log loss + penalty * sum |w| (accelerated proximal steps)."""
+def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 2000, tolerance: float = 1e-5) -> tuple[float, np.ndarray]:
+    """Intercept and weights that minimise mean log loss + penalty * sum |w|.
+
+    Accelerated proximal steps, begun anew when they turn back, until none changes by more than ``tolerance``.
+    """
     n, k = x.shape
     w, b = np.zeros(k), math.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))
     v = np.random.default_rng(0).standard_normal(k + 1)
@@ -193,9 +196,14 @@ def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 25
         new = yw - rate * (x.T @ r) / n
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         new_b = yb - rate * r.mean()
+        if (yw - new) @ (new - w) + (yb - new_b) * (new_b - b) > 0:
+            t = 1.0
+        done = max(np.abs(new - yw).max(initial=0), abs(new_b - yb)) <= tolerance
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         yw, yb = new + (t - 1) / t2 * (new - w), new_b + (t - 1) / t2 * (new_b - b)
         w, b, t = new, new_b, t2
+        if done:
+            break
     return float(b), w
 
 

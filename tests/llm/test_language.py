@@ -71,3 +71,20 @@ def test_nothing_learned(spark, rows):
     model = language.fit_languages(docs)
     assert model == {}
     assert [r.lang_pred for r in language.identify(docs, model, ["doc_id"]).collect()] == ["und"] * len(rows)
+
+
+def test_op2_equals_brute_force(spark, sf_dir):
+    """The whole query, one text and one trigram at a time: prototypes, cosines and predictions."""
+    docs = table(spark, sf_dir, "documents").collect()
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    vectors = {r.doc_id: unit(plain_bundle(r.text, language.DIMENSION)) for r in docs}
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
+    names = sorted({r.lang for r in docs if r.lang and not held[r.doc_id]})
+    prototypes = np.stack([unit(sum(vectors[r.doc_id] for r in docs if r.lang == n and not held[r.doc_id])) for n in names])
+    got = {r.doc_id: r for r in language.op2_language(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        cosines = prototypes @ vectors[r.doc_id]
+        letters = any(c.isalpha() for c in r.text or "")
+        assert got[r.doc_id].lang_pred == (names[int(cosines.argmax())] if letters else "und") and got[r.doc_id].held_out == held[r.doc_id]
+        assert abs(got[r.doc_id].score - (min(1, max(0, cosines.max())) if letters else 0)) < 1e-4

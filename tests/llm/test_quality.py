@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -64,3 +65,58 @@ def test_labels_of_one_class_or_none(spark):
         model = quality.fit_quality(docs, spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
         assert not model.rules
         assert len({r.score for r in quality.score_quality(docs, model, ["doc_id"]).collect()}) == 1
+
+
+def plain_statistics(text):
+    """The statistics from their definitions, one character, word and line at a time."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if not raw:
+        return dict.fromkeys(quality.STATISTICS, 0.0)
+    words, lines, n = raw.split(), [x for x in raw.split(b"\n") if x], len(raw)
+    lengths = [len(w) for w in words] or [0]
+    k, mean = max(1, len(words)), sum(lengths) / len(lengths)
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / n
+    marks = b".,;:!?|"
+    return {
+        "chars": math.log(1 + len(text)), "words": math.log(1 + len(words)), "word_length": mean,
+        "word_length_deviation": math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths)),
+        "short_words": sum(x <= 3 for x in lengths) / len(lengths), "long_words": sum(x >= 12 for x in lengths) / len(lengths),
+        "distinct_words": len(set(words)) / k, "repeated_neighbours": sum(a == b for a, b in zip(words, words[1:])) / k,
+        "top_byte": max(raw.count(bytes([c])) for c in range(256) if c != 32) / n, "lines": math.log(1 + len(lines)), "line_words": k / max(1, len(lines)),
+        "distinct_lines": len(set(lines)) / max(1, len(lines)), "upper": share(range(65, 91)), "lower": share(range(97, 123)), "digits": share(range(48, 58)),
+        "blanks": share(b" \t\n\r\x0b\x0c"), "stops": share(b"."), "commas": share(b",;:"), "shouts": share(b"!?"), "bars": share(b"|"),
+        "symbols": share(b"#$%&*+<=>@\\^_`~{}[]/"), "other_bytes": share(range(128, 256)),
+        "capitalised": sum(65 <= w[0] <= 90 for w in words) / k if words else 0.0, "closing_punctuation": sum(w[-1] in marks for w in words) / k if words else 0.0,
+    }
+
+
+def test_op8_equals_brute_force(spark, sf_dir):
+    """The whole query: statistics from their definitions, rules one at a time, for every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels, usable=quality.fold(5) != 0)
+    got = {r.doc_id: r for r in quality.op8_quality(spark, sf_dir).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.rules
+    for r in rows:
+        x, margin = plain_statistics(r.text), model.intercept
+        for rule, weight in zip(model.rules, model.weights):
+            if all((x[name] > t) if above else (x[name] <= t) for name, above, t in rule.terms):
+                margin += weight
+        score = 1 / (1 + math.exp(-margin))
+        own = got[r.doc_id]
+        near = min(abs(x[name] - t) for rule in model.rules for name, _, t in rule.terms)  # at a threshold the last bit decides
+        assert near < 1e-9 or abs(own.score - score) < 1e-9 and own.predicted == int(score >= 0.3)
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_weights_in_use_are_optimal(spark):
+    """The fit of the query stops where the lasso's conditions hold."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, len(quality.STATISTICS)))
+    y = (x[:, 0] + 0.5 * x[:, 1] * (x[:, 2] > 0) + 0.3 * rng.standard_normal(3000) > 0).astype(float)
+    rules = quality.tree_rules(x, y, trees=24, depth=3, least=20, seed=8)
+    columns = {n: x[:, j] for j, n in enumerate(quality.STATISTICS)}
+    held = np.stack([r.holds(columns) for r in rules], axis=1).astype(float)
+    b, w = quality.lasso_logistic(held, y, 1e-3)
+    gradient = held.T @ (1 / (1 + np.exp(-(held @ w + b))) - y) / len(y)
+    assert np.all(np.abs(gradient[w == 0]) <= 1e-3 + 2e-4) and np.allclose(gradient[w != 0], -1e-3 * np.sign(w[w != 0]), atol=2e-4)
