@@ -54,7 +54,14 @@ def with_text(docs: DataFrame, keep: list[str], text_col: str):
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's own part of the shared folder (see ``clear_scratch``)."""
+    return f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that this application has written as scratch; call it once its results have been read or saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quern/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

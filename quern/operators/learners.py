@@ -35,9 +35,9 @@ def _training(train: DataFrame, label: str, columns: list[str], validation: Data
 
 
 def _boosted(kind, train, label, columns, validation, seed, iterations, depth, tolerance):
-    model = kind(maxIter=iterations, maxDepth=depth, seed=seed, stepSize=0.2, minInstancesPerNode=20)
-    if validation is not None:  # stops when the held-out loss no longer falls by the tolerance
-        model = model.setValidationIndicatorCol("held_out").setValidationTol(tolerance)
+    # with validation rows, stops when the held-out loss no longer falls by the tolerance
+    early = {"validationIndicatorCol": "held_out", "validationTol": tolerance} if validation is not None else {}
+    model = kind(maxIter=iterations, maxDepth=depth, seed=seed, stepSize=0.2, minInstancesPerNode=20, **early)
     return model.fit(_training(train, label, columns, validation))
 
 

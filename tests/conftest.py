@@ -22,6 +22,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from quern.sources.files import clear_scratch
+
+    clear_scratch(session)
     session.stop()
 
 

@@ -238,6 +238,13 @@ def test_artifacts_and_protocol(spark):
     with pytest.raises(ValueError):
         protocol.evaluate({"rates": [20]}, dict)
     assert protocol.evaluate({"rates": [10]}, lambda: 5) == 5
+    with pytest.raises(ValueError, match="used"):
+        protocol.evaluate({"rates": [10]}, lambda: 6)
+    assert protocol.evaluate({"rates": [10]}, lambda: 6, again=True) == 6
+    protocol.lock({"rates": [10]}, inputs={"handoff": "a"})
+    with pytest.raises(ValueError, match="locked"):
+        protocol.evaluate({"rates": [10]}, dict, inputs={"handoff": "b"})
+    assert protocol.evaluate({"rates": [10]}, lambda: 7, inputs={"handoff": "a"}) == 7
     assert protocol.memoised("m", {"k": 1}, lambda: 1) == protocol.memoised("m", {"k": 1}, lambda: 2) == 1
     assert protocol.memoised("m", {"k": 2}, lambda: 3) == 3
     assert artifacts.canonical_hash({"b": 1, "a": "é"}) == artifacts.canonical_hash(json.loads('{"a":"é","b":1}'))
@@ -285,6 +292,39 @@ def test_learners_save_and_load(spark, tmp_path):
     assert dict(learners.score_learners(models, df).dtypes)["s_learner"] == "float"
 
 
+def test_boosting_stops_early(spark):
+    """Labels of noise: with validation rows, boosting ends far before its last round."""
+    rng = random.Random(1)
+    rows = [(i, i % 2, int(rng.random() < 0.5), *[float(rng.randrange(20)) for _ in range(12)]) for i in range(800)]
+    df = spark.createDataFrame(rows, "source_row_id long, treatment int, visit int, " + ", ".join(f"{f} double" for f in FEATURES))
+    own, held = df.where("source_row_id < 500"), df.where("source_row_id >= 500")
+    assert learners.fit_response(own, "visit", FEATURES, iterations=8, depth=2).getNumTrees == 8
+    assert learners.fit_response(own, "visit", FEATURES, validation=held, iterations=8, depth=2).getNumTrees < 8
+
+
+def test_last_ranks_of_null_and_nan(spark):
+    rows = [(0, float("nan"), 0, 0), (1, None, 1, 0), (2, -5.0, 0, 1), (3, 7.0, 1, 1)]
+    got = {r.source_row_id: r.rank for r in ranking.ranked(long(spark, rows)).collect()}
+    assert (got[3], got[2]) == (0, 1) and {got[0], got[1]} == {2, 3}
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    values = {"a": rng.integers(0, 7, 501).astype(float), "b": rng.standard_normal(1000), "c": np.array([3.0])}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("d", None)]
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.875, 1.0]
+    got = {(r.g, r.share): r.quantile for r in segments.quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", shares).collect()}
+    assert set(got) == {(k, s) for k in values for s in shares}
+    for (k, s), q in got.items():
+        assert math.isclose(q, np.quantile(values[k], s), abs_tol=1e-12)
+
+
+def test_average_precision_without_groups(spark):
+    rows = [(0.9, 1), (0.8, 0), (0.8, 1), (0.1, 0), (0.05, 1), (None, 1)]
+    found = learners.average_precision(spark.createDataFrame(rows, "p double, y int"), [], "y", "p").first().average_precision
+    assert math.isclose(found, 1 / 3 * 1 + 1 / 3 * 2 / 3 + 1 / 3 * 3 / 5)
+
+
 def test_streaming_counters(spark, sf_dir, tmp_path):
     from quern.streaming.counters import arm_counters
 
