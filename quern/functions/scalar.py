@@ -106,11 +106,16 @@ def log_normal_tail(z: Column) -> Column:
 
 
 def log_normal_tail_sql(z: str) -> str:
-    """DuckDB SQL of ``log_normal_tail`` above 2."""
+    """DuckDB SQL of ``log_normal_tail``."""
     fraction = f"abs({z})"
     for k in range(TAIL_STEPS, 0, -1):
         fraction = f"(abs({z}) + {float(k)} / {fraction})"
-    return f"(-abs({z}) * abs({z}) / 2 - {0.5 * math.log(2 * math.pi)!r} - ln({fraction}))"
+    series = "1.0"
+    for k in range(24, 0, -1):
+        series = f"(1 + {z} * {z} / {float(2 * k + 1)} * {series})"
+    far = f"-{z} * {z} / 2 - {0.5 * math.log(2 * math.pi)!r} - ln({fraction})"
+    near = f"ln(0.5 - abs({z}) * {series} * exp(-{z} * {z} / 2) / {math.sqrt(2 * math.pi)!r})"
+    return f"(CASE WHEN abs({z}) > 2 THEN {far} ELSE {near} END)"
 
 
 def p_value_text(p: Column, log10_p: Column) -> Column:

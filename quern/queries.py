@@ -205,17 +205,20 @@ _Z = f"""oc AS ({_OC}), zt AS (SELECT outcome, (y1 / n1 - y0 / n0) / sqrt((y0 +
 zp AS (SELECT outcome, z, ln(2.0) + {log_normal_tail_sql('z')} AS log_p FROM zt)"""
 
 
-@query(f"WITH {EXP}, {_Z} SELECT outcome, round(z, 9) AS z_statistic, CASE WHEN abs(z) > 2 THEN round(log_p / ln(10.0), 6) END AS log10_p_value FROM zp")
+@query(f"WITH {EXP}, {_Z} SELECT outcome, round(z, 9) AS z_statistic, round(log_p / ln(10.0), 6) AS log10_p_value FROM zp")
 def z_test(spark, sf_dir):
-    """The SQL has the tail above 2 only, so this query leaves it out below."""
     found = effects.z_tests(_oc(spark, sf_dir))
-    return found.select("outcome", F.round("z_statistic", 9).alias("z_statistic"), F.when(F.abs("z_statistic") > 2, F.round("log10_p_value", 6)).alias("log10_p_value"))
+    return found.select("outcome", F.round("z_statistic", 9).alias("z_statistic"), F.round("log10_p_value", 6).alias("log10_p_value"))
 
 
-@query()
+@query(
+    f"""WITH {EXP}, {_Z}, pv AS (SELECT outcome, z, log_p, CASE WHEN log_p > -708.3964185322641 THEN exp(log_p) ELSE 0.0 END AS p FROM zp),
+hl AS (SELECT *, max(step) OVER (ORDER BY p, outcome ROWS UNBOUNDED PRECEDING) AS holm FROM (SELECT *, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, outcome) + 1) * p) AS step FROM pv))
+SELECT outcome, round(z, 9) AS z_statistic, round(log_p / ln(10.0), 6) AS log10_p_value, round(p, 9) AS p_value, CASE WHEN p > 0 THEN printf('%.3e', p) ELSE '<1e' || CAST(CAST(floor(log_p / ln(10.0)) + 1 AS BIGINT) AS VARCHAR) END AS p_value_display, round(holm, 9) AS holm_p_value, holm < 0.05 AS reject FROM hl"""
+)
 def z_test_p_values(spark, sf_dir):
-    """With p values, Holm's adjustment and the display form; tested against the standard library."""
-    return effects.holm(effects.z_tests(_oc(spark, sf_dir)))
+    """With p values, Holm's adjustment and the display form."""
+    return rounded(rounded(effects.holm(effects.z_tests(_oc(spark, sf_dir))), 6, ("z_statistic", "p_value", "holm_p_value")), 9)
 
 
 _FAMILY = "SELECT model_name || ':' || CAST(bucket AS VARCHAR) AS outcome, CAST((y1 * 37 + n0 * 11) % 1000 AS DOUBLE) / 20000 AS p_value FROM cl"
