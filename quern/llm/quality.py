@@ -257,6 +257,8 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, keep: list[str], text_co
     Cases: null and empty texts have statistics of 0 and a score like any other; repeated rows get
     equal scores; an empty input gives no rows; columns of any name can be kept.
     """
+    if not any(c.strip("`").startswith("s_") for c in keep):
+        return with_statistics(docs, text_col, keep).select(*keep, model.column().alias("score"))
     inside = text_col.split(".")[0] in keep
     kept = F.struct(*keep).alias("kept")
     whole = docs.select(kept) if inside else docs.select(kept, F.col(text_col).alias("text"))
