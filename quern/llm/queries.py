@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm import decontaminate, fingerprints, html, licenses, repeats, resample, warc
+from quern.llm import decontaminate, fingerprints, html, licenses, phrases, repeats, resample, warc
 from quern.llm.language import op2_language
 from quern.llm.packing import op10_pack
 from quern.llm.quality import op8_quality
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_warc": warc.op9_warc,
     "op10_pack": op10_pack,
+    "op11_phrases": phrases.op11_phrases,
     "op12_repeats": repeats.op12_repeats,
     "op13_resample": resample.op13_resample,
 }
@@ -27,6 +28,7 @@ ORACLES: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
     "op7_decontaminate": decontaminate.oracle(),
     "op9_warc": warc.ORACLE,
+    "op11_phrases": phrases.oracle(),
     "op12_repeats": repeats.oracle(),
     "op13_resample": resample.oracle(),
 }

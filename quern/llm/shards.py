@@ -96,6 +96,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate((whole, np.zeros(8, np.uint8))), at[:-1] - at[0], at[1:] - at[0]
 
 
+def token_ids(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """(ids of the parts between single blanks, the distinct parts, in the order of their first place)."""
+    found = pc.split_pattern(pa.array([data], pa.large_binary()), b" ").values.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_pylist()
+
+
 def bucket_count(total_bytes: int) -> int:
     """A power of two, ``LEAST_BUCKETS`` at least, so that a bucket has about ``BUCKET_BYTES``."""
     return max(LEAST_BUCKETS, 1 << max(0, (total_bytes // BUCKET_BYTES).bit_length()))
