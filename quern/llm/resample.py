@@ -8,14 +8,13 @@ Counts of source and target per bucket are sums over all texts; only a number pe
 driver, whatever the corpus.  Drawing the best is one range sort (see ``drawn``), without a window over all rows.
 
 Cases: a null or empty text, or one without words, has no features and weight 0.  Words are split at ASCII characters other than digits and
-letters; nothing else is folded.  Texts of any length are taken whole, one with more than ``BLOCK_CHARS`` characters as a block of its own.
+letters; nothing else is folded.  Texts of any length are taken whole, one with more than ``BLOCK_BYTES`` bytes as a block of its own.
 Repeated rows count each, and each can be drawn; ties go to the smaller id, then to the smaller weight.  A null id is hashed as an empty one and
 comes before all others.  Empty tables are allowed on either side.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,15 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.llm import shards
 from quern.llm.common import small_batches, table, written
 
 BUCKETS = 10_000
 SEED = 2024
 LEAST_WORDS = 20
 PERCENT = 10
-BLOCK_CHARS = 1 << 21
-_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+BLOCK_BYTES = 1 << 21
+#: ASCII letters in lower case; other ASCII characters than letters and digits part words
+_PARTED = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 
 
 def suffix_runs(words: np.ndarray, left: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -42,7 +42,7 @@ def suffix_runs(words: np.ndarray, left: np.ndarray, most: int) -> Iterator[tupl
     """
     n = len(words)
     shifted = [np.where(left > k, np.concatenate((words[k:], np.full(min(k, n), -1, words.dtype)))[:n], -1) for k in range(most)]
-    order = np.lexsort(shifted[::-1]) if most > 1 else np.argsort(words, kind="stable")
+    order = np.lexsort(shifted[::-1]) if most > 1 else np.argsort(words)
     prefix = np.zeros(n, np.int64)  # words that a suffix shares with the one before it in order, up to ``most``
     same = np.ones(max(0, n - 1), bool)
     for column in shifted:
@@ -55,10 +55,10 @@ def suffix_runs(words: np.ndarray, left: np.ndarray, most: int) -> Iterator[tupl
         yield k, order[long], np.flatnonzero(prefix[long] < k)
 
 
-def blocks(texts: Iterator[str | None], limit: int = BLOCK_CHARS) -> Iterator[list[str]]:
+def blocks(texts: Iterator[bytes | None], limit: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
     block, size = [], 0
     for text in texts:
-        block.append(text or "")
+        block.append(text or b"")
         size += len(block[-1])
         if size >= limit:
             yield block
@@ -67,15 +67,14 @@ def blocks(texts: Iterator[str | None], limit: int = BLOCK_CHARS) -> Iterator[li
         yield block
 
 
-def bucket_ids(texts: list[str], most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_ids(texts: list[bytes], most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) of every feature of every text, grouped by length, not in order of place."""
-    found = [_WORDS.findall(t.translate(_LOWER)) for t in texts]
-    sizes = np.array([len(f) for f in found], np.int64)
-    flat = pa.array([w for f in found for w in f], pa.string()).dictionary_encode()
-    if not len(flat):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    names = [w.encode() for w in flat.dictionary.to_pylist()]
-    words = flat.indices.to_numpy().astype(np.int32)
+    ids, names = shards.token_ids(b" \n ".join(t.translate(_PARTED) for t in texts))
+    ends = names.index(b"\n") if len(texts) > 1 else -1
+    ids = ids[ids != names.index(b"")] if b"" in names else ids
+    over = np.flatnonzero(ids == ends)
+    sizes = np.diff(np.concatenate(([-1], over, [len(ids)]))) - 1
+    words = ids[ids != ends]
     text = np.repeat(np.arange(len(texts)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
     owners, hashed = [], []
@@ -98,7 +97,7 @@ def bucket_counts(docs: DataFrame, *, text_col: str = "text", most: int = 1, buc
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["bucket", "n"])
 
-    return small_batches(docs.select(F.col(text_col).alias("text"))).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select(F.col(text_col).cast("binary").alias("text"))).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def bucket_gains(source: DataFrame, target: DataFrame, spark: SparkSession, buckets: int = BUCKETS) -> np.ndarray:
@@ -119,7 +118,7 @@ def bucket_gains(source: DataFrame, target: DataFrame, spark: SparkSession, buck
 
 def weighed(docs: DataFrame, gains: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", most: int = 1) -> DataFrame:
     """(doc_id, n_features, weight): the floored mean gain of a text's features."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(gains)  # a number a bucket
 
     def run(batches):
@@ -129,9 +128,7 @@ def weighed(docs: DataFrame, gains: np.ndarray, *, id_col: str = "doc_id", text_
             for block in blocks(x.as_py() for x in b.column(1)):
                 text, hashed = bucket_ids(block, most, len(gain))
                 features.append(np.bincount(text, minlength=len(block)))
-                total = np.zeros(len(block), np.int64)
-                np.add.at(total, text, gain[hashed])
-                sums.append(total)
+                sums.append(np.bincount(text, weights=gain[hashed], minlength=len(block)).astype(np.int64))  # exact below 2^53
             n = np.concatenate(features) if features else np.empty(0, np.int64)
             weight = np.where(n > 0, (np.concatenate(sums) if sums else n) // np.maximum(n, 1), 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(weight, pa.int64())], names=["doc_id", "n_features", "weight"])
@@ -169,7 +166,8 @@ def drawn(weights: DataFrame, *, seed: int = SEED, least: int = LEAST_WORDS, per
 def resample(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target_text_col: str = "text", most: int = 1, buckets: int = BUCKETS, seed: int = SEED, least: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_features, weight, score, rank) of every row of ``docs``, drawn to resemble ``target``; features are runs of 1 to ``most`` words."""
     gains = bucket_gains(bucket_counts(docs, text_col=text_col, most=most, buckets=buckets), bucket_counts(target, text_col=target_text_col, most=most, buckets=buckets), docs.sparkSession, buckets)
-    return drawn(weighed(docs, gains, id_col=id_col, text_col=text_col, most=most), seed=seed, least=least, percent=percent, most=most)
+    # a range sort reads its input twice
+    return drawn(written(weighed(docs, gains, id_col=id_col, text_col=text_col, most=most), "weights"), seed=seed, least=least, percent=percent, most=most)
 
 
 def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
