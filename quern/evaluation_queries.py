@@ -8,12 +8,12 @@ from quern.functions.scalar import tie_key_sql
 from quern.operators import artifacts, audit, curves, segments
 from quern.plans import evaluation as ev
 from quern.plans.experiment import RESPONSE_MODEL, UPLIFT_MODELS, experiment
-from quern.queries import _CAND, _COUNTS, _DIFF, _PERCENT, _REPORT, _SEGS, EXP, PART, SEED, G, _curve, _diff, _rank_avg, _ranked, _rk, _split, _cells, curve_tail
+from quern.queries import _CAND, _COUNTS, _DIFF, _PERCENT, _REPORT, _SEGS, EXP, PART, SEED, G, _curve, _diff, _rank_avg, _ranked, _rk, _split, _cells, curve_tail, draw_curves_sql, long_metrics_sql, paired_sql
 from quern.registry import ORACLES, QUERIES, query, rounded
 from quern.sources import files
 
 ALTERNATES = (1, 2)
-REPLICATES = 12
+REPLICATES = 200
 
 # ---- learners, in SQL
 
@@ -48,25 +48,15 @@ _NAMED = "split_part(model_name, ':', 1) AS outcome_name, split_part(model_name,
 _MAIN = ", ".join(map(str, curves.MAIN_PERCENTS))
 
 
-def _long_metrics(areas: str, curve: str, name: str) -> str:
-    """CTE ``name``: replicate, outcome, model, metric, value and paired differences, from areas and curve points."""
-    place = lambda x: f"list_position({UPLIFT_MODELS}, {x}.m)"
-    return f"""{name}_o AS (SELECT replicate, split_part(model_name, ':', 1) AS o, split_part(model_name, ':', 2) AS m, metric, value FROM (
-  SELECT replicate, model_name, 'auuc' AS metric, auuc AS value FROM {areas} UNION ALL SELECT replicate, model_name, 'qini', qini FROM {areas}
-  UNION ALL SELECT replicate, model_name, 'gain_at_' || CAST({_PERCENT} AS VARCHAR) || 'pct', gain FROM {curve} WHERE {_PERCENT} IN ({_MAIN}))),
-{name} AS (SELECT * FROM {name}_o UNION ALL SELECT a.replicate, a.o, a.m, a.metric || '_minus_response', a.value - b.value FROM {name}_o a JOIN {name}_o b USING (replicate, o, metric) WHERE b.m = '{RESPONSE_MODEL}' AND a.m <> b.m
-  UNION ALL SELECT a.replicate, a.o, a.m, a.metric || '_minus_' || b.m, a.value - b.value FROM {name}_o a JOIN {name}_o b USING (replicate, o, metric) WHERE metric IN ('auuc', 'qini') AND {place('a')} > {place('b')} AND {place('b')} > 0)"""
-
-
-_UN = f"""{_CV}, pa AS (SELECT 0 AS replicate, * FROM mt), pc AS (SELECT 0 AS replicate, * FROM cv), {_long_metrics('pa', 'pc', 'pt')},
-bd AS (SELECT replicate, model_name, CAST(least(rank * {G} // n, {G - 1}) AS INTEGER) AS bucket, treatment, outcome, (source_row_id * 7919 + replicate * 104729 + (source_row_id % 97) * (replicate + 3) * 31) % 4 AS w FROM rk, range({REPLICATES}) t(replicate)),
-bl AS (SELECT replicate, model_name, bucket, coalesce(sum(w) FILTER (WHERE treatment = 0), 0) AS n0, coalesce(sum(w) FILTER (WHERE treatment = 1), 0) AS n1, coalesce(sum(w) FILTER (WHERE treatment = 0 AND outcome = 1), 0) AS y0, coalesce(sum(w) FILTER (WHERE treatment = 1 AND outcome = 1), 0) AS y1 FROM bd GROUP BY ALL),
-bm AS (SELECT replicate, model_name, bucket, sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(y0) OVER w AS y0, sum(y1) OVER w AS y1 FROM bl WINDOW w AS (PARTITION BY replicate, model_name ORDER BY bucket)),
-bc AS (SELECT replicate, model_name, (bucket + 1) / CAST({G} AS DOUBLE) AS target_fraction, (n0 + n1) * (p1 - p0) AS gain FROM (SELECT *, {_DIFF} FROM bm)),
-br AS (SELECT *, (gain + coalesce(lag(gain) OVER w, 0.0)) / 2 * (target_fraction - coalesce(lag(target_fraction) OVER w, 0.0)) AS area FROM bc WINDOW w AS (PARTITION BY replicate, model_name ORDER BY target_fraction)),
-ba AS (SELECT replicate, model_name, sum(area ORDER BY target_fraction) AS auuc, sum(area ORDER BY target_fraction) - 0.5 * arg_max(gain, target_fraction) AS qini FROM br GROUP BY ALL), {_long_metrics('ba', 'bc', 'bv')},
+def _uncertain(models: list[str], replicates: int) -> str:
+    """CTEs after ``cv`` and ``mt`` up to ``un``: estimates and intervals per outcome, model and metric."""
+    return f"""pa AS (SELECT 0 AS replicate, * FROM mt), pc AS (SELECT 0 AS replicate, * FROM cv), {long_metrics_sql('pa', 'pc', 'pt')},
+{paired_sql(models, replicates, ev.OUTCOMES)}, {draw_curves_sql()}, {long_metrics_sql('ba', 'bc', 'bv')},
 un AS (SELECT b.o AS outcome_name, b.m AS model_name, b.metric, any_value(p.value) AS estimate, quantile_cont(b.value, 0.025) AS ci_lower, quantile_cont(b.value, 0.975) AS ci_upper, count(DISTINCT b.replicate) AS bootstrap_replicates
   FROM bv b LEFT JOIN pt p ON p.o = b.o AND p.m = b.m AND p.metric = b.metric WHERE b.value IS NOT NULL GROUP BY ALL)"""
+
+
+_UN = f"{_CV}, {_uncertain(ev.MODELS, REPLICATES)}"
 _POLICY = f"""pw AS (SELECT {_NAMED}, {_PERCENT} AS percent, selected_rows, uplift AS cumulative_uplift, gain AS cumulative_gain FROM cv WHERE {_PERCENT} IN ({_REPORT})),
 po AS (SELECT w.*, w.cumulative_gain - r.cumulative_gain AS gain_above_response, g.ci_lower AS incremental_gain_ci_lower, g.ci_upper AS incremental_gain_ci_upper,
   CASE WHEN w.model_name = '{RESPONSE_MODEL}' AND w.percent IN ({_MAIN}) THEN 0.0 ELSE d.ci_lower END AS gain_above_response_ci_lower, CASE WHEN w.model_name = '{RESPONSE_MODEL}' AND w.percent IN ({_MAIN}) THEN 0.0 ELSE d.ci_upper END AS gain_above_response_ci_upper
@@ -195,6 +185,29 @@ def recommendations(spark, sf_dir):
     return rounded(ev.recommendations(comparison, intervals, ev.policy_table(curve, intervals)), 5)
 
 
+_CHOICE = [c for c in _RECOMMEND_COLUMNS if not c.startswith("mean_")]
+_RKV = f"{_rk(models=[*UPLIFT_MODELS, RESPONSE_MODEL]).replace('rk AS (', 'rk_plain AS (')}, rk AS (SELECT * REPLACE ('visit:' || model_name AS model_name) FROM rk_plain), {curve_tail()}"
+
+
+@query(
+    _round_all(
+        f"""WITH {_RKV}, {_uncertain([*UPLIFT_MODELS, RESPONSE_MODEL], REPLICATES)}, {_POLICY},
+ss AS (SELECT 'visit' AS outcome_name, unnest({UPLIFT_MODELS}) AS model_name, NULL::DOUBLE AS mean_spearman_rank_correlation, NULL::DOUBLE AS minimum_spearman_rank_correlation, NULL::DOUBLE AS mean_top_set_overlap, NULL::DOUBLE AS minimum_top_set_overlap), {_COMPARE}, {_RECOMMEND}
+SELECT * EXCLUDE (mean_stability_rank_correlation, mean_stability_top_set_overlap) FROM rc""",
+        _CHOICE,
+    )
+)
+def final_selection(spark, sf_dir):
+    """The same rule for one outcome's given rankings, without alternate fits."""
+    models = [*UPLIFT_MODELS, RESPONSE_MODEL]
+    rows = _ranked(spark, sf_dir, models=models).withColumn("model_name", F.concat(F.lit("visit:"), "model_name"))
+    curve = curves.cumulative_gain(rows, G)
+    intervals = files.written(ev.uncertainty(rows, REPLICATES, G, models), "uncertainty")
+    comparison = ev.model_comparison(ev.named(curves.curve_metrics(curve)), intervals)
+    found = ev.recommendations(comparison, intervals, ev.policy_table(curve, intervals).where("outcome_name = 'visit'"))
+    return rounded(found.drop("mean_stability_rank_correlation", "mean_stability_top_set_overlap"), 5)
+
+
 _CROSS = {"visit": "s_learner", "conversion": "x_learner"}
 _FRACTIONS = [0.1, 0.2, 0.3]
 

@@ -1,37 +1,47 @@
-"""Bootstrap from sufficient statistics: binomial for rates, paired multinomial for rankings."""
+"""Bootstrap from sufficient statistics: binomial for rates, paired Poisson for rankings.
+
+Draws come from hashed counters (see ``functions.streams``), so they don't depend on tasks, can be drawn again one by one, and have SQL.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.streams import binomial_quantile, binomial_table, poisson_quantile, with_uniform
 from quern.operators.curves import MAIN_PERCENTS, curve_from_cells, curve_metrics
 from quern.operators.policy import percent
 from quern.operators.ranking import bucket
 from quern.plans.experiment import RESPONSE_MODEL, UPLIFT_MODELS
+from quern.sources.files import written
 
 BINOMIAL_SEED = 20260809
-MULTINOMIAL_SEED = 20260825
-MOST_CELLS = 2_000_000
+PAIRED_SEED = 20260825
+#: replicates of a cell or an arm, at most
+MOST_REPLICATES = 1 << 16
 
 
 def binomial_draws(cells: DataFrame, replicates: int, seed: int = BINOMIAL_SEED) -> DataFrame:
-    """(outcome, replicate, absolute_lift, relative_lift); the treatment arm is drawn before the control arm.
+    """(outcome, replicate, absolute_lift, relative_lift): both arms' positives drawn anew, each from its own rate.
 
-    The sequence of draws is one stream per outcome, so it is made on the driver from four counts.
+    The first draws stay the same when there are more of them.
     """
-    frames = []
-    order = ["visit", "conversion"]
-    for r in cells.collect():
-        rng = np.random.default_rng(seed + (order.index(r.outcome) if r.outcome in order else len(order)))
-        p1 = rng.binomial(r.n1, r.y1 / r.n1, replicates) / r.n1
-        p0 = rng.binomial(r.n0, r.y0 / r.n0, replicates) / r.n0
-        relative = np.divide(p1 - p0, p0, out=np.full(replicates, np.nan), where=p0 > 0)
-        frames.append(pd.DataFrame({"outcome": r.outcome, "replicate": np.arange(replicates), "absolute_lift": p1 - p0, "relative_lift": relative}))
-    draws = cells.sparkSession.createDataFrame(pd.concat(frames), "outcome string, replicate int, absolute_lift double, relative_lift double")
-    return draws.withColumn("relative_lift", F.nanvl("relative_lift", F.lit(None).cast("double")))
+    check_replicates(replicates)
+    order = F.array(F.lit("visit"), F.lit("conversion"))
+    place = F.coalesce(F.array_position(order, F.col("outcome")).cast("long"), F.lit(0))
+    arms = cells.select("outcome", place.alias("place"), F.explode(F.array(*[F.struct(F.lit(t).alias("arm"), F.col(f"n{t}").alias("n"), F.col(f"y{t}").alias("y")) for t in (0, 1)])).alias("a")).select("outcome", "place", "a.*")
+    with_table = arms.withColumn("table", binomial_table(F.col("n"), F.col("y")))
+    every = with_table.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = with_uniform(every.withColumn("counter", (F.col("place") * 2 + F.col("arm")) * MOST_REPLICATES + F.col("replicate")), "counter", seed, "u")
+    rates = drawn.select("outcome", "replicate", "arm", (binomial_quantile(F.col("n"), F.col("y"), F.col("table"), F.col("u")) / F.col("n")).alias("p"))
+    both = rates.groupBy("outcome", "replicate").agg(*[F.max(F.when(F.col("arm") == t, F.col("p"))).alias(f"p{t}") for t in (0, 1)])
+    lift = F.col("p1") - F.col("p0")
+    return both.select("outcome", "replicate", lift.alias("absolute_lift"), F.try_divide(lift, F.col("p0")).alias("relative_lift"))
+
+
+def check_replicates(replicates: int) -> None:
+    if not 0 < replicates <= MOST_REPLICATES:
+        raise ValueError(f"replicates must be 1 to {MOST_REPLICATES}")
 
 
 def interval(column: str, level: float = 0.95) -> Column:
@@ -57,13 +67,19 @@ def split_half_stability(draws: DataFrame, limit: float = 0.02) -> DataFrame:
     return full.join(a, keys).join(b, keys).select(*keys, F.try_divide(worst, F.col("width")).alias("endpoint_change"), (F.try_divide(worst, F.col("width")) <= limit).alias("stable"))
 
 
-def escalated_draws(cells: DataFrame, first: int = 10_000, second: int = 50_000, seed: int = BINOMIAL_SEED) -> tuple[DataFrame, int]:
-    """Draws and their number: more of them if any split-half check fails."""
+def escalated_draws(cells: DataFrame, first: int = 10_000, second: int = 50_000, seed: int = BINOMIAL_SEED, *, strict: bool = True) -> tuple[DataFrame, int, bool]:
+    """Draws, their number, and whether halves of them agree; more are drawn if the first check fails.
+
+    If the second check fails too, ``strict`` raises: such intervals aren't to be published.
+    """
     for n in (first, second):
-        draws = binomial_draws(cells, n, seed)
-        if split_half_stability(draws).where("not stable").limit(1).count() == 0:
+        draws = written(binomial_draws(cells, n, seed), "binomial-draws")
+        stable = split_half_stability(draws).where("not stable").isEmpty()
+        if stable:
             break
-    return draws, n
+    if strict and not stable:
+        raise ValueError(f"halves of {n} draws still give different intervals")
+    return draws, n, stable
 
 
 def interval_agreement(analytical: DataFrame, bootstrap: DataFrame, limit: float = 0.10) -> DataFrame:
@@ -80,53 +96,58 @@ def interval_agreement(analytical: DataFrame, bootstrap: DataFrame, limit: float
     return out.withColumn("agrees", F.greatest("lower_difference", "upper_difference", "width_difference") <= limit)
 
 
-def joint_cells(ranked: DataFrame, models: list[str], groups: int = 20) -> DataFrame:
+def joint_cells(ranked: DataFrame, models: list[str], groups: int = 20, by: list[str] | None = None) -> DataFrame:
     """Rows per combination of all rankings' groups, arm and outcome: all that the paired bootstrap needs."""
-    wide = ranked.groupBy("source_row_id").agg(
+    by = by or []
+    wide = ranked.groupBy(*by, "source_row_id").agg(
         *[F.max(F.when(F.col("model_name") == m, bucket(groups))).alias(f"g_{m}") for m in models], F.max("treatment").alias("treatment"), F.max("outcome").alias("outcome")
     )
-    return wide.groupBy(*[f"g_{m}" for m in models], "treatment", "outcome").agg(F.count(F.lit(1)).alias("cell_rows"))
+    return wide.groupBy(*by, *[f"g_{m}" for m in models], "treatment", "outcome").agg(F.count(F.lit(1)).alias("cell_rows"))
+
+
+def stream_key(models: list[str], groups: int, stream: Column) -> Column:
+    """A cell's number: its stream, its group in each ranking (none: one more than the last), arm and outcome, as digits."""
+    key = stream.cast("long")
+    for m in models:
+        key = key * (groups + 1) + F.coalesce(F.col(f"g_{m}"), F.lit(groups))
+    return key * 4 + F.col("treatment") * 2 + F.col("outcome")
+
 
+def weighted_cells(cells: DataFrame, models: list[str], replicates: int, *, groups: int = 20, seed: int = PAIRED_SEED, stream: Column | None = None) -> DataFrame:
+    """Cells once per replicate with ``weight``: the sum of a Poisson weight of mean 1 for each of the cell's rows."""
+    check_replicates(replicates)
+    if 8 * (groups + 1) ** len(models) * MOST_REPLICATES >= 1 << 63:
+        raise ValueError("too many rankings and groups to number the cells in 64 bits")
+    keyed = cells.withColumn("stream_key", stream_key(models, groups, F.lit(0) if stream is None else stream))
+    every = keyed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    drawn = with_uniform(every.withColumn("counter", F.col("stream_key") * MOST_REPLICATES + F.col("replicate")), "counter", seed, "u")
+    return drawn.withColumn("weight", poisson_quantile(F.col("cell_rows"), F.col("u"))).drop("counter", "u")
 
-def paired_draws(cells: DataFrame, models: list[str], replicates: int, *, groups: int = 20, seed: int = MULTINOMIAL_SEED) -> DataFrame:
-    """(replicate, model_name, bucket, n0, n1, y0, y1) of multinomial resamples of the joint cells.
 
-    Replicates are dealt to tasks and have random streams of their own.  The cells, at most as many as
-    combinations of groups, travel to the tasks; beyond ``MOST_CELLS`` this raises.
+def paired_draws(cells: DataFrame, models: list[str], replicates: int, *, groups: int = 20, seed: int = PAIRED_SEED, by: list[str] | None = None, stream: Column | None = None) -> DataFrame:
+    """(by, replicate, model_name, bucket, n0, n1, y0, y1) of resamples of the joint cells, the same for all rankings.
+
+    A row's weight in a replicate is a Poisson number of mean 1, the limit of its count among draws with replacement; a
+    cell's weights add up to one Poisson number.  Nothing but partial sums leaves a task, however many cells there are.
     """
-    spark = cells.sparkSession
-    if cells.count() > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} occupied cells: use fewer groups or rankings")
-    names = [f"g_{m}" for m in models]
-    table = cells.toPandas().sort_values([*names, "treatment", "outcome"], kind="stable")
-    counts = table["cell_rows"].to_numpy(np.int64)
-    state = (table["treatment"] * 2 + table["outcome"]).to_numpy(np.int64)
-    at = [table[n].to_numpy(np.int64) * 4 + state for n in names]
-    total, shares = int(counts.sum()), counts / counts.sum()
-
-    def draw(frames):
-        for frame in frames:
-            parts = []
-            for r in frame["id"]:
-                weights = np.random.default_rng(np.random.SeedSequence(seed, spawn_key=(int(r),))).multinomial(total, shares)
-                for m, index in zip(models, at):
-                    c = np.bincount(index, weights=weights, minlength=groups * 4).reshape(groups, 2, 2).astype(np.int64)
-                    parts.append(pd.DataFrame({"replicate": r, "model_name": m, "bucket": np.arange(groups), "n0": c[:, 0].sum(1), "n1": c[:, 1].sum(1), "y0": c[:, 0, 1], "y1": c[:, 1, 1]}))
-            if parts:
-                yield pd.concat(parts)
-
-    return spark.range(replicates).mapInPandas(draw, "replicate long, model_name string, bucket int, n0 long, n1 long, y0 long, y1 long")
-
-
-def draw_metrics(draws: DataFrame, groups: int = 20, main: list[int] = MAIN_PERCENTS, models: list[str] = UPLIFT_MODELS) -> DataFrame:
-    """(replicate, model_name, metric, value): AUUC, Qini and gains, and paired differences within a replicate."""
-    keys = ["replicate", "model_name"]
+    by = by or []
+    weighted = weighted_cells(cells, models, replicates, groups=groups, seed=seed, stream=stream)
+    long = weighted.select(*by, "replicate", "treatment", "outcome", "weight", F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), F.col(f"g_{m}").alias("bucket")) for m in models])).alias("m")).select("*", "m.*").where("bucket is not null")
+    t1, y1 = F.col("treatment") == 1, F.col("outcome") == 1
+    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("weight"))), F.lit(0))
+    return long.groupBy(*by, "replicate", "model_name", "bucket").agg(some(~t1).alias("n0"), some(t1).alias("n1"), some(~t1 & y1).alias("y0"), some(t1 & y1).alias("y1"))
+
+
+def draw_metrics(draws: DataFrame, groups: int = 20, main: list[int] = MAIN_PERCENTS, models: list[str] = UPLIFT_MODELS, by: list[str] | None = None) -> DataFrame:
+    """(by, replicate, model_name, metric, value): AUUC, Qini and gains, and paired differences within a replicate."""
+    by = by or []
+    keys = [*by, "replicate", "model_name"]
     curve = curve_from_cells(draws, groups, by=keys)
     areas = curve_metrics(curve, keys)
     long = areas.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("auuc", "qini")])).alias("m")).select(*keys, "m.*")
     at = curve.withColumn("percent", percent()).where(F.col("percent").isin(main))
     own = long.unionByName(at.select(*keys, F.format_string("gain_at_%dpct", "percent").alias("metric"), F.col("cumulative_gain").alias("value")))
-    per = Window.partitionBy("replicate", "metric")
+    per = Window.partitionBy(*by, "replicate", "metric")
     of = lambda m: F.max(F.when(F.col("model_name") == m, F.col("value"))).over(per)
     place = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model_name"))
     others = [
@@ -143,17 +164,9 @@ def draw_metrics(draws: DataFrame, groups: int = 20, main: list[int] = MAIN_PERC
     return own.unionByName(paired)
 
 
-def bootstrap_summary(values: DataFrame, points: DataFrame | None = None) -> DataFrame:
+def bootstrap_summary(values: DataFrame, points: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Percentile intervals per model and metric, with the point estimates where given."""
-    found = values.where("value is not null").groupBy("model_name", "metric").agg(interval("value").alias("ci"), F.count_distinct("replicate").alias("bootstrap_replicates"))
-    out = found.select("model_name", "metric", F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper"), "bootstrap_replicates")
-    return out.join(points, ["model_name", "metric"], "left") if points is not None else out
-
-
-def hashed_draws(ranked: DataFrame, replicates: int, groups: int = 20) -> DataFrame:
-    """Cells of reweighted rows per replicate; weights 0 to 3 come from integer arithmetic on the id, so any engine repeats them."""
-    weight = (F.col("source_row_id") * 7919 + F.col("replicate") * 104_729 + (F.col("source_row_id") % 97) * (F.col("replicate") + 3) * 31) % 4
-    rows = ranked.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight.cast("long"))
-    t1, y1 = F.col("treatment") == 1, F.col("outcome") == 1
-    some = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
-    return rows.groupBy("replicate", "model_name", bucket(groups).alias("bucket")).agg(some(~t1).alias("n0"), some(t1).alias("n1"), some(~t1 & y1).alias("y0"), some(t1 & y1).alias("y1"))
+    keys = [*(by or []), "model_name", "metric"]
+    found = values.where("value is not null").groupBy(*keys).agg(interval("value").alias("ci"), F.count_distinct("replicate").alias("bootstrap_replicates"))
+    out = found.select(*keys, F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper"), "bootstrap_replicates")
+    return out.join(points, keys, "left") if points is not None else out

@@ -94,37 +94,3 @@ def spearman(wide: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of two columns, ties averaged."""
     ranks = average_ranks(average_ranks(wide.select(a, b), a), b)
     return ranks.agg(F.corr(f"{a}_rank", f"{b}_rank").alias("spearman_rank_correlation"), F.count(F.lit(1)).alias("rows"))
-
-
-def final_selection(metrics: DataFrame, uncertainty: DataFrame, policy: DataFrame, stability: DataFrame | None = None, models: list[str] = UPLIFT_MODELS, main: list[int] = MAIN_PERCENTS) -> DataFrame:
-    """The recommended ranking and rate; its inputs are a few rows each.
-
-    Start from the highest Qini (ties: the simpler model).  Take the first simpler model whose paired
-    difference from it has a lower bound of 0 or below.  Deploy it only if its Qini is above the response
-    ranking's with a lower bound above 0, else the response ranking.  Of the main rates take that with
-    the highest lower bound of the gain, then with the highest gain.
-    """
-    m = {r.model_name: r for r in metrics.collect()}
-    u = {(r.model_name, r.metric): r for r in uncertainty.collect()}
-    p = [r for r in policy.collect() if r.percent in main]
-    leader = min((x for x in models if x in m), key=lambda x: (-m[x].qini, models.index(x)))
-    chosen = next(
-        (s for s in models[: models.index(leader)] if (leader, f"qini_minus_{s}") in u and u[leader, f"qini_minus_{s}"].ci_lower <= 0.0), leader
-    )
-    above = u.get((chosen, "qini_minus_response"))
-    beats = bool(above and above.ci_lower > 0)
-    deployed = chosen if beats else RESPONSE_MODEL
-    low = {x.percent: u[deployed, f"gain_at_{x.percent}pct"].ci_lower for x in p if x.model_name == deployed and (deployed, f"gain_at_{x.percent}pct") in u}
-    own = [x for x in p if x.model_name == deployed]
-    pick = max(own, key=lambda x: (low.get(x.percent, float("-inf")), x.cumulative_gain))
-    bounds = u.get((deployed, f"gain_at_{pick.percent}pct"))
-    row = (
-        leader, chosen, chosen != leader, deployed, beats, pick.percent, int(pick.selected_rows), float(pick.cumulative_gain),
-        float(bounds.ci_lower) if bounds else None, float(bounds.ci_upper) if bounds else None, float(m[chosen].qini),
-    )
-    schema = "point_qini_leader string, recommended_uplift_model string, simplicity_rule_applied boolean, deployment_ranking string, beats_response boolean, recommended_percent int, selected_users long, incremental_outcomes double, incremental_ci_lower double, incremental_ci_upper double, uplift_model_qini double"
-    out = metrics.sparkSession.createDataFrame([row], schema)
-    if stability is not None:
-        means = stability.groupBy(F.col("model_name").alias("recommended_uplift_model")).agg(F.avg("spearman_rank_correlation").alias("mean_rank_correlation"), F.avg("top_set_overlap").alias("mean_top_overlap"))
-        out = out.join(F.broadcast(means), "recommended_uplift_model", "left")  # a row per model
-    return out

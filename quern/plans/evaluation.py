@@ -15,6 +15,7 @@ from quern.functions.scalar import safe_ratio
 from quern.operators import bootstrap, curves, policy, ranking
 from quern.operators.learners import pseudo_outcome
 from quern.plans.experiment import RESPONSE_MODEL, UPLIFT_MODELS
+from quern.sources import files
 
 OUTCOMES = ["visit", "conversion"]
 MODELS = [*UPLIFT_MODELS, RESPONSE_MODEL, "constant_ate"]
@@ -85,17 +86,30 @@ def _each(make) -> DataFrame:
     return out
 
 
-def uncertainty(rows: DataFrame, replicates: int, groups: int) -> DataFrame:
-    """(outcome_name, model_name, metric, estimate, ci_lower, ci_upper, bootstrap_replicates) from reweighted rows."""
-    cells = curves.cells(rows, groups).withColumn("replicate", F.lit(0))
-    draws = bootstrap.hashed_draws(rows, replicates, groups)
+def stream_of(outcome: str = "outcome_name") -> Column:
+    return F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col(outcome))
 
-    def one(outcome: str) -> DataFrame:
-        points = bootstrap.draw_metrics(of_outcome(cells, outcome), groups).select("model_name", "metric", F.col("value").alias("estimate"))
-        found = bootstrap.bootstrap_summary(bootstrap.draw_metrics(of_outcome(draws, outcome), groups), points)
-        return found.select("model_name", "metric", "estimate", "ci_lower", "ci_upper", "bootstrap_replicates")
 
-    return _each(one)
+def uncertainty(rows: DataFrame, replicates: int, groups: int, models: list[str] = MODELS) -> DataFrame:
+    """(outcome_name, model_name, metric, estimate, ci_lower, ci_upper, bootstrap_replicates) from the paired bootstrap of ranked ``rows``.
+
+    All outcomes are drawn together, and the draws are written once.
+    """
+    by = ["outcome_name"]
+    own = named(rows)
+    cells = files.written(bootstrap.joint_cells(own, models, groups, by), "joint-cells")
+    draws = files.written(bootstrap.paired_draws(cells, models, replicates, groups=groups, by=by, stream=stream_of()), "draws")
+    points = bootstrap.draw_metrics(cell_counts(cells, models, by), groups, by=by).select(*by, "model_name", "metric", F.col("value").alias("estimate"))
+    found = bootstrap.bootstrap_summary(bootstrap.draw_metrics(draws, groups, by=by), points, by)
+    return found.select(*by, "model_name", "metric", "estimate", "ci_lower", "ci_upper", "bootstrap_replicates")
+
+
+def cell_counts(cells: DataFrame, models: list[str], by: list[str]) -> DataFrame:
+    """The joint cells' own counts per ranking and group, as replicate 0."""
+    long = cells.select(*by, "treatment", "outcome", F.col("cell_rows").alias("w"), F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), F.col(f"g_{m}").alias("bucket")) for m in models])).alias("m")).select("*", "m.*")
+    some = lambda t, y: F.sum(F.when((F.col("treatment") == t) & (F.col("outcome") >= y), F.col("w")).otherwise(0))
+    counts = long.groupBy(*by, "model_name", "bucket").agg(some(0, 0).alias("n0"), some(1, 0).alias("n1"), some(0, 1).alias("y0"), some(1, 1).alias("y1"))
+    return counts.withColumn("replicate", F.lit(0))
 
 
 def policy_table(curve: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -146,11 +160,15 @@ def _complexity(model: str = "model_name") -> Column:
     return F.array_position(F.array(*[F.lit(m) for m in UPLIFT_MODELS]), F.col(model)).cast("int")
 
 
-def model_comparison(metrics: DataFrame, intervals: DataFrame, summary: DataFrame) -> DataFrame:
-    """Uplift models by outcome: area measures, the paired difference from the response ranking, and stability."""
+STABILITY = [f"{p}_{c}" for c in ("spearman_rank_correlation", "top_set_overlap") for p in ("mean", "minimum")]
+
+
+def model_comparison(metrics: DataFrame, intervals: DataFrame, summary: DataFrame | None = None) -> DataFrame:
+    """Uplift models by outcome: area measures, the paired difference from the response ranking, and stability (null without ``summary``)."""
     above = intervals.where("metric = 'qini_minus_response'").select("outcome_name", "model_name", F.col("estimate").alias("qini_minus_response"), F.col("ci_lower").alias("qini_minus_response_ci_lower"), F.col("ci_upper").alias("qini_minus_response_ci_upper"))
     own = metrics.where(F.col("model_name").isin(UPLIFT_MODELS)).select("outcome_name", "model_name", _complexity().alias("complexity_rank"), "auuc", "qini")
-    return own.join(above, ["outcome_name", "model_name"]).join(summary, ["outcome_name", "model_name"])
+    found = own.join(above, ["outcome_name", "model_name"])
+    return found.join(summary, ["outcome_name", "model_name"]) if summary is not None else found.withColumns({c: F.lit(None).cast("double") for c in STABILITY})
 
 
 def recommendations(comparison: DataFrame, intervals: DataFrame, table: DataFrame) -> DataFrame:

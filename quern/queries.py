@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import streams
 from quern.functions.scalar import Z_95, log_normal_tail_sql, tie_key_sql, with_tie_key
 from quern.operators import artifacts, audit, bootstrap, curves, effects, learners, policy, ranking, segments
-from quern.plans.experiment import EXPERIMENT_SQL, FEATURES, FLAGS, SCORES, UPLIFT_MODELS, experiment, scores, scores_sql
+from quern.plans.experiment import EXPERIMENT_SQL, FEATURES, FLAGS, RESPONSE_MODEL, SCORES, UPLIFT_MODELS, experiment, scores, scores_sql
 from quern.registry import ORACLES, QUERIES, query, rounded  # noqa: F401
 from quern.sources.files import written
 from quern.streaming.counters import ARM, arm_counters
@@ -575,61 +576,111 @@ def bootstrap_cells(spark, sf_dir):
     return bootstrap.joint_cells(_ranked(spark, sf_dir, models=_JOINT), _JOINT, G)
 
 
-_BM = ["s_learner", "x_learner", "response_propensity"]
-_R = 12
+def paired_sql(models: list[str], replicates: int, outcomes: list[str] | None = None, source: str = "rk", name: str = "bl") -> str:
+    """CTEs up to ``name``: replicate, model_name, bucket and counts of the paired bootstrap; models are named outcome:model if ``outcomes`` are given."""
+    split = "split_part(model_name, ':', 1) AS o, split_part(model_name, ':', 2) AS m" if outcomes else "'' AS o, model_name AS m"
+    key = f"list_position({outcomes}, o)" if outcomes else "0"
+    for m in models:
+        key = f"({key}) * {G + 1} + coalesce(g_{m}, {G})"
+    full = "o || ':' || v.m" if outcomes else "v.m"
+    return f"""{name}_w AS (SELECT o, {', '.join(f"max(bucket) FILTER (WHERE m = '{m}') AS g_{m}" for m in models)}, max(treatment) AS t, max(outcome) AS y
+  FROM (SELECT {split}, source_row_id, CAST(least(rank * {G} // n, {G - 1}) AS INTEGER) AS bucket, treatment, outcome FROM {source}) GROUP BY o, source_row_id),
+{name}_c AS MATERIALIZED (SELECT *, (({key}) * 4 + t * 2 + y)::BIGINT AS key FROM (SELECT o, {', '.join(f'g_{m}' for m in models)}, t, y, count(*) AS c FROM {name}_w GROUP BY ALL)),
+{streams.poisson_tables_sql(name + '_p')},
+{name}_d AS (SELECT *, {streams.poisson_quantile_sql('c', 'u', 'z')} AS w FROM (SELECT *, {streams.normal_quantile_sql('u')} AS z FROM (
+  SELECT *, {streams.uniform_sql(f'(key * {bootstrap.MOST_REPLICATES} + replicate)', bootstrap.PAIRED_SEED)} AS u FROM {name}_c, range({replicates}) r(replicate))), {name}_p),
+{name} AS (SELECT replicate, {full} AS model_name, v.bucket, coalesce(sum(w) FILTER (WHERE t = 0), 0) AS n0, coalesce(sum(w) FILTER (WHERE t = 1), 0) AS n1, coalesce(sum(w) FILTER (WHERE t = 0 AND y = 1), 0) AS y0, coalesce(sum(w) FILTER (WHERE t = 1 AND y = 1), 0) AS y1
+  FROM {name}_d, LATERAL (VALUES {', '.join(f"('{m}', g_{m})" for m in models)}) v(m, bucket) WHERE v.bucket IS NOT NULL GROUP BY ALL)"""
+
+
+def draw_curves_sql(name: str = "bl") -> str:
+    """CTEs after ``paired_sql``: bc, the draws' curves, and ba, their areas."""
+    return f"""bm AS (SELECT replicate, model_name, bucket, sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(y0) OVER w AS y0, sum(y1) OVER w AS y1 FROM {name} WINDOW w AS (PARTITION BY replicate, model_name ORDER BY bucket)),
+bc AS (SELECT replicate, model_name, (bucket + 1) / CAST({G} AS DOUBLE) AS target_fraction, (n0 + n1) * (p1 - p0) AS gain FROM (SELECT *, {_DIFF} FROM bm)),
+br AS (SELECT *, (gain + coalesce(lag(gain) OVER w, 0.0)) / 2 * (target_fraction - coalesce(lag(target_fraction) OVER w, 0.0)) AS area FROM bc WINDOW w AS (PARTITION BY replicate, model_name ORDER BY target_fraction)),
+ba AS (SELECT replicate, model_name, sum(area ORDER BY target_fraction) AS auuc, sum(area ORDER BY target_fraction) - 0.5 * arg_max(gain, target_fraction) AS qini FROM br GROUP BY ALL)"""
+
+
+def long_metrics_sql(areas: str, curve: str, name: str, percents: list[int] = curves.MAIN_PERCENTS, named: bool = True) -> str:
+    """CTE ``name``: replicate, outcome, model, metric, value and paired differences, from areas and curve points."""
+    place = lambda x: f"list_position({UPLIFT_MODELS}, {x}.m)"
+    split = "split_part(model_name, ':', 1) AS o, split_part(model_name, ':', 2) AS m" if named else "'' AS o, model_name AS m"
+    return f"""{name}_o AS (SELECT replicate, {split}, metric, value FROM (
+  SELECT replicate, model_name, 'auuc' AS metric, auuc AS value FROM {areas} UNION ALL SELECT replicate, model_name, 'qini', qini FROM {areas}
+  UNION ALL SELECT replicate, model_name, 'gain_at_' || CAST({_PERCENT} AS VARCHAR) || 'pct', gain FROM {curve} WHERE {_PERCENT} IN ({', '.join(map(str, percents))}))),
+{name} AS (SELECT * FROM {name}_o UNION ALL SELECT a.replicate, a.o, a.m, a.metric || '_minus_response', a.value - b.value FROM {name}_o a JOIN {name}_o b USING (replicate, o, metric) WHERE b.m = '{RESPONSE_MODEL}' AND a.m <> b.m
+  UNION ALL SELECT a.replicate, a.o, a.m, a.metric || '_minus_' || b.m, a.value - b.value FROM {name}_o a JOIN {name}_o b USING (replicate, o, metric) WHERE metric IN ('auuc', 'qini') AND {place('a')} > {place('b')} AND {place('b')} > 0)"""
+
+
+def _paired_sql(models: list[str], replicates: int, percents: list[int] = curves.MAIN_PERCENTS, where: str = "true") -> str:
+    return f"""WITH {_rk(models=models)}, {paired_sql(models, replicates)}, {draw_curves_sql()}, {long_metrics_sql('ba', 'bc', 'bv', percents, False)}
+SELECT m AS model_name, metric, round(quantile_cont(value, 0.025), 5) + 0.0 AS ci_lower, round(quantile_cont(value, 0.975), 5) + 0.0 AS ci_upper, count(DISTINCT replicate) AS bootstrap_replicates FROM bv WHERE value IS NOT NULL AND {where} GROUP BY ALL"""
+
+
+def _paired(spark, sf_dir, models, replicates, percents=curves.MAIN_PERCENTS):
+    rows = _ranked(spark, sf_dir, models=models)
+    cells = written(bootstrap.joint_cells(rows, models, G), "joint-cells")
+    draws = written(bootstrap.paired_draws(cells, models, replicates, groups=G), "draws")
+    return bootstrap.draw_metrics(draws, G, percents)
 
 
-@query(
-    f"""WITH {_rk(models=_BM)}, d AS (SELECT replicate, model_name, CAST(least(rank * {G} // n, {G - 1}) AS INTEGER) AS bucket, treatment, outcome, (source_row_id * 7919 + replicate * 104729 + (source_row_id % 97) * (replicate + 3) * 31) % 4 AS w FROM rk, range({_R}) t(replicate)),
-cl AS (SELECT replicate, model_name, bucket, sum(w) FILTER (WHERE treatment = 0) AS n0, sum(w) FILTER (WHERE treatment = 1) AS n1, coalesce(sum(w) FILTER (WHERE treatment = 0 AND outcome = 1), 0) AS y0, coalesce(sum(w) FILTER (WHERE treatment = 1 AND outcome = 1), 0) AS y1 FROM d GROUP BY ALL),
-cm AS (SELECT replicate, model_name, bucket, sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(y0) OVER w AS y0, sum(y1) OVER w AS y1 FROM cl WINDOW w AS (PARTITION BY replicate, model_name ORDER BY bucket)),
-cv AS (SELECT replicate, model_name, (bucket + 1) / CAST({G} AS DOUBLE) AS f, (n0 + n1) * (y1 / n1 - y0 / n0) AS gain FROM cm),
-ar AS (SELECT *, (gain + coalesce(lag(gain) OVER w, 0.0)) / 2 * (f - coalesce(lag(f) OVER w, 0.0)) AS area FROM cv WINDOW w AS (PARTITION BY replicate, model_name ORDER BY f)),
-q AS (SELECT replicate, model_name, sum(area) - 0.5 * arg_max(gain, f) AS qini FROM ar GROUP BY ALL),
-v AS (SELECT model_name, 'qini' AS metric, qini AS value FROM q UNION ALL SELECT a.model_name, 'qini_minus_response', a.qini - b.qini FROM q a JOIN q b ON a.replicate = b.replicate AND b.model_name = 'response_propensity' WHERE a.model_name <> 'response_propensity')
-SELECT model_name, metric, round(quantile_cont(value, 0.025), 5) AS ci_lower, round(quantile_cont(value, 0.975), 5) AS ci_upper, CAST({_R} AS BIGINT) AS bootstrap_replicates FROM v GROUP BY ALL"""
-)
-def bootstrap_summary(spark, sf_dir):
-    """Percentile intervals of Qini from reweighted rows; weights are integer arithmetic on ids."""
-    draws = bootstrap.hashed_draws(_ranked(spark, sf_dir, models=_BM), _R, G)
-    values = bootstrap.draw_metrics(draws, G).where(F.col("metric").isin("qini", "qini_minus_response"))
-    return rounded(bootstrap.bootstrap_summary(values).withColumn("ci_lower", F.col("ci_lower") + F.lit(0.0)), 5)
+def _rounded_intervals(found):
+    return rounded(found.withColumn("ci_lower", F.col("ci_lower") + F.lit(0.0)).withColumn("ci_upper", F.col("ci_upper") + F.lit(0.0)), 5)
 
 
-@query()
-def binomial_bootstrap(spark, sf_dir):
-    """Bootstrap and analytical intervals of both lifts, and how far they agree."""
-    cells = _oc(spark, sf_dir)
-    draws, _ = bootstrap.escalated_draws(cells)
-    found = effects.effect_summary(cells)
-    pick = lambda m, lo, hi: F.struct(F.lit(m).alias("measure"), F.col(lo).alias("ci_lower"), F.col(hi).alias("ci_upper"))
-    analytical = found.select("outcome", F.explode(F.array(pick("absolute_lift", "absolute_ci_lower", "absolute_ci_upper"), pick("relative_lift", "relative_ci_lower", "relative_ci_upper"))).alias("m")).select("outcome", "m.*")
-    return bootstrap.interval_agreement(analytical, bootstrap.percentile_intervals(draws))
+_BM = ["s_learner", "x_learner", RESPONSE_MODEL]
+_ALL = [*UPLIFT_MODELS, RESPONSE_MODEL]
+_R = 200
+_MANY = 2000
 
 
-def _paired(spark, sf_dir, replicates, percents=curves.MAIN_PERCENTS):
-    models = [*UPLIFT_MODELS, "response_propensity"]
-    rows = _ranked(spark, sf_dir, models=models)
-    draws = bootstrap.paired_draws(bootstrap.joint_cells(rows, models, G), models, replicates, groups=G)
-    return rows, bootstrap.draw_metrics(draws, G, percents)
+@query(_paired_sql(_BM, _R, where="metric IN ('qini', 'qini_minus_response')"))
+def bootstrap_summary(spark, sf_dir):
+    """Percentile intervals of Qini and of paired differences in it."""
+    values = _paired(spark, sf_dir, _BM, _R).where(F.col("metric").isin("qini", "qini_minus_response"))
+    return _rounded_intervals(bootstrap.bootstrap_summary(values))
 
 
-@query()
+@query(_paired_sql(_ALL, _R))
 def paired_bootstrap(spark, sf_dir):
-    return bootstrap.bootstrap_summary(_paired(spark, sf_dir, 200)[1])
+    return _rounded_intervals(bootstrap.bootstrap_summary(_paired(spark, sf_dir, _ALL, _R)))
 
 
-@query()
+@query(_paired_sql(_ALL, _MANY, [5, *curves.MAIN_PERCENTS]))
 def bootstrap_sensitivity(spark, sf_dir):
     """The same intervals from ten times the draws, at 5 % of the rows too."""
-    return bootstrap.bootstrap_summary(_paired(spark, sf_dir, 2000, [5, *curves.MAIN_PERCENTS])[1])
+    return _rounded_intervals(bootstrap.bootstrap_summary(_paired(spark, sf_dir, _ALL, _MANY, [5, *curves.MAIN_PERCENTS])))
 
 
-@query()
-def final_selection(spark, sf_dir):
-    rows, values = _paired(spark, sf_dir, 200)
-    curve = curves.cumulative_gain(rows, G)
-    return policy.final_selection(curves.curve_metrics(curve), bootstrap.bootstrap_summary(values), policy.policy_summary(curve))
+_ARMS = f"ba_i AS (SELECT outcome, list_position(['visit', 'conversion'], outcome) AS place, arm, CASE arm WHEN 0 THEN n0 ELSE n1 END AS n, CASE arm WHEN 0 THEN y0 ELSE y1 END AS y FROM oc, (VALUES (0), (1)) v(arm))"
+
+
+@query(
+    f"""WITH {EXP}, oc AS ({_OC}), {_ARMS}, {streams.binomial_table_sql('ba_i', 'outcome, arm', 'ba_t')},
+ba_u AS (SELECT *, {streams.normal_quantile_sql('u')} AS z FROM (SELECT *, {streams.uniform_sql(f'((place * 2 + arm) * {bootstrap.MOST_REPLICATES} + replicate)', bootstrap.BINOMIAL_SEED)} AS u FROM ba_t, range(50000) r(replicate))),
+ba_p AS (SELECT outcome, replicate, max(p) FILTER (WHERE arm = 0) AS p0, max(p) FILTER (WHERE arm = 1) AS p1 FROM (SELECT *, {streams.binomial_quantile_sql('n', 'y', 'u', 'z')} / n AS p FROM ba_u) GROUP BY ALL),
+ba_l AS MATERIALIZED (SELECT outcome, replicate, m.measure, m.value FROM ba_p, LATERAL (VALUES ('absolute_lift', p1 - p0), ('relative_lift', CASE WHEN p0 > 0 THEN (p1 - p0) / p0 END)) m(measure, value) WHERE m.value IS NOT NULL),
+ba_h AS (SELECT total, outcome, measure, h, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi
+  FROM (SELECT *, CASE h WHEN 0 THEN replicate < total // 2 WHEN 1 THEN replicate >= total // 2 ELSE true END AS inside FROM ba_l, (VALUES (10000), (50000)) t(total), range(3) r(h) WHERE replicate < total) WHERE inside GROUP BY ALL),
+ba_s AS (SELECT total, bool_and(greatest(abs(a.lo - b.lo), abs(a.hi - b.hi)) / (c.hi - c.lo) <= 0.02) AS stable FROM ba_h a JOIN ba_h b USING (total, outcome, measure) JOIN ba_h c USING (total, outcome, measure) WHERE a.h = 0 AND b.h = 1 AND c.h = 2 GROUP BY total),
+ba_n AS (SELECT CASE WHEN (SELECT stable FROM ba_s WHERE total = 10000) THEN 10000 ELSE 50000 END AS total),
+ef AS (SELECT *, y0 / n0 AS p0, y1 / n1 AS p1, {_LOG_SE} AS log_se FROM oc),
+an AS (SELECT outcome, m.* FROM ef, LATERAL (VALUES ('absolute_lift', p1 - p0 - 1.96 * sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0), p1 - p0 + 1.96 * sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)),
+  ('relative_lift', exp(ln(p1 / p0) - 1.96 * log_se) - 1, exp(ln(p1 / p0) + 1.96 * log_se) - 1)) m(measure, al, au))
+SELECT outcome, measure, round(lo, 9) + 0.0 AS ci_lower, round(hi, 9) + 0.0 AS ci_upper, round(abs(lo - al) / (au - al), 6) AS lower_difference, round(abs(hi - au) / (au - al), 6) AS upper_difference, round(abs((hi - lo) - (au - al)) / (au - al), 6) AS width_difference,
+  greatest(abs(lo - al), abs(hi - au), abs((hi - lo) - (au - al))) / (au - al) <= 0.10 AS agrees, total::BIGINT AS bootstrap_replicates, stable
+FROM ba_h JOIN ba_n USING (total) JOIN ba_s USING (total) JOIN an USING (outcome, measure) WHERE h = 2"""
+)
+def binomial_bootstrap(spark, sf_dir):
+    """Bootstrap intervals of both lifts, how far the analytical ones agree, and whether halves of the draws do."""
+    cells = _oc(spark, sf_dir)
+    draws, n, stable = bootstrap.escalated_draws(cells, strict=False)
+    found = effects.effect_summary(cells)
+    pick = lambda m, lo, hi: F.struct(F.lit(m).alias("measure"), F.col(lo).alias("ci_lower"), F.col(hi).alias("ci_upper"))
+    analytical = found.select("outcome", F.explode(F.array(pick("absolute_lift", "absolute_ci_lower", "absolute_ci_upper"), pick("relative_lift", "relative_ci_lower", "relative_ci_upper"))).alias("m")).select("outcome", "m.*")
+    own = bootstrap.percentile_intervals(draws)
+    agreement = bootstrap.interval_agreement(analytical, own).join(own, ["outcome", "measure"])
+    return rounded(rounded(agreement, 9, ("lower_difference", "upper_difference", "width_difference")), 6, ("ci_lower", "ci_upper")).withColumn("bootstrap_replicates", F.lit(n).cast("long")).withColumn("stable", F.lit(stable))
 
 
 @query(f"WITH {_curve()} SELECT model_name, CAST(round(target_fraction * {G}) AS INTEGER) AS point, selected_rows, gain AS cumulative_gain FROM cv")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scalar import log_normal_tail, p_value_text, with_tie_key
 from quern.operators import artifacts, audit, bootstrap, curves, effects, learners, policy, ranking, segments
+from quern.plans import evaluation as ev
 from quern.plans.experiment import FEATURES
 from quern.sources import files
 
@@ -188,13 +189,23 @@ def test_bootstraps(spark):
     again = bootstrap.bootstrap_summary(bootstrap.draw_metrics(bootstrap.paired_draws(cells, models, 20, seed=7)))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
     curve = curves.cumulative_gain(ranked)
-    chosen = policy.final_selection(curves.curve_metrics(curve), found, policy.policy_summary(curve)).first()
+    named = ranked.withColumn("model_name", F.concat(F.lit("visit:"), "model_name"))
+    intervals = ev.uncertainty(named, 200, 20, models)
+    whole = curves.cumulative_gain(named)
+    chosen = ev.recommendations(ev.model_comparison(ev.named(curves.curve_metrics(whole)), intervals), intervals, ev.policy_table(whole, intervals)).first()
     assert chosen.beats_response and chosen.deployment_ranking == chosen.recommended_uplift_model == "s_learner"
+    kinds = F.col("metric").isin("auuc", "qini") | F.col("metric").rlike("^gain_at_[0-9]+pct$")
+    assert intervals.where(kinds).where("estimate < ci_lower or estimate > ci_upper").isEmpty()
     points = policy.with_intervals(policy.policy_summary(curve), found).collect()
     assert all((r.incremental_gain_ci_lower is not None) == (r.percent in (10, 20, 30)) for r in points)
     cells2 = spark.createDataFrame([("visit", 1000, 5000, 100, 700)], "outcome string, n0 long, n1 long, y0 long, y1 long")
-    draws, n = bootstrap.escalated_draws(cells2, 200, 400)
+    draws, n, _ = bootstrap.escalated_draws(cells2, 200, 400, strict=False)
     assert n in (200, 400) and draws.count() == n
+    with pytest.raises(ValueError, match="halves"):
+        bootstrap.escalated_draws(cells2, 20, 30)
+    for wrong in (0, bootstrap.MOST_REPLICATES + 1):
+        with pytest.raises(ValueError, match="replicates"):
+            bootstrap.binomial_draws(cells2, wrong)
 
 
 def test_split_keeps_equal_rows_together(spark):
