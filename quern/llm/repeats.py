@@ -6,7 +6,7 @@ suffix buckets at a time.
 1. Cover samples: the places of a text whose offset modulo the period lies in a difference cover.  Of any two equal strings of
    ``least`` bytes, at whatever offsets, some pair of samples stands at the same distance from their starts, with ``least`` - period + 1
    equal bytes.  Samples are ranked by buckets over all shards; a string none of whose samples has an equal in another row is unique.
-2. Suffixes that remain are sorted by hashes of their first ``least`` bytes, a quarter of the buckets at a time, so memory and disk are
+2. Suffixes that remain are sorted by hashes of their first ``least`` bytes, a third of the buckets at a time, so memory and disk are
    bounded by a block.  Ties end at ``least`` bytes.  Of equal ones the smallest id is found over all shards, and a suffix whose document's id is
    larger is removed.  Two hashes, of 64 and 32 bits, stand for the bytes.
 
@@ -31,7 +31,7 @@ from quern.llm.common import table
 from quern.llm.shards import PLACE_BITS, SHARD_BYTES
 
 LEAST_BYTES = 50
-BLOCKS = 4
+BLOCKS = 3
 #: Perfect difference covers, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Odd multipliers of the hashes.
@@ -45,22 +45,50 @@ def cover_of(least: int) -> tuple[int, np.ndarray]:
     return period, np.array(COVERS[period], np.int64)
 
 
-def string_hash(data: np.ndarray, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+def _parts(length: int) -> list[int]:
+    """Where 8-byte words begin that cover ``length`` bytes."""
+    return [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])] if length >= 8 else [0]
+
+
+def string_hash(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """64-bit hashes of the ``length`` bytes at each place; ``data`` has 8 bytes more than the text."""
     words = np.ndarray((max(0, len(data) - 7),), "<u8", buffer=data, strides=(1,))
-    factor, out = _FACTORS[which], np.full(len(at), length + which, np.uint64)
-    offsets = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])] if length >= 8 else [0]
-    for o in offsets:
+    out = np.full(len(at), length, np.uint64)
+    for o in _parts(length):
         word = words[at + o]
         if length < 8:
             word &= np.uint64((1 << 8 * length) - 1)
         out ^= word
-        out *= factor
+        out *= _FACTORS[0]
         out ^= out >> np.uint64(29)
-    out *= _FACTORS[1 - which]
+    out *= _FACTORS[1]
     return out ^ (out >> np.uint64(32))
 
 
+def string_hashes(data: np.ndarray, length: int, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash (that of ``string_hash``) and another one of 32 bits of the ``length`` bytes at every place, a few thousand places at a time."""
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", buffer=data, strides=(1,))
+    n = max(0, len(data) - 8 - length + 1)
+    keys, checks = np.empty(n, np.uint64), np.empty(n, np.uint32)
+    mask = np.uint64((1 << 8 * min(8, length)) - 1)
+    for i in range(0, n, step):
+        m = min(step, n - i)
+        x, y, moved = np.full(m, length, np.uint64), np.full(m, length + 1, np.uint64), np.empty(m, np.uint64)
+        for o in _parts(length):
+            word = words[i + o : i + o + m] & mask
+            for h, factor in ((x, _FACTORS[0]), (y, _FACTORS[1])):
+                np.bitwise_xor(h, word, out=h)
+                np.multiply(h, factor, out=h)
+            np.right_shift(x, np.uint64(29), out=moved)
+            np.bitwise_xor(x, moved, out=x)
+        x *= _FACTORS[1]
+        keys[i : i + m] = x ^ (x >> np.uint64(32))
+        y ^= y >> np.uint64(32)
+        y *= _FACTORS[0]
+        checks[i : i + m] = y >> np.uint64(32)
+    return keys, checks
+
+
 def samples(starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, text) of the cover samples that some string of ``least`` bytes holds, in order."""
     period, cover = cover_of(least)
@@ -119,13 +147,13 @@ class Suffixes:
     def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, least: int, span: tuple[int, int, int]):
         low, high, buckets = span
         self.at, self.run = places(first, last)
-        key = string_hash(data, self.at, least)
+        key, check = string_hashes(data, least)
+        key, check = key[self.at], check[self.at]
         if high - low < buckets:
             width = np.uint64(64 - (buckets.bit_length() - 1))
             bucket = key >> width
             own = (bucket >= low) & (bucket < high)
-            self.at, self.run, key = self.at[own], self.run[own], key[own]
-        check = (string_hash(data, self.at, least, 1) >> np.uint64(32)).astype(np.uint32)
+            self.at, self.run, key, check = self.at[own], self.run[own], key[own], check[own]
         order = ordered(key, check)
         self.at, self.run, key, check = self.at[order], self.run[order], key[order], check[order]
         self.starts = groups(key, check)
