@@ -35,13 +35,14 @@ MOST_WORDS = 4
 COVERED_PERCENT = 80
 TOP = 2000
 SCALE = 2_000_000
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: first cut of each language's best: tasks among which its phrases are dealt
 DEAL = 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 #: ends of pieces become line ends, tabs blanks
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
-STATE = "shard long, names binary, keys binary, lang array<string>, phrase array<string>, last array<string>, n array<long>"
+#: phrases hold no line end, which parts them; langs are in the order of their phrases
+STATE = "shard long, langs array<struct<lang: string, states: long, words: long>>, names binary, keys binary, n binary, phrases binary"
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,16 +60,7 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, list[str]]:
     return ids[ids > -2], [w.decode() for w, r in zip(words, real) if r]
 
 
-def listed(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-
-def state(shard: int, names: np.ndarray, keys: np.ndarray, lang: pa.Array, phrase: pa.Array, last: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    blobs = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (names, keys)]
-    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *blobs, *map(listed, (lang, phrase, last, pa.array(n, pa.int64())))], names=["shard", "names", "keys", "lang", "phrase", "last", "n"])
-
-
-def first_level(shard: int, by_lang: dict[str, list[bytes]]) -> pa.RecordBatch:
+def first_level(by_lang: dict[str, list[bytes]]) -> Level:
     """The states of single words, all of them, and the state at each place."""
     places, keys, langs, words, total = [], [], [], [], 0
     for lang, texts in by_lang.items():
@@ -76,27 +68,33 @@ def first_level(shard: int, by_lang: dict[str, list[bytes]]) -> pa.RecordBatch:
         places += [np.where(ids >= 0, ids + total, -1).astype(np.int32), np.array([-1], np.int32)]
         total += len(own)
         words += own
-        langs.append((lang, len(own)))
+        langs.append((lang, len(own), int((ids >= 0).sum())))
         salt = pd.util.hash_array(np.array([lang], object), categorize=False)
         keys.append(combined(pd.util.hash_array(np.array(own, object), categorize=False), salt) if own else np.empty(0, np.uint64))
     names = np.concatenate(places)
-    lang = pa.concat_arrays([pa.array([name] * n, pa.string()) for name, n in langs])
-    text = pa.array(words, pa.string())
-    return state(shard, names, np.concatenate(keys), lang, text, text, np.bincount(names[names >= 0], minlength=total))
+    return Level(names, np.concatenate(keys), np.bincount(names[names >= 0], minlength=total), langs, pa.array(words, pa.string()))
 
 
 class Level:
-    """A level of a shard's automaton; ``of`` reads one, ``next`` builds the one above it."""
+    """A level of a shard's automaton: the state at each place, and each state's key, count and phrase; states of a language are neighbours."""
 
-    def __init__(self, names, keys, lang, phrase, last, n):
-        self.names, self.keys, self.lang, self.phrase, self.last, self.n = names, keys, lang, phrase, last, n
+    def __init__(self, names: np.ndarray, keys: np.ndarray, n: np.ndarray, langs: list[tuple[str, int, int]], phrases: pa.Array | None):
+        self.names, self.keys, self.n, self.langs, self.phrases = names, keys, n, langs, phrases
 
     @classmethod
-    def of(cls, b: pa.RecordBatch, i: int) -> Level:
-        arrays = [b.column(j)[i].values for j in range(3, 7)]
-        return cls(np.frombuffer(b.column(1)[i].as_buffer(), np.int32), np.frombuffer(b.column(2)[i].as_buffer(), np.uint64), *arrays[:3], arrays[3].to_numpy())
-
-    def next(self, spell: bool = True) -> Level:
+    def of(cls, b: pa.RecordBatch, i: int, spell: bool) -> Level:
+        read = lambda j, kind: np.frombuffer(b.column(j)[i].as_buffer(), kind)
+        langs = [(x["lang"], x["states"], x["words"]) for x in b.column(1)[i].as_py()]
+        n = read(4, np.int64)
+        phrases = pa.array(b.column(5)[i].as_py().decode().split("\n") if len(n) else [], pa.string()) if spell else None
+        return cls(read(2, np.int32), read(3, np.uint64), n, langs, phrases)
+
+    def _langs(self, of: np.ndarray) -> list[tuple[str, int, int]]:
+        """The languages with the number of states among ``of``, places of states in ascending order."""
+        ends = np.cumsum([0, *(states for _, states, _ in self.langs)])
+        return [(lang, int(n), words) for (lang, _, words), n in zip(self.langs, np.diff(np.searchsorted(of, ends)))]
+
+    def next(self) -> Level:
         """States of phrases one word longer: ``parent`` is the state less the last word, ``link`` that less the first."""
         a, b = self.names[:-1], self.names[1:]
         at = np.flatnonzero((a >= 0) & (b >= 0))
@@ -108,20 +106,20 @@ class Level:
         names[at[order]] = np.cumsum(fresh) - 1
         parent, link = np.divmod(ranked[fresh], max(1, len(self.keys)))
         n = np.diff(np.append(np.flatnonzero(fresh), len(ranked)))
-        keys = combined(self.keys[parent], self.keys[link])
-        if not spell:
-            return Level(names, keys, None, None, None, n)
-        parent, link = pa.array(parent), pa.array(link)
-        last = self.last.take(link)
-        return Level(names, keys, self.lang.take(parent), pc.binary_join_element_wise(self.phrase.take(parent), last, " "), last, n)
+        phrases = None
+        if self.phrases is not None:
+            last = pc.replace_substring_regex(self.phrases, "^.* ", "")
+            phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(parent)), last.take(pa.array(link)), " ")
+        return Level(names, combined(self.keys[parent], self.keys[link]), n, self._langs(parent), phrases)
 
     def only(self, kept: np.ndarray) -> Level:
         renamed = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)  # -1 finds the last
-        mask = pa.array(kept, pa.bool_())
-        return Level(renamed[self.names], self.keys[kept], self.lang.filter(mask), self.phrase.filter(mask), self.last.filter(mask), self.n[kept])
+        return Level(renamed[self.names], self.keys[kept], self.n[kept], self._langs(np.flatnonzero(kept)), self.phrases.filter(pa.array(kept, pa.bool_())))
 
     def row(self, shard: int) -> pa.RecordBatch:
-        return state(shard, self.names, self.keys, self.lang, self.phrase, self.last, self.n)
+        langs = pa.array([[{"lang": lang, "states": states, "words": words} for lang, states, words in self.langs]], pa.list_(pa.struct([("lang", pa.string()), ("states", pa.int64()), ("words", pa.int64())])))
+        blobs = [x.tobytes() for x in (self.names, self.keys, np.asarray(self.n, np.int64))] + ["\n".join(self.phrases.to_pylist()).encode()]
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), langs, *[pa.array([x], pa.binary()) for x in blobs]], names=["shard", "langs", "names", "keys", "n", "phrases"])
 
 
 def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -139,10 +137,10 @@ def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
                     held[lang].append(text)
                     size += len(text)
                 if size >= SHARD_BYTES:
-                    yield first_level(shard, held)
+                    yield first_level(held).row(shard)
                     shard, held, size = shard + 1, defaultdict(list), 0
         if held:
-            yield first_level(shard, held)
+            yield first_level(held).row(shard)
 
     return shards.settled(small_batches(rows).mapInArrow(run, STATE), "words")
 
@@ -164,8 +162,21 @@ def reaches(least: int):
 def _levels(batches: Iterator[pa.RecordBatch], first: bool, spell: bool):
     for b in batches:
         for i in range(b.num_rows):
-            own = Level.of(b, i)
-            yield b, i, own if first else own.next(spell)
+            own = Level.of(b, i, spell)
+            yield b, i, own if first else own.next()
+
+
+def spelled(level: DataFrame, k: int) -> DataFrame:
+    """(lang, phrase, k, n): a row for each state of each shard."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                own = Level.of(b, i, True)
+                lang = pa.array(np.repeat(np.array([x[0] for x in own.langs], object), [x[1] for x in own.langs]), pa.string())
+                yield pa.RecordBatch.from_arrays([lang, own.phrases, pa.array(np.full(len(own.n), k, np.int32)), pa.array(own.n, pa.int64())], names=["lang", "phrase", "k", "n"])
+
+    return shards.byte_batches(level).mapInArrow(run, "lang string, phrase string, k int, n long")
 
 
 def pruned(below: DataFrame, buckets: int, least: int, first: bool) -> DataFrame:
@@ -183,7 +194,7 @@ def pruned(below: DataFrame, buckets: int, least: int, first: bool) -> DataFrame
         for b, i, level in _levels(batches, first, True):
             order = np.argsort(level.keys)
             kept = np.empty(len(order), bool)
-            kept[order] = shards.answers(b.column(7)[i], shards.bucket_edges(level.keys[order], buckets))
+            kept[order] = shards.answers(b.column(6)[i], shards.bucket_edges(level.keys[order], buckets))
             yield level.only(kept).row(b.column(0)[i].as_py())
 
     return shards.settled(below.join(answers.hint("shuffle_hash"), "shard", "left").mapInArrow(keep, STATE), "level")
@@ -192,9 +203,7 @@ def pruned(below: DataFrame, buckets: int, least: int, first: bool) -> DataFrame
 def frequent_phrases(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, most: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f) of every phrase of 1 to ``most`` words that occurs ``least`` times or more, and (lang, n) of all words; both written."""
     words = encoded(docs, lang_col, text_col)
-    each = F.explode(F.arrays_zip("lang", "phrase", "n")).alias("p")
-    sizes = words.select(F.explode(F.arrays_zip("lang", "n")).alias("p")).groupBy("p.lang").agg(F.sum("p.n").alias("n"))
-    sizes = shards.settled(sizes, "sizes")
+    sizes = shards.settled(words.select(F.explode("langs").alias("x")).groupBy("x.lang").agg(F.sum("x.words").alias("n")), "sizes")
     tokens = words.agg(F.sum(F.octet_length("names"))).first()[0] or 0
     buckets = shards.bucket_count(4 * tokens)
     levels, below = [], words
@@ -205,7 +214,7 @@ def frequent_phrases(docs: DataFrame, *, lang_col: str = "lang", text_col: str =
         below = levels[-1]
     rows = None
     for k, level in enumerate(levels, 1):
-        part = level.select(each).select("p.lang", "p.phrase", F.lit(k).alias("k"), "p.n")
+        part = spelled(level, k)
         rows = part if rows is None else rows.unionByName(part)
     counts = rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     found = shards.settled(counts, "phrases")
