@@ -1,4 +1,4 @@
-"""Uplift learners on Spark ML trees, an analytic stratified learner, and diagnostics of probabilities."""
+"""Uplift learners on boosted trees, an analytic stratified learner, and diagnostics of probabilities."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import safe_ratio
+from quern.operators import boosting
 from quern.operators.audit import check_model_columns
+from quern.operators.boosting import Boosting, Fit, Model
 from quern.operators.ranking import average_ranks, running_counts
 from quern.plans.experiment import FEATURES
 from quern.sources.files import written
@@ -19,101 +21,62 @@ def pseudo_outcome(treatment: Column, outcome: Column, mu0: Column, mu1: Column)
     return F.when(treatment == 1, outcome - mu0).otherwise(mu1 - outcome)
 
 
-def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
+def _outcome_label(outcome: str) -> Column:
+    return F.col(outcome).cast("double")
 
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
+def fit_learners(train: DataFrame, outcomes: str | list[str] = "visit", features: list[str] = FEATURES, *, validation: DataFrame | None = None, how: Boosting = Boosting()) -> dict[str, Model]:
+    """The S, T, pooled X and response models of each outcome, named outcome:s and so on, grown side by side.
 
-def _training(train: DataFrame, label: str, columns: list[str], validation: DataFrame | None) -> DataFrame:
-    """features, label and, with ``validation`` rows, the flag that early stopping reads."""
-    parts = [train.select(*columns, F.col(label).cast("double").alias("label"), F.lit(False).alias("held_out"))]
-    if validation is not None:
-        parts.append(validation.select(*columns, F.col(label).cast("double").alias("label"), F.lit(True).alias("held_out")))
-    rows = parts[0].unionByName(parts[1]) if validation is not None else parts[0]
-    return _assembled(rows, columns).select("features", "label", "held_out")
-
-
-def _boosted(kind, train, label, columns, validation, seed, iterations, depth, tolerance):
-    # with validation rows, stops when the held-out loss no longer falls by the tolerance
-    early = {"validationIndicatorCol": "held_out", "validationTol": tolerance} if validation is not None else {}
-    model = kind(maxIter=iterations, maxDepth=depth, seed=seed, stepSize=0.2, minInstancesPerNode=20, **early)
-    return model.fit(_training(train, label, columns, validation))
-
-
-def fit_response(train: DataFrame, outcome: str, columns: list[str], *, validation: DataFrame | None = None, seed: int = 7, iterations: int = 10, depth: int = 4, tolerance: float = 0.01):
-    from pyspark.ml.classification import GBTClassifier
-
-    return _boosted(GBTClassifier, train, outcome, columns, validation, seed, iterations, depth, tolerance)
-
-
-def fit_effect(train: DataFrame, target: str, columns: list[str], *, validation: DataFrame | None = None, seed: int = 7, iterations: int = 10, depth: int = 4, tolerance: float = 0.01):
-    from pyspark.ml.regression import GBTRegressor
-
-    return _boosted(GBTRegressor, train, target, columns, validation, seed, iterations, depth, tolerance)
-
-
-def probability(model, df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    out = model.transform(_assembled(df, columns))
-    return out.withColumn(name, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
-
-
-def effect(model, df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    return model.transform(_assembled(df, columns)).withColumnRenamed("prediction", name).drop("features")
-
-
-def fit_learners(train: DataFrame, outcome: str = "visit", features: list[str] = FEATURES, *, validation: DataFrame | None = None, **how) -> dict:
-    """The S, T, pooled X and response models; those that don't need each other are fitted side by side.
-
-    With ``validation`` rows, boosting stops early by their loss.
+    With ``validation`` rows each stops by its own held-out loss and keeps its best round.  X models are grown after the two T models, whose predictions make
+    their labels.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
+    outcomes = [outcomes] if isinstance(outcomes, str) else outcomes
     check_model_columns(features, features)
     both = [*features, "treatment"]
     check_model_columns(both, features, treatment_allowed=True)
-    needed = [*both, outcome]
+    needed = ["source_row_id", *both, *outcomes]
     train = written(train.select(*needed), "train")
     held = written(validation.select(*needed), "validation") if validation is not None else None
-    arm = lambda rows, t: rows.where(F.col("treatment") == t) if rows is not None else None
-    jobs = {"s": (train, held, both), "t0": (arm(train, 0), arm(held, 0), features), "t1": (arm(train, 1), arm(held, 1), features), "response": (train, held, features)}
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        models = dict(zip(jobs, pool.map(lambda j: fit_response(j[0], outcome, j[2], validation=j[1], **how), jobs.values())))
-
-    def pooled(rows: DataFrame) -> DataFrame:
-        scored = probability(models["t1"], probability(models["t0"], rows, features, "mu0"), features, "mu1")
-        return scored.withColumn("pseudo", pseudo_outcome(F.col("treatment"), F.col(outcome).cast("double"), F.col("mu0"), F.col("mu1")))
-
-    models["x"] = fit_effect(pooled(train), "pseudo", features, validation=pooled(held) if held is not None else None, **how)
-    return models
-
-
-def score_learners(models: dict, rows: DataFrame, features: list[str] = FEATURES) -> DataFrame:
+    arm = lambda t: F.col("treatment") == t
+    first, second = [], []
+    for o in outcomes:
+        label = _outcome_label(o)
+        first += [Fit(f"{o}:s", both, label), Fit(f"{o}:t0", features, label, arm(0)), Fit(f"{o}:t1", features, label, arm(1)), Fit(f"{o}:response", features, label)]
+    edges = boosting.bin_edges(train, both, how.bins)
+    models = boosting.fit(train, first, how, held=held, edges=edges)
+    for o in outcomes:
+        mu0, mu1 = (boosting.predicted(models[f"{o}:t{t}"]) for t in (0, 1))
+        second.append(Fit(f"{o}:x", features, pseudo_outcome(F.col("treatment"), _outcome_label(o), mu0, mu1), logistic=False))
+    return models | boosting.fit(train, second, how, held=held, edges=edges)
+
+
+def score_learners(models: dict[str, Model], rows: DataFrame, outcome: str = "visit") -> DataFrame:
     """source_row_id and a score of every learner as a float; outcomes aren't read."""
-    both = [*features, "treatment"]
-    out = rows.select("source_row_id", *features)
-    for t in (0, 1):
-        out = probability(models["s"], out.withColumn("treatment", F.lit(t)), both, f"s{t}").drop("treatment")
-        out = probability(models[f"t{t}"], out, features, f"m{t}")
-    out = probability(models["response"], effect(models["x"], out, features, "x"), features, "response")
-    f = lambda c: F.col(c).cast("float")
-    return out.select(
-        "source_row_id", (f("s1") - f("s0")).alias("s_learner"), (f("m1") - f("m0")).alias("t_learner"), f("x").alias("x_learner"), f("response").alias("response_propensity")
+    f = lambda name, **at: boosting.predicted(models[f"{outcome}:{name}"], at).cast("float")
+    return rows.select(
+        "source_row_id",
+        (f("s", treatment=F.lit(1)) - f("s", treatment=F.lit(0))).alias("s_learner"),
+        (f("t1") - f("t0")).alias("t_learner"),
+        f("x").alias("x_learner"),
+        f("response").alias("response_propensity"),
     )
 
 
-def save_models(models: dict, path: str) -> None:
-    for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
+def response_probabilities(models: dict[str, Model], rows: DataFrame, outcome: str = "visit") -> DataFrame:
+    """(model_name, treatment, label, p): what each response model says of the rows as they were treated."""
+    p = lambda name: boosting.predicted(models[f"{outcome}:{name}"])
+    each = {"s_learner": p("s"), "t_learner": F.when(F.col("treatment") == 1, p("t1")).otherwise(p("t0")), "response_propensity": p("response")}
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), c.alias("p")) for m, c in each.items()])).alias("m")
+    return rows.select("treatment", F.col(outcome).alias("label"), long).select("m.model_name", "treatment", "label", "m.p")
+
 
+def save_models(models: dict[str, Model], path: str, spark) -> None:
+    boosting.nodes_table(spark, models).write.mode("overwrite").parquet(path)
 
-def load_models(path: str) -> dict:
-    from pyspark.ml.classification import GBTClassificationModel
-    from pyspark.ml.regression import GBTRegressionModel
 
-    return {n: (GBTRegressionModel if n == "x" else GBTClassificationModel).load(f"{path}/{n}") for n in ("s", "t0", "t1", "response", "x")}
+def load_models(path: str, spark) -> dict[str, Model]:
+    return boosting.models_of(spark.read.parquet(path))
 
 
 def stratified_responses(train: DataFrame, stratum: list[str], outcome: str = "visit") -> DataFrame:

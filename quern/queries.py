@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import streams
 from quern.functions.scalar import Z_95, log_normal_tail_sql, tie_key_sql, with_tie_key
-from quern.operators import artifacts, audit, bootstrap, curves, effects, learners, policy, ranking, segments
+from quern.operators import artifacts, audit, boosting, bootstrap, curves, effects, learners, policy, ranking, segments
 from quern.plans.experiment import EXPERIMENT_SQL, FEATURES, FLAGS, RESPONSE_MODEL, SCORES, UPLIFT_MODELS, experiment, scores, scores_sql
 from quern.registry import ORACLES, QUERIES, query, rounded  # noqa: F401
 from quern.sources.files import written
@@ -553,13 +553,54 @@ def score_diagnostics(spark, sf_dir):
     return rounded(learners.score_diagnostics(scores(experiment(spark, sf_dir, items=False)), ["model_name"]), 4)
 
 
-@query()
+BOOST = boosting.Boosting(rounds=12, depth=3, rate=0.3, bins=16, l2=1.0, least_rows=20, rows=0.8, features=0.8, patience=3)
+
+
+def boosted_sql(outcomes: list[str], how: boosting.Boosting = BOOST) -> str:
+    """CTEs after ``part``: the same trees grown in SQL; ``gs`` has a row for each test row and outcome with every learner's score."""
+    features = [*FEATURES, "treatment"]
+    shares = ", ".join(f"{i / how.bins!r}" for i in range(1, how.bins))
+    cuts = " UNION ALL ".join(f"SELECT '{f}' AS feature, list_sort(list_distinct(quantile_cont({f}::DOUBLE, [{shares}]))) AS edges FROM part WHERE data_partition = 'train'" for f in features)
+    names, sources = {}, []
+    kind = "CASE data_partition WHEN 'train' THEN 'train' WHEN 'validation' THEN 'held' END"
+    cols = ", ".join(FEATURES)
+    for o in outcomes:
+        names |= {f"{o}:s": (features, True), f"{o}:t0": (FEATURES, True), f"{o}:t1": (FEATURES, True), f"{o}:response": (FEATURES, True)}
+        for f, where in (("s", "true"), ("t0", "treatment = 0"), ("t1", "treatment = 1"), ("response", "true")):
+            sources.append(f"SELECT '{o}:{f}' AS fit, source_row_id AS id, {kind} AS part, -1 AS variant, {o}::DOUBLE AS y, {cols}, treatment FROM part WHERE data_partition IN ('train', 'validation') AND {where}")
+        for t in (0, 1):
+            sources.append(f"SELECT '{o}:s', source_row_id, 'score', {t}, NULL, {cols}, {t} FROM part WHERE data_partition = 'test'")
+            sources.append(f"SELECT '{o}:t{t}', source_row_id, 'score', 2, NULL, {cols}, treatment FROM part")
+        sources.append(f"SELECT '{o}:response', source_row_id, 'score', 2, NULL, {cols}, treatment FROM part WHERE data_partition = 'test'")
+    p = lambda m: f"(1.0::DOUBLE / (1.0::DOUBLE + exp(-{m})))"
+    of = lambda o, f, v, a: f"JOIN gb_best {a} ON {a}.fit = '{o}:{f}' AND {a}.part = 'score' AND {a}.variant = {v} AND {a}.id = r.source_row_id"
+    pseudo, scores, xs = [], [], {}
+    for o in outcomes:
+        xs[f"{o}:x"] = (FEATURES, False)
+        label = f"CASE WHEN r.treatment = 1 THEN r.{o} - {p('a.m')} ELSE {p('b.m')} - r.{o} END"
+        pseudo.append(f"SELECT '{o}:x' AS fit, source_row_id AS id, {kind} AS part, -1 AS variant, {label} AS y, {cols} FROM part r {of(o, 't0', 2, 'a')} {of(o, 't1', 2, 'b')} WHERE data_partition <> 'test'")
+        pseudo.append(f"SELECT '{o}:x', source_row_id, 'score', 2, NULL, {cols} FROM part WHERE data_partition = 'test'")
+        f = lambda a: f"CAST({p(f'{a}.m')} AS FLOAT)"
+        scores.append(
+            f"""SELECT '{o}' AS outcome_name, r.source_row_id, r.treatment, r.{o} AS outcome, CAST({f('s1')} - {f('s0')} AS FLOAT) AS s_learner, CAST({f('b')} - {f('a')} AS FLOAT) AS t_learner, CAST(x.m AS FLOAT) AS x_learner, {f('v')} AS response_propensity,
+  CASE r.treatment WHEN 1 THEN {p('s1.m')} ELSE {p('s0.m')} END AS p_s, CASE r.treatment WHEN 1 THEN {p('b.m')} ELSE {p('a.m')} END AS p_t, {p('v.m')} AS p_r
+  FROM part r {of(o, 's', 0, 's0')} {of(o, 's', 1, 's1')} {of(o, 't0', 2, 'a')} {of(o, 't1', 2, 'b')} {of(o, 'response', 2, 'v')} JOIN gx_best x ON x.fit = '{o}:x' AND x.part = 'score' AND x.id = r.source_row_id WHERE data_partition = 'test'"""
+        )
+    return f"""ge AS MATERIALIZED ({cuts}), gsrc AS ({' UNION ALL '.join(sources)}),
+{boosting.boosting_sql('gb', 'gsrc', 'ge', features, names, how)},
+gxs AS ({' UNION ALL '.join(pseudo)}),
+{boosting.boosting_sql('gx', 'gxs', 'ge', FEATURES, xs, how)},
+gs AS MATERIALIZED ({' UNION ALL '.join(scores)})"""
+
+
+@query(f"WITH {EXP}, {PART}, {boosted_sql(['visit'])} SELECT source_row_id, {', '.join(f'round({m}::DOUBLE, 6) + 0.0 AS {m}' for m in [*UPLIFT_MODELS, RESPONSE_MODEL])} FROM gs")
 def gbt_learner_scores(spark, sf_dir):
-    """Boosted S, T, X and response learners, fitted on train, stopped early by validation, scored on test."""
+    """Boosted S, T, X and response learners, grown on train, stopped by patience on validation, saved as a table of nodes, read again and scored on test."""
     view = _split(spark, sf_dir)
     parts = [view.where(F.col("data_partition") == p) for p in ("train", "validation")]
-    models = learners.fit_learners(parts[0], "visit", validation=parts[1], iterations=10, depth=3)
-    return learners.score_learners(models, view.where("data_partition = 'test'"))
+    nodes = written(boosting.nodes_table(spark, learners.fit_learners(parts[0], "visit", validation=parts[1], how=BOOST)), "nodes")
+    found = learners.score_learners(boosting.models_of(nodes), view.where("data_partition = 'test'"))
+    return rounded(found.select("source_row_id", *[F.col(m).cast("double").alias(m) for m in [*UPLIFT_MODELS, RESPONSE_MODEL]]), 6)
 
 
 # ---- bootstrap, selection, audit

@@ -3,13 +3,15 @@
 import json
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import log_normal_tail, p_value_text, with_tie_key
-from quern.operators import artifacts, audit, bootstrap, curves, effects, learners, policy, ranking, segments
+from quern.operators import artifacts, audit, boosting, bootstrap, curves, effects, learners, policy, ranking, segments
+from quern.operators.boosting import Boosting, Fit
 from quern.plans import evaluation as ev
 from quern.plans.experiment import FEATURES
 from quern.sources import files
@@ -294,9 +296,9 @@ def test_learners_save_and_load(spark, tmp_path):
     rng = random.Random(0)
     rows = [(i, i % 2, int(rng.random() < (0.6 if i % 2 and i % 3 else 0.2)), *[float(rng.randrange(20)) for _ in range(12)]) for i in range(600)]
     df = spark.createDataFrame(rows, "source_row_id long, treatment int, visit int, " + ", ".join(f"{f} double" for f in FEATURES))
-    models = learners.fit_learners(df, "visit", iterations=1, depth=2)
-    learners.save_models(models, f"file://{tmp_path}/models")
-    again = learners.load_models(f"file://{tmp_path}/models")
+    models = learners.fit_learners(df, "visit", how=Boosting(rounds=2, depth=2))
+    learners.save_models(models, f"file://{tmp_path}/models", spark)
+    again = learners.load_models(f"file://{tmp_path}/models", spark)
     key = lambda r: r.source_row_id
     a, b = (sorted(learners.score_learners(m, df.drop("visit")).collect(), key=key) for m in (models, again))
     assert a == b and len(a) == 600
@@ -309,8 +311,11 @@ def test_boosting_stops_early(spark):
     rows = [(i, i % 2, int(rng.random() < 0.5), *[float(rng.randrange(20)) for _ in range(12)]) for i in range(800)]
     df = spark.createDataFrame(rows, "source_row_id long, treatment int, visit int, " + ", ".join(f"{f} double" for f in FEATURES))
     own, held = df.where("source_row_id < 500"), df.where("source_row_id >= 500")
-    assert learners.fit_response(own, "visit", FEATURES, iterations=8, depth=2).getNumTrees == 8
-    assert learners.fit_response(own, "visit", FEATURES, validation=held, iterations=8, depth=2).getNumTrees < 8
+    how = Boosting(rounds=30, depth=2, rate=0.5, patience=3)
+    fits = [Fit("a", FEATURES, F.col("visit"))]
+    assert boosting.fit(own, fits, replace(how, rounds=8))["a"].best_round == 8
+    model = boosting.fit(own, fits, how, held=held)["a"]
+    assert len(model.losses) < 31 and model.best_round == model.losses.index(min(model.losses)) == len(model.losses) - 1 - how.patience
 
 
 def test_last_ranks_of_null_and_nan(spark):
