@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import tie_key_sql
-from quern.operators import artifacts, audit, curves, segments
+from quern.operators import artifacts, audit, boosting, bootstrap, curves, learners, lineage, ranking, segments
 from quern.plans import evaluation as ev
-from quern.plans.experiment import RESPONSE_MODEL, UPLIFT_MODELS, experiment
-from quern.queries import _CAND, _COUNTS, _DIFF, _PERCENT, _REPORT, _SEGS, EXP, PART, SEED, G, _curve, _diff, _rank_avg, _ranked, _rk, _split, _cells, curve_tail, draw_curves_sql, long_metrics_sql, paired_sql
+from quern.plans.experiment import FEATURES, RESPONSE_MODEL, UPLIFT_MODELS, experiment
+from quern.queries import BOOST, _CAND, _COUNTS, _DIFF, _PERCENT, _REPORT, _SEGS, EXP, PART, SEED, G, _curve, _diff, _rank_avg, _ranked, _rk, _split, _cells, boosted_sql, curve_tail, draw_curves_sql, long_metrics_sql, paired_sql
 from quern.registry import ORACLES, QUERIES, query, rounded
-from quern.sources import files
+from quern.sources import files, stages
 
 ALTERNATES = (1, 2)
 REPLICATES = 200
@@ -208,6 +209,74 @@ def final_selection(spark, sf_dir):
     return rounded(found.drop("mean_stability_rank_correlation", "mean_stability_top_set_overlap"), 5)
 
 
+# ---- boosted trees to recommendations
+
+_TREES = [*UPLIFT_MODELS, RESPONSE_MODEL]
+_OUTCOME_COLUMNS = ["visit", "conversion", "exposure"]
+_GS = f"{EXP}, {PART}, {boosted_sql(ev.OUTCOMES)}"
+_GS_SCORES = f"""sc AS MATERIALIZED (SELECT outcome_name || ':' || m.model AS model_name, source_row_id, m.score, treatment, outcome FROM gs, LATERAL (VALUES {', '.join(f"('{m}', {m}::DOUBLE)" for m in _TREES)}) m(model, score))"""
+
+
+def _tree_scores(spark, sf_dir):
+    """(view of test rows, models, scores in long form): grown blind to test rows' outcomes, handed over as artifacts, and only then joined with outcomes."""
+    parts = _parts(spark, sf_dir)
+    models = learners.fit_learners(parts["train"], ev.OUTCOMES, validation=parts["validation"], how=BOOST)
+    blind = parts["test"].drop("visit", "conversion", "exposure")
+    config, source = artifacts.canonical_hash({"boosting": str(BOOST)}), artifacts.canonical_hash({"seed": SEED})
+    handed = None
+    for o in ev.OUTCOMES:
+        scored = learners.score_learners(models, blind, o).join(blind.select("source_row_id", "treatment"), "source_row_id")
+        lineage.check_unread(scored, _OUTCOME_COLUMNS)
+        for m in _TREES:
+            part = artifacts.prediction_artifact(scored, m, split="test", outcome=o, model=m, config_hash=config, source_hash=source)
+            handed = part if handed is None else handed.unionByName(part)
+    handed = files.written(handed, "handoff")
+    wrong = [x for x in artifacts.violations(artifacts.handoff_checks(handed, ev.OUTCOMES, _TREES, config, source)) if x != "ids"]
+    if wrong:
+        raise ValueError(f"the handoff has violations: {wrong}")
+    outcomes = ev.by_outcome(parts["test"], ["source_row_id"])
+    rows = handed.select(F.concat_ws(":", "outcome_name", "model_name").alias("model_name"), "outcome_name", "source_row_id", F.col("uplift_hat").cast("double").alias("score"), F.col("treatment").cast("int").alias("treatment"))
+    return parts["test"], models, rows.join(outcomes, ["outcome_name", "source_row_id"]).select("model_name", "source_row_id", "score", "treatment", "outcome")
+
+
+@query(
+    _round_all(
+        f"""WITH {_GS}, {_GS_SCORES}, {_rank()}, {curve_tail()}, {_uncertain(_TREES, REPLICATES)}, {_POLICY},
+ss AS (SELECT o AS outcome_name, m AS model_name, NULL::DOUBLE AS mean_spearman_rank_correlation, NULL::DOUBLE AS minimum_spearman_rank_correlation, NULL::DOUBLE AS mean_top_set_overlap, NULL::DOUBLE AS minimum_top_set_overlap FROM (SELECT unnest({ev.OUTCOMES}) AS o), (SELECT unnest({UPLIFT_MODELS}) AS m)), {_COMPARE}, {_RECOMMEND}
+SELECT * EXCLUDE (mean_stability_rank_correlation, mean_stability_top_set_overlap) FROM rc""",
+        _CHOICE,
+    )
+)
+def tree_recommendations(spark, sf_dir):
+    """From boosted trees of both outcomes through the handoff, ranks, curves and paired intervals to what to deploy."""
+    rows = ranking.ranked(files.written(_tree_scores(spark, sf_dir)[2], "tree-scores"), seed=SEED)
+    curve = curves.cumulative_gain(rows, G)
+    intervals = files.written(ev.uncertainty(rows, REPLICATES, G, _TREES), "uncertainty")
+    comparison = files.written(ev.model_comparison(ev.named(curves.curve_metrics(curve)), intervals), "comparison")
+    found = ev.recommendations(comparison, intervals, ev.policy_table(curve, intervals))
+    return rounded(found.drop("mean_stability_rank_correlation", "mean_stability_top_set_overlap"), 5)
+
+
+@query(
+    f"""WITH {EXP}, {PART}, {boosted_sql(['visit'])},
+p AS (SELECT m.model_name, treatment, outcome AS y, m.p FROM gs, LATERAL (VALUES ('s_learner', p_s), ('t_learner', p_t), ('{RESPONSE_MODEL}', p_r)) m(model_name, p)),
+r AS (SELECT *, rank() OVER (PARTITION BY model_name, treatment ORDER BY p) + (count(*) OVER (PARTITION BY model_name, treatment, p) - 1) / 2.0::DOUBLE AS ar FROM (SELECT model_name, treatment, y, round(p, 12) AS p FROM p)),
+a AS (SELECT model_name, treatment, count(*) AS rows, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS log_loss, avg((p - y) * (p - y)) AS brier, (sum(ar) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0::DOUBLE) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS roc_auc FROM r GROUP BY ALL),
+s AS (SELECT model_name, treatment, p, count(*) AS n, sum(y) AS y FROM r GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER w AS cn, sum(y) OVER w AS cy, sum(y) OVER (PARTITION BY model_name, treatment) AS t FROM s WINDOW w AS (PARTITION BY model_name, treatment ORDER BY p DESC)),
+v AS (SELECT model_name, treatment, sum(y / t * cy / cn) AS average_precision FROM c GROUP BY ALL)
+SELECT model_name, treatment, rows, round(log_loss, 7) AS log_loss, round(brier, 7) AS brier, round(roc_auc, 7) AS roc_auc, round(average_precision, 7) AS average_precision FROM a JOIN v USING (model_name, treatment)"""
+)
+def tree_diagnostics(spark, sf_dir):
+    """Log loss, Brier score, AUC and average precision of the trees' own probabilities on test rows, per model and arm."""
+    parts = _parts(spark, sf_dir)
+    models = learners.fit_learners(parts["train"], "visit", validation=parts["validation"], how=BOOST)
+    by = ["model_name", "treatment"]
+    rows = files.written(learners.response_probabilities(models, parts["test"]).withColumn("p", F.round("p", 12)), "probabilities")
+    found = learners.probability_diagnostics(rows, by, "label", "p").join(learners.roc_auc(rows, by, "label", "p"), by).join(learners.average_precision(rows, by, "label", "p"), by)
+    return rounded(found, 7)
+
+
 _CROSS = {"visit": "s_learner", "conversion": "x_learner"}
 _FRACTIONS = [0.1, 0.2, 0.3]
 
@@ -349,6 +418,163 @@ def frame_difference(spark, sf_dir):
     return audit.frame_difference(a, b.select("l_returnflag", "l_linenumber", "l_orderkey"))
 
 
+_REPLAYED = ["s_learner", RESPONSE_MODEL]
+_REPLAYS = 100
+
+
+def _replay_sql(name: str, source: str) -> str:
+    return f"{paired_sql(_REPLAYED, _REPLAYS, source=source, name=name)}, {draw_curves_sql(name, name)}, {long_metrics_sql(name + '_ba', name + '_bc', name + '_v', named=False)}"
+
+
+@query(
+    f"""WITH {_rk(models=_REPLAYED)}, tk AS (SELECT * REPLACE (CASE WHEN outcome = 1 AND source_row_id % 23 = 5 THEN 0 ELSE outcome END AS outcome) FROM rk),
+{_replay_sql('ra', 'rk')}, {_replay_sql('rb', 'tk')},
+x AS (SELECT a.value AS a, b.value AS b FROM ra_v a LEFT JOIN rb_v b USING (replicate, o, m, metric))
+SELECT 'as saved' AS case_name, count(*) AS draws, 0::BIGINT AS wrong_draws, true AS replayed FROM x UNION ALL SELECT 'cells changed', count(*), count(*) FILTER (WHERE a IS DISTINCT FROM b AND NOT coalesce(abs(a - b) <= 1e-6 * greatest(1.0, abs(b)), false)), false FROM x
+UNION ALL SELECT 'draws changed', count(*), count(*) FILTER (WHERE b IS NOT NULL AND metric = 'qini' AND replicate % 10 = 3), false FROM (SELECT metric, replicate, value AS b FROM ra_v)"""
+)
+def bootstrap_replay(spark, sf_dir):
+    """The audit draws the bootstrap again from the saved cells and stream keys; a copy with other cells and one with other draws must show."""
+    rows = _ranked(spark, sf_dir, models=_REPLAYED)
+    saved = files.written(bootstrap.weighted_cells(bootstrap.joint_cells(rows, _REPLAYED, G), _REPLAYED, 1, groups=G).drop("replicate", "weight"), "saved-cells")
+    cells = saved.drop("stream_key")
+    values = files.written(bootstrap.draw_metrics(bootstrap.paired_draws(cells, _REPLAYED, _REPLAYS, groups=G), G), "saved-draws")
+    lost = (F.col("outcome") == 1) & (F.col("source_row_id") % 23 == 5)
+    other = bootstrap.joint_cells(rows.withColumn("outcome", F.when(lost, F.lit(0)).otherwise(F.col("outcome"))), _REPLAYED, G)
+    shifted = F.when((F.col("metric") == "qini") & (F.col("replicate") % 10 == 3), F.col("value") + 1 + F.abs("value") * 0.01).otherwise(F.col("value"))
+    cases = {"as saved": (saved, values), "cells changed": (bootstrap.with_stream_keys(other, _REPLAYED, G), values), "draws changed": (saved, values.withColumn("value", shifted))}
+    out = None
+    for name, (own, claimed) in cases.items():
+        part = bootstrap.replayed(own, claimed, _REPLAYED, _REPLAYS, groups=G, tolerance=1e-6).select(F.lit(name).alias("case_name"), "draws", "wrong_draws", "replayed")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: (case, what it leaks)
+_LEAKS = [("clean", ""), ("joined_features", ""), ("score", "score"), ("filter", "rows"), ("window", "rows,score"), ("aggregate", "rows,score"), ("python", "score"), ("order", "rows")]
+
+
+@query("WITH p AS (" + f"WITH {EXP}, {PART} SELECT count(*) FILTER (WHERE data_partition = 'test') AS n FROM part" + ") SELECT case_name, leaked, leaked <> '' AS refused, n AS test_rows FROM p, (VALUES " + ", ".join(f"('{c}', '{x}')" for c, x in _LEAKS) + ") v(case_name, leaked)")
+def leak_checks(spark, sf_dir):
+    """Scorings of test rows of which most read an outcome, in one way or another; the proof from the plan must refuse just these."""
+    test = _parts(spark, sf_dir)["test"]
+    keys = ["source_row_id", "treatment"]
+    plain = test.select(*keys, (F.col("f1") * 2 - F.col("f0")).alias("score"))
+
+    def rescored(frames):
+        for frame in frames:
+            yield frame[["source_row_id", "treatment"]].assign(score=frame["visit"].astype("float64"))
+
+    frames = {
+        "clean": plain,
+        "joined_features": plain.drop("score").join(test.groupBy("f3").agg(F.avg("f0").alias("mean")).join(test.select("source_row_id", "f3"), "f3"), "source_row_id").select(*keys, F.col("mean").alias("score")),
+        "score": test.withColumn("y", F.col("conversion") + 0.0).select(*keys, (F.col("f1") + F.col("y") * 1e-6).alias("score")),
+        "filter": test.where("visit = 1 or f1 > 0").select(*keys, F.col("f1").alias("score")),
+        "window": test.select(*keys, F.row_number().over(Window.partitionBy("f3").orderBy("visit", "source_row_id")).alias("score")),
+        "aggregate": test.groupBy(*keys, "exposure").agg(F.max("visit").alias("score")).drop("exposure"),
+        "python": test.select(*keys, "visit").mapInPandas(rescored, "source_row_id long, treatment int, score double").select(F.lit(0).alias("source_row_id"), F.lit(0).alias("treatment"), "score"),
+        "order": test.orderBy("conversion").select(*keys, F.col("f2").alias("score")),
+    }
+    found = []
+    for name, df in frames.items():
+        leaked = sorted(lineage.leaks(df, _OUTCOME_COLUMNS))
+        found.append((name, ",".join(leaked), bool(leaked)))
+    n = test.agg(F.count(F.lit(1)).alias("test_rows")).withColumn("k", F.lit(1))
+    return spark.createDataFrame(found, "case_name string, leaked string, refused boolean").withColumn("k", F.lit(1)).join(F.broadcast(n), "k").drop("k")  # one row
+
+
+@query(
+    f"""WITH {EXP}, t AS (SELECT treatment, count(*) AS n, sum(visit) AS y FROM exp GROUP BY 1), u AS (SELECT treatment, count(*) AS n, sum(visit) AS y FROM exp WHERE source_row_id % 3 <> 1 GROUP BY 1)
+SELECT step, action, versions, treatment, n, y::BIGINT AS y FROM (VALUES (1, 'built', 1), (2, 'reused', 1), (4, 'reused', 2), (5, 'built', 3), (6, 'repaired', 3)) s(step, action, versions), t
+UNION ALL SELECT 3, 'built', 2, treatment, n, y FROM u"""
+)
+def resumed_stages(spark, sf_dir):
+    """Arm counts as a stored stage: made, reused, made for a changed input, reused for the first one, made for another configuration, and repaired after a lost file."""
+    view = experiment(spark, sf_dir, items=False)
+    stored = stages.Stages(spark, files.scratch(spark, "stages"))
+    part = view.where("source_row_id % 3 <> 1")
+    steps = [(view, {"by": "arm"}), (view, {"by": "arm"}), (part, {"by": "arm"}), (view, {"by": "arm"}), (view, {"by": "arm", "seed": 2})]
+    out = None
+
+    def step(rows, configuration):
+        return stored.table("arms", configuration, {"view": rows.select("source_row_id", "treatment", "visit")}, lambda: rows.groupBy("treatment").agg(F.count(F.lit(1)).alias("n"), F.sum("visit").alias("y")))
+
+    for i, (rows, configuration) in enumerate([*steps, steps[-1]], 1):
+        if i == len(steps) + 1:
+            last = found.inputFiles()[0]
+            path, fs = stored._fs(last.rsplit("/", 1)[0] + "/_SUCCESS")
+            fs.delete(path, False)
+        found, action = step(rows, configuration)
+        own = files.written(found.select(F.lit(i).alias("step"), F.lit(action).alias("action"), F.lit(stored.keys("arms")).alias("versions"), "treatment", "n", "y"), "step")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(
+    """WITH o AS (SELECT count(*) AS n FROM orders) SELECT step, n AS rows, found FROM o, (VALUES ('created', 'made'), ('created_again', 'kept'), ('json', 'equal'), ('digest', 'equal'), ('digest_of_changed', 'differs'),
+('cleaned', 'a.csv,b.json'), ('models', 'equal'), ('locked', 'refused,run,refused,run'), ('memoised', 'made,kept,made'), ('model_columns', 'refused,refused,accepted')) v(step, found)
+UNION ALL SELECT 'described', count(*), string_agg(name, ',' ORDER BY name) FROM (SELECT unnest(['o_custkey', 'o_orderkey', 'o_totalprice']) AS name)"""
+)
+def sources_and_protocol(spark, sf_dir):
+    """Files and the protocol over the orders table: created once, JSON and digests, description, clean-up, saved models, lock, memo, model columns."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice")
+    folder, out = files.scratch(spark, "protocol"), []
+    made = []
+
+    def make():
+        made.append(1)
+        return orders
+
+    for name in ("created", "created_again"):
+        before = len(made)
+        table = files.create_if_absent(spark, f"{folder}/orders", make)
+        out.append((name, "made" if len(made) > before else "kept"))
+    n = table.count()
+    value = {"rows": n, "sum": str(table.agg(F.sum("o_orderkey")).first()[0]), "text": "é\n"}
+    files.write_json(spark, value, f"{folder}/value.json")
+    out.append(("json", "equal" if files.read_json(spark, f"{folder}/value.json") == value else "differs"))
+    parts = [table.inputFiles()[0], files.create_if_absent(spark, f"{folder}/less", lambda: orders.where("o_orderkey % 2 = 0")).inputFiles()[0]]
+    digests = [files.file_sha256(spark, p) for p in (parts[0], *parts)]
+    out += [("digest", "equal" if digests[0] == digests[1] else "differs"), ("digest_of_changed", "equal" if digests[0] == digests[2] else "differs")]
+    for name in ("a.csv", "b.json", "keep.md"):
+        p, fs = stages.Stages(spark, folder)._fs(f"{folder}/generated/{name}")
+        fs.create(p).close()
+    out.append(("cleaned", ",".join(files.remove_generated(spark, f"{folder}/generated", (".csv", ".json")))))
+    rows = experiment(spark, sf_dir, items=False).select("source_row_id", "f0", "f1", "treatment", "visit")
+    grown = boosting.fit(rows, [boosting.Fit("m", ["f0", "f1", "treatment"], F.col("visit"))], boosting.Boosting(rounds=1, depth=2, bins=4))
+    learners.save_models(grown, f"{folder}/models", spark)
+    again = learners.load_models(f"{folder}/models", spark)
+    both = rows.agg(F.count_if(~boosting.margin(grown["m"]).eqNullSafe(boosting.margin(again["m"]))).alias("n")).first().n
+    out.append(("models", "equal" if both == 0 else "differs"))
+    protocol, did = artifacts.Protocol(spark, folder), []
+    for spec in (None, {"rates": [10]}, {"rates": [10]}, {"rates": [10, 20]}):
+        if spec and len(did) != 2:
+            protocol.lock(spec)
+        try:
+            protocol.evaluate(spec or {}, lambda: None)
+            did.append("run")
+        except ValueError:
+            did.append("refused")
+    out.append(("locked", ",".join(did)))
+    memo, kinds = [], []
+    for key in ({"k": 1}, {"k": 1}, {"k": 2}):
+        before = len(memo)
+        protocol.memoised("rows", key, lambda: memo.append(1) or n)
+        kinds.append("made" if len(memo) > before else "kept")
+    out.append(("memoised", ",".join(kinds)))
+    checked = []
+    for columns in ([*FEATURES, "visit"], FEATURES[1:], FEATURES):
+        try:
+            audit.check_model_columns(columns)
+            checked.append("accepted")
+        except ValueError:
+            checked.append("refused")
+    out.append(("model_columns", ",".join(checked)))
+    found = spark.createDataFrame([(s, n, f) for s, f in out], "step string, rows long, found string")
+    described = files.describe(orders).agg(F.lit("described").alias("step"), F.count(F.lit(1)).alias("rows"), F.array_join(F.sort_array(F.collect_list("column_name")), ",").alias("found"))
+    return found.unionByName(described)
+
+
 _COUNTED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 

@@ -113,13 +113,16 @@ def stream_key(models: list[str], groups: int, stream: Column) -> Column:
     return key * 4 + F.col("treatment") * 2 + F.col("outcome")
 
 
+def with_stream_keys(cells: DataFrame, models: list[str], groups: int = 20, stream: Column | None = None) -> DataFrame:
+    if 8 * (groups + 1) ** len(models) * MOST_REPLICATES >= 1 << 63:
+        raise ValueError("too many rankings and groups to number the cells in 64 bits")
+    return cells.withColumn("stream_key", stream_key(models, groups, F.lit(0) if stream is None else stream))
+
+
 def weighted_cells(cells: DataFrame, models: list[str], replicates: int, *, groups: int = 20, seed: int = PAIRED_SEED, stream: Column | None = None) -> DataFrame:
     """Cells once per replicate with ``weight``: the sum of a Poisson weight of mean 1 for each of the cell's rows."""
     check_replicates(replicates)
-    if 8 * (groups + 1) ** len(models) * MOST_REPLICATES >= 1 << 63:
-        raise ValueError("too many rankings and groups to number the cells in 64 bits")
-    keyed = cells.withColumn("stream_key", stream_key(models, groups, F.lit(0) if stream is None else stream))
-    every = keyed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    every = with_stream_keys(cells, models, groups, stream).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = with_uniform(every.withColumn("counter", F.col("stream_key") * MOST_REPLICATES + F.col("replicate")), "counter", seed, "u")
     return drawn.withColumn("weight", poisson_quantile(F.col("cell_rows"), F.col("u"))).drop("counter", "u")
 
@@ -170,3 +173,21 @@ def bootstrap_summary(values: DataFrame, points: DataFrame | None = None, by: li
     found = values.where("value is not null").groupBy(*keys).agg(interval("value").alias("ci"), F.count_distinct("replicate").alias("bootstrap_replicates"))
     out = found.select(*keys, F.col("ci")[0].alias("ci_lower"), F.col("ci")[1].alias("ci_upper"), "bootstrap_replicates")
     return out.join(points, keys, "left") if points is not None else out
+
+
+def replayed(saved: DataFrame, claimed: DataFrame, models: list[str], replicates: int, *, groups: int = 20, seed: int = PAIRED_SEED, main: list[int] = MAIN_PERCENTS, tolerance: float = 1e-12) -> DataFrame:
+    """One row: the draws' values that the saved cells and stream keys give, how many of them the ``claimed`` ones miss by over ``tolerance``, and whether none does.
+
+    A saved key that isn't its cell's makes all draws wrong, since other numbers would have been drawn.
+    """
+    odd = saved.where(~F.col("stream_key").eqNullSafe(stream_key(models, groups, F.lit(0)))).limit(1).select(F.lit(True).alias("odd_key"))
+    again = draw_metrics(paired_draws(saved.drop("stream_key"), models, replicates, groups=groups, seed=seed), groups, main)
+    keys = ["replicate", "model_name", "metric"]
+    both = claimed.select(*keys, F.col("value").alias("claimed"), F.lit(1).alias("one")).join(again.select(*keys, F.col("value").alias("again"), F.lit(1).alias("two")), keys, "full")
+    scale = F.greatest(F.lit(1.0), F.abs("again"))
+    same = F.col("one").isNotNull() & F.col("two").isNotNull() & (F.col("claimed").eqNullSafe(F.col("again")) | F.coalesce(F.abs(F.col("claimed") - F.col("again")) <= tolerance * scale, F.lit(False)))
+    wrong = both.agg(F.count(F.lit(1)).alias("draws"), F.count_if(~same).alias("wrong"))
+    # one row or none
+    found = wrong.join(F.broadcast(odd), F.lit(True), "left")
+    bad = F.when(F.coalesce("odd_key", F.lit(False)), F.col("draws")).otherwise(F.col("wrong"))
+    return found.select("draws", bad.alias("wrong_draws"), (bad == 0).alias("replayed"))

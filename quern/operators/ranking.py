@@ -80,11 +80,27 @@ def running_counts(df: DataFrame, column: str, by: list[str], more: list[Column]
     return rows.join(offsets, ["_part", *by]).select(*by, column, *names, *before)
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
+#: values that are dealt as hot, at most; any other value has at most a 10,000th of all rows
+HOT_VALUES = 10_000
+SHARES = 64
+
+
+def average_ranks(df: DataFrame, column: str, by: list[str] | None = None, *, least: int = 4096) -> DataFrame:
     """Adds ``<column>_rank``: 1-based ascending ranks, ties averaged.
 
-    Ranks are found on distinct values (see ``running_counts``) and joined back.
+    Ranks are found on distinct values (see ``running_counts``) and joined back.  The rows of a value that has over ``least`` rows and over a
+    ``HOT_VALUES``-th of all are dealt to ``SHARES`` tasks, so no task waits for one value.
     """
     by = by or []
-    ranks = running_counts(df, column, by).select(*by, column, (F.col("_before") + (F.col("_c") + 1) / 2).alias(f"{column}_rank"))
-    return df.join(ranks, [*by, column])
+    counts = written(running_counts(df, column, by).select(*by, column, "_c", (F.col("_before") + (F.col("_c") + 1) / 2).alias(f"{column}_rank")), "ranks")
+    total = counts.agg(F.sum("_c")).first()[0] or 0
+    # at most HOT_VALUES rows
+    hot = counts.where(F.col("_c") > max(least, total // HOT_VALUES)).select(*by, column)
+    ranks = counts.drop("_c")
+    if hot.isEmpty():
+        return df.join(ranks, [*by, column])
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = df.join(marked, [*by, column], "left").withColumn("_turn", F.when(F.col("_hot"), F.floor(F.rand(1) * SHARES)).otherwise(0).cast("int"))
+    turns = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    copies = ranks.join(marked, [*by, column], "left").withColumn("_turn", F.explode(turns)).drop("_hot")
+    return dealt.drop("_hot").join(copies, [*by, column, "_turn"]).drop("_turn")

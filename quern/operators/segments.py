@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import safe_ratio, with_tie_key
-from quern.operators.curves import cells, curve_from_cells, curve_metrics
-from quern.operators.ranking import ranked, running_counts
+from quern.operators.curves import curve_from_cells, curve_metrics
+from quern.operators.ranking import running_counts
 from quern.plans.experiment import FEATURES
 from quern.sources.files import written
 
@@ -67,23 +69,92 @@ def segment_effects(segments: DataFrame) -> DataFrame:
     return own.withColumn("overall", overall).select("feature", "bins", "segment", (F.col("n0") + F.col("n1")).alias("rows"), F.coalesce(effect(F.col), "overall").alias("effect"))
 
 
+#: rows of a block of hashed ids, about
+BLOCK_ROWS = 1 << 18
+
+
+def _candidate_groups(effects: list, edges: dict) -> tuple[list, dict]:
+    """[(feature, bins, edges, the score group of each segment)] and each candidate's number of groups; a group is a distinct score, the highest first.
+
+    A segment that the training rows lack gets the mean effect of the others.
+    """
+    own: dict[tuple, dict] = {}
+    for r in effects:
+        own.setdefault((r.feature, r.bins), {})[r.segment] = (r.effect, r.rows)
+    out, sizes = [], {}
+    for key in sorted(own):
+        found = own[key]
+        total = sum(n for _, n in found.values())
+        mean = sum(e * n for e, n in found.values()) / total if total else 0.0
+        scores = [found.get(i, (mean, 0))[0] for i in range(len(edges[key]) + 1)]
+        order = sorted(set(scores), reverse=True)
+        out.append((*key, np.array(edges[key], np.float32), np.array([order.index(x) for x in scores])))
+        sizes[key] = len(found)
+    return out, sizes
+
+
+def few_valued_cells(rows: DataFrame, candidates: list, groups: int, features: list[str]) -> DataFrame:
+    """(model_name, bucket, n0, n1, y0, y1) of rankings with few distinct scores, of all ``candidates`` at once.
+
+    Equal scores are ordered by the hashed id ``_tie``.  Its leading bits deal the rows to blocks, so blocks follow one another in
+    that order, for each score group of each candidate alike: rows before a row are those of better groups, those of its group in earlier
+    blocks, and those before it in its block.  Rows are sorted once, within blocks.
+    """
+    n = rows.count()
+    bits = max(0, (n // BLOCK_ROWS).bit_length())
+    block = F.shiftrightunsigned(F.col("_tie").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits) if bits else F.lit(0).cast("long")
+    named = written(rows.select(block.alias("block"), "_tie", "source_row_id", F.array(*[F.coalesce(F.col(f).cast("float"), F.lit(float("-inf")).cast("float")) for f in features]).alias("x"), (F.col("treatment") * 2 + F.col("outcome")).cast("int").alias("kind")), "blocks")
+    place = {f: i for i, f in enumerate(features)}
+
+    def groups_of(frame: pd.DataFrame):
+        x = np.stack(frame["x"].to_numpy()) if len(frame) else np.empty((0, len(features)), np.float32)
+        for i, (feature, _, edges, group) in enumerate(candidates):
+            yield i, group[np.searchsorted(edges, x[:, place[feature]], side="right")]
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for i, g in groups_of(frame):
+            sizes = np.bincount(g)
+            parts.append(pd.DataFrame({"block": frame["block"].iloc[0], "candidate": i, "score_group": np.arange(len(sizes)), "n": sizes}))
+        return pd.concat(parts)
+
+    counts = named.groupBy("block").applyInPandas(counted, "block long, candidate int, score_group int, n long")
+    order = Window.partitionBy("candidate").orderBy("score_group", "block").rowsBetween(Window.unboundedPreceding, -1)
+    before = written(counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"), "block-counts")
+
+    def placed(frame: pd.DataFrame, offsets: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["_tie", "source_row_id"], kind="stable")
+        kind, start = frame["kind"].to_numpy(), {k: v for k, v in offsets.groupby("candidate")}
+        parts = []
+        for i, g in groups_of(frame):
+            own = start[i].sort_values("score_group")["before"].to_numpy()
+            by_group = np.argsort(g, kind="stable")
+            sizes = np.bincount(g, minlength=len(own))
+            rank = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(own, sizes)
+            bucket = np.minimum(rank * groups // n, groups - 1)
+            cells = np.bincount(bucket * 4 + kind[by_group], minlength=groups * 4).reshape(groups, 4)
+            parts.append(pd.DataFrame({"candidate": i, "bucket": np.arange(groups), "n0": cells[:, 0] + cells[:, 1], "n1": cells[:, 2] + cells[:, 3], "y0": cells[:, 1], "y1": cells[:, 3]}))
+        return pd.concat(parts)
+
+    found = named.groupBy("block").cogroup(before.groupBy("block")).applyInPandas(placed, "candidate int, bucket int, n0 long, n1 long, y0 long, y1 long")
+    sums = [F.sum(c).alias(c) for c in ("n0", "n1", "y0", "y1")]
+    return found.groupBy(F.col("candidate").alias("model_name"), "bucket").agg(*sums).where("n0 + n1 > 0")
+
+
 def segment_selection(train: DataFrame, validation: DataFrame, outcome: str = "visit", *, groups: int = 20, seed: int = 0) -> DataFrame:
     """Every candidate's AUUC and Qini on the validation rows, best first (ties: fewer bins, then feature by name).
 
-    All candidates are ranked in one job, as rankings in long form; the hashed id is made once a row.
+    Edges and effects are a few rows a candidate; the rows are sorted once for all candidates (see ``few_valued_cells``).
     """
     edges = written(quantile_edges(train), "edges")
-    effects = written(segment_effects(long_segments(train, edges, outcome)), "segment-effects")
-    keyed = with_tie_key(validation, "source_row_id", seed, "_tie")
-    rows = long_segments(keyed, edges, outcome).join(F.broadcast(effects.select("feature", "bins", "segment", "effect")), ["feature", "bins", "segment"], "left")  # at most 8 rows a candidate
-    missing = effects.groupBy("feature", "bins").agg(safe_ratio(F.sum(F.col("effect") * F.col("rows")), F.sum("rows")).alias("mean"), F.count(F.lit(1)).alias("actual_bins"))
-    rows = rows.join(F.broadcast(missing), ["feature", "bins"])
-    place = F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature"))
-    long = rows.select((place * 1000 + F.col("bins")).alias("model_name"), "source_row_id", F.coalesce("effect", "mean").alias("score"), "treatment", "outcome", "_tie")
-    found = curve_metrics(curve_from_cells(cells(ranked(long, seed=seed, tie="_tie"), groups), groups))
-    feature = F.element_at(F.array(*[F.lit(f) for f in FEATURES]), F.floor(F.col("model_name") / 1000).cast("int"))
-    named = found.select(feature.alias("feature"), (F.col("model_name") % 1000).cast("int").alias("bins"), F.col("auuc").alias("validation_auuc"), F.col("qini").alias("validation_qini"))
-    return named.join(missing.select("feature", "bins", "actual_bins"), ["feature", "bins"]).orderBy(F.desc("validation_qini"), "bins", "feature")
+    effects = segment_effects(long_segments(train, edges, outcome)).collect()  # at most 8 rows a candidate
+    candidates, sizes = _candidate_groups(effects, {(r.feature, r.bins): r.edges for r in edges.collect()})
+    features = [f for f in FEATURES if f in validation.columns]
+    keyed = with_tie_key(validation.select("source_row_id", *features, "treatment", F.col(outcome).alias("outcome")), "source_row_id", seed, "_tie")
+    found = curve_metrics(curve_from_cells(few_valued_cells(keyed, candidates, groups, features), groups))
+    names = validation.sparkSession.createDataFrame([(i, f, b, sizes[f, b]) for i, (f, b, _, _) in enumerate(candidates)], "model_name int, feature string, bins int, actual_bins long")
+    named = found.join(F.broadcast(names), "model_name")  # a row a candidate
+    return named.select("feature", "bins", F.col("auuc").alias("validation_auuc"), F.col("qini").alias("validation_qini"), "actual_bins").orderBy(F.desc("validation_qini"), "bins", "feature")
 
 
 def constant_effect(view: DataFrame, outcome: str = "visit") -> DataFrame:

@@ -634,12 +634,13 @@ def paired_sql(models: list[str], replicates: int, outcomes: list[str] | None =
   FROM {name}_d, LATERAL (VALUES {', '.join(f"('{m}', g_{m})" for m in models)}) v(m, bucket) WHERE v.bucket IS NOT NULL GROUP BY ALL)"""
 
 
-def draw_curves_sql(name: str = "bl") -> str:
-    """CTEs after ``paired_sql``: bc, the draws' curves, and ba, their areas."""
-    return f"""bm AS (SELECT replicate, model_name, bucket, sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(y0) OVER w AS y0, sum(y1) OVER w AS y1 FROM {name} WINDOW w AS (PARTITION BY replicate, model_name ORDER BY bucket)),
-bc AS (SELECT replicate, model_name, (bucket + 1) / CAST({G} AS DOUBLE) AS target_fraction, (n0 + n1) * (p1 - p0) AS gain FROM (SELECT *, {_DIFF} FROM bm)),
-br AS (SELECT *, (gain + coalesce(lag(gain) OVER w, 0.0)) / 2 * (target_fraction - coalesce(lag(target_fraction) OVER w, 0.0)) AS area FROM bc WINDOW w AS (PARTITION BY replicate, model_name ORDER BY target_fraction)),
-ba AS (SELECT replicate, model_name, sum(area ORDER BY target_fraction) AS auuc, sum(area ORDER BY target_fraction) - 0.5 * arg_max(gain, target_fraction) AS qini FROM br GROUP BY ALL)"""
+def draw_curves_sql(name: str = "bl", to: str = "") -> str:
+    """CTEs after ``paired_sql``: bc, the draws' curves, and ba, their areas; ``to`` and _ come before their names."""
+    x = f"{to}_" if to else ""
+    return f"""{x}bm AS (SELECT replicate, model_name, bucket, sum(n0) OVER w AS n0, sum(n1) OVER w AS n1, sum(y0) OVER w AS y0, sum(y1) OVER w AS y1 FROM {name} WINDOW w AS (PARTITION BY replicate, model_name ORDER BY bucket)),
+{x}bc AS (SELECT replicate, model_name, (bucket + 1) / CAST({G} AS DOUBLE) AS target_fraction, (n0 + n1) * (p1 - p0) AS gain FROM (SELECT *, {_DIFF} FROM {x}bm)),
+{x}br AS (SELECT *, (gain + coalesce(lag(gain) OVER w, 0.0)) / 2 * (target_fraction - coalesce(lag(target_fraction) OVER w, 0.0)) AS area FROM {x}bc WINDOW w AS (PARTITION BY replicate, model_name ORDER BY target_fraction)),
+{x}ba AS (SELECT replicate, model_name, sum(area ORDER BY target_fraction) AS auuc, sum(area ORDER BY target_fraction) - 0.5 * arg_max(gain, target_fraction) AS qini FROM {x}br GROUP BY ALL)"""
 
 
 def long_metrics_sql(areas: str, curve: str, name: str, percents: list[int] = curves.MAIN_PERCENTS, named: bool = True) -> str:
