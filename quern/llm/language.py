@@ -6,7 +6,7 @@ vectors, and a language's prototype the sum of its training texts' unit vectors.
 that of the prototype with the largest cosine.
 
 Prototypes are fitted on about ``FIT_TEXTS`` texts of each language at most, chosen by a hash of the
-id; every text is classified as a whole.
+id and the text; rows that repeat both teach once.  Every text is classified as a whole, however long.
 """
 
 from __future__ import annotations
@@ -158,12 +158,14 @@ def fit_languages(
     known = docs.where(F.col(lang_col).isNotNull())
     if usable is not None:
         known = known.where(usable)
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    counts = {r.lang: r.n for r in sizes.collect()}
+    rows = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.lit(2)).alias("own_hash"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("own_hash").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: max(1, r.n) for r in sizes.collect()}
     if not counts:
         return {}
     shares = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, texts_per_language / n))])
-    picked = known.where(F.pmod(F.xxhash64(id_col, F.lit(2)), F.lit(1 << 30)) < shares[F.col(lang_col)] * (1 << 30))
+    # a row repeated any number of times is one row after the partial aggregation
+    picked = rows.where(F.pmod("own_hash", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)).groupBy("lang", "own_hash").agg(F.max("text").alias("text"))
 
     def run(batches):
         own, sums = space(dimension), {}
@@ -177,7 +179,7 @@ def fit_languages(
                 [pa.array(list(sums)), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"]
             )
 
-    partial = small_batches(picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))).mapInArrow(run, "lang string, v array<double>")
+    partial = small_batches(picked.select("lang", "text")).mapInArrow(run, "lang string, v array<double>")
     cells = partial.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = cells.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
     found = {r.lang: unit(np.round(np.array([c.x for c in r.v]), 6)) for r in rows}

@@ -88,3 +88,14 @@ def test_op2_equals_brute_force(spark, sf_dir):
         letters = any(c.isalpha() for c in r.text or "")
         assert got[r.doc_id].lang_pred == (names[int(cosines.argmax())] if letters else "und") and got[r.doc_id].held_out == held[r.doc_id]
         assert abs(got[r.doc_id].score - (min(1, max(0, cosines.max())) if letters else 0)) < 1e-4
+
+
+def test_repeated_and_null_ids_teach(spark):
+    """A language whose rows all share an id, have none, or are all equal is learned like any other."""
+    texts = {"en": "the words of this text are the ones of that house ", "fr": "les mots de ce texte sont ceux de cette maison ", "de": "die wörter dieses textes sind die von jenem haus "}
+    rows = [(7, texts["en"] + str(i), "en") for i in range(300)] + [(None, texts["fr"] + str(i), "fr") for i in range(300)] + [(9, texts["de"], "de")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    learned = language.fit_languages(docs, texts_per_language=40)
+    assert sorted(learned) == ["de", "en", "fr"]
+    found = language.identify(docs, learned, ["lang"]).where("lang <> lang_pred")
+    assert found.isEmpty()
