@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.operators.artifacts import canonical_hash
 from quern.sources.files import exists, read_json, write_json
@@ -35,25 +36,28 @@ class Stages:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _whole(self, place: str, digest: str) -> bool:
+    def _stored(self, place: str, digest: str) -> DataFrame | None:
+        """The table at ``place`` if all of it is there; the manifest has its schema, since an empty table may have no files."""
         if not exists(self.spark, f"{place}/manifest.json") or not exists(self.spark, f"{place}/table/_SUCCESS"):
-            return False
+            return None
         found = read_json(self.spark, f"{place}/manifest.json")
-        return found["key"] == digest and found["rows"] == self.spark.read.parquet(f"{place}/table").count()
+        table = self.spark.read.schema(T.StructType.fromJson(found["schema"])).parquet(f"{place}/table")
+        return table if found["key"] == digest and found["rows"] == table.count() else None
 
     def table(self, name: str, configuration: dict, inputs: dict[str, DataFrame], make: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
         """The stage's table and how it came about: ``built``, ``reused``, or ``repaired`` if what was there wasn't whole."""
         digest = canonical_hash({"name": name, "configuration": configuration, "inputs": {k: fingerprint(v) for k, v in inputs.items()}})
         place = f"{self.folder}/{name}/{digest}"
-        if self._whole(place, digest):
-            return self.spark.read.parquet(f"{place}/table"), "reused"
+        stored = self._stored(place, digest)
+        if stored is not None:
+            return stored, "reused"
         old, fs = self._fs(place)
         how = "repaired" if fs.exists(old) else "built"
         beside = f"{self.folder}/{name}/.{uuid.uuid4().hex}"
         try:
             made = make()
             made.write.option("compression", "zstd").parquet(f"{beside}/table")
-            write_json(self.spark, {"key": digest, "rows": self.spark.read.schema(made.schema).parquet(f"{beside}/table").count()}, f"{beside}/manifest.json")
+            write_json(self.spark, {"key": digest, "schema": made.schema.jsonValue(), "rows": self.spark.read.schema(made.schema).parquet(f"{beside}/table").count()}, f"{beside}/manifest.json")
             fs.delete(old, True)
             if not fs.rename(self._fs(beside)[0], old):
                 raise OSError(f"{place} can't be published")
