@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -12,30 +13,21 @@ def plain_words(text):
 
 
 def plain_overlaps(docs, items):
-    """Every diagonal of every pair that shares the words under a mask."""
+    """Every diagonal of every pair, by the rule alone: no masks."""
     out = {}
     for d, text in docs:
         w = plain_words(text)
         for item, item_text in items:
             b = plain_words(item_text)
-            if len(b) < dc.LEAST_WORDS:
+            if not b or (len(b) < dc.LEAST_WORDS and w != b):
                 continue
+            width = min(len(b), dc.WINDOW)
+            enough = len(b) if len(b) < dc.WHOLE_BELOW else dc.SHARE * width - 1e-9
             best = None
             for start in range(-len(b) + 1, len(w)):
                 eq = [0 <= start + i < len(w) and w[start + i] == b[i] for i in range(len(b))]
-                hit = any(
-                    0 <= start + j and start + j + dc.SPAN <= len(w) and all(eq[j + c] for c, x in enumerate(m) if x == "1")
-                    for m in dc.MASKS
-                    for j in range(len(b) - dc.SPAN + 1)
-                )
-                if len(b) < dc.SPAN:
-                    if all(eq) and best is None:
-                        best = (start, sum(eq))
-                    continue
-                width = min(len(b), dc.WINDOW)
-                if hit and max(sum(eq[s : s + width]) for s in range(len(b) - width + 1)) >= dc.SHARE * width - 1e-9:
-                    if best is None or sum(eq) > best[1]:
-                        best = (start, sum(eq))
+                if max(sum(eq[s : s + width]) for s in range(len(b) - width + 1)) >= enough and (best is None or sum(eq) > best[1]):
+                    best = (start, sum(eq))
             if best:
                 out[d, item] = (*best, len(b))
     return out
@@ -49,7 +41,7 @@ def words(rng, n):
 def test_overlaps_equal_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(dc, "BROADCAST_SEEDS", limit)
     rng = random.Random(7)
-    items = [(i, " ".join(words(rng, rng.choice([4, 6, 9, 10, 15, 30, 60])))) for i in range(16)] + [(16, "a b c")]
+    items = [(i, " ".join(words(rng, rng.choice([4, 6, 9, 10, 11, 12, 13, 15, 30, 60])))) for i in range(24)] + [(24, "a b c")]
     docs = []
     for i in range(60):
         own = words(rng, rng.randrange(0, 120))
@@ -60,6 +52,7 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, limit):
             at = rng.randrange(0, len(own) + 1)
             own[at:at] = part
         docs.append((i, ", ".join(own).upper()))
+    docs += [(60, "A, b; c"), (61, "a b c d")]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.equal_words, r.item_words) for r in dc.overlaps(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
     want = plain_overlaps(docs, items)
@@ -92,15 +85,36 @@ def test_edge_cases(spark):
     assert dc.decontaminated(docs, items.limit(0)).count() == len(rows)
 
 
-def test_masks_meet_substitutions():
-    """Of a lone stretch with two words replaced: all are hit from 14 words on; of 13 words, 76 of 78."""
-    from itertools import combinations
+def met(n, gone, masks):
+    return any(all(j + c not in gone for c, x in enumerate(m) if x == "1") for m in masks for j in range(n - len(m) + 1))
 
-    def met(n, gone):
-        return any(all(j + c not in gone for c, x in enumerate(m) if x == "1") for m in dc.MASKS for j in range(n - dc.SPAN + 1))
 
-    assert [sum(met(n, set(g)) for g in combinations(range(n), 2)) for n in (13, 14, 15)] == [76, 91, 105]
-    assert all(met(n, {i}) for n in (11, 12, 13, 14) for i in range(n))
+@pytest.mark.parametrize("n", [10, 11, 12, 13, 14, 20, 30])
+def test_masks_meet_every_accepted_pattern(n):
+    wrong = n - dc.least_equal(n, dc.SHARE)
+    masks = dc.masks_for(n, wrong)
+    assert all(m.count("1") == dc.WEIGHT and m[0] == m[-1] == "1" for m in masks)
+    some = list(combinations(range(n), wrong)) if n < 20 else [random.Random(i).sample(range(n), wrong) for i in range(3000)]
+    assert all(met(n, set(gone), masks) for gone in some)
+
+
+def test_every_pattern_of_two_words_is_found(spark):
+    """Items of 10 to 13 words alone in a document, with each pair of their words replaced."""
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (10, 11, 12, 13)]
+    docs = []
+    for n, text in items:
+        for gone in combinations(range(n), 2):
+            docs.append((len(docs), " ".join("x" if k in gone else w for k, w in enumerate(text.split()))))
+    got = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [d for d, _ in docs]
+
+
+def test_other_windows_and_shares(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = [(i, " ".join("x" if k in random.Random(i).sample(range(20), i % 6) else f"w{k}" for k in range(20))) for i in range(60)]
+    got = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"), window=20)
+    want = [d for d, t in docs if sum(a == b for a, b in zip(t.split(), item.split())) >= 16]
+    assert sorted(r.doc_id for r in got.collect()) == want
 
 
 def test_sql_on_short_items(spark):
@@ -108,9 +122,9 @@ def test_sql_on_short_items(spark):
     import pandas as pd
 
     rng = random.Random(3)
-    items = [(i, " ".join(words(rng, n))) for i, n in enumerate((3, 4, 5, 9, 10, 20))]
-    rows = [(i, " ".join([*words(rng, 20), *plain_words(items[i % 6][1])[: rng.choice((3, 20))], *words(rng, 9)])) for i in range(40)] + [(40, None)]
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate((3, 4, 5, 9, 10, 11, 12, 20))]
+    rows = [(i, " ".join([*words(rng, 20), *plain_words(items[i % 8][1])[: rng.choice((3, 20))], *words(rng, 9)])) for i in range(40)] + [(40, None), (41, items[0][1])]
     documents, benchmark = pd.DataFrame(rows, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"])  # noqa: F841
     got = dc.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = sorted(map(tuple, got.select("doc_id", "item_id", "start", "equal_words", "item_words").collect()))
-    assert got == sorted(duckdb.sql(dc.oracle()).fetchall()) and {r[1] for r in got} == {1, 2, 3, 4, 5}
+    assert got == sorted(duckdb.sql(dc.oracle()).fetchall()) and {r[1] for r in got} == set(range(8))
