@@ -8,10 +8,12 @@ Gamma(2, 1) and b is uniform, all drawn from the term's hash.  A term of weight
 and the term of least ``a`` is the sample: it is the same in two texts with a probability that equals
 their generalised Jaccard similarity (sum of lesser over sum of greater weights).  As ``a`` fixes the
 term and its t, equal samples are equal numbers.  There are ``SLOTS`` strata, each with a sample of its
-own.  A term's occurrences are dealt to the strata in turn, from one that its hash gives, so a heavy
-term weighs on all strata, strata carry equal weight, and a term that occurs once is drawn for once;
-of two texts, the one with more occurrences of a term has all strata's weights of the other.  The share
-of equal samples among strata that either text fills estimates the similarity.
+own.  Each occurrence of a term is dealt to a stratum by a hash of the term and of how often it came before, and a
+term's weight in a stratum is the number of its occurrences there.  So of two texts, the one with more occurrences of
+a term has all of the other's, a stratum holds a random part of the occurrences that either text has, and its
+collision rate is, on average, that of the whole: the share of equal samples among strata that either text
+fills estimates the similarity without bias.  Occurrences of a term after its first ``DEALT`` come to the strata in
+turn, where chance hardly matters by then.
 
 Only DataFrame functions are used.  Texts are shuffled once, to be next to their successor, and all
 that follows happens where they are.
@@ -26,6 +28,7 @@ from quern.llm.common import table, written
 
 SLOTS = 128
 GRAM = 5
+DEALT = 1024
 ROWS_PER_BUCKET = 500
 ROWS_PER_PARTITION = 2000
 CUTS = 4096
@@ -84,6 +87,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(either, F.lit(1)))
 
 
+def _stratum(term: Column, k: Column) -> Column:
+    """The stratum of a term's occurrence ``k``, from 0."""
+    return F.pmod(F.xxhash64(term, F.lit(4), k), F.lit(SLOTS)).cast("int")
+
+
 def fingerprint(docs: DataFrame, text_cols: dict[str, str], keys: list[str]) -> DataFrame:
     """One row per ``keys`` (which must tell rows apart) with the samples of each text column (see ``slots``).
 
@@ -102,13 +110,23 @@ def fingerprint(docs: DataFrame, text_cols: dict[str, str], keys: list[str]) ->
     counted = exploded.groupBy(*keys, F.shiftrightunsigned("tagged", 1).alias("term")).agg(
         *[F.count_if(F.col("tagged").bitwiseAND(F.lit(1)) == i).alias(f"w_{n}") for i, n in enumerate(names)]
     )
-    # occurrence k falls to stratum k mod SLOTS after the term's first; each stratum has a draw of its own
-    turns = F.least(F.greatest(F.lit(1), *[F.col(f"w_{n}") for n in names]), F.lit(SLOTS)).cast("int")
-    dealt = counted.select("*", F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn")).select(
-        *keys,
-        F.when(F.col("turn") == 0, F.col("term")).otherwise(F.xxhash64("term", F.lit(5), "turn")).alias("term"),
-        F.pmod(F.xxhash64("term", F.lit(4)) + F.col("turn"), F.lit(SLOTS)).cast("int").alias("slot"),
-        *[F.floor((F.col(f"w_{n}") - F.col("turn") + (SLOTS - 1)) / SLOTS).alias(f"w_{n}") for n in names],
+    # occurrence k falls to a stratum hashed from term and k; each term has a draw of its own in each stratum
+    weights = [f"w_{n}" for n in names]
+    most = F.greatest(F.lit(1), *[F.col(w) for w in weights])
+    first = _stratum(F.col("term"), F.lit(0))
+    dealt_to = F.transform(F.sequence(F.lit(0), F.least(most, F.lit(DEALT)).cast("int") - 1), lambda k: _stratum(F.col("term"), k))
+    many = counted.select("*", F.when(most > 1, dealt_to).alias("dealt_to"), (most > DEALT).alias("all_slots"))
+    present = F.when(F.col("all_slots"), F.sequence(F.lit(0), F.lit(SLOTS - 1))).otherwise(F.array_distinct("dealt_to"))
+    dealt = many.select(*keys, "term", *weights, "dealt_to", F.explode(F.when(F.col("dealt_to").isNull(), F.array(first)).otherwise(present)).alias("slot"))
+    in_turn = F.pmod(F.col("slot") - F.xxhash64("term", F.lit(6)), F.lit(SLOTS))
+
+    def here(w: str) -> Column:
+        early = F.size(F.filter(F.slice("dealt_to", 1, F.least(F.col(w), F.lit(DEALT)).cast("int")), lambda x: x == F.col("slot")))
+        late = F.greatest(F.lit(0), F.floor((F.col(w) - DEALT - in_turn + (SLOTS - 1)) / SLOTS))
+        return F.when(F.col("dealt_to").isNull(), F.col(w)).when(F.col(w) <= DEALT, early).otherwise(early + late)
+
+    dealt = dealt.select(
+        *keys, F.when(F.col("slot") == first, F.col("term")).otherwise(F.xxhash64("term", F.lit(5), "slot")).alias("term"), "slot", *[here(w).alias(w) for w in weights]
     )
     columns = sample(F.col("term"), {n: F.col(f"w_{n}") for n in names})
     drawn = dealt.select("*", columns["draw"].alias("draw"))
@@ -120,25 +138,31 @@ def _bucketed(own: DataFrame) -> DataFrame:
     """``own`` with ``order``, a hash by which rows of equal ids are ordered, and ``bucket``, which rises with (doc_id, order).
 
     Buckets are ranges of ids between at most ``CUTS`` quantiles, each cut into even ranges if it would have more than
-    ``ROWS_PER_RANGE`` rows.  Rows with a null id come first, in ranges of their hash.
+    ``ROWS_PER_RANGE`` rows.  An id that is several quantiles has as many buckets, ranges of the hash.
+    Rows with a null id come first, in ranges of their hash.
     """
     own = own.withColumn("order", F.shiftrightunsigned(F.xxhash64("text"), 1))
     n, nulls, low, high = own.agg(F.count(F.lit(1)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id"), F.max("doc_id")).first()
     count = max(1, min(CUTS, n // ROWS_PER_BUCKET))
     cuts: list[int] = []
     if count > 1 and low is not None:
-        cuts = sorted(set(own.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20_000)).first()[0]))
-    ranges = -(-n // (ROWS_PER_RANGE * (len(cuts) + 1)))
+        cuts = sorted(own.agg(F.percentile_approx("doc_id", [i / count for i in range(1, count)], 20_000)).first()[0])
+    ranges = max(1, -(-n // (ROWS_PER_RANGE * (len(cuts) + 1))))
     bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
     at = F.size(F.filter(bounds, lambda x: x < F.col("doc_id")))
     bucket = at.cast("long")
+    part = F.col("order") / F.lit(2.0**63)
     if ranges > 1:
         lo = F.coalesce(F.get(bounds, at - 1), F.lit(low - 1)).cast("double")
         hi = F.coalesce(F.get(bounds, at), F.lit(high)).cast("double")
         share = (F.col("doc_id").cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0))
         bucket = bucket * ranges + F.least(F.floor(share * ranges), F.lit(ranges - 1))
+    if len(set(cuts)) < len(cuts):  # an id has the last of its first quantile's ranges, and all of its other quantiles'
+        times = F.size(F.filter(bounds, lambda x: x == F.col("doc_id")))
+        more = (times - 1) * ranges + 1
+        bucket = F.when(times > 1, at * ranges + (ranges - 1) + F.least(F.floor(part * more), more - 1)).otherwise(bucket)
     first = -max(1, -(-nulls // ROWS_PER_RANGE))
-    no_id = F.floor(F.col("order") / F.lit(2.0**63) * -first) + F.lit(first)
+    no_id = F.floor(part * -first) + F.lit(first)
     return own.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.least(no_id, F.lit(-1))).otherwise(bucket).cast("long"))
 
 
