@@ -3,9 +3,10 @@
 Each task packs its documents in blocks.  A document longer than a window gives whole windows
 first; what remains is an item.  Differencing merges partial partitions of the items, the fullest
 part of one with the emptiest of the other, until one partition into ``k`` near-equal windows is
-left.  Items are then cut where a window passes its capacity; the cut tails fill the windows below
-it.  Whenever the items exceed the capacity of ``k`` windows, more windows are opened: for the last
-tokens of a block these have the sizes of powers of two, which need no padding.
+left.  While a window passes its capacity ``k`` rises, as far as ``padding`` allows: the share of padding
+that may be spent to keep documents whole, 0 unless given.  Items are then cut where a window still passes
+its capacity; the cut tails fill the windows below it.  The last tokens of a block, beyond the capacity of
+``k`` windows, have windows of the sizes of powers of two, which need no padding.
 
 Cases: a null or empty text is its end id alone; rows with equal or null ids are documents of their
 own; other columns are ignored; an empty input gives no pieces.
@@ -62,10 +63,12 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return [items for _, items in heap[0][2]]
 
 
-def pack_block(lengths: list[int], window: int = WINDOW) -> list[list[Piece]]:
+def pack_block(lengths: list[int], window: int = WINDOW, padding: float = 0.0) -> list[list[Piece]]:
     """Sequences of pieces that hold every token of documents of these lengths exactly once.
 
-    Every sequence has ``window`` tokens or a power of two below it.
+    Every sequence has ``window`` tokens or a power of two below it, but for windows that lack at most a
+    share of ``padding`` of all tokens.  With a ``padding`` of 1 no document up to a window's size is cut,
+    unless a block's tokens are less than a window.
     """
     sequences: list[list[Piece]] = []
     items: list[Piece] = []
@@ -76,11 +79,16 @@ def pack_block(lengths: list[int], window: int = WINDOW) -> list[list[Piece]]:
             items.append((d, full, n - full))
     total = sum(x[2] for x in items)
     k = total // window
-    parts = [[items[i] for i in part] for part in difference([x[2] for x in items], k)] if k else [items]
     if not k:
         parts, spare = [], items
     else:
-        spare = []
+        sizes, most = [x[2] for x in items], max(k, int(total + padding * sum(lengths)) // window)
+        while True:
+            parts, spare = [[items[i] for i in part] for part in difference(sizes, k)], []
+            over = sum(max(0, sum(x[2] for x in part) - window) for part in parts)
+            if not over or k == most:
+                break
+            k = min(most, k + max(1, over // window))  # capacity is exceeded: more windows
         for part in parts:  # cut at the capacity
             room = window
             for j, (d, s, n) in enumerate(part):
@@ -96,7 +104,7 @@ def pack_block(lengths: list[int], window: int = WINDOW) -> list[list[Piece]]:
         parts.append([])
 
     def fill(part: list[Piece], room: int) -> None:
-        while room:
+        while room and spare:
             d, s, n = spare.pop()
             take = min(n, room)
             part.append((d, s, take))
@@ -108,7 +116,7 @@ def pack_block(lengths: list[int], window: int = WINDOW) -> list[list[Piece]]:
         fill(part, window - sum(x[2] for x in part))
     sequences += parts
     rest = sum(x[2] for x in spare)
-    for bit in reversed(range(rest.bit_length())):  # capacity is exceeded by ``rest``: more windows
+    for bit in reversed(range(rest.bit_length())):  # what ``k`` windows can't hold
         if rest >> bit & 1:
             sequences.append([])
             fill(sequences[-1], 1 << bit)
@@ -123,6 +131,7 @@ def pack(
     tokenizer: str | None = None,
     end_id: int = 1,
     window: int = WINDOW,
+    padding: float = 0.0,
     block_windows: int = BLOCK_WINDOWS,
     with_tokens: bool = True,
 ) -> DataFrame:
@@ -135,7 +144,7 @@ def pack(
     limit = window * block_windows
 
     def pieces(ids: list, rows: list[np.ndarray], first: int):
-        sequences = pack_block([len(r) for r in rows], window)
+        sequences = pack_block([len(r) for r in rows], window, padding)
         columns = [[] for _ in range(8)]
         for q, sequence in enumerate(sequences):
             offset = 0

@@ -153,6 +153,23 @@ def test_pack_block_fills_windows():
         assert sum(t < 2048 for t in totals) <= 11
 
 
+def test_window_count_rises_as_padding_allows():
+    rng = random.Random(1)
+    lengths = [rng.randrange(20, 600) for _ in range(1500)] + [9000]
+    seen = []
+    for padding in (0.0, 0.005, 0.02, 1.0):
+        sequences = packing.pack_block(lengths, padding=padding)
+        assert sum(p[2] for s in sequences for p in s) == sum(lengths)
+        totals = [sum(p[2] for p in s) for s in sequences]
+        assert max(totals) <= 2048
+        lacking = sum(2048 - t for t in totals if t & (t - 1))
+        assert lacking <= padding * sum(lengths)
+        pieces = sorted(p for s in sequences for p in s)
+        assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(pieces, pieces[1:]))  # pieces of a document join up
+        seen.append(len([p for p in pieces if p[0] != 1500]) - 1500)
+    assert seen[0] > seen[1] > seen[2] >= seen[3] == 0  # cuts of documents that a window can hold
+
+
 def test_difference_is_near_equal():
     rng = random.Random(2)
     sizes = [rng.randrange(1, 2048) for _ in range(900)]
