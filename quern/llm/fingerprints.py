@@ -216,7 +216,7 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     Cases: a null text is empty; empty and blank texts have the empty fingerprint, and are alike;
     rows of equal ids are ordered by a hash of their text, rows with a null id come first; a single row
-    is its own successor; other columns are ignored; an empty input gives no rows.
+    is its own successor; texts of any length are taken whole; other columns are ignored; an empty input gives no rows.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

@@ -192,7 +192,8 @@ def identify(
     """The ``keep`` columns of every row, its ``lang_pred`` and its ``score`` (the cosine, at least 0).
 
     Cases: a null text, one without letters, and every text if nothing was learned, is ``und`` with
-    score 0.  Of equal cosines the language first by name wins.  An empty input gives no rows.
+    score 0.  Of equal cosines the language first by name wins.  Texts of
+    any length count whole; repeated rows get equal results; columns of any name can be kept.  An empty input gives no rows.
     """
     names = list(prototypes)
     matrix = np.stack(list(prototypes.values())).astype(np.float32) if names else np.zeros((0, DIMENSION), np.float32)

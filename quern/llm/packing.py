@@ -9,7 +9,7 @@ its capacity; the cut tails fill the windows below it.  The last tokens of a blo
 ``k`` windows, have windows of the sizes of powers of two, which need no padding.
 
 Cases: a null or empty text is its end id alone; rows with equal or null ids are documents of their
-own; other columns are ignored; an empty input gives no pieces.
+own; a text of any length is packed whole, in as many windows as it fills; other columns are ignored; an empty input gives no pieces.
 """
 
 from __future__ import annotations

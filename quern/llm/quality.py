@@ -255,7 +255,7 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, keep: list[str], text_co
     """The ``keep`` columns of every row and its ``score``.
 
     Cases: null and empty texts have statistics of 0 and a score like any other; repeated rows get
-    equal scores; an empty input gives no rows; columns of any name can be kept.
+    equal scores; texts of any length count whole; an empty input gives no rows; columns of any name can be kept.
     """
     if not any(c.strip("`").startswith("s_") for c in keep):
         return with_statistics(docs, text_col, keep).select(*keep, model.column().alias("score"))

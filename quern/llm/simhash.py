@@ -303,8 +303,8 @@ def near_duplicates(
     """(doc_id, fp, component_id) of every row of ``docs``.
 
     Cases: a null, empty or blank text has fingerprint 0 and links like any other; a text shorter
-    than a shingle is one shingle; repeated rows and ids give one row each; other columns are
-    ignored; an empty input gives no rows.
+    than a shingle is one shingle; texts of any length are taken whole; repeated rows and ids give
+    one row each; other columns are ignored; an empty input gives no rows.
     """
     found = fingerprints(docs, id_col=id_col, text_col=text_col, words_per_shingle=words_per_shingle)
     return near_components(written(found, "doc-fingerprints"), radius=radius, count=count)
@@ -388,7 +388,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Cases: null, empty and blank texts are similar to each other and to nothing else; a text of fewer
     words than a shingle is one shingle; rows of equal text are one text; rows of equal ids are rows of their own;
-    other columns are ignored; an empty input gives no rows.
+    texts of any length are compared whole; other columns are ignored; an empty input gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     node = F.when(F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == "", F.lit(0)).otherwise(F.xxhash64(text))

@@ -5,7 +5,7 @@ order.  ``read_token_files`` reads any columns and any id range back; filters on
 groups and, through the page index, single pages.
 
 Cases: a null or empty text is the end id alone.  Rows with equal ids keep their input order, rows
-with a null id come first.  Other columns of the input are ignored, whatever their names.  An empty
+with a null id come first.  Texts of any length are encoded whole.  Other columns of the input are ignored, whatever their names.  An empty
 input writes an empty table.
 """
 
