@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from quern.functions.scalar import is_finite
 from quern.sources.files import exists, read_json, write_json
 
+# Names and order of an artifact's columns.
 PREDICTION_COLUMNS = ["source_row_id", "split", "outcome_name", "model_name", "treatment", "observed_outcome", "uplift_hat", "model_config_hash", "source_file_sha256"]
 
 
 def canonical_hash(value) -> str:
-    """SHA-256 of a value as compact ASCII JSON with sorted keys."""
+    """SHA-256 of a value as compact ASCII JSON with sorted keys (a fixed format: equal configurations must have equal hashes)."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
 
 
