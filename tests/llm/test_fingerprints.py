@@ -1,8 +1,13 @@
 import hashlib
+import math
+import random
 import re
 import statistics
+import struct
 from collections import Counter
 
+import xxhash
+
 from quern.llm import fingerprints as fp
 from quern.llm.common import table
 
@@ -33,6 +38,73 @@ def check(rows, docs):
     return errors
 
 
+def chained(*values):
+    """The signed 64-bit hash of words (str), 32-bit (int below 2^31 in a 1-tuple) and 64-bit numbers, each with the hash before it as seed."""
+    seed = 42
+    for v in values:
+        data = v.encode() if isinstance(v, str) else struct.pack("<i", v[0]) if isinstance(v, tuple) else struct.pack("<q", v)
+        seed = xxhash.xxh64(data, seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_samples(text):
+    """ln a of the least sample in each stratum, one occurrence after the other."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w]
+    runs = [words[i : i + fp.GRAM] for i in range(max(1, len(words) - fp.GRAM + 1))] if words else []
+    least = {}
+    for term, n in Counter(chained(*run) & ((1 << 63) - 1) for run in runs).items():
+        first = chained(term, (4,), (0,)) % fp.SLOTS
+        turn = chained(term, (6,))
+        for slot, weight in Counter(chained(term, (4,), (k,)) % fp.SLOTS if k < fp.DEALT else (turn + k - fp.DEALT) % fp.SLOTS for k in range(n)).items():
+            drawn = term if slot == first else chained(term, (5,), (slot,))
+            x, y, z = (chained(drawn, (k,)) for k in (1, 2, 3))
+            u = lambda bits, shift: (((bits & ((1 << 64) - 1)) >> shift & ((1 << 30) - 1)) + 0.5) * 2.0**-30
+            r = -math.log(u(x, 0) * u(x, 30))
+            ln_c = math.log(-math.log(u(y, 0) * u(y, 30)))
+            t = math.floor(math.log(weight) / r + u(z, 0))
+            a = ln_c - r * (t - u(z, 0) + 1)
+            least[slot] = min(a, least.get(slot, math.inf))
+    return least
+
+
+def same_samples(fingerprint, least):
+    """A fingerprint's strata and digests are those of the samples, up to the last bits of logarithms."""
+    found = {int(fingerprint[i : i + 2], 16): int(fingerprint[i + 2 : i + 6], 16) for i in range(0, len(fingerprint), 6)}
+    if set(found) != set(least):
+        return False
+    for slot, a in least.items():
+        (bits,) = struct.unpack("<q", struct.pack("<d", a))
+        last = int(40 * max(1, 0.25 / abs(a)))  # last bits of the logarithms weigh more where they cancel
+        if found[slot] not in {chained(bits + k) & 0xFFFF for k in range(-last, last + 1)}:
+            return False
+    return True
+
+
+def plain_likeness(a, b):
+    a, b = ({x[i : i + 6] for i in range(0, len(x), 6)} for x in (a, b))
+    either = {x[:2] for x in a | b}
+    return len(a & b) / len(either) if either else 1.0
+
+
+def test_whole_query_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(fp, "DEALT", 64)
+    monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 9)
+    rng = random.Random(4)
+    docs = []
+    for i in range(48):
+        own = [f"w{rng.randrange(200)}" for _ in range(rng.choice((0, 1, 3, 5, 60, 400)))]
+        line = [f"line{i % 5}", "of", "six", "or", "seven", "words"] * rng.choice((0, 0, 3, 50, 200))
+        docs.append((3 * i - 20, " ".join(own + line) if i % 7 else None))
+    got = sorted(fp.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in got] == [d for d, _ in docs]
+    for r, (_, text), (_, after), following in zip(got, docs, docs[1:] + docs[:1], got[1:] + got[:1]):
+        text, after = text or "", after or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        assert same_samples(r.fingerprint, plain_samples(text)) and same_samples(r.edited_fingerprint, plain_samples(edited))
+        assert r.near_edited == plain_likeness(r.fingerprint, r.edited_fingerprint)
+        assert r.near_next == plain_likeness(r.fingerprint, following.fingerprint)
+
+
 def test_op4_estimates_generalised_jaccard(spark):
     sf = "/root/testdata/sf0.01"
     docs = sorted((r.doc_id, r.text) for r in table(spark, sf, "documents").collect())
