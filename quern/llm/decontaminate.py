@@ -148,13 +148,14 @@ def overlaps(
     )
     items = written(items, "benchmark-words")
     # items of a window or more have the window's masks, shorter ones those of their length, the shortest none
-    width = F.least(F.size("item"), F.lit(window))
-    widths = sorted(r[0] for r in items.select(width).distinct().collect())  # at most a window's
-    masks = {n: set(masks_for(n, n - least_equal(n, share))) for n in widths if n >= WHOLE_BELOW}
-    wholes = [n for n in widths if n < WHOLE_BELOW]
-    own = items.withColumnRenamed("item", "h").withColumn("width", F.least(F.size("h"), F.lit(window)))
-    item_seeds = [x for n in masks for x in _seeds(own.where(F.col("width") == n), ["item_id"], masks[n])]
-    item_seeds += [_whole_seeds(own.where(F.size("h") == n), ["item_id"], n) for n in wholes]
+    whole = F.size("item") < WHOLE_BELOW
+    width = F.when(whole, F.size("item")).otherwise(F.least(F.size("item"), F.lit(window)))
+    widths = sorted(tuple(r) for r in items.select(whole, width).distinct().collect())  # at most a window's, and those of short items
+    masks = {n: set(masks_for(n, n - least_equal(n, share))) for short, n in widths if not short}
+    wholes = [n for short, n in widths if short]
+    own = items.select("item_id", F.col("item").alias("h"), whole.alias("whole"), width.alias("width"))
+    item_seeds = [x for n in masks for x in _seeds(own.where(~F.col("whole") & (F.col("width") == n)), ["item_id"], masks[n])]
+    item_seeds += [_whole_seeds(own.where(F.col("whole") & (F.col("width") == n)), ["item_id"], n) for n in wholes]
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
     hashed = hashed.select("doc_id", "text_hash", hashes.alias("h"))
     doc_keys = ["doc_id", "text_hash"]
@@ -185,7 +186,7 @@ def overlaps(
     equal = F.transform(
         "item", lambda w, i: F.when(F.get("h", F.col("start") + i) == w, 1).otherwise(0)
     )
-    enough = F.when(F.size("item") < WHOLE_BELOW, F.size("item")).otherwise(F.ceil(width * F.lit(share) - F.lit(1e-9)))
+    enough = F.when(whole, F.size("item")).otherwise(F.ceil(width * F.lit(share) - F.lit(1e-9)))
     counted = aligned.select(
         "doc_id", "text_hash", "item_id", "start", F.size("item").alias("item_words"), equal.alias("equal"), width.alias("width"), enough.alias("enough")
     )

@@ -112,9 +112,11 @@ def test_every_pattern_of_two_words_is_found(spark):
 def test_other_windows_and_shares(spark):
     item = " ".join(f"w{k}" for k in range(20))
     docs = [(i, " ".join("x" if k in random.Random(i).sample(range(20), i % 6) else f"w{k}" for k in range(20))) for i in range(60)]
-    got = dc.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"), window=20)
-    want = [d for d, t in docs if sum(a == b for a, b in zip(t.split(), item.split())) >= 16]
-    assert sorted(r.doc_id for r in got.collect()) == want
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    for window, least in ((20, 16), (8, 7)):
+        equal = {d: [a == b for a, b in zip(t.split(), item.split())] for d, t in docs}
+        want = [d for d, e in equal.items() if max(sum(e[s : s + window]) for s in range(21 - window)) >= least]
+        assert sorted(r.doc_id for r in dc.overlaps(*frames, window=window).collect()) == want
 
 
 def test_sql_on_short_items(spark):
