@@ -41,7 +41,7 @@ DEAL = 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 #: ends of pieces become line ends, tabs blanks
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
-#: phrases hold no line end, which parts them; langs are in the order of their phrases
+#: names and n are byte planes (see ``shards.planes``); phrases hold no line end, which parts them; langs are in the order of their phrases
 STATE = "shard long, langs array<struct<lang: string, states: long, words: long>>, names binary, keys binary, n binary, phrases binary"
 
 
@@ -75,6 +75,20 @@ def first_level(by_lang: dict[str, list[bytes]]) -> Level:
     return Level(names, np.concatenate(keys), np.bincount(names[names >= 0], minlength=total), langs, pa.array(words, pa.string()))
 
 
+def parted(blob: pa.Buffer, n: int) -> pa.Array:
+    """The ``n`` strings that line ends part in ``blob``, without a Python string each."""
+    if not n:
+        return pa.array([], pa.string())
+    data = np.frombuffer(blob, np.uint8)
+    ends = np.flatnonzero(data == 10)
+    offsets = np.concatenate(([0], ends - np.arange(len(ends)), [len(data) - len(ends)])).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
+
+
+def joined(phrases: pa.Array) -> pa.Buffer:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(phrases)], pa.int32()), phrases), "\n")[0].as_buffer()
+
+
 class Level:
     """A level of a shard's automaton: the state at each place, and each state's key, count and phrase; states of a language are neighbours."""
 
@@ -83,11 +97,11 @@ class Level:
 
     @classmethod
     def of(cls, b: pa.RecordBatch, i: int, spell: bool) -> Level:
-        read = lambda j, kind: np.frombuffer(b.column(j)[i].as_buffer(), kind)
+        read = lambda j, kind: shards.unplaned(b.column(j)[i].as_buffer(), kind)
         langs = [(x["lang"], x["states"], x["words"]) for x in b.column(1)[i].as_py()]
         n = read(4, np.int64)
-        phrases = pa.array(b.column(5)[i].as_py().decode().split("\n") if len(n) else [], pa.string()) if spell else None
-        return cls(read(2, np.int32), read(3, np.uint64), n, langs, phrases)
+        phrases = parted(b.column(5)[i].as_buffer(), len(n)) if spell else None
+        return cls(read(2, np.int32), np.frombuffer(b.column(3)[i].as_buffer(), np.uint64), n, langs, phrases)
 
     def _langs(self, of: np.ndarray) -> list[tuple[str, int, int]]:
         """The languages with the number of states among ``of``, places of states in ascending order."""
@@ -118,8 +132,8 @@ class Level:
 
     def row(self, shard: int) -> pa.RecordBatch:
         langs = pa.array([[{"lang": lang, "states": states, "words": words} for lang, states, words in self.langs]], pa.list_(pa.struct([("lang", pa.string()), ("states", pa.int64()), ("words", pa.int64())])))
-        blobs = [x.tobytes() for x in (self.names, self.keys, np.asarray(self.n, np.int64))] + ["\n".join(self.phrases.to_pylist()).encode()]
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), langs, *[pa.array([x], pa.binary()) for x in blobs]], names=["shard", "langs", "names", "keys", "n", "phrases"])
+        blobs = shards.planes(self.names), np.ascontiguousarray(self.keys), shards.planes(np.asarray(self.n, np.int64)), joined(self.phrases)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), langs, *[shards.one_blob(x) for x in blobs]], names=["shard", "langs", "names", "keys", "n", "phrases"])
 
 
 def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -171,12 +185,12 @@ def spelled(level: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                own = Level.of(b, i, True)
-                lang = pa.array(np.repeat(np.array([x[0] for x in own.langs], object), [x[1] for x in own.langs]), pa.string())
-                yield pa.RecordBatch.from_arrays([lang, own.phrases, pa.array(np.full(len(own.n), k, np.int32)), pa.array(own.n, pa.int64())], names=["lang", "phrase", "k", "n"])
+            for langs, n, phrases in zip(b.column(0), b.column(1), b.column(2)):
+                langs, n = langs.as_py(), shards.unplaned(n.as_buffer(), np.int64)
+                lang = pa.array([x["lang"] for x in langs], pa.string()).take(pa.array(np.repeat(np.arange(len(langs)), [x["states"] for x in langs]), pa.int64()))
+                yield pa.RecordBatch.from_arrays([lang, parted(phrases.as_buffer(), len(n)), pa.array(np.full(len(n), k, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "k", "n"])
 
-    return shards.byte_batches(level).mapInArrow(run, "lang string, phrase string, k int, n long")
+    return shards.byte_batches(level.select("langs", "n", "phrases")).mapInArrow(run, "lang string, phrase string, k int, n long")
 
 
 def pruned(below: DataFrame, buckets: int, least: int, first: bool) -> DataFrame:
@@ -206,20 +220,14 @@ def frequent_phrases(docs: DataFrame, *, lang_col: str = "lang", text_col: str =
     sizes = shards.settled(words.select(F.explode("langs").alias("x")).groupBy("x.lang").agg(F.sum("x.words").alias("n")), "sizes")
     tokens = words.agg(F.sum(F.octet_length("names"))).first()[0] or 0
     buckets = shards.bucket_count(4 * tokens)
-    levels, below = [], words
+    found, below = None, words
     for k in range(1, most + 1):
-        levels.append(pruned(below, buckets, least, k == 1))
-        if k == 1:
-            dropped(words)
-        below = levels[-1]
-    rows = None
-    for k, level in enumerate(levels, 1):
-        part = spelled(level, k)
-        rows = part if rows is None else rows.unionByName(part)
-    counts = rows.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    found = shards.settled(counts, "phrases")
-    for level in levels:
-        dropped(level)
+        level = pruned(below, buckets, least, k == 1)
+        dropped(below)  # at most two levels are on disk
+        counts = spelled(level, k).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        part = shards.settled(counts, "phrases")
+        found, below = part if found is None else found.unionByName(part), level
+    dropped(below)
     return found, sizes
 
 

@@ -24,12 +24,14 @@ SHARD_BYTES = 8 << 20
 PLACE_BITS = 14
 LEAST_BUCKETS = 256
 BUCKET_BYTES = 16 << 20
-_BATCH_BYTES = 32 << 20
+_BATCH_BYTES = 8 << 20
+#: of a bucket, what is decided at once
+_PART_BYTES = 8 << 20
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def byte_batches(df: DataFrame) -> DataFrame:
-    """``df``, to be handed to Python in batches of at most 32 MB; a setting of the session, lowered, never raised."""
+    """``df``, to be handed to Python in batches of about 8 MB, or of one row; a setting of the session, lowered, never raised."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(df.sparkSession.conf.get(name))
     if now > _BATCH_BYTES:
@@ -115,12 +117,19 @@ def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """The bytes of ``values``, those of equal weight together: the leading ones of sorted keys compress."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def unplaned(blob: bytes, dtype) -> np.ndarray:
+def unplaned(blob, dtype) -> np.ndarray:
     wide = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(wide, -1).T).view(dtype).ravel()
+    planes = blob if isinstance(blob, np.ndarray) else np.frombuffer(blob, np.uint8).reshape(wide, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def one_blob(data) -> pa.Array:
+    """A binary array of one value, which is ``data`` itself and not a copy."""
+    whole = pa.py_buffer(data)
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, whole.size], np.int32)), whole])
 
 
 def sent(shard: int, edges: np.ndarray, columns: list[np.ndarray], first: int = 0) -> pa.RecordBatch:
@@ -136,17 +145,30 @@ def sent_schema(columns: int) -> str:
 
 
 def answered(rows: DataFrame, kinds: list, decide: Callable[[list[np.ndarray], np.ndarray], np.ndarray], label: str) -> DataFrame:
-    """(shard, bits: array of (bucket, blob)), written: ``decide`` gets all columns of a bucket and each key's shard, and says yes or no a key."""
+    """(shard, bits: array of (bucket, blob)), written: ``decide`` gets all columns of some keys of a bucket and each key's shard, and says yes or no a key.
+
+    Blobs are sorted by the first column.  A bucket is decided a range of it at a time, all rows of a key at once, so that beside the bucket itself little is in memory.
+    """
+    kinds = [np.dtype(k) for k in kinds]
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        columns = [[unplaned(b.as_py(), kind) for b in group.column(f"c{i}")] for i, kind in enumerate(kinds)]
-        sizes = [len(c) for c in columns[0]]
-        shards = np.repeat(np.arange(len(sizes)), sizes)
-        yes = decide([np.concatenate(c) for c in columns], shards)
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(yes[e - n : e]).tobytes() for e, n in zip(ends, sizes)]
-        return pa.table({"shard": group.column("shard"), "bucket": group.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        columns = [[np.frombuffer(b.as_buffer(), np.uint8).reshape(kind.itemsize, -1) for b in group.column(f"c{i}")] for i, kind in enumerate(kinds)]
+        keys = [unplaned(b, kinds[0]) for b in columns[0]]
+        parts = 1 + sum(len(k) for k in keys) * sum(kind.itemsize for kind in kinds) // _PART_BYTES
+        low, high = min(int(k[0]) for k in keys), max(int(k[-1]) for k in keys)
+        edges = np.array([low + (high - low) * i // parts for i in range(1, parts)], kinds[0])
+        cuts = [[0, *np.searchsorted(k, edges).tolist(), len(k)] for k in keys]
+        del keys
+        yes = [[] for _ in cuts]
+        for i in range(parts):
+            sizes = [c[i + 1] - c[i] for c in cuts]
+            if any(sizes):
+                own = [np.concatenate([unplaned(b[:, c[i] : c[i + 1]], kind) for b, c in zip(column, cuts)]) for column, kind in zip(columns, kinds)]
+                said = decide(own, np.repeat(np.arange(len(sizes)), sizes))
+                for held, end, n in zip(yes, np.cumsum(sizes).tolist(), sizes):
+                    held.append(said[end - n : end])
+        bits = [np.packbits(np.concatenate(held)).tobytes() for held in yes]
+        return pa.table({"shard": group.column("shard"), "bucket": group.column("bucket"), "bits": pa.chunked_array([pa.array(bits, pa.binary())])})
 
     found = rows.groupBy("bucket").applyInArrow(run, "shard long, bucket long, bits binary")
     return settled(found.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), label)

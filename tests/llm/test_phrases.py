@@ -1,12 +1,14 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import phrases
 
+ROOT = Path(__file__).resolve().parents[2]
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -76,3 +78,58 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame(rows, "lang string, text string")
     odd = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(["shard", "names", "keys", "n", "phrase", "k", "a.b", "`q`", "bucket"])])
     assert sorted(map(tuple, phrases.collocations(odd, least=5).collect())) == sorted(map(tuple, phrases.collocations(df, least=5).collect())) != []
+
+
+def test_levels_do_not_pile_up(spark, monkeypatch):
+    """A level is deleted as soon as the next one is there, so at most two are on disk."""
+    alive, most = set(), []
+
+    def pruned(*args):
+        level = own_pruned(*args)
+        alive.add(id(level))
+        most.append(len(alive))
+        return level
+
+    def dropped(df):
+        alive.discard(id(df))
+        own_dropped(df)
+
+    own_pruned, own_dropped = phrases.pruned, phrases.dropped
+    monkeypatch.setattr(phrases, "pruned", pruned)
+    monkeypatch.setattr(phrases, "dropped", dropped)
+    rows = [("en", "p q r s t " * 9)] * 4
+    assert run(spark, rows, least=5) == by_hand(rows, 5)
+    assert max(most) <= 2 and not alive
+
+
+def worker_peak(code):
+    """MB that a Python process has at its peak beyond what it has before ``run()``."""
+    import subprocess
+    import sys
+
+    run_it = "\nimport resource\npeak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024\nbefore = peak()\nrun()\nprint(peak() - before)"
+    return float(subprocess.run([sys.executable, "-c", code + run_it], capture_output=True, text=True, check=True, cwd=str(ROOT)).stdout.split()[-1])
+
+
+BUCKET = """
+import numpy as np, pyarrow as pa
+from quern.llm import phrases, shards
+rng = np.random.default_rng(1)
+rows = [shards.sent(s, np.array([0, 12_000]), [np.sort(rng.integers(0, 1 << 60, 12_000).astype(np.uint64)), np.ones(12_000, np.int64)]) for s in range(200)]
+group = pa.Table.from_batches(rows)
+taken = []
+class Rows:
+    def groupBy(self, *_): return self
+    def applyInArrow(self, run, schema): taken.append(run); return self
+    def agg(self, *_): return self
+shards.settled, shards.F = (lambda *a: None), type("F", (), {"collect_list": lambda *a: type("C", (), {"alias": lambda *a: 0})(), "struct": lambda *a: 0})
+shards.answered(Rows(), ["<u8", "<i8"], phrases.reaches(30), "x")
+def run():
+    out = taken[0](group)
+    assert out.num_rows == 200
+"""
+
+
+def test_a_bucket_is_decided_in_parts():
+    """A bucket of 38 MB."""
+    assert worker_peak(BUCKET) < 110
