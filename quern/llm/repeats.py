@@ -65,11 +65,10 @@ def string_hash(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def string_hashes(data: np.ndarray, length: int, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hash (that of ``string_hash``) and another one of 32 bits of the ``length`` bytes at every place, a few thousand places at a time."""
+def _windows(data: np.ndarray, length: int, step: int):
+    """(first place, 64-bit hashes, 32-bit ones) of the ``length`` bytes at every place, ``step`` places at a time."""
     words = np.ndarray((max(0, len(data) - 7),), "<u8", buffer=data, strides=(1,))
     n = max(0, len(data) - 8 - length + 1)
-    keys, checks = np.empty(n, np.uint64), np.empty(n, np.uint32)
     mask = np.uint64((1 << 8 * min(8, length)) - 1)
     for i in range(0, n, step):
         m = min(step, n - i)
@@ -82,13 +81,45 @@ def string_hashes(data: np.ndarray, length: int, step: int = 1 << 14) -> tuple[n
             np.right_shift(x, np.uint64(29), out=moved)
             np.bitwise_xor(x, moved, out=x)
         x *= _FACTORS[1]
-        keys[i : i + m] = x ^ (x >> np.uint64(32))
         y ^= y >> np.uint64(32)
         y *= _FACTORS[0]
-        checks[i : i + m] = y >> np.uint64(32)
+        yield i, x ^ (x >> np.uint64(32)), (y >> np.uint64(32)).astype(np.uint32)
+
+
+def string_hashes(data: np.ndarray, length: int, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hash (that of ``string_hash``) and another one of 32 bits of the ``length`` bytes at every place, a few thousand places at a time."""
+    n = max(0, len(data) - 8 - length + 1)
+    keys, checks = np.empty(n, np.uint64), np.empty(n, np.uint32)
+    for i, x, y in _windows(data, length, step):
+        keys[i : i + len(x)], checks[i : i + len(x)] = x, y
     return keys, checks
 
 
+def in_span(key: np.ndarray, span: tuple[int, int, int]) -> np.ndarray:
+    """Which keys fall into the buckets from ``low`` to below ``high`` of all."""
+    low, high, buckets = span
+    if high - low == buckets:
+        return np.ones(len(key), bool)
+    bucket = key >> np.uint64(64 - (buckets.bit_length() - 1))
+    return (bucket >= low) & (bucket < high)
+
+
+def open_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, least: int, span: tuple[int, int, int], step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, key, check) of the places in runs whose keys fall into the span; others are never held, but for ``step`` places."""
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[first] += 1
+    inside[last + 1] -= 1
+    np.cumsum(inside, out=inside)
+    at, keys, checks = [np.empty(0, kind)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    for i, x, y in _windows(data, least, step):
+        own = np.flatnonzero(inside[i : i + len(x)].view(bool) & in_span(x, span))
+        at.append((own + i).astype(kind))
+        keys.append(x[own])
+        checks.append(y[own])
+    return np.concatenate(at), np.concatenate(keys), np.concatenate(checks)
+
+
 def samples(starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, text) of the cover samples that some string of ``least`` bytes holds, in order."""
     period, cover = cover_of(least)
@@ -134,39 +165,31 @@ def open_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: pa.S
     return text[real], first[real], last[real]
 
 
-def places(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, run) of every place of every run."""
-    n = last - first + 1
-    run = np.repeat(np.arange(len(n)), n)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[run], run
-
-
 class Suffixes:
-    """The open suffixes of a shard in the order of their keys, or those of one block of buckets."""
-
-    def __init__(self, data: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, least: int, span: tuple[int, int, int]):
-        low, high, buckets = span
-        self.at, self.run = places(first, last)
-        key, check = string_hashes(data, least)
-        key, check = key[self.at], check[self.at]
-        if high - low < buckets:
-            width = np.uint64(64 - (buckets.bit_length() - 1))
-            bucket = key >> width
-            own = (bucket >= low) & (bucket < high)
-            self.at, self.run, key, check = self.at[own], self.run[own], key[own], check[own]
+    """The open suffixes of a shard (see ``open_hashes``) that one block of buckets has, in the order of their keys."""
+
+    def __init__(self, hashed: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, ids: np.ndarray, span: tuple[int, int, int]):
+        self.low, high, buckets = span
+        self.at, key, check = hashed
+        own = in_span(key, span)
+        if not own.all():
+            self.at, key, check = self.at[own], key[own], check[own]
+        edges = np.append(np.searchsorted(self.at, first), len(self.at))
+        run = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(edges))
         order = ordered(key, check)
-        self.at, self.run, key, check = self.at[order], self.run[order], key[order], check[order]
+        self.at, run, key, check = self.at[order], run[order], key[order], check[order]
+        del order
+        self.run, self.ids = run, ids[run]
         self.starts = groups(key, check)
-        self.ids = ids[self.run]
         self.least_id = np.minimum.reduceat(self.ids, self.starts) if len(self.starts) else self.ids
         self.key, self.check = key[self.starts], check[self.starts]
         edges = shards.bucket_edges(self.key, buckets)
-        self.edges = edges[low : high + 1]
+        self.edges = edges[self.low : high + 1]
 
     def removed(self, bits: pa.Scalar) -> np.ndarray:
         """Whether a document with a smaller id, here or in another shard, has the string too."""
         sizes = np.diff(np.append(self.starts, len(self.at)))
-        return np.repeat(shards.answers(bits, self.edges), sizes) | (self.ids > np.repeat(self.least_id, sizes))
+        return np.repeat(shards.answers(bits, self.edges, self.low), sizes) | (self.ids > np.repeat(self.least_id, sizes))
 
 
 def ordered(key: np.ndarray, check: np.ndarray) -> np.ndarray:
@@ -211,7 +234,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     whole = shards.sharded(docs, text_col, "shards", shard_bytes)
     total = whole.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = shards.bucket_count(2 * total)
+    buckets = shards.bucket_count(4 * total)
 
     def read(b: pa.RecordBatch, i: int, column: int):
         return _documents(b.column(column)[i].values, id_at, text_at)
@@ -229,26 +252,28 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b, i in shards.shard_rows(batches):
             _, data, starts, ends, ids = read(b, i, 1)
             text, first, last = open_runs(data, starts, ends, b.column(2)[i], buckets, least)
-            at, _ = places(first, last + least - 1)
-            columns = [pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in (data[at], last - first + 1, text, first - starts[text], ids[text])]
+            whole = np.concatenate([data[:0], *[data[i:j] for i, j in zip(first.tolist(), (last + least).tolist())]])
+            columns = [shards.one_blob(np.ascontiguousarray(c)) for c in (whole, last - first + 1, text, first - starts[text], ids[text])]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *columns], names=["shard", "data", "n", "text", "first", "ids"])
 
     found = rows.join(shared.hint("shuffle_hash"), "shard", "left").mapInArrow(open_suffixes, "shard long, data binary, n binary, text binary, first binary, ids binary")
     runs = shards.settled(found, "runs")
 
-    def suffixes(b: pa.RecordBatch, i: int, at: int, span: tuple[int, int, int]) -> tuple[Suffixes, np.ndarray, np.ndarray, np.ndarray]:
+    def hashed(b: pa.RecordBatch, i: int, at: int, span: tuple[int, int, int]):
+        """The hashes of a shard's open suffixes, and of its runs the texts, offsets in them, starts and ids."""
         data, n, text, first, ids = (np.frombuffer(b.column(at + j)[i].as_buffer(), kind) for j, kind in enumerate((np.uint8, np.int64, np.int64, np.int64, np.int64)))
         ends = np.cumsum(n + least - 1)
         starts = ends - (n + least - 1)
-        return Suffixes(np.concatenate((data, np.zeros(8, np.uint8))), starts, starts + n - 1, ids, least, span), text, first, starts
+        return open_hashes(np.concatenate((data, np.zeros(8, np.uint8))), starts, starts + n - 1, least, span), text, first, starts, ids
 
+    spans = [(buckets * i // blocks, buckets * (i + 1) // blocks, buckets) for i in range(blocks)]
     answers = None
-    for block in range(blocks):
-        span = (buckets * block // blocks, buckets * (block + 1) // blocks, buckets)
+    for span in spans:
 
         def send_suffixes(batches, span=span):
             for b, i in shards.shard_rows(batches):
-                own = suffixes(b, i, 1, span)[0]
+                found, _, _, starts, ids = hashed(b, i, 1, span)
+                own = Suffixes(found, starts, ids, span)
                 yield shards.sent(b.column(0)[i].as_py(), own.edges - own.edges[0], [own.key, own.check, own.least_id], span[0])
 
         part = shards.answered(shards.byte_batches(runs).mapInArrow(send_suffixes, shards.sent_schema(3)), ["<u8", "<u4", "<i8"], has_smaller, "suffixes")
@@ -259,14 +284,18 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def cut(batches):
         for b, i in shards.shard_rows(batches):
             rows, data, starts, ends, _ = read(b, i, 1)
-            gone = np.zeros(len(data) + 1, np.int32)
+            gone = np.zeros(len(data) + 1, np.int8)
             if b.column(2)[i].is_valid:
-                own, text, first, begins = suffixes(b, i, 2, (0, buckets, buckets))
-                out = own.removed(b.column(7)[i])
-                at = own.at[out] - begins[own.run[out]] + (starts[text] + first)[own.run[out]]
-                gone += np.bincount(at, minlength=len(gone)).astype(np.int32)
-                gone -= np.bincount(at + least, minlength=len(gone)).astype(np.int32)
-            gone = np.cumsum(gone[:-1]) > 0
+                found, text, first, begins, of = hashed(b, i, 2, (0, buckets, buckets))
+                for span in spans:
+                    own = Suffixes(found, begins, of, span)
+                    out = own.removed(b.column(7)[i])
+                    at = own.at[out] - begins[own.run[out]] + (starts[text] + first)[own.run[out]]
+                    gone[at] += 1  # each place is there once
+                    gone[at + least] -= 1
+                    del own, out, at
+                del found
+            gone = np.cumsum(gone[:-1], dtype=np.int32) > 0
             yield from _results(rows, data, starts, ends, gone)
 
     joined = rows.join(runs.hint("shuffle_hash"), "shard", "left").join(answers.hint("shuffle_hash"), "shard", "left")
@@ -275,7 +304,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def _results(rows: pa.Array, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray):
     """Rows with the runs of bytes that are gone, and the bytes that aren't."""
-    text = np.repeat(np.arange(len(starts)), ends - starts)
+    text = np.repeat(np.arange(len(starts), dtype=np.int32), ends - starts)
     inside = gone[: len(text)]
     fresh = np.append(True, (text[1:] != text[:-1])) if len(text) else np.empty(0, bool)
     begin = np.flatnonzero(inside & (fresh | ~np.append(False, inside[:-1])))

@@ -1,6 +1,9 @@
 import hashlib
 import itertools
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -108,3 +111,31 @@ def test_op12_equals_brute_force(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in table(spark, sf_dir, "documents").collect())
     want = [(i, n, sum(z - a for a, z in s), len(s), hashlib.sha256(k).hexdigest()) for (i, _), (n, s, k) in zip(docs, by_hand(docs, 50))]
     assert sorted(tuple(r) for r in repeats.op12_repeats(spark, sf_dir).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
+
+
+SHARD = """
+import resource
+import numpy as np
+from quern.llm import repeats
+n = 8 << 20
+data = np.concatenate((np.random.default_rng(0).integers(97, 123, n).astype(np.uint8), np.zeros(8, np.uint8)))
+first = np.arange(0, n, 2000)
+last = np.minimum(first + 2000, n) - 50
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+found = repeats.open_hashes(data, first, last, 50, (0, 512, 512))
+places = 0
+for span in ((0, 170, 512), (170, 341, 512), (341, 512, 512)):
+    own = repeats.Suffixes(found, first, np.arange(len(first)), span)
+    assert len(own.edges) == span[1] - span[0] + 1 and own.edges[0] == 0 and own.edges[-1] == len(own.key)
+    places += len(own.at)
+    del own
+assert places == (last - first + 1).sum()
+print(peak() - before)
+"""
+
+
+def test_a_shard_with_all_places_open_takes_bounded_memory():
+    """8 MB whose strings all go on: a block's suffixes are in memory, not all of them."""
+    root = str(Path(repeats.__file__).resolve().parents[2])
+    assert float(subprocess.run([sys.executable, "-c", SHARD], capture_output=True, text=True, check=True, cwd=root).stdout) < 380
