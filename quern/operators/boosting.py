@@ -1,7 +1,7 @@
 """Gradient boosted trees as tables, grown from distributed histograms; several fits grow side by side.
 
-A row has its features' bins (see ``bin_edges``) and its margin.  A level of a tree is one aggregation: sums of gradients and Hessians per
-fit, node, feature and bin.  Only these sums, whose number depends on the parameters and not on the rows, come to the driver, which picks the
+Rows lie in blocks of a fit's rows, with their features' bins (see ``bin_edges``) and margins as arrays.  A level of a tree is one aggregation: sums of gradients and Hessians per
+fit, node, feature and bin, added up for each task's blocks first.  Only these sums, whose number depends on the parameters and not on the rows, come to the driver, which picks the
 splits.  Gradients are fixed-point integers, so sums don't depend on the order of rows, and the same model comes from any number of partitions,
 or from another engine.  Rows and features are bagged by hashes of the row's id, the feature and the round.  After each round the loss of
 the held-out rows is summed; a fit stops when it hasn't fallen for ``patience`` rounds, and is cut back to its best round.
@@ -18,17 +18,23 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import GOLDEN, MIX_1, MIX_2
-from quern.functions.streams import uniform_sql, with_uniform
+from quern.functions.streams import uniform_sql
 from quern.operators.segments import quantiles
 from quern.sources.files import written
 
 UNIT = 1 << 20
 LOSS_UNIT = 1 << 30
 CLIP = 1e-9
+#: rows of a block
+BLOCK_ROWS = 1 << 16
+BLOCK = "fit int, held boolean, n long, y_sum long, id binary, y binary, m binary, b binary"
+SUMS = "fit int, held boolean, node int, f int, bin int, g long, h long, n long"
 NODES = "fit string, round int, node int, feature string, threshold double, value double"
 
 
@@ -107,12 +113,6 @@ def bin_edges(rows: DataFrame, features: list[str], bins: int) -> dict[str, list
     return {f: sorted(x) for f, x in out.items()}
 
 
-def bin_of(feature: Column, edges: list[float]) -> Column:
-    """How many edges are at or below the value; 0 for null."""
-    value = feature.cast("double")
-    return F.coalesce(reduce(lambda a, b: a + b, [(value >= F.lit(e)).cast("int") for e in edges]), F.lit(0)).cast("tinyint") if edges else F.lit(0).cast("tinyint")
-
-
 def _start(positives: float, n: float, logistic: bool) -> float:
     if not n:
         return 0.0
@@ -155,36 +155,108 @@ def probability(m: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-m))
 
 
-def _gradients(m: Column, y: Column, logistic: Column) -> tuple[Column, Column]:
-    p = probability(m)
-    fixed = lambda c: F.floor(c * UNIT + 0.5).cast("long")
-    return fixed(F.when(logistic, p - y).otherwise(m - y)), fixed(F.when(logistic, p * (1 - p)).otherwise(F.lit(1.0)))
+def _fixed(x: np.ndarray, unit: int = UNIT) -> np.ndarray:
+    return np.floor(np.nan_to_num(x * unit, copy=False) + 0.5).astype(np.int64)
 
 
-def _loss(m: Column, y: Column, logistic: Column) -> Column:
-    p = F.least(F.greatest(probability(m), F.lit(CLIP)), F.lit(1 - CLIP))
-    own = F.when(logistic, -(y * F.ln(p) + (1 - y) * F.ln(1 - p))).otherwise((m - y) * (m - y))
-    return F.floor(own * LOSS_UNIT + 0.5).cast("long")
+def _chance(m: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1.0 / (1.0 + np.exp(-m))
 
 
-def _listed(values: list, kind: str) -> str:
-    return f"cast(array({', '.join('null' if v is None else repr(v) for v in values)}) as array<{kind}>)"
+def _gradients(m: np.ndarray, y: np.ndarray, logistic: bool) -> tuple[np.ndarray, np.ndarray]:
+    if not logistic:
+        return _fixed(m - y), np.full(len(m), UNIT)
+    p = _chance(m)
+    return _fixed(p - y), _fixed(p * (1 - p))
 
 
-def _ended(rows: DataFrame, trees: list[dict[int, tuple]], levels: int) -> DataFrame:
-    """Adds ``node``, the place where a row ends after ``levels`` splits; ``trees`` are in the order of the number ``fit``.
+def _loss(m: np.ndarray, y: np.ndarray, logistic: bool) -> int:
+    p = np.clip(_chance(m), CLIP, 1 - CLIP)
+    return int(_fixed(-(y * np.log(p) + (1 - y) * np.log(1 - p)) if logistic else (m - y) * (m - y), LOSS_UNIT).sum())
 
-    Splits are arrays and not conditions, so that the code that Spark compiles is the same in every round.
-    """
-    size = 1 << levels
-    flat = [tree.get(n) for tree in trees for n in range(size)]
-    feature, cut = _listed([x[0] if x else -1 for x in flat], "int"), _listed([x[1] if x else -1 for x in flat], "int")
-    rows = rows.withColumn("node", F.lit(1))
+
+def _drawn(ids: np.ndarray, round_: int, how: Boosting) -> np.ndarray:
+    """The rows that a round's trees see: those whose ``hashed_unit`` is below the share."""
+    x = ids.view(np.uint64) * np.uint64(4096) + np.uint64((round_ + how.seed + GOLDEN) & ((1 << 64) - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_1 & ((1 << 64) - 1))
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_2 & ((1 << 64) - 1))
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) + 0.5 < how.rows * 2.0**53
+
+
+def _ended(bins: np.ndarray, tree: dict[int, tuple], levels: int) -> np.ndarray:
+    """The node where each row ends after ``levels`` splits; ``bins`` has a line a feature."""
+    feature, cut = np.full(1 << levels, -1), np.zeros(1 << levels, np.int64)
+    for n, (f, b, *_) in tree.items():
+        if n < 1 << levels:
+            feature[n], cut[n] = f, b
+    node, row = np.ones(bins.shape[1], np.int64), np.arange(bins.shape[1])
     for level in range(levels):
         # a node of an earlier level is a leaf, which has no split
-        rows = rows.withColumn("split", F.expr(f"{feature}[fit * {size} + node]")).withColumn("cut", F.expr(f"{cut}[fit * {size} + node]"))
-        rows = rows.withColumn("node", F.expr("if(split < 0, node, 2 * node + if(b[greatest(split, 0)] <= cut, 0, 1))"))
-    return rows.drop("split", "cut")
+        f = feature[node]
+        node = np.where(f < 0, node, 2 * node + (bins[f, row] > cut[node]))
+    return node
+
+
+def _summed(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Exact sums of integers by place."""
+    if len(values) and int(np.abs(values).max()) * len(values) >= 1 << 53:
+        out = np.zeros(size, np.int64)
+        np.add.at(out, place, values)
+        return out
+    return np.bincount(place, values, size).astype(np.int64)
+
+
+def _packed(rows: DataFrame, features: int, edges: list[list[float]]) -> DataFrame:
+    """Blocks of rows of (fit, held, id, y, and the features as doubles)."""
+    kind = _bin_kind(edges)
+
+    def block(fit, held, parts):
+        ids, y, bins = (np.concatenate([p[k] for p in parts], axis=-1) for k in range(3))
+        blobs = [pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in (ids, y, np.zeros(len(y)), bins)]
+        return pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([held]), pa.array([len(y)], pa.int64()), pa.array([int(_fixed(y.copy()).sum())], pa.int64()), *blobs], names=["fit", "held", "n", "y_sum", "id", "y", "m", "b"])
+
+    def run(batches):
+        parts, size = {}, {}
+        for batch in batches:
+            fits, outs = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            ids, y = batch.column(2).fill_null(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            bins = np.empty((features, batch.num_rows), kind)
+            for f in range(features):
+                column = batch.column(4 + f)
+                bins[f] = np.searchsorted(edges[f], column.to_numpy(zero_copy_only=False), "right")  # NaN is larger than any edge
+                if column.null_count:
+                    bins[f][column.is_null().to_numpy(zero_copy_only=False)] = 0
+            for key in sorted(set(zip(fits.tolist(), outs.tolist()))):
+                own = np.flatnonzero((fits == key[0]) & (outs == key[1]))
+                parts.setdefault(key, []).append((ids[own], y[own], bins[:, own]))
+                size[key] = size.get(key, 0) + len(own)
+                if size[key] >= BLOCK_ROWS:
+                    yield block(*key, parts.pop(key))
+                    del size[key]
+        for key, held in parts.items():
+            yield block(*key, held)
+
+    return rows.mapInArrow(run, BLOCK)
+
+
+def _bin_kind(edges: list[list[float]]):
+    return np.uint8 if all(len(e) < 256 for e in edges) else np.uint16
+
+
+def _read(batches, features: int, kind, logistic: list[bool], starts: list[float] | None, since: list):
+    """(fit, held, ids, y, margins after the rounds ``since`` the blocks were written, bins) of each block."""
+    for batch in batches:
+        fits, outs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, (fit, held) in enumerate(zip(fits, outs)):
+            ids, y, m, bins = (np.frombuffer(batch.column(4 + k)[i].as_buffer(), t) for k, t in enumerate((np.int64, np.float64, np.float64, kind)))
+            bins = bins.reshape(features, -1)
+            m = m + starts[fit] if starts else m
+            for trees, leaves, depth in since:
+                at = np.zeros(2 << depth)
+                at[list(leaves[fit])] = list(leaves[fit].values())
+                m = m + at[_ended(bins, trees[fit], depth)]
+            yield batch, i, fit, held, ids, y, m, bins
 
 
 def fit(train: DataFrame, fits: list[Fit], how: Boosting = Boosting(), *, held: DataFrame | None = None, row_id: str = "source_row_id", every: int = 4, edges: dict[str, list[float]] | None = None) -> dict[str, Model]:
@@ -201,12 +273,13 @@ def fit(train: DataFrame, fits: list[Fit], how: Boosting = Boosting(), *, held:
             continue
         for i, x in enumerate(fits):
             own = rows.where(x.where) if x.where is not None else rows
-            parts.append(own.select(F.lit(i).alias("fit"), F.col(row_id).cast("long").alias("id"), F.lit(out).alias("held"), x.label.cast("double").alias("y"), F.lit(x.logistic).alias("logistic"), F.array(*[bin_of(F.col(f), edges[f]) for f in features]).alias("b")))
-    rows = written(reduce(DataFrame.unionByName, parts).where("y is not null"), "boosting")
-    sums = {r.fit: r for r in rows.where("not held").groupBy("fit").agg((F.sum(F.floor(F.col("y") * UNIT + 0.5).cast("long")) / UNIT).alias("y"), F.count(F.lit(1)).alias("n")).collect()}
+            parts.append(own.select(F.lit(i).alias("fit"), F.lit(out).alias("held"), F.col(row_id).cast("long").alias("id"), x.label.cast("double").alias("y"), *[F.col(f).cast("double").alias(f"b{k}") for k, f in enumerate(features)]))
+    cuts = [edges[f] for f in features]
+    blocks = _Blocks(written(_packed(reduce(DataFrame.unionByName, parts).where("y is not null"), len(features), cuts), "boosting"), len(features), _bin_kind(cuts), max(map(len, cuts)) + 1, [x.logistic for x in fits], how)
+    sums = {r.fit: r for r in blocks.rows.where("not held").groupBy("fit").agg((F.sum("y_sum") / UNIT).alias("y"), F.sum("n").alias("n")).collect()}
     models = [Model(x.name, x.logistic, _start(*((sums[i].y, sums[i].n) if i in sums else (0.0, 0)), x.logistic)) for i, x in enumerate(fits)]
     growing = sorted(sums)
-    rows = _bagged(rows.withColumn("m", F.expr(f"{_listed([m.start for m in models], 'double')}[fit]")), 0, every, how)
+    blocks.starts = [m.start for m in models]
     best: dict[int, tuple[int, int]] = {}
 
     def judged(losses: dict[int, tuple[int, int]], r: int) -> None:
@@ -217,66 +290,104 @@ def fit(train: DataFrame, fits: list[Fit], how: Boosting = Boosting(), *, held:
                 best[i] = (loss, r)
 
     for r in range(how.rounds):
-        drawn = _prepared(rows, r % every)
-        histograms, losses = _histograms(drawn, [{}] * len(fits), 0)
+        allowed = {i: [place[f] for f in bagged_features(fits[i].features, r + 1, how)] for i in growing}
+        histograms, losses = blocks.histograms([{}] * len(fits), 0, r + 1, allowed)
         judged(losses, r)
         growing = [i for i in growing if i not in best or r - best[i][1] < how.patience]
         if not growing:
             break
-        allowed = {i: [place[f] for f in bagged_features(fits[i].features, r + 1, how)] for i in growing}
-        trees, values = _tree(drawn, histograms, len(fits), allowed, how)
+        allowed = {i: allowed[i] for i in growing}
+        trees, values = _tree(blocks, histograms, len(fits), r + 1, allowed, how)
         for i in growing:
             models[i].nodes += [(r + 1, n, features[f], edges[features[f]][b], None) for n, (f, b, _) in trees[i].items()] + [(r + 1, n, None, None, v) for n, v in values[i].items()]
             models[i].best_round = r + 1
-        size = 2 << how.depth
-        leaves = _listed([values[i].get(n, 0.0) for i in range(len(fits)) for n in range(size)], "double")
-        rows = _ended(rows.where(F.col("fit").isin(growing)), trees, how.depth).withColumn("m", F.expr(f"m + {leaves}[fit * {size} + node]")).drop("node")
+        blocks.grown(trees, values, growing)
         if (r + 1) % every == 0 and r + 1 < how.rounds:
-            rows = _bagged(rows.drop("drawn"), r + 1, every, how)
+            blocks.write()
     else:
         if held is not None and growing:
-            judged(_histograms(_prepared(rows.where("held"), 0), [{}] * len(fits), 0)[1], how.rounds)
+            judged(blocks.histograms([{}] * len(fits), 0, how.rounds + 1, {i: [] for i in growing})[1], how.rounds)
     for i, (_, r) in best.items():
         models[i].best_round = r
     return {m.name: m for m in models}
 
 
-def _bagged(rows: DataFrame, round_: int, every: int, how: Boosting) -> DataFrame:
-    """Rows, written, with ``drawn``: whether the trees of the next rounds see them."""
-    if how.rows < 1:
-        for k in range(every):
-            rows = with_uniform(rows.withColumn("counter", F.col("id") * 4096 + (round_ + k + 1)), "counter", how.seed, f"u{k}")
-        rows = rows.withColumn("drawn", F.array(*[F.col(f"u{k}") < how.rows for k in range(every)])).drop("counter", *[f"u{k}" for k in range(every)])
-    else:
-        rows = rows.withColumn("drawn", F.array(*[F.lit(True)] * every))
-    return written(rows, "boosting")
-
-
-def _prepared(rows: DataFrame, turn: int) -> DataFrame:
-    """(fit, held, b, g, h) of the rows that the next tree sees, and of held-out ones, whose g is their loss."""
-    g, h = _gradients(F.col("m"), F.col("y"), F.col("logistic"))
-    loss = _loss(F.col("m"), F.col("y"), F.col("logistic"))
-    return rows.where(F.col("held") | F.col("drawn")[turn]).select("fit", "held", "b", F.when(F.col("held"), loss).otherwise(g).alias("g"), h.alias("h"))
-
-
-def _histograms(drawn: DataFrame, trees: list[dict], level: int) -> tuple[dict, dict]:
-    """Of the nodes of a level, {(fit, node): {feature: [(bin, g, h, n)]}}, and at the first level {fit: (loss, rows)}."""
-    long = _ended(drawn if level == 0 else drawn.where("not held"), trees, level).select("fit", "held", "node", "g", "h", F.posexplode("b").alias("f", "bin"))
-    found = long.groupBy("fit", "held", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("n"))
-    # held-out rows are in each feature's bins once: one feature's are all of them
-    found = found.where(F.col("held") & (F.col("f") == 0) | ~F.col("held") & (F.col("node") >= 1 << level))
-    histograms: dict[tuple, dict] = {}
-    losses: dict[int, tuple[int, int]] = {}
-    for x in sorted(found.collect(), key=lambda x: (x.fit, x.node, x.f, x.bin)):
-        if x.held:
-            loss, n = losses.get(x.fit, (0, 0))
-            losses[x.fit] = loss + x.g, n + x.n
-        else:
-            histograms.setdefault((x.fit, x.node), {}).setdefault(x.f, []).append((x.bin, x.g, x.h, x.n))
-    return histograms, losses
-
-
-def _tree(drawn: DataFrame, histograms: dict, fits: int, allowed: dict[int, list[int]], how: Boosting) -> tuple[list[dict], list[dict]]:
+class _Blocks:
+    """The rows of all fits in blocks, written, and the trees grown since."""
+
+    def __init__(self, rows: DataFrame, features: int, kind, bins: int, logistic: list[bool], how: Boosting):
+        self.rows, self.features, self.kind, self.bins, self.logistic, self.how = rows, features, kind, bins, logistic, how
+        self.starts: list[float] | None = None
+        self.since: list = []
+
+    def _reader(self):
+        fixed = self.features, self.kind, self.logistic, self.starts, list(self.since)
+        return lambda batches: _read(batches, *fixed)
+
+    def grown(self, trees: list[dict], leaves: list[dict], growing: list[int]) -> None:
+        self.since.append((trees, leaves, self.how.depth))
+        self.rows = self.rows.where(F.col("fit").isin(growing))
+
+    def write(self) -> None:
+        """Margins as they are now take the place of the trees."""
+        read = self._reader()
+
+        def run(batches):
+            for batch, i, _, _, _, _, m, _ in read(batches):
+                own = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*own.columns[:6], pa.array([m.tobytes()], pa.binary()), own.column(7)], names=batch.schema.names)
+
+        self.rows, self.starts, self.since = written(self.rows.mapInArrow(run, BLOCK), "boosting"), None, []
+
+    def histograms(self, trees: list[dict], level: int, round_: int, allowed: dict[int, list[int]]) -> tuple[dict, dict]:
+        """Of the nodes of a level, {(fit, node): {feature: [(bin, g, h, n)]}}, and at the first level {fit: (loss, rows)} of held-out rows."""
+        read, bins_, how, logistic = self._reader(), self.bins, self.how, self.logistic
+        first, names = 1 << level, [x.split(" ")[0] for x in SUMS.split(", ")]
+
+        def run(batches):
+            held_out: dict[int, list[int]] = {}
+            sums: dict[tuple[int, int], list[np.ndarray]] = {}
+            for _, _, fit, held, ids, y, m, bins in read(batches):
+                if held:
+                    own = held_out.setdefault(fit, [0, 0])
+                    own[0], own[1] = own[0] + _loss(m, y, logistic[fit]), own[1] + len(y)
+                    continue
+                if not allowed.get(fit):
+                    continue
+                if how.rows < 1:
+                    own = np.flatnonzero(_drawn(ids, round_, how))
+                    m, y, bins = m[own], y[own], bins[:, own]
+                node = _ended(bins, trees[fit], level)
+                if level:
+                    own = np.flatnonzero(node >= first)
+                    m, y, bins, node = m[own], y[own], bins[:, own], node[own]
+                g, h = _gradients(m, y, logistic[fit])
+                base = (node - first) * bins_
+                for f in allowed[fit]:
+                    at = base + bins[f]
+                    parts = _summed(at, g, first * bins_), _summed(at, h, first * bins_), np.bincount(at, minlength=first * bins_)
+                    sums[fit, f] = [a + b for a, b in zip(sums[fit, f], parts)] if (fit, f) in sums else list(parts)
+            for (fit, f), (g, h, n) in sums.items():
+                at = np.flatnonzero(n)
+                k = len(at)
+                columns = np.full(k, fit), np.zeros(k, bool), at // bins_ + first, np.full(k, f), at % bins_, g[at], h[at], n[at]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.bool_(), *[pa.int32()] * 3, *[pa.int64()] * 3))], names=names)
+            for fit, (loss, n) in held_out.items():
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((fit, True, 0, 0, 0, loss, 0, n), (pa.int32(), pa.bool_(), *[pa.int32()] * 3, *[pa.int64()] * 3))], names=names)
+
+        rows = self.rows if level == 0 else self.rows.where("not held")
+        found = rows.mapInArrow(run, SUMS).groupBy("fit", "held", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+        histograms: dict[tuple, dict] = {}
+        losses: dict[int, tuple[int, int]] = {}
+        for x in sorted(found.collect(), key=lambda x: (x.fit, x.node, x.f, x.bin)):
+            if x.held:
+                losses[x.fit] = x.g, x.n
+            else:
+                histograms.setdefault((x.fit, x.node), {}).setdefault(x.f, []).append((x.bin, x.g, x.h, x.n))
+        return histograms, losses
+
+
+def _tree(blocks: _Blocks, histograms: dict, fits: int, round_: int, allowed: dict[int, list[int]], how: Boosting) -> tuple[list[dict], list[dict]]:
     """The next tree of every fit that ``allowed`` has features for: its splits {node: (feature, bin, sums)} and the values of its leaves.
 
     ``histograms`` are those of the roots.
@@ -285,7 +396,7 @@ def _tree(drawn: DataFrame, histograms: dict, fits: int, allowed: dict[int, list
     sums: list[dict] = [{} for _ in range(fits)]
     for level in range(how.depth):
         if level:
-            histograms = _histograms(drawn, trees, level)[0]
+            histograms = blocks.histograms(trees, level, round_, allowed)[0]
         for (i, at), histogram in histograms.items():
             first = next(iter(histogram.values()))
             total = tuple(sum(x[k] for x in first) for k in (1, 2, 3))

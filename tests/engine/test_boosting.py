@@ -116,3 +116,26 @@ def test_few_rows_and_one_label(spark):
     assert models["none"].start == 0.0 and not models["none"].trees()
     p = df.select(boosting.predicted(models["ones"]).alias("p"), boosting.predicted(models["nulls"]).alias("q")).collect()
     assert all(r.p > 0.99 and 0 < r.q < 1 for r in p)
+
+
+def test_levels_add_up_in_tasks(spark, monkeypatch):
+    """No level makes a row of each row and feature: tasks hand on sums only."""
+
+    def refuse(*_):
+        raise AssertionError("rows are exploded by feature")
+
+    df = table(spark, 300)
+    edges = boosting.bin_edges(df, COLUMNS, 6)
+    monkeypatch.setattr(boosting.F, "posexplode", refuse)
+    how = Boosting(rounds=2, depth=2, bins=6)
+    assert boosting.fit(df, [Fit("m", COLUMNS, F.col("y"))], how, edges=edges)["m"].nodes
+
+
+def test_sums_are_exact_and_rows_drawn_as_hashed():
+    import numpy as np
+
+    values = np.array([(1 << 58) + 1, 3, -(1 << 57) - 5, 7])
+    assert boosting._summed(np.array([0, 1, 0, 1]), values, 3).tolist() == [(1 << 57) - 4, 10, 0]
+    how = Boosting(rows=0.6, seed=11)
+    ids = np.arange(-50, 200)
+    assert boosting._drawn(ids, 5, how).tolist() == [boosting.hashed_unit(int(i) * 4096 + 5, 11) < 0.6 for i in ids]
