@@ -1,17 +1,19 @@
 """Main text of web pages, with a host's repeated boilerplate found by suffix arrays.
 
-Each page becomes blocks of text.  Markup settles what can't be main text: navigation, headers, footers,
-side bars, notices, adverts, forms, scripts and comments.  Blocks inside an article landmark are main text, repeated or
-not, as copies and shared passages are part of an article.  All other blocks are a token stream per page; a
-suffix array over the streams of a host finds runs of ``LEAST_RUN`` tokens that distinct pages share.  A block repeats as often as the runs
-that cover most of it; it is boilerplate if that is on more than twice as many pages as the page's own text, which is the least repeated
-fifth of its words.  So the text of a page that has copies, or shares its article with other pages, stays, however many they are, and lines that all the host
-repeats go from the copies too.  Unique blocks stay if no landmark decides: on pages
-without one, on pages where they outweigh what is in the landmark (a teaser), and inside a landmark where only a name
-such as ``related-work`` hints at boilerplate.
-
-Over a table, each batch of pages has a suffix array; its runs, with their numbers of pages, are summed by hash over
-the whole host, so a host may have any number of pages and the result doesn't depend on how pages are dealt.
+Each page becomes blocks of text, and the blocks of all pages are token streams.  A suffix array over the streams of a host
+finds runs of ``LEAST_RUN`` tokens and more that distinct pages share.  A block repeats as often as the runs that cover most of it; the array
+holds it for boilerplate if that is on more than twice as many pages as the page's own text, which is the least repeated fifth of its words.
+So the text of a page that has copies, or shares its article with other pages, stays, however many they are, and lines that all the host
+repeats go from the copies too.
+
+Markup checks what the array says.  Blocks of navigation, headers, footers, side bars, notices, adverts, forms
+and comments go even where no other page has them.  Blocks inside an article landmark stay even where the array holds them for boilerplate, as
+copies and shared passages are part of an article; how much of the text that is comes with it.  All other blocks are for the array to
+decide.  Unique ones stay if no landmark decides: on pages without one, on pages where they outweigh what is in the landmark (a
+teaser), and inside a landmark where only a name such as ``related-work`` hints at boilerplate.
+
+Over a table, pages lie in shards of bounded size with a suffix array for each host; their runs, with their numbers of pages, are summed by hash over
+all shards (``quern.llm.shards``), so a host may have any number of pages and the result doesn't depend on how pages are dealt.
 """
 
 from __future__ import annotations
@@ -22,14 +24,20 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import hot_keys, lookup_join, small_batches, table, written
+from quern.llm import shards
+from quern.llm.common import small_batches, table
 
 LEAST_RUN = 6
 COVERED = 0.5
 OWN_SHARE = 0.2
+#: characters of a shard, with 200 a page and 20 a block
+SHARD_CHARS = 4 << 20
+#: parts of all runs that are exchanged one after the other, so that only one is on disk at a time
+PASSES = 2
 
 # Element and name lists of HTML.
 BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "button", "select", "option", "textarea", "input", "menu", "dialog", "iframe", "object", "svg", "canvas", "audio", "video", "map", "datalist", "label", "fieldset", "title"}
@@ -52,7 +60,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-ARTICLE, OPEN, HINTED = 1, 2, 3
+ARTICLE, OPEN, HINTED, RULED_OUT = 1, 2, 3, 4
 
 
 def _named(tokens: list[str], inside: int, landmark: bool) -> tuple[bool, bool]:
@@ -95,7 +103,12 @@ def _kind(tag: str, raw_attributes: str, inside: int) -> tuple[bool, bool, bool]
 
 
 def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
-    """(tag, text, zone) of each block that markup doesn't rule out, in page order; zone: ARTICLE, OPEN (outside), or HINTED (inside)."""
+    """The ``all_blocks`` that markup doesn't rule out."""
+    return [b for b in all_blocks(html) if b[2] != RULED_OUT]
+
+
+def all_blocks(html: str | None) -> list[tuple[str, str, int]]:
+    """(tag, text, zone) of each block but scripts and styles, in page order; zone: ARTICLE, OPEN (outside), HINTED (inside), or RULED_OUT by markup."""
     html = html or ""
     blocks: list[tuple[str, str, int]] = []
     stack: list[tuple[str, int, int, int]] = []
@@ -108,12 +121,14 @@ def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append((block_tag, text, (HINTED if hinted else ARTICLE) if inside else OPEN))
+                blocks.append((block_tag, text, RULED_OUT if ruled_out else (HINTED if hinted else ARTICLE) if inside else OPEN))
             parts.clear()
 
     def leave(depth: int):
         nonlocal ruled_out, inside, hinted
         while len(stack) > depth:
+            if stack[-1][1]:
+                end_block()
             tag, *marks = stack.pop()
             opened[tag] -= 1
             ruled_out, inside, hinted = (x - y for x, y in zip((ruled_out, inside, hinted), marks))
@@ -121,14 +136,14 @@ def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
     while at < len(html):
         m = _TAG.search(html, at)
         stop = m.start() if m else len(html)
-        if stop > at and not ruled_out:
+        if stop > at:
             parts.append(unescape(html[at:stop]))
         if not m:
             break
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
-            if m[0].startswith("<![CDATA[") and not ruled_out:
+            if m[0].startswith("<![CDATA["):
                 parts.append(m[0][9:].removesuffix("]]>"))
             continue
         if tag in BLOCK_TAGS:
@@ -170,32 +185,54 @@ def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of an integer sequence, and the length of what each suffix shares with the one before it."""
+    """Suffix array of an integer sequence, and the length of what each suffix shares with the one before it.
+
+    Prefix doubling; only suffixes that still share their rank are sorted again.
+    """
     n = len(tokens)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
-    step = 1
-    while levels[-1].max() < n - 1:
+    names = tokens - tokens.min() if np.ptp(tokens) < 4 * n else np.unique(tokens, return_inverse=True)[1]
+    sizes = np.bincount(names)
+    levels = [(np.cumsum(sizes) - sizes)[names]]  # a rank is the place where its group begins
+    tied, step = np.flatnonzero(sizes[names] > 1), 1
+    while len(tied):
         rank = levels[-1]
-        later = np.full(n, -1, np.int64)
-        later[: n - step] = rank[step:] if step < n else rank[:0]
-        levels.append(np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64))
-        step *= 2
-    order = np.argsort(levels[-1], kind="stable")
+        later = np.zeros(len(tied), np.int64)
+        within = tied + step < n
+        later[within] = rank[tied[within] + step] + 1
+        by = rank[tied] * (n + 1) + later
+        order = np.argsort(by)
+        tied, by = tied[order], by[order]
+        old = rank[tied]
+        place = np.arange(len(tied))
+        new_group = np.concatenate(([True], by[1:] != by[:-1]))
+        old_group = np.concatenate(([True], old[1:] != old[:-1]))
+        begins = np.maximum.accumulate(np.where(new_group, place, 0))
+        rank = rank.copy()
+        rank[tied] = old + begins - np.maximum.accumulate(np.where(old_group, place, 0))
+        levels.append(rank)
+        alone = new_group & np.concatenate((new_group[1:], [True]))
+        tied, step = tied[~alone], step * 2
+    order = np.empty(n, np.int64)
+    order[levels[-1]] = np.arange(n)
     a, b = order[1:].copy(), order[:-1].copy()
     shared = np.zeros(n - 1, np.int64)
     for k in range(len(levels) - 1, -1, -1):
-        inside = (a < n) & (b < n)
-        same = np.zeros(n - 1, bool)
-        same[inside] = levels[k][a[inside]] == levels[k][b[inside]]
         # equal ranks at the ends may stand for shorter suffixes; no two suffixes are equal
-        same &= np.maximum(a, b) + (1 << k) <= n
-        shared += same * (1 << k)
-        a, b = a + same * (1 << k), b + same * (1 << k)
+        inside = np.flatnonzero(np.maximum(a, b) + (1 << k) <= n)
+        same = inside[levels[k][a[inside]] == levels[k][b[inside]]]
+        shared[same] += 1 << k
+        a[same] += 1 << k
+        b[same] += 1 << k
     return order, np.concatenate(([0], shared))
 
 
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Where each group of equal values begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+
+
 def shared_runs(streams: list[np.ndarray], least_run: int = LEAST_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(page, begin, pages) for one place of each run of ``least_run`` tokens: how many streams have it, from a suffix array."""
     sizes = np.array([len(s) for s in streams], np.int64)
@@ -210,155 +247,276 @@ def shared_runs(streams: list[np.ndarray], least_run: int = LEAST_RUN) -> tuple[
     order, shared = suffix_array(whole)
     group = np.cumsum(shared < least_run) - 1
     full = (order + least_run <= ends[page[order]] - 1) if len(whole) else np.empty(0, bool)  # the run lies within its stream
-    pairs = np.unique(group[full] * (len(streams) + 1) + page[order][full]) // (len(streams) + 1)
-    kept, pages = np.unique(pairs, return_counts=True)
+    pairs = np.sort(group[full] * (len(streams) + 1) + page[order][full])
+    runs = pairs[_begins(pairs)] // (len(streams) + 1)
+    own = _begins(runs)
+    kept, pages = runs[own], np.diff(own, append=len(runs))
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, np.int64)
     place = order[first[kept]]
     return page[place], place - (ends - sizes - 1)[page[place]], pages
 
 
-def _stream(blocks: list[tuple[str, str, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """(hashes of a page's tokens, place of each block's); a block that markup has decided is one token."""
-    import xxhash
-
-    hashes, own = [], []
-    for tag, text, zone in blocks:
-        begin = len(hashes)
-        words = [text] if zone == ARTICLE else text.split(" ")
-        hashes += [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in (f"<{tag}>", *words)]
-        own.append((begin, len(hashes)))
-    return np.array(hashes, np.uint64), own
-
-
-def _run_hashes(host: str, tokens: np.ndarray, least_run: int = LEAST_RUN) -> np.ndarray:
-    """Hash of host and run at each place with ``least_run`` tokens."""
-    import xxhash
-
-    n = max(0, len(tokens) - least_run + 1)
-    runs = np.full(n, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")), np.uint64)
-    for k in range(least_run if n else 0):
-        runs = (runs ^ tokens[k : k + n]) * np.uint64(0x9E3779B185EBCA87)
-        runs ^= runs >> np.uint64(29)
-    return runs.view(np.int64)
-
-
-def host_runs(hosts: list[str], streams: list[np.ndarray], least_run: int = LEAST_RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(run hash, number of pages with it) of all runs of these pages, with a suffix array for each host."""
-    found, pages = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for host in dict.fromkeys(hosts):
-        own = [s for h, s in zip(hosts, streams) if h == host and len(s) >= least_run]
-        if own:
-            page, begin, n = shared_runs(own, least_run)
-            hashes = [_run_hashes(host, s, least_run) for s in own]
-            found.append(np.array([hashes[p][at] for p, at in zip(page.tolist(), begin.tolist())], np.int64))
+def _hashed(strings: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings, eight bytes of all of them at a time."""
+    data, starts, ends = shards.text_bytes(strings)
+    out = (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    eight = np.lib.stride_tricks.sliding_window_view(data, 8)
+    rest = np.arange(len(starts))
+    while len(rest := rest[starts[rest] < ends[rest]]):
+        lane = np.ascontiguousarray(eight[starts[rest]]).view("<u8").ravel()
+        beyond = 8 * np.maximum(0, starts[rest] + 8 - ends[rest]).astype(np.uint64)
+        mixed = (out[rest] ^ (lane << beyond)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        out[rest] = mixed ^ (mixed >> np.uint64(29))
+        starts[rest] += 8
+    return out
+
+
+class _Stream:
+    """The tokens of some blocks of a shard, page after page, and the hash of host and run at each place where ``least_run`` tokens of a page begin."""
+
+    def __init__(self, blocks: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, page: np.ndarray, salts: np.ndarray, least_run: int):
+        self.blocks, self.tokens, self.page, self.least_run = blocks, tokens, page, least_run
+        self.begins = np.cumsum(sizes) - sizes
+        n = max(0, len(tokens) - least_run + 1)
+        self.places = np.flatnonzero(page[:n] == page[len(page) - n :])
+        keys = salts[page[:n]]
+        for k in range(least_run if n else 0):
+            keys = (keys ^ tokens[k : k + n]) * np.uint64(0x9E3779B185EBCA87)
+            keys ^= keys >> np.uint64(29)
+        self.at_place, self.keys = keys, keys[self.places]
+
+    def runs(self, host: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """(hashes, numbers of pages) of all runs, with a suffix array for each host; ``host`` is that of each page, in order."""
+        keys, pages = [], []
+        own = host[self.page]
+        for part in np.split(np.arange(len(own)), np.flatnonzero(np.diff(own)) + 1) if len(own) else ():
+            begins = np.concatenate(([0], np.flatnonzero(np.diff(self.page[part])) + 1))
+            page, begin, n = shared_runs(np.split(self.tokens[part], begins[1:]), self.least_run)
+            keys.append(self.at_place[part[0] + begins[page] + begin])
             pages.append(n)
-    return np.concatenate(found), np.concatenate(pages)
-
-
-def _repeats(own: list[tuple[int, int]], counts: np.ndarray, least_run: int = LEAST_RUN) -> list[int]:
-    """On how many pages each block is: the greatest number that ``COVERED`` of its tokens reach; ``counts`` are those of the page's runs in order."""
-    size = own[-1][1] if own else 0
-    tokens = np.ones(size + least_run, np.int64)
-    for k in range(least_run):
-        tokens[k : k + len(counts)] = np.maximum(tokens[k : k + len(counts)], counts)
-    return [int(np.sort(tokens[a:b])[::-1][max(0, int(np.ceil(COVERED * (b - a))) - 1)]) for a, b in own]
-
-
-def _kept(blocks: list[tuple[str, str, int]], own: list[tuple[int, int]], counts: np.ndarray, least_run: int = LEAST_RUN) -> str:
-    """The main text of one page; ``counts`` are the numbers of pages with its runs, in order."""
-    repeats = [1 if zone == ARTICLE else n for (_, _, zone), n in zip(blocks, _repeats(own, counts, least_run))]
-    sizes = [b - a if zone != ARTICLE else text.count(" ") + 2 for (_, text, zone), (a, b) in zip(blocks, own)]
-    seen, most = 0, 1
-    for n, size in sorted(zip(repeats, sizes)):
-        seen, most = seen + size, n
-        if seen >= OWN_SHARE * sum(sizes):
+        return keys, pages
+
+    def repeats(self, counts: np.ndarray) -> np.ndarray:
+        """On how many pages each block is: the greatest number that ``COVERED`` of its tokens reach; ``counts`` are those of the runs, in order."""
+        level = np.ones(len(self.tokens), np.int64)
+        for k in range(self.least_run):
+            level[self.places + k] = np.maximum(level[self.places + k], counts)
+        if not len(self.begins):
+            return np.empty(0, np.int64)
+        out = np.ones(len(self.begins), np.int64)
+        ends = np.append(self.begins[1:], len(level))
+        for i in np.flatnonzero(np.maximum.reduceat(level, self.begins) > 1):
+            a, b = self.begins[i], ends[i]
+            out[i] = np.sort(level[a:b])[::-1][max(0, int(np.ceil(COVERED * (b - a))) - 1)]
+        return out
+
+
+PAGES = pa.schema([("host", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("tags", pa.list_(pa.string())), ("parts", pa.list_(pa.string())), ("zones", pa.list_(pa.int8()))])
+
+
+class Shard:
+    """Some pages, ordered by host, with two kinds of streams.
+
+    One has the blocks that markup leaves open (with a token for each whole block of an article between them), the other the
+    blocks on which markup has a say: articles, and what it rules out.  Runs of the two are counted apart, as a text that other pages have
+    as their article is no boilerplate where it is open.
+    """
+
+    def __init__(self, pages: pa.Table, least_run: int = LEAST_RUN):
+        import xxhash
+
+        self.pages = pages.combine_chunks()
+        column = lambda name: pa.concat_arrays(self.pages[name].chunks) if len(self.pages) else pa.array([], PAGES.field(name).type)
+        parts, hosts = column("parts"), column("host").to_pylist()
+        counts = parts.value_lengths().to_numpy()
+        self.first = np.concatenate(([0], np.cumsum(counts)))
+        self.texts, self.zones = parts.flatten(), column("zones").flatten().to_numpy()
+        self.host = np.cumsum([0, *(a != b for a, b in zip(hosts, hosts[1:]))])
+        page = np.repeat(np.arange(len(counts)), counts)
+        split = pc.split_pattern(self.texts, " ")
+        self.lengths = split.value_lengths().to_numpy()
+        words, tags = _hashed(split.flatten()), _hashed(pc.binary_join_element_wise("<", column("tags").flatten(), ">", ""))
+        article, ruled_out = self.zones == ARTICLE, self.zones == RULED_OUT
+        left_open = np.zeros(len(counts), bool)
+        left_open[page[~article & ~ruled_out]] = True
+        self.streams = []
+        for kind, chosen, whole in (("open", left_open[page] & ~ruled_out, article), ("marked", article | ruled_out, np.zeros(len(article), bool))):
+            salts = np.array([xxhash.xxh64_intdigest(f"{kind} {h}".encode("utf-8", "surrogatepass")) for h in hosts], np.uint64)
+            blocks = np.flatnonzero(chosen)
+            sizes = np.where(whole, 1, self.lengths)[blocks] + 1
+            tokens = np.empty(int(sizes.sum()), np.uint64)
+            inner = np.ones(len(tokens), bool)
+            inner[np.cumsum(sizes) - sizes] = False
+            as_one = np.repeat(whole[blocks], sizes - 1)
+            text = np.empty(len(as_one), np.uint64)
+            text[~as_one] = words[np.repeat(chosen & ~whole, self.lengths)]
+            text[as_one] = _hashed(self.texts.filter(pa.array(chosen & whole)))
+            tokens[~inner], tokens[inner] = tags[blocks], text
+            self.streams.append(_Stream(blocks, sizes, tokens, np.repeat(page[blocks], sizes), salts, least_run))
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sorted hashes of all runs of the shard, the number of its pages with each)."""
+        keys, pages = (np.concatenate([np.empty(0, kind), *sum(found, [])]) for kind, found in zip((np.uint64, np.int64), zip(*(s.runs(self.host) for s in self.streams))))
+        order = np.argsort(keys)
+        begins = _begins(keys[order])
+        return keys[order][begins], np.add.reduceat(pages[order], begins) if len(begins) else pages
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the hashes of ``runs``, the place among them of each run of the streams)."""
+        keys = np.concatenate([s.keys for s in self.streams])
+        order = np.argsort(keys)
+        begins = _begins(keys[order])
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(keys)))
+        return keys[order][begins], place
+
+    def main_texts(self, pages: np.ndarray) -> list[tuple[str, int, int]]:
+        """``_main_text`` of each page; ``pages`` is the number of pages of the whole host with each run of the streams."""
+        repeats = np.ones(len(self.zones), np.int64)
+        for stream, counts in zip(self.streams, np.split(pages, [len(self.streams[0].keys)])):
+            found = stream.repeats(counts)
+            own = (self.zones[stream.blocks] != ARTICLE) | (stream is self.streams[1])
+            repeats[stream.blocks[own]] = found[own]
+        blocks = list(zip(self.texts.to_pylist(), self.zones.tolist(), (self.lengths + 1).tolist(), repeats.tolist()))
+        return [_main_text(blocks[a:b]) for a, b in zip(self.first.tolist(), self.first[1:].tolist())]
+
+
+def _own_level(blocks: list[tuple[int, int]]) -> int:
+    """The number of pages that the least repeated ``OWN_SHARE`` of a page has; ``blocks``: (pages, size)."""
+    seen, level, least = 0, 1, OWN_SHARE * sum(size for _, size in blocks)
+    for level, size in sorted(blocks):
+        seen += size
+        if seen >= least:
             break
-    stays = [n <= 2 * most for n in repeats]
-    words = lambda wanted: sum(size for (_, _, zone), size, ok in zip(blocks, sizes, stays) if ok and (zone == OPEN) == wanted)
-    outside = words(True) > words(False)
-    return "\n".join(text for (_, text, zone), ok in zip(blocks, stays) if ok and (zone != OPEN or outside))
+    return level
+
 
+def _main_text(blocks: list[tuple[str, int, int, int]]) -> tuple[str, int, int]:
+    """(main text of a page, how many of its characters the array holds for boilerplate, how many of the blocks that markup rules out it does); ``blocks``: (text, zone, size, pages)."""
+    most = _own_level([(1 if zone == ARTICLE else n, size) for _, zone, size, n in blocks if zone != RULED_OUT])
+    left = [b for b in blocks if b[1] == ARTICLE or b[1] != RULED_OUT and b[3] <= 2 * most]
+    outside = sum(size for _, zone, size, _ in left if zone == OPEN) > sum(size for _, zone, size, _ in left if zone != OPEN)
+    kept = [b for b in left if outside or b[1] != OPEN]
+    level = _own_level([(n, size) for _, zone, size, n in blocks if zone != RULED_OUT])
+    repeated = sum(len(text) for text, zone, _, n in kept if zone == ARTICLE and n > 2 * level)
+    return "\n".join(b[0] for b in kept), repeated, sum(zone == RULED_OUT and n > 2 * level for _, zone, _, n in blocks)
 
-def _counts(runs: np.ndarray, found: np.ndarray, pages: np.ndarray) -> np.ndarray:
-    """The number of pages with each of ``runs``, 1 for those not ``found``."""
-    order = np.argsort(found)
-    found, pages = found[order], pages[order]
-    if not len(found):
-        return np.ones(len(runs), np.int64)
-    place = np.minimum(np.searchsorted(found, runs), len(found) - 1)
-    return np.where(found[place] == runs, pages[place], 1)
+
+def _pages(rows: list[tuple]) -> pa.Table:
+    """A table of (host, page_id, url, blocks), ordered by host."""
+    rows = sorted(rows, key=lambda r: r[0])
+    columns = [pa.array([r[i] for r in rows], PAGES.field(i).type) for i in range(3)]
+    ends = pa.array(np.cumsum([0, *(len(r[3]) for r in rows)]), pa.int32())
+    blocks = [b for r in rows for b in r[3]]
+    columns += [pa.ListArray.from_arrays(ends, pa.array([b[i] for b in blocks], PAGES.field(3 + i).type.value_type)) for i in range(3)]
+    return pa.table(columns, schema=PAGES)
 
 
 def main_texts(pages: list[str | None], *, least_run: int = LEAST_RUN) -> list[str]:
     """Main text of each page of one host: blocks joined by line ends."""
-    parsed = [page_blocks(h) for h in pages]
-    streams = [_stream(blocks) for blocks in parsed]
-    found, n = host_runs([""] * len(pages), [s for s, _ in streams], least_run)
-    return [_kept(blocks, own, _counts(_run_hashes("", tokens, least_run), found, n), least_run) for blocks, (tokens, own) in zip(parsed, streams)]
+    shard = Shard(_pages([("", i, None, all_blocks(h)) for i, h in enumerate(pages)]), least_run)
+    return [text for text, _, _ in shard.main_texts(shard.runs()[1][shard.places()[1]])]
+
+
+def _packed(pages: pa.Table) -> pa.Buffer:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pages.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+        out.write_table(pages)
+    return sink.getvalue()
+
+
+def _unpacked(blob: pa.Scalar) -> Shard:
+    with pa.ipc.open_stream(blob.as_buffer()) as held:
+        return Shard(held.read_all())
+
+
+def _host_pages(group: pa.Table) -> pa.Table:
+    """For each shard of a bucket, which of its runs are on several pages of all shards together, and on how many."""
+    keys = [shards.unplaned(b.as_buffer(), "<u8") for b in group.column("c0")]
+    own = np.concatenate([shards.unplaned(b.as_buffer(), "<u4") for b in group.column("c1")])
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    pages = np.bincount(place, own, len(found)).astype(np.uint32)[place]
+    at, n = [], []
+    for part in np.split(pages, np.cumsum([len(k) for k in keys])[:-1]):
+        several = np.flatnonzero(part > 1)
+        at.append(shards.planes(several.astype(np.uint32)))
+        n.append(shards.planes(part[several]))
+    return pa.table({"shard": group.column("shard"), "bucket": group.column("bucket"), "at": pa.array(at, pa.binary()), "n": pa.array(n, pa.binary())})
 
 
 def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text) of every row of ``pages``.
+    """(page_id, url, text, n_repeated, n_template) of every row of ``pages``.
+
+    ``n_repeated`` is how many code points of the text lie in blocks that the host's suffix array holds for boilerplate and that stay since
+    the page marks them as its article; ``n_template`` is how many of the blocks that markup rules out the array holds for boilerplate too.
 
     Cases: null and empty html have an empty text; pages with a null or odd url are one host; equal
     rows have equal texts, those of the page alone if the host has only copies of it; a page of any length is taken whole; other columns are ignored; an empty input gives no rows.
     """
     rows = pages.select(
+        F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
         F.col(html_col).alias("html"),
-        F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-    ).select("host", "page_id", "url", "html")
-
-    fields = "host string, page_id long, url string, text string, tags array<string>, parts array<string>, zones array<int>, runs array<long>, run long, pages long"
-    names = [f.split(" ")[0] for f in fields.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+    )
 
     def parse(batches):
-        none = np.empty(0, np.int64)
+        from pyspark import TaskContext
+
+        shard, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def row():
+            tokens = sum(text.count(" ") + 2 for *_, blocks in held for _, text, _ in blocks)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([tokens], pa.int64()), shards.one_blob(_packed(_pages(held)))], names=["shard", "tokens", "pages"])
+
         for b in batches:
-            hosts, streams, columns = b.column(0).to_pylist(), [], [[] for _ in range(5)]
-            for host, html in zip(hosts, b.column(3)):
-                blocks = page_blocks(html.as_py())
-                tokens, own = _stream(blocks)
-                decided = all(zone == ARTICLE for _, _, zone in blocks)
-                streams.append(none if decided else tokens)
-                runs = none if decided else _run_hashes(host, tokens)
-                values = _kept(blocks, own, none) if decided else None, *([] if decided else [x[i] for x in blocks] for i in range(3)), np.unique(runs)
-                for column, value in zip(columns, values):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], *(pa.array(c, k) for c, k in zip(columns, kinds[3:])), pa.nulls(len(hosts), pa.int64()), pa.nulls(len(hosts), pa.int64())], names=names
-            )
-            found, pages = host_runs(hosts, streams)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(found), k) for k in kinds[:8]), pa.array(found), pa.array(pages)], names=names)
+            for *page, html in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3)):
+                blocks = all_blocks(html.as_py())
+                held.append((*page, blocks))
+                size += 200 + sum(len(text) + 20 for _, text, _ in blocks)
+                if size >= SHARD_CHARS:
+                    yield row()
+                    shard, held, size = shard + 1, [], 0
+        if held:
+            yield row()
+
+    whole = shards.settled(shards.byte_batches(small_batches(rows)).mapInArrow(parse, "shard long, tokens long, pages binary"), "page-shards")
+    buckets = shards.bucket_count(8 * (whole.agg(F.sum("tokens")).first()[0] or 0))
+    cuts = [buckets * i // PASSES for i in range(PASSES + 1)]
+
+    def send(low: int, high: int):
+        def run(batches):
+            for b, i in shards.shard_rows(batches):
+                keys, n = _unpacked(b.column(1)[i]).runs()
+                edges = shards.bucket_edges(keys, buckets)[low : high + 1]
+                own = slice(edges[0], edges[-1])
+                yield shards.sent(b.column(0)[i].as_py(), edges - edges[0], [keys[own], n[own].astype(np.uint32)], low)
+
+        return run
 
     def finish(batches):
-        for b in batches:
-            texts = []
-            for host, *blocks, repeats in zip(b.column(0).to_pylist(), *(b.column(i) for i in (3, 4, 5, 6))):
-                blocks = list(zip(*(x.as_py() for x in blocks)))
-                tokens, own = _stream(blocks)
-                found = repeats.as_py() or []
-                runs, pages = (np.array([x[k] for x in found], np.int64) for k in ("run", "n"))
-                texts.append(_kept(blocks, own, _counts(_run_hashes(host, tokens), runs, pages)))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    parsed = written(small_batches(rows).mapInArrow(parse, fields).withColumn("row", F.monotonically_increasing_id()), "page-blocks")
-    # batches give one row a run, and partial sums come before the shuffle, so a run on all pages of a large host is no hot key
-    counts = parsed.where(F.col("run").isNotNull()).groupBy("run").agg(F.sum("pages").alias("n")).where("n > 1")
-    counts = written(counts, "page-runs")
-    paged = parsed.where(F.col("run").isNull())
-    undecided = paged.where(F.col("text").isNull())
-    own_runs = undecided.select("row", F.explode("runs").alias("run"))
-    repeats = lookup_join(own_runs, counts, "run", hot=hot_keys(counts, "run")).groupBy("row").agg(F.collect_list(F.struct("run", "n")).alias("repeats"))
-    rest = undecided.select("row", "host", "page_id", "url", "tags", "parts", "zones").join(repeats.hint("merge"), "row", "left")
-    rest = small_batches(rest.select("host", "page_id", "url", "tags", "parts", "zones", "repeats"))
-    done = paged.where(F.col("text").isNotNull()).select("page_id", "url", "text")
-    return done.unionByName(rest.mapInArrow(finish, "page_id long, url string, text string"))
+        for b, i in shards.shard_rows(batches):
+            shard = _unpacked(b.column(1)[i])
+            keys, place = shard.places()
+            edges, counts = shards.bucket_edges(keys, buckets), np.ones(len(keys), np.int64)
+            for item in b.column(2)[i].as_py() or []:
+                counts[edges[item["bucket"]] + shards.unplaned(item["at"], "<u4").astype(np.int64)] = shards.unplaned(item["n"], "<u4")
+            texts = [pa.array(c, k) for c, k in zip(zip(*shard.main_texts(counts[place])), (pa.string(), pa.int64(), pa.int64()))]
+            ids, urls = (pa.concat_arrays(shard.pages[name].chunks) for name in ("page_id", "url"))
+            yield pa.RecordBatch.from_arrays([ids, urls, *texts], names=["page_id", "url", "text", "n_repeated", "n_template"])
+
+    blobs = shards.byte_batches(whole.select("shard", "pages"))
+    found = None
+    for low, high in zip(cuts, cuts[1:]):
+        sent = blobs.mapInArrow(send(low, high), shards.sent_schema(2))
+        part = shards.settled(sent.groupBy("bucket").applyInArrow(_host_pages, "shard long, bucket long, at binary, n binary"), "page-runs")
+        found = part if found is None else found.unionByName(part)
+    found = found.groupBy("shard").agg(F.collect_list(F.struct("bucket", "at", "n")).alias("found"))
+    joined = blobs.join(found.hint("shuffle_hash"), "shard", "left").select("shard", "pages", "found")
+    return joined.mapInArrow(finish, "page_id long, url string, text string, n_repeated long, n_template long")
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = extract_main_text(table(spark, sf_dir, "pages"))
-    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated", "n_template")

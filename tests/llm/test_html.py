@@ -207,3 +207,92 @@ def test_whole_rule_equals_definition(spark):
             pages.append(PAGE.format(main="".join(parts)))
         pages += pages[:2]
         assert H.main_texts(pages) == spark_texts(spark, pages) == by_definition(pages)
+
+
+def repeats_by_definition(streams):
+    """For each page and block the number of pages that have half of its tokens in runs of six, from a dictionary."""
+    flat = [[t for block in s for t in block] for s in streams]
+    runs = Counter(r for f in flat for r in {tuple(f[i : i + 6]) for i in range(len(f) - 5)})
+    out = []
+    for stream, tokens in zip(streams, flat):
+        counts = [max([runs[tuple(tokens[i : i + 6])] for i in range(max(0, k - 5), min(k, len(tokens) - 6) + 1)], default=1) for k in range(len(tokens))]
+        ends = np.cumsum([len(b) for b in stream], dtype=int).tolist()
+        out.append([sorted(counts[end - len(b) : end], reverse=True)[(len(b) + 1) // 2 - 1] for b, end in zip(stream, ends)])
+    return out
+
+
+def verdicts_by_definition(pages):
+    """(n_repeated, n_template) of each page of one host."""
+    parsed = [H.all_blocks(p) for p in pages]
+    tokens = lambda tag, text, one: [f"<{tag}>", *([text] if one else text.split(" "))]
+    is_open = [any(z in (H.OPEN, H.HINTED) for _, _, z in blocks) for blocks in parsed]
+    left_open = [[(i, tokens(tag, x, z == H.ARTICLE)) for i, (tag, x, z) in enumerate(blocks) if z != H.RULED_OUT and some] for blocks, some in zip(parsed, is_open)]
+    marked = [[(i, tokens(tag, x, False)) for i, (tag, x, z) in enumerate(blocks) if z in (H.ARTICLE, H.RULED_OUT)] for blocks in parsed]
+    repeats = [[1] * len(blocks) for blocks in parsed]
+    for streams in (left_open, marked):  # what an article's blocks are in ``marked`` counts
+        for page, found, stream in zip(repeats, repeats_by_definition([[b for _, b in s] for s in streams]), streams):
+            for (i, _), n in zip(stream, found):
+                page[i] = n
+    out = []
+    for blocks, page, text in zip(parsed, repeats, by_definition(pages)):
+        own = sorted(n for (_, x, z), n in zip(blocks, page) if z != H.RULED_OUT for _ in range(len(x.split(" ")) + 1))
+        level = own[max(0, -(-len(own) // 5) - 1)] if own else 1
+        repeated = [x for (_, x, z), n in zip(blocks, page) if z == H.ARTICLE and n > 2 * level]
+        assert all(x in text.split("\n") for x in repeated)
+        out.append((sum(map(len, repeated)), sum(z == H.RULED_OUT and n > 2 * level for (_, _, z), n in zip(blocks, page))))
+    return out
+
+
+def spark_verdicts(spark, pages, host="h"):
+    docs = spark.createDataFrame([(i, f"http://{host}/x", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    return [(r.n_repeated, r.n_template) for r in sorted(H.extract_main_text(docs).collect())]
+
+
+def test_array_is_asked_about_articles_and_boilerplate(spark):
+    """Markup decides all blocks of these pages; the array still says which of them the host repeats, and articles stay whole."""
+    page = """<body><nav><ul><li>Home</li><li>News of today</li></ul></nav><div class="ad">{ad}</div>
+    <article><h1>{title}</h1><p>{own}</p><p>{line}</p></article><footer>all rights reserved by the host of these pages</footer></body>"""
+    pages = [page.format(ad=words(f"ad{i}", 9), title=f"title {i}", own=words(f"own{i}", 40), line=LINE) for i in range(9)]
+    assert spark_texts(spark, pages) == [f"title {i}\n{words(f'own{i}', 40)}\n{LINE}" for i in range(9)]
+    assert spark_verdicts(spark, pages) == verdicts_by_definition(pages) == [(len(LINE), 3)] * 9
+    assert spark_verdicts(spark, pages[:1] * 9) == verdicts_by_definition(pages[:1] * 9) == [(0, 0)] * 9
+
+
+def test_verdicts_equal_definition(spark):
+    rng = random.Random(9)
+    for _ in range(2):
+        shared = [words(f"q{k}", rng.randrange(3, 30)) for k in range(5)]
+        some = lambda i, k: rng.choice(shared) if rng.random() < 0.5 else words(f"n{i}y{k}", rng.randrange(1, 25))
+        pages = []
+        for i in range(12):
+            parts = [f"<{t}>{some(i, k)}</{t.split(' ')[0]}>" for k, t in enumerate(rng.choices(["p", "article", "article", "aside", "div class='ad'", "footer"], k=rng.randrange(0, 8)))]
+            pages.append(PAGE.format(main="".join(parts)))
+        pages += pages[:2] + [""]
+        assert spark_verdicts(spark, pages) == verdicts_by_definition(pages)
+        assert H.main_texts(pages) == spark_texts(spark, pages) == by_definition(pages)
+
+
+def test_ruled_out_blocks_end_with_their_element():
+    blocks = H.all_blocks("<p>a <b>b<span class='ad'>c</b>d <i hidden>e</i>f</p><nav>g<div>h</nav>i<script>j</script>")
+    assert [(x, z == H.RULED_OUT) for _, x, z in blocks] == [("a b", False), ("c", True), ("d", False), ("e", True), ("f", False), ("g", True), ("h", True), ("i", False)]
+
+
+def test_hashes_of_words_are_distinct():
+    import pyarrow as pa
+
+    strings = ["", "a", "b", "a" * 7, "a" * 8, "a" * 9, "a" * 16, "a" * 17, "ab" * 8, "ba" * 8, "\0", "\0\0", "é", "e", "x" * 5000, "x" * 4999 + "y", "y" + "x" * 4999]
+    strings += [f"{a}{b}" for a in ("", "prefix-", "longer-prefix-") for b in range(20_000)]
+    hashes = H._hashed(pa.array(strings + strings[::-1]))
+    assert len(set(hashes.tolist())) == len(strings) and (hashes == hashes[::-1]).all()
+    assert (H._hashed(pa.array(["zz", *strings]).slice(1)) == hashes[: len(strings)]).all()
+
+
+def test_op5_asks_the_array(spark, sf_dir):
+    """Every page of the query against the definition, host by host; hosts of the smallest table have too few pages to repeat anything."""
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    hosts = {}
+    for r in table(spark, sf_dir, "pages").collect():
+        hosts.setdefault(re.match(r"\w+://([^/?#]*)", r.url)[1].lower(), []).append(r)
+    want = {r.page_id: v for rows in hosts.values() for r, v in zip(rows, verdicts_by_definition([r.html for r in rows]))}
+    assert {r.page_id: (r.n_repeated, r.n_template) for r in H.op5_main_text(spark, sf_dir).collect()} == want
+    assert any(t for _, t in want.values())
