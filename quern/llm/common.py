@@ -64,11 +64,11 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here, and lost executors cost no recomputation."""
+def written(df: DataFrame, label: str, **options) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends here, and lost executors cost no recomputation; ``options`` are the writer's."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

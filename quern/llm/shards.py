@@ -39,13 +39,13 @@ def byte_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def settled(df: DataFrame, label: str) -> DataFrame:
+def settled(df: DataFrame, label: str, **options) -> DataFrame:
     """``written``, after which Spark deletes the shuffle files that led to the table."""
     conf = df.sparkSession.conf
     before = conf.get(_CLEAN_UP)
     conf.set(_CLEAN_UP, "true")
     try:
-        return written(df, label)
+        return written(df, label, **options)
     finally:
         conf.set(_CLEAN_UP, before)
 
