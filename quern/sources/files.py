@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
@@ -127,6 +128,12 @@ def file_sha256(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def table_sha256(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the digests of all files of a table, in any order; a task reads a file (up to 2 GB) at a time, and only digests come to the driver."""
+    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("digest")).collect()
+    return hashlib.sha256("".join(sorted(r.digest for r in found)).encode()).hexdigest()
+
+
 def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect()))
 

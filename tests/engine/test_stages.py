@@ -36,6 +36,22 @@ def test_a_stage_is_built_once_and_published_whole(spark, tmp_path):
     assert part.name and store.table("s", {"a": 1}, {"rows": rows}, make)[1] == "repaired"
 
 
+def test_digests_of_tables_take_all_their_files(spark, tmp_path):
+    for name, kept in (("a", "id > 99"), ("b", "id > 99"), ("c", "id > 150"), ("none", "id < 0")):
+        spark.range(0, 200, 1, 2).where(kept).write.parquet(f"file://{tmp_path}/{name}")  # the first file has no rows
+    a, b, c, none = (files.table_sha256(spark, f"file://{tmp_path}/{name}") for name in ("a", "b", "c", "none"))
+    assert a == b and len({a, c, none}) == 3
+
+
+def test_a_changed_table_has_another_digest_whatever_its_keys(spark, sf_dir, tmp_path):
+    from quern import evaluation_queries
+
+    spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 2 = 0").limit(200).write.parquet(f"file://{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{sf_dir}/customer.parquet").write.parquet(f"file://{tmp_path}/customer.parquet")
+    found = {r.step: r.found for r in evaluation_queries.sources_and_protocol(spark, f"file://{tmp_path}").collect()}
+    assert (found["digest"], found["digest_of_changed"]) == ("equal", "differs")
+
+
 def test_fingerprints(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "i int, s string")
     assert stages.fingerprint(a) == stages.fingerprint(a.repartition(3).select("s", "i"))
