@@ -39,7 +39,7 @@ SHARD_CHARS = 4 << 20
 #: parts of all runs that are exchanged one after the other, so that only one is on disk at a time
 PASSES = 2
 #: rows are blobs of a shard, so the writer looks at each and ends row groups early; that bounds what writing and reading hold
-FEW_BLOBS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+FEW_BLOBS = shards.FEW_BLOBS
 
 # Element and name lists of HTML.
 BOILERPLATE_TAGS = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "button", "select", "option", "textarea", "input", "menu", "dialog", "iframe", "object", "svg", "canvas", "audio", "video", "map", "datalist", "label", "fieldset", "title"}

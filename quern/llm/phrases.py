@@ -41,8 +41,10 @@ DEAL = 64
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 #: ends of pieces become line ends, tabs blanks
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
-#: names and n are byte planes (see ``shards.planes``); phrases hold no line end, which parts them; langs are in the order of their phrases
-STATE = "shard long, langs array<struct<lang: string, states: long, words: long>>, names binary, keys binary, n binary, phrases binary"
+#: rows of spelled phrases that are handed on at once
+SPELL_ROWS = 1 << 15
+#: names, n and parts are byte planes (see ``shards.planes``); words hold no line end, which parts them; langs are in the order of their states
+STATE = "shard long, langs array<struct<lang: string, states: long, words: long>>, names binary, keys binary, n binary, words binary, parts binary"
 
 
 def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -72,7 +74,7 @@ def first_level(by_lang: dict[str, list[bytes]]) -> Level:
         salt = pd.util.hash_array(np.array([lang], object), categorize=False)
         keys.append(combined(pd.util.hash_array(np.array(own, object), categorize=False), salt) if own else np.empty(0, np.uint64))
     names = np.concatenate(places)
-    return Level(names, np.concatenate(keys), np.bincount(names[names >= 0], minlength=total), langs, pa.array(words, pa.string()))
+    return Level(names, np.concatenate(keys), np.bincount(names[names >= 0], minlength=total), langs, pa.array(words, pa.string()), np.arange(total, dtype=np.int32)[None])
 
 
 def parted(blob: pa.Buffer, n: int) -> pa.Array:
@@ -85,23 +87,29 @@ def parted(blob: pa.Buffer, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[data != 10])])
 
 
-def joined(phrases: pa.Array) -> pa.Buffer:
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(phrases)], pa.int32()), phrases), "\n")[0].as_buffer()
+def joined(words: pa.Array) -> pa.Buffer:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_buffer()
+
+
+def words_of(words: pa.Scalar, parts: pa.Scalar, states: int) -> tuple[pa.Array, np.ndarray]:
+    """(distinct words, the places among them of each state's first word, second, and so on)."""
+    places = shards.unplaned(parts.as_buffer(), np.int32).reshape(-1, states) if states else np.empty((1, 0), np.int32)
+    return parted(words.as_buffer(), int(places.max()) + 1 if states else 0), places
 
 
 class Level:
-    """A level of a shard's automaton: the state at each place, and each state's key, count and phrase; states of a language are neighbours."""
+    """A level of a shard's automaton: the state at each place, and each state's key, count and words; states of a language are neighbours."""
 
-    def __init__(self, names: np.ndarray, keys: np.ndarray, n: np.ndarray, langs: list[tuple[str, int, int]], phrases: pa.Array | None):
-        self.names, self.keys, self.n, self.langs, self.phrases = names, keys, n, langs, phrases
+    def __init__(self, names: np.ndarray, keys: np.ndarray, n: np.ndarray, langs: list[tuple[str, int, int]], words: pa.Array | None, parts: np.ndarray | None):
+        self.names, self.keys, self.n, self.langs, self.words, self.parts = names, keys, n, langs, words, parts
 
     @classmethod
     def of(cls, b: pa.RecordBatch, i: int, spell: bool) -> Level:
         read = lambda j, kind: shards.unplaned(b.column(j)[i].as_buffer(), kind)
         langs = [(x["lang"], x["states"], x["words"]) for x in b.column(1)[i].as_py()]
         n = read(4, np.int64)
-        phrases = parted(b.column(5)[i].as_buffer(), len(n)) if spell else None
-        return cls(read(2, np.int32), np.frombuffer(b.column(3)[i].as_buffer(), np.uint64), n, langs, phrases)
+        words, parts = words_of(b.column(5)[i], b.column(6)[i], len(n)) if spell else (None, None)
+        return cls(read(2, np.int32), np.frombuffer(b.column(3)[i].as_buffer(), np.uint64), n, langs, words, parts)
 
     def _langs(self, of: np.ndarray) -> list[tuple[str, int, int]]:
         """The languages with the number of states among ``of``, places of states in ascending order."""
@@ -115,25 +123,27 @@ class Level:
         pair = a[at].astype(np.int64) * max(1, len(self.keys)) + b[at]
         order = np.argsort(pair)
         ranked = pair[order]
+        del pair
         fresh = np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.empty(0, bool)
         names = np.full(len(self.names), -1, np.int32)
         names[at[order]] = np.cumsum(fresh) - 1
         parent, link = np.divmod(ranked[fresh], max(1, len(self.keys)))
         n = np.diff(np.append(np.flatnonzero(fresh), len(ranked)))
-        phrases = None
-        if self.phrases is not None:
-            last = pc.replace_substring_regex(self.phrases, "^.* ", "")
-            phrases = pc.binary_join_element_wise(self.phrases.take(pa.array(parent)), last.take(pa.array(link)), " ")
-        return Level(names, combined(self.keys[parent], self.keys[link]), n, self._langs(parent), phrases)
+        parts = None if self.parts is None else np.concatenate((self.parts[:, parent], self.parts[-1:, link]))
+        return Level(names, combined(self.keys[parent], self.keys[link]), n, self._langs(parent), self.words, parts)
 
     def only(self, kept: np.ndarray) -> Level:
         renamed = np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1).astype(np.int32)  # -1 finds the last
-        return Level(renamed[self.names], self.keys[kept], self.n[kept], self._langs(np.flatnonzero(kept)), self.phrases.filter(pa.array(kept, pa.bool_())))
+        parts = self.parts[:, kept]
+        used = np.zeros(len(self.words), bool)
+        used[parts.ravel()] = True
+        parts = (np.cumsum(used, dtype=np.int32) - 1)[parts] if parts.size else parts
+        return Level(renamed[self.names], self.keys[kept], self.n[kept], self._langs(np.flatnonzero(kept)), self.words.filter(pa.array(used, pa.bool_())), parts)
 
     def row(self, shard: int) -> pa.RecordBatch:
         langs = pa.array([[{"lang": lang, "states": states, "words": words} for lang, states, words in self.langs]], pa.list_(pa.struct([("lang", pa.string()), ("states", pa.int64()), ("words", pa.int64())])))
-        blobs = shards.planes(self.names), np.ascontiguousarray(self.keys), shards.planes(np.asarray(self.n, np.int64)), joined(self.phrases)
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), langs, *[shards.one_blob(x) for x in blobs]], names=["shard", "langs", "names", "keys", "n", "phrases"])
+        blobs = shards.planes(self.names), np.ascontiguousarray(self.keys), shards.planes(np.asarray(self.n, np.int64)), joined(self.words), shards.planes(self.parts.ravel())
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), langs, *[shards.one_blob(x) for x in blobs]], names=["shard", "langs", "names", "keys", "n", "words", "parts"])
 
 
 def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
@@ -156,7 +166,7 @@ def encoded(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         if held:
             yield first_level(held).row(shard)
 
-    return shards.settled(small_batches(rows).mapInArrow(run, STATE), "words")
+    return shards.settled(small_batches(rows).mapInArrow(run, STATE), "words", **shards.FEW_BLOBS)
 
 
 def reaches(least: int):
@@ -177,20 +187,26 @@ def _levels(batches: Iterator[pa.RecordBatch], first: bool, spell: bool):
     for b in batches:
         for i in range(b.num_rows):
             own = Level.of(b, i, spell)
-            yield b, i, own if first else own.next()
+            own = own if first else own.next()  # the level below is let go
+            yield b, i, own
 
 
 def spelled(level: DataFrame, k: int) -> DataFrame:
-    """(lang, phrase, k, n): a row for each state of each shard."""
+    """(lang, phrase, k, n): a row for each state of each shard, some thousand spelled at a time."""
 
     def run(batches):
         for b in batches:
-            for langs, n, phrases in zip(b.column(0), b.column(1), b.column(2)):
-                langs, n = langs.as_py(), shards.unplaned(n.as_buffer(), np.int64)
-                lang = pa.array([x["lang"] for x in langs], pa.string()).take(pa.array(np.repeat(np.arange(len(langs)), [x["states"] for x in langs]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([lang, parted(phrases.as_buffer(), len(n)), pa.array(np.full(len(n), k, np.int32)), pa.array(n, pa.int64())], names=["lang", "phrase", "k", "n"])
+            for i in range(b.num_rows):
+                langs, n = b.column(0)[i].as_py(), shards.unplaned(b.column(1)[i].as_buffer(), np.int64)
+                words, parts = words_of(b.column(2)[i], b.column(3)[i], len(n))
+                names, of = pa.array([x["lang"] for x in langs], pa.string()), np.repeat(np.arange(len(langs)), [x["states"] for x in langs])
+                for first in range(0, len(n), SPELL_ROWS):
+                    own = slice(first, first + SPELL_ROWS)
+                    spelling = [words.take(pa.array(p[own])) for p in parts]
+                    phrase = pc.binary_join_element_wise(*spelling, " ") if k > 1 else spelling[0]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of[own], pa.int64())), phrase, pa.array(np.full(len(phrase), k, np.int32)), pa.array(n[own], pa.int64())], names=["lang", "phrase", "k", "n"])
 
-    return shards.byte_batches(level.select("langs", "n", "phrases")).mapInArrow(run, "lang string, phrase string, k int, n long")
+    return shards.byte_batches(level.select("langs", "n", "words", "parts")).mapInArrow(run, "lang string, phrase string, k int, n long")
 
 
 def pruned(below: DataFrame, buckets: int, least: int, first: bool) -> DataFrame:
@@ -202,16 +218,16 @@ def pruned(below: DataFrame, buckets: int, least: int, first: bool) -> DataFrame
             keys = level.keys[order]
             yield shards.sent(b.column(0)[i].as_py(), shards.bucket_edges(keys, buckets), [keys, level.n[order].astype(np.int64)])
 
-    answers = shards.answered(shards.byte_batches(below).mapInArrow(send, shards.sent_schema(2)), ["<u8", "<i8"], reaches(least), "counts")
+    answers = shards.answered(shards.byte_batches(below.drop("words", "parts")).mapInArrow(send, shards.sent_schema(2)), ["<u8", "<i8"], reaches(least), "counts")
 
     def keep(batches):
         for b, i, level in _levels(batches, first, True):
             order = np.argsort(level.keys)
             kept = np.empty(len(order), bool)
-            kept[order] = shards.answers(b.column(6)[i], shards.bucket_edges(level.keys[order], buckets))
+            kept[order] = shards.answers(b.column(7)[i], shards.bucket_edges(level.keys[order], buckets))
             yield level.only(kept).row(b.column(0)[i].as_py())
 
-    return shards.settled(below.join(answers.hint("shuffle_hash"), "shard", "left").mapInArrow(keep, STATE), "level")
+    return shards.settled(below.join(answers.hint("shuffle_hash"), "shard", "left").mapInArrow(keep, STATE), "level", **shards.FEW_BLOBS)
 
 
 def frequent_phrases(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, most: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:

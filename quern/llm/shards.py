@@ -27,6 +27,8 @@ BUCKET_BYTES = 16 << 20
 _BATCH_BYTES = 8 << 20
 #: of a bucket, what is decided at once
 _PART_BYTES = 8 << 20
+#: for tables of few and large rows, as writers would else hold a hundred of them before they look at sizes; readers hold a row group
+FEW_BLOBS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -81,7 +83,7 @@ def sharded(docs: DataFrame, text_col: str, label: str, limit: int = SHARD_BYTES
             yield row()
 
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("docs", T.ArrayType(item))])
-    return settled(small_batches(rows).mapInArrow(run, schema), label)
+    return settled(small_batches(rows).mapInArrow(run, schema), label, **FEW_BLOBS)
 
 
 def shard_rows(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, int]]:
@@ -171,7 +173,7 @@ def answered(rows: DataFrame, kinds: list, decide: Callable[[list[np.ndarray], n
         return pa.table({"shard": group.column("shard"), "bucket": group.column("bucket"), "bits": pa.chunked_array([pa.array(bits, pa.binary())])})
 
     found = rows.groupBy("bucket").applyInArrow(run, "shard long, bucket long, bits binary")
-    return settled(found.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), label)
+    return settled(found.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), label, **FEW_BLOBS)
 
 
 def answers(bits: pa.Scalar, edges: np.ndarray, first: int = 0) -> np.ndarray:

@@ -3,10 +3,12 @@ import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import phrases
+from quern.llm import phrases, shards
 
 ROOT = Path(__file__).resolve().parents[2]
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -133,3 +135,38 @@ def run():
 def test_a_bucket_is_decided_in_parts():
     """A bucket of 38 MB."""
     assert worker_peak(BUCKET) < 110
+
+
+def test_states_are_spelled_some_at_a_time(spark, monkeypatch, tmp_path):
+    """A level whose states all stay holds places of words and no phrases; spelled rows come in small batches."""
+    words = [f"w{i % 997}x{i % 1009}" for i in range(3 * phrases.SPELL_ROWS // 2)]
+    level = phrases.first_level({"en": [" ".join(words).encode()]}).next()
+    states = len(level.n)
+    row = level.only(np.ones(states, bool)).row(3)
+    assert states > phrases.SPELL_ROWS and sum(len(row.column(i)[0].as_py()) for i in (5, 6)) < sum(len(w) + 1 for w in set(words)) + 8 * states
+    again = phrases.Level.of(row, 0, True)
+    assert (again.parts == level.parts).all() and again.words == level.words
+    taken = []
+
+    class Rows:
+        def select(self, *names):
+            self.names = names
+            return self
+
+        def mapInArrow(self, run, schema):
+            taken.append(run)
+
+    monkeypatch.setattr(shards, "byte_batches", lambda df: df)
+    rows = Rows()
+    phrases.spelled(rows, 2)
+    batches = list(taken[0]([row.select(list(rows.names))]))
+    assert max(b.num_rows for b in batches) <= phrases.SPELL_ROWS
+    assert sorted(x for b in batches for x in b.column(1).to_pylist()) == sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
+def test_tables_of_large_rows_have_small_row_groups(spark):
+    """80 MB of shards from one task: none is held back until a hundred are there."""
+    docs = spark.range(0, 320, 1, 1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 4096), i -> sha2(cast(id * 4096 + i as string), 256)), '')").alias("text"))
+    whole = shards.sharded(docs, "text", "shards", 4 << 20)
+    files = [f.removeprefix("file:").replace("///", "/") for f in whole.inputFiles()]
+    assert whole.count() > 18 and max(pq.ParquetFile(f).metadata.row_group(i).num_rows for f in files for i in range(pq.ParquetFile(f).num_row_groups)) <= 10
