@@ -28,10 +28,12 @@ from pyspark.sql import types as T
 
 from quern.llm import shards
 from quern.llm.common import table
-from quern.llm.shards import PLACE_BITS, SHARD_BYTES
+from quern.llm.shards import PLACE_BITS
 
 LEAST_BYTES = 50
 BLOCKS = 3
+#: a worker holds some 30 bytes a byte of a shard whose places are all open
+SHARD_BYTES = 4 << 20
 #: Perfect difference covers, by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Odd multipliers of the hashes.
@@ -111,13 +113,18 @@ def open_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, least: in
     inside[first] += 1
     inside[last + 1] -= 1
     np.cumsum(inside, out=inside)
-    at, keys, checks = [np.empty(0, kind)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
+    low, high, buckets = span
+    room = int(np.count_nonzero(inside))
+    room = room if high - low == buckets else min(room, room * (high - low) // buckets + (room >> 4) + step)
+    at, keys, checks, n = np.empty(room, kind), np.empty(room, np.uint64), np.empty(room, np.uint32), 0
     for i, x, y in _windows(data, least, step):
         own = np.flatnonzero(inside[i : i + len(x)].view(bool) & in_span(x, span))
-        at.append((own + i).astype(kind))
-        keys.append(x[own])
-        checks.append(y[own])
-    return np.concatenate(at), np.concatenate(keys), np.concatenate(checks)
+        if n + len(own) > room:  # the span has more than its share
+            room = n + len(own) + room // 2
+            at, keys, checks = (np.concatenate((a[:n], np.empty(room - n, a.dtype))) for a in (at, keys, checks))
+        at[n : n + len(own)], keys[n : n + len(own)], checks[n : n + len(own)] = own + i, x[own], y[own]
+        n += len(own)
+    return at[:n], keys[:n], checks[:n]
 
 
 def samples(starts: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +264,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), *columns], names=["shard", "data", "n", "text", "first", "ids"])
 
     found = rows.join(shared.hint("shuffle_hash"), "shard", "left").mapInArrow(open_suffixes, "shard long, data binary, n binary, text binary, first binary, ids binary")
-    runs = shards.settled(found, "runs")
+    runs = shards.settled(found, "runs", **shards.FEW_BLOBS)
 
     def hashed(b: pa.RecordBatch, i: int, at: int, span: tuple[int, int, int]):
         """The hashes of a shard's open suffixes, and of its runs the texts, offsets in them, starts and ids."""

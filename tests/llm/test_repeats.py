@@ -139,3 +139,31 @@ def test_a_shard_with_all_places_open_takes_bounded_memory():
     """8 MB whose strings all go on: a block's suffixes are in memory, not all of them."""
     root = str(Path(repeats.__file__).resolve().parents[2])
     assert float(subprocess.run([sys.executable, "-c", SHARD], capture_output=True, text=True, check=True, cwd=root).stdout) < 380
+
+
+WHOLE_SHARD = """
+import resource
+import numpy as np
+from quern.llm import repeats
+n = repeats.SHARD_BYTES
+data = np.concatenate((np.random.default_rng(0).integers(97, 123, n).astype(np.uint8), np.zeros(8, np.uint8)))
+first, last = np.array([0]), np.array([n - 50])
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+at, keys, checks = repeats.open_hashes(data, first, last, 50, (0, 512, 512))
+print(peak() - before)
+assert len(at) == len(keys) == len(checks) == n - 49
+"""
+
+
+def test_hashes_of_a_whole_shard_are_held_once():
+    """16 bytes a place, a mark for each, and no second copy."""
+    root = str(Path(repeats.__file__).resolve().parents[2])
+    assert float(subprocess.run([sys.executable, "-c", WHOLE_SHARD], capture_output=True, text=True, check=True, cwd=root).stdout) < 100
+
+
+def test_spans_with_more_than_their_share():
+    """Equal strings everywhere: one span has all places, the others have none."""
+    data = np.frombuffer(b"a" * 100_000 + bytes(8), np.uint8)
+    found = [repeats.open_hashes(data, np.array([0]), np.array([100_000 - 50]), 50, (i, i + 1, 4), step=512)[0] for i in range(4)]
+    assert sorted(map(len, found)) == [0, 0, 0, 100_000 - 49]
